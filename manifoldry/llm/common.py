@@ -146,3 +146,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family:
         out[i:j] = family.spans(family.byte[data[lo:hi]], starts[i:j] - lo, ends[i:j] - lo)
         i = j
     return out
+
+
+def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str] | None = None) -> DataFrame:
+    """df's columns (or only those in keep) and new ones: fn(column of text) gives the arrays of the DDL in fields, in order.
+
+    A column of df with the name of a new one is replaced, as by withColumn. Row order inside a batch stays.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    schema = StructType([*(df.schema[c] for c in kept), *new])
+    given = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, at = bytes_of(batch.column(len(kept)))
+            for lo, hi in slices(at, 8 << 20):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *fn(part.column(len(kept)))], names=schema.names)
+
+    return given.mapInArrow(run, schema)

@@ -10,6 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The model of op1 and of the pipeline's last stage; a file that the driver reads and sends on.
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Per document: how many ids, their checksum, and a digest of the text decoded from them."""
+    from .pieces import decode_pieces, encode_pieces
+
+    model = model or piece_model()
+    back = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model, keep=["doc_id"]), model)
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.concat_ws(",", F.col("piece_ids").cast("array<string>"))).alias("ids_crc32"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_near_dups
 
@@ -17,6 +33,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that holds benchmark items."""
+    from .decontaminate import benchmark_hits
+
+    found = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    held = F.col("benchmark_hits")
+    return found.where(F.size(held) > 0).select("doc_id", F.size(held).alias("n_items"), F.transform(held, lambda h: h["item_id"]).alias("item_ids"), F.array_max(F.transform(held, lambda h: h["share"])).alias("best_share"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
@@ -30,6 +55,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op9_nearest, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_simhash, op8_decontaminate, op9_nearest, op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
