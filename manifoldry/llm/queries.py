@@ -26,6 +26,25 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(F.concat_ws(",", F.col("piece_ids").cast("array<string>"))).alias("ids_crc32"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The fold that language identification never learns from; false for a null id, which isn't learned from either."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def language_field(docs: DataFrame):
+    from .language import train_field
+
+    return train_field(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, language_field(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "second_score", "n_words")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_near_dups
 
@@ -33,6 +52,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Write all documents' ids, read the files back, and give each document's place, length and checksum."""
+    import public_tokenizers
+
+    from .common import scratch_path
+    from .token_files import read_documents, write_tokens
+
+    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    folder = scratch_path(spark, "tokens")
+    files = write_tokens(table(spark, sf_dir, "documents"), folder, text, end_id=1)
+    return read_documents(spark, files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document that holds benchmark items."""
     from .decontaminate import benchmark_hits
@@ -55,6 +88,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_simhash, op8_decontaminate, op9_nearest, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op5_simhash, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup)}
 
 SQL: dict[str, str] = {}
