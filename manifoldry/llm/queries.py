@@ -45,6 +45,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "second_score", "n_words")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_near_dups
 
@@ -88,6 +100,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op5_simhash, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup)}
+
+SQL: dict[str, str] = {
+    "op3_line_dedup": """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS p FROM d),
+w AS (SELECT doc_id, p, lines[p] || chr(10) || lines[p + 1] || chr(10) || lines[p + 2] AS win FROM p),
+f AS (SELECT win, min(row(doc_id, p)) AS first FROM w GROUP BY win HAVING count(*) > 1),
+c AS (SELECT w.doc_id, w.p FROM w JOIN f USING (win) WHERE row(w.doc_id, w.p) <> f.first),
+g AS (SELECT doc_id, list(DISTINCT line) AS gone FROM (SELECT doc_id, p + unnest([0, 1, 2]) AS line FROM c) GROUP BY doc_id),
+k AS (SELECT doc_id, i, l FROM (SELECT doc_id, unnest(lines) AS l, unnest(range(1, len(lines) + 1)) AS i FROM d) LEFT JOIN g USING (doc_id) WHERE gone IS NULL OR NOT list_contains(gone, i)),
+t AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.kept, '') END AS text, coalesce(len(d.lines), 0) AS n_lines, coalesce(len(g.gone), 0) AS n_removed
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+}
