@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-TF-IDF counts of all passages of the corpus, over hashed words, go through a randomised SVD: every task adds up its share of A'A times a
-random test matrix, the shares are summed in a tree, and a Nystrom step on the driver gives the leading right singular vectors. Passages at
-several lengths and the benchmark's items are projected and whitened; pairs of high cosine are candidates. A candidate is a hit if the
+TF-IDF counts A of all passages of the corpus, over hashed words, go through a randomised SVD: every task adds up its share of S A, where S is a
+sparse random matrix that adds each passage, with a random sign, to one of DRAWN rows. The shares are summed in a tree, and a small SVD on the
+driver gives the leading right singular vectors. The weights of features come in after the sums, so one pass counts and draws. Passages at several
+lengths and the benchmark's items are projected and whitened; pairs of high cosine are candidates. A candidate is a hit if the
 longest common subsequence of words holds enough of the item, and enough of its answer, the item's last words.
 """
 
@@ -31,6 +32,8 @@ SHARE, ANSWER_SHARE, ANSWER = 0.8, 0.6, 5
 SHORT = 8
 #: Items of a benchmark that are searched for at once; a longer benchmark is searched in turns.
 ITEMS = 4096
+#: Features in at most this share of passages are rare.
+RARE = 0.02
 
 #: Bytes that part words here: ASCII other than letters and digits.
 _PUNCTUATION = np.array([not (chr(i).isalnum()) and i < 128 for i in range(256)])
@@ -48,17 +51,6 @@ def _feature(words: np.ndarray) -> np.ndarray:
     return (words & U64(FEATURES - 1)).astype(np.int64)
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Passage, feature and count of every feature in every passage, in this order, and the number of passages."""
-    words, first = _words(column)
-    n = np.diff(first)
-    per_row = -(-n // PASSAGE)
-    base = np.concatenate([[0], np.cumsum(per_row)])
-    passage = np.repeat(base[:-1], n) + (np.arange(len(words)) - np.repeat(first[:-1], n)) // PASSAGE
-    key, times = np.unique(passage * FEATURES + _feature(words), return_counts=True)
-    return key // FEATURES, key % FEATURES, times, int(base[-1])
-
-
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
     for batch in batches:
         _, at = bytes_of(batch.column(0))
@@ -66,77 +58,66 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
             yield batch.column(0).slice(lo, hi - lo)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """Passages in all, and in how many of them each feature occurs. texts: one column of text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(FEATURES + 1, dtype=np.int64)
-        for part in _parts(batches):
-            _, feature, _, n = _terms(part)
-            counts[:FEATURES] += np.bincount(feature, minlength=FEATURES)
-            counts[FEATURES] += n
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["feature", "n"])
-
-    out = np.zeros(FEATURES + 1, dtype=np.int64)
-    # at most FEATURES + 1 rows come to the driver, whatever the corpus
-    for r in texts.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[r.feature] = r.n
-    return int(out[FEATURES]), out[:FEATURES]
-
+def _sum_tree(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """Sums of the tasks' parts, piece by piece, in two levels: `width` tasks at a time, then their sums."""
 
-def _sum_tree(rows: DataFrame, width: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), dtype=np.float32).astype(np.float64) for x in table.column("part").combine_chunks())
-        return pa.table({"piece": table.column("piece")[:1], "task": table.column("task")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        parts = [_unpacked(x.as_py(), size) for x in table.column("part").combine_chunks()]
+        total = np.concatenate([sum(p[0] for p in parts), sum(p[1] for p in parts)])
+        return pa.table({"piece": table.column("piece")[:1], "task": table.column("task")[:1], "part": pa.array([_packed(total, size)], pa.binary())})
 
     schema = "piece int, task int, part binary"
     once = rows.groupBy("piece", F.floor(F.col("task") / width).alias("some")).applyInArrow(lambda table: add(table), schema)
     return once.groupBy("piece").applyInArrow(lambda table: add(table), schema)
 
 
-def latent_basis(texts: DataFrame, seed: int = 7) -> np.ndarray:
-    """FEATURES x RANK: takes counts of features to whitened latent coordinates. All passages of texts take part."""
-    n, df = document_frequencies(texts)
-    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0).astype(np.float32)
-    omega, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, DRAWN)))
-    if not n:
-        return np.zeros((FEATURES, RANK), dtype=np.float32)
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast((idf, omega.astype(np.float32)))
+def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES x RANK: takes counts of features to whitened latent coordinates; and which features are rare. All passages of texts (one column) take part."""
     pieces = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, omega = shared.value
-        total = np.zeros((FEATURES, DRAWN), dtype=np.float32)
+        task = TaskContext.get().partitionId()
+        rng = np.random.default_rng((seed, task))
+        drawn = np.zeros(DRAWN * FEATURES, dtype=np.float32)
+        counts, passages = np.zeros(FEATURES, dtype=np.int64), 0
         for part in _parts(batches):
-            passage, feature, times, n = _terms(part)
-            if not n:
-                continue
-            weight = times.astype(np.float32) * idf[feature]
-            norm = np.sqrt(np.bincount(passage, weight.astype(np.float64) ** 2, minlength=n))
-            weight /= norm[passage].astype(np.float32)
-            heads = np.flatnonzero(np.diff(passage, prepend=-1))
-            rows = np.add.reduceat(omega[feature] * weight[:, None], heads, axis=0)
-            order = np.argsort(feature, kind="stable")
-            feature, weight = feature[order], weight[order]
-            heads = np.flatnonzero(np.diff(feature, prepend=-1))
-            total[feature[heads]] += np.add.reduceat(rows[np.searchsorted(np.unique(passage), passage[order])] * weight[:, None], heads, axis=0)
+            words, first = _words(part)
+            n = np.diff(first)
+            per_row = -(-n // PASSAGE)
+            base = np.concatenate([[0], np.cumsum(per_row)])
+            passage = np.repeat(base[:-1], n) + (np.arange(len(words)) - np.repeat(first[:-1], n)) // PASSAGE
+            feature, total = _feature(words), int(base[-1])
+            row, sign = rng.integers(0, DRAWN, total), rng.integers(0, 2, total) * 2 - 1
+            key, which = np.unique(row[passage] * FEATURES + feature, return_inverse=True)
+            drawn[key] += np.bincount(which, sign[passage], minlength=len(key)).astype(np.float32)
+            key = np.sort(passage * FEATURES + feature)
+            counts += np.bincount(key[np.diff(key, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
+            passages += total
         size = FEATURES // pieces
-        task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32()), pa.array([total[i * size : (i + 1) * size].tobytes() for i in range(pieces)], pa.binary())], names=["piece", "task", "part"])
+        part = [np.concatenate([drawn.reshape(DRAWN, FEATURES)[:, i * size : (i + 1) * size].ravel(), counts[i * size : (i + 1) * size], [passages]]).astype(np.float64) for i in range(pieces)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32()), pa.array([_packed(x, size) for x in part], pa.binary())], names=["piece", "task", "part"])
+
+    # the driver gets PIECES rows of one size, whatever the corpus
+    size = FEATURES // pieces
+    got = {r.piece: _unpacked(r.part, size) for r in _sum_tree(texts.mapInArrow(run, "piece int, task int, part binary"), size, 256).collect()}
+    if not got or not got[0][1][-1]:
+        return np.zeros((FEATURES, RANK), dtype=np.float32), np.ones(FEATURES, dtype=bool)
+    n = int(got[0][1][-1])
+    df = np.concatenate([got[i][1][:-1] for i in range(pieces)])
+    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0)
+    y = np.concatenate([got[i][0].reshape(DRAWN, size) for i in range(pieces)], axis=1) * idf
+    _, s, v = np.linalg.svd(y, full_matrices=False)
+    scale = np.where(s > 1e-6 * max(s[0], 1e-30), 1 / np.maximum(s, 1e-30), 0)[:RANK]
+    return (idf[:, None] * v[:RANK].T * scale * s[0]).astype(np.float32), df <= RARE * n
 
-    got = {r.piece: np.frombuffer(r.part, dtype=np.float32) for r in _sum_tree(texts.mapInArrow(run, "piece int, task int, part binary"), 256).collect()}
-    y = np.concatenate([got[i] for i in range(pieces)]).reshape(FEATURES, DRAWN).astype(np.float64)
-    # Nystrom on A'A = y omega': shifted for stability, as in Tropp and others (2017)
-    shift = np.finfo(np.float32).eps * np.linalg.norm(y)
-    y += shift * omega
-    inner = omega.T @ y
-    lower = np.linalg.cholesky((inner + inner.T) / 2 + shift * np.eye(DRAWN))
-    u, s, _ = np.linalg.svd(np.linalg.solve(lower, y.T).T, full_matrices=False)
-    value = np.maximum(s[:RANK] ** 2 - shift, 0)
-    scale = np.where(value > 1e-9 * max(value[0], 1e-30), 1 / np.sqrt(np.maximum(value, 1e-30)), 0)
-    return (idf[:, None] * u[:, :RANK] * scale).astype(np.float32)
+
+def _packed(x: np.ndarray, size: int) -> bytes:
+    """Sums in single precision, counts as whole numbers."""
+    return x[: DRAWN * size].astype(np.float32).tobytes() + x[DRAWN * size :].astype(np.int64).tobytes()
+
+
+def _unpacked(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(raw, dtype=np.float32, count=DRAWN * size).astype(np.float64), np.frombuffer(raw, dtype=np.int64, offset=4 * DRAWN * size)
 
 
 def lcs(pattern: list[int], text: list[int]) -> int:
@@ -155,7 +136,7 @@ def lcs(pattern: list[int], text: list[int]) -> int:
 class Items:
     """Benchmark items: their words, and their latent coordinates by passage length."""
 
-    def __init__(self, ids: list, texts: list[str], basis: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], basis: np.ndarray, rare: np.ndarray):
         words, first = _words(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:])]
@@ -164,6 +145,15 @@ class Items:
         for x in self.words:
             u, n = np.unique(x, return_counts=True)
             self.counts.append((u, n))
+        # a hit has all but a fifth of the item's words, so so many of its rare words at least are in the region
+        of_rare = [rare[_feature(x)] for x in self.words]
+        pair = np.unique(np.array([(w, i) for i, (x, r) in enumerate(zip(self.words, of_rare)) for w in x[r].tolist()], dtype=U64).reshape(-1, 2), axis=0)
+        self.rare, self.rare_at = np.unique(pair[:, 0], return_index=True)
+        self.rare_at = np.append(self.rare_at, len(pair))
+        self.rare_item = pair[:, 1].astype(np.int64)
+        self.need = np.array([int(r.sum()) - (len(x) - int(np.ceil(SHARE * len(x))) if len(x) >= SHORT else 0) for x, r in zip(self.words, of_rare)])
+        #: words that an item has twice count once, so the need falls by as much
+        self.need -= np.array([int(r.sum()) - len(np.unique(x[r])) for x, r in zip(self.words, of_rare)], dtype=np.int64)
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for i, x in enumerate(self.words):
@@ -174,6 +164,18 @@ class Items:
             norm = np.linalg.norm(z, axis=1, keepdims=True)
             self.classes[length] = (np.array(members), (z / np.where(norm > 0, norm, 1)).astype(np.float32))
 
+    def rare_places(self, words: np.ndarray) -> np.ndarray:
+        """item * (len(words) + 1) + position of every rare word of an item among words, sorted."""
+        if not len(self.rare):
+            return np.zeros(0, dtype=np.int64)
+        at = np.searchsorted(self.rare, words)
+        at[at == len(self.rare)] = 0
+        position = np.flatnonzero(self.rare[at] == words)
+        lo, hi = self.rare_at[at[position]], self.rare_at[at[position] + 1]
+        n = hi - lo
+        item = self.rare_item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return np.sort(item * (len(words) + 1) + np.repeat(position, n))
+
     def matches(self, i: int, region: np.ndarray) -> float:
         """The share of item i's words found in order in the region, or 0 if that isn't a hit."""
         item = self.lists[i]
@@ -207,6 +209,7 @@ def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Item
     heads = first[row_of] + number * BLOCK
     sums = np.add.reduceat(basis[_feature(words)], heads, axis=0)
     total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+    rare = items.rare_places(words)
     for length, (members, z) in items.classes.items():
         step, span = max(1, length // 4 // BLOCK), length // BLOCK
         start = np.flatnonzero((number % step == 0) & ((number == 0) | (number + span - step < per_row[row_of])))
@@ -216,13 +219,12 @@ def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Item
         for lo in range(0, len(start), 1 << 14):
             q = p[lo : lo + (1 << 14)] @ z.T
             near, which = np.nonzero(q >= cosine * norm[lo : lo + (1 << 14), None])
-            for s, k in zip(start[lo + near].tolist(), which.tolist()):
-                row, i = int(row_of[s]), int(members[k])
-                if i in hits[row]:
-                    continue
-                a = max(first[row], heads[s] - length // 4)
-                share = items.matches(i, words[a : min(first[row + 1], heads[s] + length + length // 4)])
-                if share:
+            s, i = start[lo + near], members[which]
+            a = np.maximum(first[row_of[s]], heads[s] - length // 4)
+            b = np.minimum(first[row_of[s] + 1], heads[s] + length + length // 4)
+            able = np.searchsorted(rare, i * (len(words) + 1) + b) - np.searchsorted(rare, i * (len(words) + 1) + a) >= items.need[i]
+            for row, i, a, b in zip(row_of[s[able]].tolist(), i[able].tolist(), a[able].tolist(), b[able].tolist()):
+                if i not in hits[row] and (share := items.matches(i, words[a:b])):
                     hits[row][i] = share
     return hits
 
@@ -238,8 +240,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     Other columns are kept (or those in keep); one named benchmark_hits is replaced. An empty table or benchmark: no hits.
     """
     spark = docs.sparkSession
-    basis = latent_basis(docs.select(F.col(f"`{text_col}`").alias("text")))
-    shared = spark.sparkContext.broadcast(basis)
+    shared = spark.sparkContext.broadcast(latent_basis(docs.select(F.col(f"`{text_col}`").alias("text"))))
     asked = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
     # the benchmark is a stated list; it is taken in turns of at most ITEMS items, in no need of more memory when it is longer
     turns = max(1, -(-asked.count() // ITEMS))
@@ -250,13 +251,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         made: dict[str, Items] = {}
 
         def run(column: pa.Array, lists=lists, made=made) -> list[pa.Array]:
+            basis, rare = shared.value
             if "it" not in made:
-                made["it"] = Items(*lists.value, shared.value)
+                made["it"] = Items(*lists.value, basis, rare)
             items, found = made["it"], []
             _, at = bytes_of(column)
             for lo, hi in slices(at, 1 << 19):
                 words, first = _words(column.slice(lo, hi - lo))
-                found += _search(words, first, shared.value, items, cosine)
+                found += _search(words, first, basis, items, cosine)
             order = lambda h: sorted(({"item_id": items.ids[i], "share": s} for i, s in h.items()), key=lambda x: (x["item_id"] is None, x["item_id"] or 0))
             return [pa.array([order(h) for h in found], pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))]
 
