@@ -64,6 +64,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have a source and a language, taken as host and as section of the host. Labels of the fold that is held out are not learned from."""
+    from .quality import score_quality, train_classifier
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id", "quality", "toxic"), "doc_id")
+    return score_quality(docs, train_classifier(labelled), F.col("source"), F.col("lang"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Write all documents' ids, read the files back, and give each document's place, length and checksum."""
     import public_tokenizers
@@ -100,7 +109,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op6_quality, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup)}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": """

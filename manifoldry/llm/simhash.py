@@ -51,17 +51,20 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its 64-bit fingerprint (as a signed long) of every row; null text counts as empty, with fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False) -> DataFrame:
+    """doc_id and its 64-bit fingerprint (as a signed long) of every row; null text counts as empty, with fingerprint 0. with_keys: a and b too, 128 bits of hash of id and text."""
+    extra = ["a", "b"] if with_keys else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = bytes_of(batch.column(1))
+            data, at = bytes_of(batch.column(0))
             raw = memoryview(data)
             found = np.fromiter((fingerprint(bytes(raw[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), dtype=U64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=["doc_id", *extra, "fp"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keys = [F.xxhash64(i, t).alias("a"), F.xxhash64(F.lit(1), i, t).alias("b")] if with_keys else []
+    return docs.select(t.alias("text"), i.cast("long").alias("doc_id"), *keys).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *extra, "fp")))
 
 
 def _mask(a: int, b: int) -> int:
@@ -157,16 +160,16 @@ def components(edges: DataFrame) -> DataFrame:
         drop_scratch(now.sparkSession, was)
 
 
-def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach, itself included) of every row of docs.
+def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id that links reach, itself included) and root (the component's least fp) of every row of docs.
 
     Null and empty texts, and texts without a word, have fingerprint 0 and link like any other. A row of null doc_id takes part in links; a
     component without any doc_id has component_id null. Repeated rows come back as often. Other columns are not read. Empty table: empty result.
     """
-    marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    marked = cut(fingerprints(docs, id_col, text_col, with_keys), "fingerprints")
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp")))
     root = F.coalesce("root", "fp").alias("root")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", root)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", *(["a", "b"] if with_keys else []), "fp", "component_id", "root")
