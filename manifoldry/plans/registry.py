@@ -1,4 +1,695 @@
-"""Every registered query by name, and the SQL that gives the same rows."""
+"""Every registered query by name, and the DuckDB SQL that gives the same rows. Queries run over whole tables.
+
+The point set is `embeddings`. Where a query needs a model, its tables are stated: cells are the vectors of the first CELLS ids, landmarks the first LANDMARKS
+cells, and a potential is exp(-distance) between cells, so that nothing depends on random draws.
+"""
+
+from __future__ import annotations
+
+import json
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from manifoldry.functions.arrays import distance, unrolled, voltage_distance
+from manifoldry.operators import cells as C
+from manifoldry.operators import geodesics as D
+from manifoldry.operators import graph as G
+from manifoldry.operators import knn as N
+from manifoldry.operators import metrics as M
+from manifoldry.operators import points as P
+from manifoldry.operators import voltage as V
+
+CELLS, LANDMARKS, NEAR, TAU, RHO = 20, 8, 5, 0.3, 0.05
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pts(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """The stated centroids: a model table of CELLS rows."""
+    return P.prefix(pts(spark, d), CELLS).select(F.col("id").cast("int").alias("cell"), F.col("x").alias("c"))
+
+
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    a = c.where(F.col("cell") < LANDMARKS).select(F.col("cell").alias("landmark"), F.col("c").alias("a"))
+    return c.join(F.broadcast(a)).select("landmark", "cell", F.exp(-distance(F.col("a"), F.col("c"))).alias("v"))
+
+
+def assigned(spark: SparkSession, d: str) -> DataFrame:
+    return C.assign(pts(spark, d), cells(spark, d))
+
+
+def mass(spark: SparkSession, d: str) -> DataFrame:
+    return C.masses(assigned(spark, d), cells(spark, d)).select("cell", "mass")
+
+
+def near_cells(spark: SparkSession, d: str, k: int = CELLS) -> DataFrame:
+    return N.knn_join(pts(spark, d), cells(spark, d).select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x")), k)
+
+
+def self_knn(spark: SparkSession, d: str, k: int) -> DataFrame:
+    p = pts(spark, d)
+    return N.knn_join(p, p, k, exclude_self=True)
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# The tables above in SQL; each query names those it uses.
+_P = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x, label FROM embeddings)"
+_C = f"c AS (SELECT CAST(id AS INTEGER) AS cell, x AS c FROM p ORDER BY id LIMIT {CELLS})"
+_D = "dist AS (SELECT p.id, c.cell, p.label, p.x, list_sum(list_transform(list_zip(p.x, c.c), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM p, c)"
+_A = "a AS (SELECT id, cell, sq, label, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, cell) AS r FROM dist) WHERE r = 1)"
+_M = "m AS (SELECT c.cell, count(a.id) AS n, count(a.id) / CAST((SELECT count(*) FROM p) AS DOUBLE) AS mass FROM c LEFT JOIN a ON a.cell = c.cell GROUP BY c.cell)"
+_CC = "cc AS (SELECT a.cell AS src, b.cell AS dst, list_sum(list_transform(list_zip(a.c, b.c), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM c a, c b WHERE a.cell <> b.cell)"
+_V = f"v AS (SELECT a.cell AS landmark, b.cell, exp(-sqrt(list_sum(list_transform(list_zip(a.c, b.c), lambda e: (e[1] - e[2]) * (e[1] - e[2]))))) AS v FROM c a, c b WHERE a.cell < {LANDMARKS})"
+_K = "k AS (SELECT src AS cell, sq AS sq_radius FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sq, dst) AS r FROM cc) WHERE r = {k})"
+_S = "pair AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.x, b.x), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM p a, p b WHERE a.id <> b.id), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, other) AS rank FROM pair)"
+#: A stated plane layout of the points: their first two components.
+_L = "l AS (SELECT id, x[1] AS z1, x[2] AS z2 FROM p)"
+_LS = "lp AS (SELECT a.id, b.id AS other, (a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) AS sq FROM l a, l b WHERE a.id <> b.id), ls AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, other) AS rank FROM lp)"
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+def layout_knn(spark: SparkSession, d: str, k: int) -> DataFrame:
+    z = pts(spark, d).select("id", F.slice("x", 1, 2).alias("x"))
+    return N.knn_join(z, z, k, exclude_self=True)
+
+
+# cells
+
+
+@query(with_(_P, _C, _D, _A) + "SELECT id, cell, round(sq, 6) AS sq FROM a")
+def assign_cells(spark, d):
+    return assigned(spark, d).select("id", "cell", *r6("sq"))
+
+
+@query(with_(_P, _C, _D, _A) + "SELECT id, cell, round(sq, 6) AS sq FROM a")
+def assign_cells_native(spark, d):
+    return C.assign(pts(spark, d), cells(spark, d), native=True).select("id", "cell", *r6("sq"))
+
+
+@query(with_(_P, _C, _D, _A, _M) + "SELECT cell, n, round(mass, 6) AS mass FROM m")
+def cell_masses(spark, d):
+    return C.masses(assigned(spark, d), cells(spark, d)).select("cell", "n", *r6("mass"))
+
+
+@query(with_(_P, _C, _D, _A, _M) + f"SELECT cell, round((n + 1) / CAST((SELECT count(*) FROM p) + {CELLS} AS DOUBLE), 6) AS mass FROM m")
+def smoothed_masses(spark, d):
+    return C.masses(assigned(spark, d), cells(spark, d), "smoothed").select("cell", *r6("mass"))
+
+
+@query(with_(_P, _C) + f"SELECT cell, round(1.0 / {CELLS}, 6) AS mass FROM c")
+def uniform_masses(spark, d):
+    return C.masses(assigned(spark, d), cells(spark, d), "uniform").select("cell", *r6("mass"))
+
+
+@query(with_(_P, _C, _D, _A, _M) + "SELECT CAST(row_number() OVER (ORDER BY cell) - 1 AS INTEGER) AS cell, cell AS old_cell, round(mass, 6) AS mass FROM m WHERE mass > 0")
+def drop_empty_cells(spark, d):
+    c = cells(spark, d)
+    return C.without_empty(c, C.masses(C.assign(pts(spark, d), c), c)).select("cell", "old_cell", *r6("mass"))
+
+
+_SUMS = "f AS (SELECT cell, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM a), g AS (SELECT cell, pos, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM f GROUP BY ALL)"
+
+
+@query(with_(_P, _C, _D, _A, _SUMS) + "SELECT cell, pos, n, round(s, 6) AS s FROM g")
+def cell_sums(spark, d):
+    s = C.sums(assigned(spark, d)).select("cell", "n", F.posexplode("sum").alias("pos", "s"))
+    return s.select("cell", (F.col("pos") + 1).cast("long").alias("pos"), "n", *r6("s"))
+
+
+@query(with_(_P, _C, _D, _A, _SUMS) + "SELECT cell, max(n) AS n, round(sum(q), 6) AS squares FROM g GROUP BY cell")
+def cell_moments(spark, d):
+    return C.sums(assigned(spark, d)).select("cell", "n", *r6("squares"))
+
+
+@query(with_(_P, _C, _D, _A, _SUMS) + "SELECT c.cell, i.pos, round(coalesce(g.s / g.n, c.c[i.pos]), 6) AS v FROM c CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) i LEFT JOIN g ON g.cell = c.cell AND g.pos = i.pos")
+def lloyd_step(spark, d):
+    out, _ = C.lloyd(pts(spark, d), cells(spark, d), 1)
+    return out.select("cell", F.posexplode("c").alias("pos", "v")).select("cell", (F.col("pos") + 1).cast("long").alias("pos"), *r6("v"))
+
+
+@query(
+    with_(_P, _C, _D, _A, _SUMS)
+    + """, n1 AS (SELECT cell, list(s / n ORDER BY pos) AS c, max(n) AS n FROM g GROUP BY cell)
+SELECT n1.cell, round(sqrt(list_sum(list_transform(list_zip(n1.c, c.c), lambda e: (e[1] - e[2]) * (e[1] - e[2])))), 6) AS shift,
+round(sqrt((SELECT sum(sq) FROM a WHERE a.cell = n1.cell) / n1.n), 6) AS rms_radius FROM n1 JOIN c ON c.cell = n1.cell"""
+)
+def streamed_lloyd_pass(spark, d):
+    """How far each centroid moves in a pass, and its cell's RMS radius: what the stopping rule compares."""
+    a = assigned(spark, d)
+    old = cells(spark, d)
+    new, _ = C.lloyd(pts(spark, d), old, 1)
+    moved = new.join(F.broadcast(old.withColumnRenamed("c", "o")), "cell").select("cell", distance(F.col("c"), F.col("o")).alias("shift"))
+    return a.groupBy("cell").agg(F.sqrt(F.sum("sq") / F.count(F.lit(1))).alias("rms_radius")).join(moved, "cell").select("cell", *r6("shift", "rms_radius"))
+
+
+_FAR = """WITH RECURSIVE p AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings),
+pair AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.x, b.x), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM p a, p b),
+f AS (SELECT 0 AS step, [CAST(0 AS BIGINT)] AS chosen UNION ALL
+SELECT step + 1, list_append(chosen, (SELECT id FROM (SELECT pair.id, min(sq) AS m FROM pair WHERE list_contains(f.chosen, pair.other) GROUP BY pair.id) ORDER BY m DESC, id LIMIT 1)) FROM f WHERE step < 7)
+SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS step, unnest(chosen) AS id FROM f WHERE step = 7"""
+
+
+@query(_FAR)
+def farthest_cells(spark, d):
+    return C.farthest_points(pts(spark, d), 8, 0)
+
+
+# neighbours and dimension
+
+
+@query(with_(_P, _S) + f"SELECT id, CAST(rank AS INTEGER) AS rank, other, round(sq, 6) AS sq FROM s WHERE rank <= {NEAR}")
+def knn_self(spark, d):
+    return self_knn(spark, d, NEAR).select("id", "rank", "other", *r6("sq"))
+
+
+@query(
+    with_(_P, _S)
+    + """, q AS (SELECT id, max(CASE WHEN rank = 20 THEN sq END) AS sk, min(sq) AS s1, sum(ln(CASE WHEN sq > 0 THEN sq END)) AS logs FROM s WHERE rank <= 20 GROUP BY id)
+SELECT round(1 / avg(0.5 * (20 * ln(sk) - logs) / 19), 6) AS dimension, count(*) AS n_points FROM q WHERE s1 > 0"""
+)
+def mle_dimension(spark, d):
+    return N.mle_dimension(self_knn(spark, d, 20), 20).select(*r6("dimension"), "n_points")
+
+
+# graph
+
+
+@query(with_(_P, _C, _CC, _K.format(k=NEAR)) + "SELECT cell, round(sq_radius, 6) AS sq_radius FROM k")
+def kth_radius(spark, d):
+    return G.radii(cells(spark, d), "adaptive_per_cell", NEAR).select("cell", *r6("sq_radius"))
+
+
+@query(with_(_P, _C, _CC, _K.format(k=NEAR)) + "SELECT cell, round(power((SELECT quantile_cont(sqrt(sq_radius), 0.5) FROM k), 2), 6) AS sq_radius FROM c")
+def radius_knn(spark, d):
+    return G.radii(cells(spark, d), "knn", NEAR).select("cell", *r6("sq_radius"))
+
+
+@query(with_(_P, _C, _D) + f", n AS (SELECT id, sq, row_number() OVER (PARTITION BY id ORDER BY sq, cell) AS r FROM dist) SELECT cell, round(power((SELECT quantile_cont(sqrt(sq), 0.5) FROM n WHERE r = {NEAR}), 2), 6) AS sq_radius FROM c")
+def radius_point_knn(spark, d):
+    return G.radii(cells(spark, d), "point_knn", NEAR, point_neighbours=near_cells(spark, d, NEAR)).select("cell", *r6("sq_radius"))
+
+
+@query(with_(_P, _C, _CC, _K.format(k=1)) + "SELECT cell, round(power(3.0 * (SELECT quantile_cont(sqrt(sq_radius), 0.5) FROM k), 2), 6) AS sq_radius FROM c")
+def radius_spacing(spark, d):
+    return G.radii(cells(spark, d), "centroid_spacing", multiplier=3.0).select("cell", *r6("sq_radius"))
+
+
+_KERNELS = {
+    "radial": "CASE WHEN sq <= r THEN 1.0 ELSE 0.0 END",
+    "tapered": "CASE WHEN r > 0 THEN greatest(0.0, 1 - sq / r) WHEN sq = 0 THEN 1.0 ELSE 0.0 END",
+    "gaussian": "CASE WHEN r > 0 THEN CASE WHEN sq <= 9.0 * 0.3333 * 0.3333 * r THEN exp(-sq / (2 * 0.3333 * 0.3333 * r)) ELSE 0.0 END WHEN sq = 0 THEN 1.0 ELSE 0.0 END",
+}
+_E = "e AS (SELECT cc.src, cc.dst, cc.sq, greatest(a.sq_radius, b.sq_radius) AS r FROM cc JOIN k a ON a.cell = cc.src JOIN k b ON b.cell = cc.dst)"
+
+
+def _kernel_query(kind: str):
+    def f(spark, d):
+        c = cells(spark, d)
+        return G.edges(c, G.radii(c, "adaptive_per_cell", NEAR), kind).select("src", "dst", *r6("sq", "w"))
+
+    f.__name__ = f"kernel_{kind}"
+    query(with_(_P, _C, _CC, _K.format(k=NEAR), _E) + f"SELECT src, dst, round(sq, 6) AS sq, round({_KERNELS[kind]}, 6) AS w FROM e WHERE {_KERNELS[kind]} > 0")(f)
+
+
+for _kind in _KERNELS:
+    _kernel_query(_kind)
+
+
+@query(with_(_P, _C, _CC, _K.format(k=NEAR), _E) + "SELECT src AS cell, count(*) AS degree, round(max(sq), 6) AS reach FROM e WHERE sq <= r GROUP BY src")
+def graph_degree(spark, d):
+    c = cells(spark, d)
+    return G.edges(c, G.radii(c, "adaptive_per_cell", NEAR)).groupBy(F.col("src").alias("cell")).agg(F.count(F.lit(1)).alias("degree"), F.round(F.max("sq"), 6).alias("reach"))
+
+
+# potentials
+
+
+@query(with_(_P, _C, _V) + f"SELECT landmark, CAST(sum(CASE WHEN v >= {TAU} THEN 1 ELSE 0 END) AS BIGINT) AS n_cells, round(sum(CASE WHEN v >= {TAU} THEN v ELSE 0 END), 6) AS total FROM v GROUP BY landmark")
+def threshold_support(spark, d):
+    return V.supports(maps(spark, d), TAU).select("landmark", "n_cells", *r6("total"))
+
+
+@query(with_(_P, _C, _D, _A, _M, _V) + f", r AS (SELECT landmark, sum(CASE WHEN v >= {TAU} THEN mass ELSE 0 END) AS reached FROM v JOIN m USING (cell) GROUP BY landmark), o AS (SELECT reached, row_number() OVER (ORDER BY reached, landmark) AS i, count(*) OVER () AS n FROM r) SELECT round(reached, 6) AS reached FROM o WHERE i = (n + 1) // 2")
+def coverage_median(spark, d):
+    return V.coverage(maps(spark, d), mass(spark, d), TAU).select(*r6("reached"))
+
+
+@query(with_(_P, _C, _D, _A, _M, _V) + f", r AS (SELECT cell, sum(CASE WHEN v >= {TAU} THEN 1 ELSE 0 END) AS n FROM v GROUP BY cell), o AS (SELECT r.n, sum(mass) OVER (ORDER BY r.n, r.cell ROWS UNBOUNDED PRECEDING) AS s FROM r JOIN m USING (cell)) SELECT CAST(min(n) AS BIGINT) AS n_landmarks FROM o WHERE s >= 0.1 - 1e-12")
+def weighted_reach_quantile(spark, d):
+    return V.reach_quantile(maps(spark, d), mass(spark, d), TAU, 0.9)
+
+
+_W = "near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, cell) AS r FROM dist), ex AS (SELECT id, cell, r, sq - min(sq) OVER (PARTITION BY id) AS e FROM near WHERE r <= 3), w AS (SELECT id, cell, r, exp(-16.0 * e / (2 * CASE WHEN avg(e) OVER (PARTITION BY id) > 0 THEN avg(e) OVER (PARTITION BY id) ELSE 1.0 END)) AS w FROM ex)"
+
+
+@query(with_(_P, _C, _D, _W) + "SELECT id, cell, CAST(r AS INTEGER) AS rank, round(w, 6) AS w FROM w")
+def nearest_kernel(spark, d):
+    return V.nearest_weights(near_cells(spark, d, 3), 3, 16.0).select("id", "cell", "rank", *r6("w"))
+
+
+_PV = "pv AS (SELECT w.id, v.landmark, sum(w.w * m.mass * v.v) AS wv, sum(w.w * m.mass) AS sw, arg_min(v.v, w.r) AS near FROM w JOIN m USING (cell) JOIN v USING (cell) GROUP BY w.id, v.landmark)"
+
+
+@query(with_(_P, _C, _D, _A, _M, _V, _W, _PV) + "SELECT id, landmark, round(CASE WHEN sw > 0 THEN wv / sw ELSE near END, 6) AS v FROM pv")
+def point_voltages_average(spark, d):
+    w = V.nearest_weights(near_cells(spark, d, 3), 3, 16.0)
+    return V.point_voltages(w, mass(spark, d), maps(spark, d)).select("id", "landmark", *r6("v"))
+
+
+@query(with_(_P, _C, _D, _A, _M, _V, _W, _PV) + f"SELECT id, landmark, round(CASE WHEN sw > 0 THEN wv / (sw + {RHO}) ELSE near END, 6) AS v FROM pv")
+def point_voltages_grounded(spark, d):
+    w = V.nearest_weights(near_cells(spark, d, 3), 3, 16.0)
+    return V.point_voltages(w, mass(spark, d), maps(spark, d), RHO).select("id", "landmark", *r6("v"))
+
+
+@query(with_(_P, _C, _D, _A, _M, _V, _CC, _K.format(k=NEAR)) + ", near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, cell) AS r FROM dist), w AS (SELECT near.id, near.cell, near.r, CASE WHEN near.sq <= k.sq_radius THEN 1.0 ELSE 0.0 END AS w FROM near JOIN k USING (cell)), " + _PV + " SELECT id, landmark, round(CASE WHEN sw > 0 THEN wv / sw ELSE near END, 6) AS v FROM pv")
+def point_voltages_graph_kernel(spark, d):
+    c = cells(spark, d)
+    w = V.kernel_weights(near_cells(spark, d), G.radii(c, "adaptive_per_cell", NEAR))
+    return V.point_voltages(w, mass(spark, d), maps(spark, d)).select("id", "landmark", *r6("v"))
+
+
+def _landmark_distances(spark, d, floor: float) -> DataFrame:
+    v = maps(spark, d).where(F.col("cell") < LANDMARKS)
+    # a stated asymmetry, so that the two readings of a pair differ
+    skew = F.col("v") * (1 - 0.01 * F.col("landmark"))
+    return v.select(F.col("landmark").alias("a"), F.col("cell").alias("b"), voltage_distance(skew, floor).alias("d"))
+
+
+_FLOOR = 0.27
+_LD = f"ld AS (SELECT landmark AS a, cell AS b, CASE WHEN v * (1 - 0.01 * landmark) >= {_FLOOR} THEN -ln(v * (1 - 0.01 * landmark)) ELSE CAST('inf' AS DOUBLE) END AS d FROM v WHERE cell < {LANDMARKS})"
+_R = "rc AS (SELECT x.a, x.b, CASE WHEN x.a = x.b THEN 0.0 WHEN isinf(x.d) OR isinf(y.d) THEN least(x.d, y.d) ELSE (x.d + y.d) / 2 END AS d FROM ld x JOIN ld y ON x.a = y.b AND x.b = y.a)"
+_FIN = "CASE WHEN isinf(d) THEN -1.0 ELSE round(d, 6) END AS d"
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    return df.select("a", "b", F.when(F.col("d") < float("inf"), F.round("d", 6)).otherwise(-1.0).alias("d"))
+
+
+@query(with_(_P, _C, _V, _LD) + f"SELECT a, b, {_FIN} FROM ld")
+def voltage_distances(spark, d):
+    return _finite(_landmark_distances(spark, d, _FLOOR))
+
+
+@query(with_(_P, _C, _V, _LD, _R) + f"SELECT a, b, {_FIN} FROM rc")
+def reconcile(spark, d):
+    return _finite(V.reconcile(_landmark_distances(spark, d, _FLOOR)))
+
+
+_CHAIN = "c2 AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM rc x JOIN rc y ON x.b = y.a GROUP BY ALL), c4 AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM c2 x JOIN c2 y ON x.b = y.a GROUP BY ALL), c8 AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM c4 x JOIN c4 y ON x.b = y.a GROUP BY ALL)"
+
+
+@query(with_(_P, _C, _V, _LD, _R, _CHAIN) + f"SELECT a, b, {_FIN} FROM c8")
+def chain_minplus(spark, d):
+    return _finite(V.shortest_paths(V.reconcile(_landmark_distances(spark, d, _FLOOR)), LANDMARKS))
+
+
+@query(with_(_P, _C, _V, _LD, _R) + f"SELECT a, b, round(CASE WHEN isinf(d) THEN greatest(-ln({_FLOOR}), (SELECT max(d) FROM rc WHERE NOT isinf(d))) ELSE d END, 6) AS d FROM rc")
+def fill_unreachable(spark, d):
+    return V.fill_unreachable(V.reconcile(_landmark_distances(spark, d, _FLOOR)), _FLOOR).select("a", "b", *r6("d"))
+
+
+@query(with_(_P, _C, _D, _A, _M, _V, _W, _PV, _LD, _R) + f""", o AS (SELECT id, landmark, CASE WHEN wv / sw >= {_FLOOR} THEN -ln(wv / sw) ELSE CAST('inf' AS DOUBLE) END AS d FROM pv),
+via AS (SELECT o.id, rc.b AS landmark, min(o.d + rc.d) AS e FROM o JOIN rc ON o.landmark = rc.a WHERE NOT isinf(o.d) GROUP BY ALL)
+SELECT o.id, o.landmark, round(CASE WHEN NOT isinf(o.d) THEN o.d WHEN e IS NOT NULL AND NOT isinf(e) THEN e ELSE -ln({_FLOOR}) END, 6) AS d FROM o LEFT JOIN via ON via.id = o.id AND via.landmark = o.landmark""")
+def item_distances(spark, d):
+    w = V.nearest_weights(near_cells(spark, d, 3), 3, 16.0)
+    v = V.point_voltages(w, mass(spark, d), maps(spark, d))
+    return V.item_distances(v, V.reconcile(_landmark_distances(spark, d, _FLOOR)), _FLOOR).select("id", "landmark", *r6("d"))
+
+
+@query(with_(_P, _C, _D) + f", t AS (SELECT id, cell, sqrt(sq) AS d FROM dist WHERE cell < {LANDMARKS}) SELECT id, round(-0.5 * sum((d * d - (1 + 0.1 * cell)) * (cell + 1) * 0.01), 6) AS z1, round(-0.5 * sum((d * d - (1 + 0.1 * cell)) * (8 - cell) * 0.02), 6) AS z2 FROM t GROUP BY id")
+def triangulate(spark, d):
+    """Placement by distances to landmarks, with a stated projection."""
+    near = near_cells(spark, d).where(F.col("other") < LANDMARKS).select("id", F.col("other").cast("int").alias("landmark"), F.sqrt("sq").alias("d"))
+    model = spark.createDataFrame([(i, 1 + 0.1 * i, [(i + 1) * 0.01, (8 - i) * 0.02]) for i in range(LANDMARKS)], "landmark int, mean_sq double, p array<double>")
+    return V.triangulate(near, model, 2).select("id", *r6("z1", "z2"))
+
+
+@query(with_(_P, _C, _D, _A, _M, _V) + ", q AS (SELECT a.cell AS i, b.cell AS j, sum((a.v - b.v) * (a.v - b.v)) AS sq FROM v a JOIN v b ON a.landmark = b.landmark GROUP BY ALL), t AS (SELECT i, sum(m.mass * exp(-sq / (2 * 0.1 * 0.1))) AS s FROM q JOIN m ON m.cell = q.j GROUP BY i) SELECT round(-sum(m.mass * ln(s)), 6) AS information FROM t JOIN m ON m.cell = t.i")
+def mi_direct(spark, d):
+    return V.information(maps(spark, d), mass(spark, d), 0.1).select(*r6("information"))
+
+
+def _solved(spark, d):
+    """A graph over the cells, its potentials at RHO, and all as tables."""
+    from manifoldry.plans.potential import Conductor
+
+    c = cells(spark, d)
+    radius = G.radii(c, "adaptive_per_cell", NEAR)
+    edge = G.edges(c, radius)
+    m = mass(spark, d).orderBy("cell").toPandas()
+    w, _ = G.dense(edge, CELLS)
+    v = Conductor(w, m["mass"].to_numpy()).maps(RHO, np.arange(LANDMARKS))
+    rows = [(i, j, float(v[i, j])) for i in range(LANDMARKS) for j in range(CELLS)]
+    return edge, spark.createDataFrame(m), spark.createDataFrame(rows, "landmark int, cell int, v double")
+
+
+@query(f"SELECT CAST(range AS INTEGER) AS landmark, true AS grounded_mean, true AS unit_source, true AS bounded FROM range({LANDMARKS})")
+def voltage_maps(spark, d):
+    """Potentials solved on the graph, held against what defines them."""
+    edge, m, v = _solved(spark, d)
+    sources = spark.createDataFrame([(i, i) for i in range(LANDMARKS)], "landmark int, source int")
+    r = V.residuals(v, edge, m, RHO, sources)
+    own = v.groupBy("landmark").agg(F.max(F.when(F.col("cell") == F.col("landmark"), F.col("v"))).alias("top"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return r.join(own, "landmark").select("landmark", (F.col("residual") < 1e-9).alias("grounded_mean"), (F.col("top") == 1).alias("unit_source"), ((F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("bounded"))
+
+
+@query(with_(_P, _C, _V) + "SELECT cell, arg_max(landmark, v * 1000000 - landmark * 1e-9) AS landmark FROM v GROUP BY cell")
+def landmark_basin(spark, d):
+    return V.basins(maps(spark, d))
+
+
+@query(with_(_P, _C, _D, _A, _V) + ", b AS (SELECT cell, arg_max(landmark, v * 1000000 - landmark * 1e-9) AS region FROM v GROUP BY cell) SELECT a.id, a.cell, b.region FROM a JOIN b ON a.cell = b.cell")
+def region_route(spark, d):
+    region = V.basins(maps(spark, d)).withColumnRenamed("landmark", "region")
+    return assigned(spark, d).select("id", "cell").join(F.broadcast(region), "cell").select("id", "cell", "region")
+
+
+@query(with_(_P, _C, _D, _A, _V) + ", b AS (SELECT cell, arg_max(landmark, v * 1000000 - landmark * 1e-9) AS region FROM v GROUP BY cell), n AS (SELECT region, label, count(*) AS n FROM a JOIN b ON a.cell = b.cell GROUP BY ALL) SELECT region, label FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY n DESC, label) AS r FROM n) WHERE r = 1")
+def landmark_majority(spark, d):
+    region = V.basins(maps(spark, d)).withColumnRenamed("landmark", "region")
+    return M.majority(assigned(spark, d).join(F.broadcast(region), "cell"), "region", "label")
+
+
+@query(with_(_P, _C, _D, _A, _V) + ", b AS (SELECT cell, arg_max(landmark, v * 1000000 - landmark * 1e-9) AS region FROM v GROUP BY cell), n AS (SELECT region, count(*) AS n FROM a JOIN b ON a.cell = b.cell GROUP BY region) SELECT a.id, b.region FROM a JOIN b ON a.cell = b.cell JOIN n ON n.region = b.region WHERE n.n >= 50")
+def large_regions(spark, d):
+    """Members of regions of 50 points and more."""
+    region = V.basins(maps(spark, d)).withColumnRenamed("landmark", "region")
+    routed = assigned(spark, d).select("id", "cell").join(F.broadcast(region), "cell").select("id", "region")
+    return routed.join(routed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n >= 50").select("region"), "region", "left_semi").select("id", "region")
+
+
+@query(with_(_P, _C, _D, _A, _S, _V) + f", b AS (SELECT cell, arg_max(landmark, v * 1000000 - landmark * 1e-9) AS region FROM v GROUP BY cell), g AS (SELECT a.id, b.region FROM a JOIN b ON a.cell = b.cell) SELECT x.region, round(avg(CASE WHEN x.region = y.region THEN 1.0 ELSE 0.0 END), 6) AS inside FROM s JOIN g x ON x.id = s.id JOIN g y ON y.id = s.other WHERE s.rank <= {NEAR} GROUP BY x.region")
+def neighbours_in_region(spark, d):
+    region = V.basins(maps(spark, d)).withColumnRenamed("landmark", "region")
+    routed = assigned(spark, d).select("id", "cell").join(F.broadcast(region), "cell").select("id", "region")
+    other = routed.select(F.col("id").alias("other"), F.col("region").alias("other_region"))
+    near = self_knn(spark, d, NEAR).join(routed, "id").join(other, "other")
+    return near.groupBy("region").agg(F.round(F.avg((F.col("region") == F.col("other_region")).cast("double")), 6).alias("inside"))
+
+
+# charts
+
+
+@query(with_(_P, _C, _D, _A) + "SELECT id, cell, CAST(r AS INTEGER) AS rank FROM (SELECT id, cell, row_number() OVER (PARTITION BY cell ORDER BY id) AS r FROM a) WHERE r <= 10")
+def chart_rank(spark, d):
+    """A cell's quota of points, the first by id."""
+    ranked = assigned(spark, d).withColumn("rank", V.cell_rank().cast("int"))
+    return ranked.where(F.col("rank") <= 10).select("id", "cell", "rank")
+
+
+@query(with_(_P, _C, _D, _A) + "SELECT cell, round(sqrt(sq), 6) AS radius FROM (SELECT cell, sq, row_number() OVER (PARTITION BY cell ORDER BY sq) AS r, count(*) OVER (PARTITION BY cell) AS n FROM a) WHERE r = n // 2 + 1")
+def chart_median(spark, d):
+    return V.upper_median(assigned(spark, d).select("cell", F.sqrt("sq").alias("radius")), "cell", "radius").select("cell", *r6("radius"))
+
+
+_ANCHOR = "an AS (SELECT cell, avg(x[1]) AS a1, avg(x[2]) AS a2 FROM a GROUP BY cell)"
+
+
+@query(with_(_P, _C, _D, _A, _ANCHOR) + "SELECT cell, round(a1, 6) AS a1, round(a2, 6) AS a2 FROM an")
+def cell_means(spark, d):
+    return assigned(spark, d).groupBy("cell").agg(F.round(F.avg(F.col("x")[0]), 6).alias("a1"), F.round(F.avg(F.col("x")[1]), 6).alias("a2"))
+
+
+@query(with_(_P, _C, _D, _A, _ANCHOR) + "SELECT l.cell, round(min(sqrt((l.a1 - r.a1) * (l.a1 - r.a1) + (l.a2 - r.a2) * (l.a2 - r.a2))), 6) AS gap FROM an l JOIN an r ON l.cell <> r.cell GROUP BY l.cell")
+def chart_gap(spark, d):
+    """Each anchor's distance to the nearest other."""
+    a = assigned(spark, d).groupBy("cell").agg(F.array(F.avg(F.col("x")[0]), F.avg(F.col("x")[1])).alias("c"))
+    return G.kth_radius(G.cell_pairs(a), 1).select("cell", F.round(F.sqrt("sq_radius"), 6).alias("gap"))
+
+
+# scores
+
+
+@query(with_(_P, _C, _D, _A) + ", n AS (SELECT cell, label, count(*) AS n FROM a GROUP BY ALL), t AS (SELECT cell, max(n) AS top, sum(n) AS n FROM n GROUP BY cell) SELECT round(sum(top) / sum(n), 6) AS purity, count(*) AS n_cells FROM t")
+def cell_purity(spark, d):
+    return M.purity(assigned(spark, d)).select(*r6("purity"), "n_cells")
+
+
+@query(with_(_P, _C, _D, _A, _M) + """, h AS (SELECT c.cell, coalesce(q.n, 0) / CAST((SELECT count(*) FROM a WHERE label < 5) AS DOUBLE) AS mass FROM c LEFT JOIN (SELECT cell, count(*) AS n FROM a WHERE label < 5 GROUP BY cell) q ON q.cell = c.cell)
+SELECT round(sum(abs(m.mass - h.mass)) / 2, 6) AS total_variation, round(avg(CASE WHEN greatest(m.mass, h.mass) >= 2 * least(m.mass, h.mass) THEN 1.0 ELSE 0.0 END), 6) AS off_by_two,
+round(corr(CASE WHEN m.mass > 0 AND h.mass > 0 THEN ln(m.mass) END, CASE WHEN m.mass > 0 AND h.mass > 0 THEN ln(h.mass) END), 6) AS log_correlation FROM m JOIN h ON m.cell = h.cell""")
+def mass_shift(spark, d):
+    """How the cells' masses change when they are counted on other data: here, on half the labels."""
+    c, a = cells(spark, d), assigned(spark, d)
+    return M.mass_shift(C.masses(a, c), C.masses(a.where("label < 5"), c)).select(*r6("total_variation", "off_by_two", "log_correlation"))
+
+
+_N = "(SELECT count(*) FROM p)"
+
+
+def _all_ranks(spark, d, which) -> DataFrame:
+    return which(spark, d, pts(spark, d).count() - 1)
+
+
+@query(with_(_P, _L, _S, _LS) + f"SELECT round(1 - coalesce(sum(CASE WHEN s.rank > {NEAR} THEN s.rank - {NEAR} END), 0) * 2.0 / ({_N} * {NEAR} * (2.0 * {_N} - 3 * {NEAR} - 1)), 6) AS trustworthiness FROM ls JOIN s ON s.id = ls.id AND s.other = ls.other WHERE ls.rank <= {NEAR}")
+def trustworthiness(spark, d):
+    return M.rank_penalty(layout_knn(spark, d, NEAR), _all_ranks(spark, d, self_knn), pts(spark, d).count(), NEAR).select(F.round("score", 6).alias("trustworthiness"))
+
+
+@query(with_(_P, _L, _S, _LS) + f"SELECT round(1 - coalesce(sum(CASE WHEN ls.rank > {NEAR} THEN ls.rank - {NEAR} END), 0) * 2.0 / ({_N} * {NEAR} * (2.0 * {_N} - 3 * {NEAR} - 1)), 6) AS continuity FROM s JOIN ls ON s.id = ls.id AND s.other = ls.other WHERE s.rank <= {NEAR}")
+def continuity(spark, d):
+    return M.rank_penalty(self_knn(spark, d, NEAR), _all_ranks(spark, d, layout_knn), pts(spark, d).count(), NEAR).select(F.round("score", 6).alias("continuity"))
+
+
+_RAD = f"pr AS (SELECT id, avg(sqrt(sq)) AS r FROM s WHERE rank <= {NEAR} GROUP BY id), lr AS (SELECT id, avg(sqrt(sq)) AS r FROM ls WHERE rank <= {NEAR} GROUP BY id)"
+
+
+@query(with_(_P, _L, _S, _LS, _RAD) + "SELECT round(corr(ln(pr.r), ln(lr.r)), 6) AS density_preservation, round(regr_slope(ln(lr.r), ln(pr.r)), 6) AS density_slope FROM pr JOIN lr ON pr.id = lr.id")
+def density_preservation(spark, d):
+    return M.density(M.mean_radius(self_knn(spark, d, NEAR), NEAR), M.mean_radius(layout_knn(spark, d, NEAR), NEAR)).select(*r6("density_preservation", "density_slope"))
+
+
+@query(with_(_P, _L, _S, _LS, _RAD) + "SELECT p.label, round(quantile_cont(lr.r / pr.r, 0.5), 6) AS room FROM pr JOIN lr ON pr.id = lr.id JOIN p ON p.id = pr.id WHERE pr.r > 0 GROUP BY p.label")
+def room_by_label(spark, d):
+    labels = pts(spark, d).select("id", "label")
+    return M.room(M.mean_radius(self_knn(spark, d, NEAR), NEAR), M.mean_radius(layout_knn(spark, d, NEAR), NEAR), labels).select("label", *r6("room"))
+
+
+@query(with_(_P, _L, _S, _LS, _RAD) + "SELECT p.label, round(quantile_cont(pr.r / (SELECT quantile_cont(r, 0.5) FROM pr), 0.5), 6) AS radius FROM pr JOIN p ON p.id = pr.id GROUP BY p.label")
+def local_radius(spark, d):
+    return M.local_radius(M.mean_radius(self_knn(spark, d, NEAR), NEAR), pts(spark, d).select("id", "label")).select("label", *r6("radius"))
+
+
+@query("WITH t AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem) SELECT round(corr(a, b), 6) AS rank_correlation FROM t")
+def rank_correlation(spark, d):
+    return M.rank_correlation(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(*r6("rank_correlation"))
+
+
+@query(with_(_P, _L, _S, _LS) + f", j AS (SELECT s.id, count(ls.id) AS n FROM s LEFT JOIN ls ON ls.id = s.id AND ls.other = s.other AND ls.rank <= {NEAR} WHERE s.rank <= {NEAR} GROUP BY s.id) SELECT round(avg(n / (2.0 * {NEAR} - n)), 6) AS agreement FROM j")
+def knn_jaccard(spark, d):
+    return M.agreement(self_knn(spark, d, NEAR), layout_knn(spark, d, NEAR), NEAR).select(*r6("agreement"))
+
+
+@query(with_(_P, _L, _S) + f", w AS (SELECT greatest(max(z1) - min(z1), max(z2) - min(z2)) AS w FROM l), t AS (SELECT s.id, max(CASE WHEN sqrt((a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2)) > 0.1 * (SELECT w FROM w) THEN 1.0 ELSE 0.0 END) AS t FROM s JOIN l a ON a.id = s.id JOIN l b ON b.id = s.other WHERE s.rank <= {NEAR} GROUP BY s.id) SELECT round(avg(t), 6) AS torn_share FROM t")
+def torn_share(spark, d):
+    layout = pts(spark, d).select("id", F.col("x")[0].alias("z1"), F.col("x")[1].alias("z2"))
+    return M.torn(self_knn(spark, d, NEAR), layout, NEAR).select(*r6("torn_share"))
+
+
+@query(with_(_P, _L, _LS) + f", vo AS (SELECT ls.id, p.label AS vote, count(*) AS n FROM ls JOIN p ON p.id = ls.other WHERE ls.rank <= {NEAR} GROUP BY ALL), b AS (SELECT id, vote FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, vote) AS r FROM vo) WHERE r = 1) SELECT round(avg(CASE WHEN b.vote = p.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM b JOIN p ON p.id = b.id")
+def knn_accuracy(spark, d):
+    return M.knn_accuracy(layout_knn(spark, d, NEAR), pts(spark, d).select("id", "label"), NEAR).select(*r6("accuracy"))
+
+
+@query(with_(_P, _C, _CC, _K.format(k=NEAR), _E, _V) + ", ed AS (SELECT src, dst, sq FROM e WHERE sq <= r AND src < dst AND sq > 0) SELECT x.landmark, round(quantile_cont(abs(ln(x.v) - ln(y.v)) / sqrt(ed.sq), 0.5), 6) AS decay FROM ed JOIN v x ON x.cell = ed.src JOIN v y ON y.cell = ed.dst AND y.landmark = x.landmark WHERE x.v >= 0.1 AND y.v >= 0.1 GROUP BY x.landmark")
+def decay_ratio(spark, d):
+    c = cells(spark, d)
+    return M.decay(G.edges(c, G.radii(c, "adaptive_per_cell", NEAR)), maps(spark, d), 0.1).select("landmark", *r6("decay"))
+
+
+@query(with_(_P, _C, _CC, _K.format(k=NEAR), _E) + ", ed AS (SELECT src, dst, sq FROM e WHERE sq <= r), f AS (SELECT ed.* FROM ed JOIN c a ON a.cell = ed.src JOIN c b ON b.cell = ed.dst WHERE 10 * sqrt((a.c[1] - b.c[1]) * (a.c[1] - b.c[1]) + (a.c[2] - b.c[2]) * (a.c[2] - b.c[2])) > 2.0 * sqrt(ed.sq)) SELECT CAST(coalesce(sum(CASE WHEN src < dst THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_shortcuts, count(DISTINCT src) AS n_cells FROM f")
+def shortcut_edges(spark, d):
+    c = cells(spark, d)
+    sheet = c.select("cell", (10 * F.col("c")[0]).alias("s1"), (10 * F.col("c")[1]).alias("s2"))
+    out = M.shortcuts(G.edges(c, G.radii(c, "adaptive_per_cell", NEAR)), sheet)
+    return out.select(F.coalesce("n_shortcuts", F.lit(0)).alias("n_shortcuts"), "n_cells")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS deviation, count(*) AS n FROM lineitem GROUP BY ALL")
+def mean_and_spread(spark, d):
+    s = M.spread(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return s.select("l_returnflag", "l_linestatus", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "n")
+
+
+@query("WITH r AS (SELECT n_regionkey, n_nationkey, count(*) AS n, avg(c_acctbal) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT round(sum(score * n) / sum(n), 6) AS weighted_mean, count(*) AS n_regions FROM r WHERE n >= 50")
+def region_weighted_mean(spark, d):
+    per = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("score"))
+    return M.weighted_mean(per, "score", "n", 50).select(*r6("weighted_mean"), "n_regions")
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_quantity, 0.005) AS x0, quantile_cont(l_quantity, 0.995) AS x1, quantile_cont(l_extendedprice, 0.005) AS y0, quantile_cont(l_extendedprice, 0.995) AS y1 FROM lineitem)
+SELECT CAST(least(floor((l_quantity - x0) / (x1 - x0) * 60), 59) AS INTEGER) AS bx, CAST(least(floor((l_extendedprice - y0) / (y1 - y0) * 60), 59) AS INTEGER) AS by, count(*) AS n FROM lineitem, q WHERE l_quantity BETWEEN x0 AND x1 AND l_extendedprice BETWEEN y0 AND y1 GROUP BY ALL""")
+def hist2d(spark, d):
+    return M.histogram(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+# scans and samples
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_orderstatus = 'P' THEN 50 ELSE 500 END")
+def stratified_sample(spark, d):
+    most = F.when(F.col("o_orderstatus") == "P", 50).otherwise(500)
+    return P.stratified(table(spark, d, "orders"), "o_orderstatus", most, "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 250")
+def prefix_sample(spark, d):
+    return P.prefix(table(spark, d, "events"), 250, "event_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id, value FROM events ORDER BY md5('7:' || CAST(event_id AS VARCHAR)), event_id LIMIT 100")
+def uniform_sample(spark, d):
+    return P.uniform_sample(table(spark, d, "events"), 100, 7, "event_id").select("event_id", "value")
+
+
+@query("SELECT event_id, ts, value FROM events WHERE event_id >= 100 AND event_id < 400")
+def range_scan(spark, d):
+    return P.row_range(table(spark, d, "events"), 100, 300, "event_id").select("event_id", "ts", "value")
+
+
+@query("WITH t AS (SELECT count(*) AS n FROM events) SELECT event_id FROM events, t WHERE (event_id - (n - 100) + n) % n < 300")
+def wrapped_range(spark, d):
+    events = table(spark, d, "events")
+    n = events.count()
+    return P.wrapped_range(events, n - 100, 300, n, "event_id").select("event_id")
+
+
+@query("SELECT split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM (SELECT event_id, CASE WHEN u < 0.25 THEN 0 ELSE 1 END AS split FROM (SELECT event_id, CAST(('0x' || substr(md5('3:' || CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM events)) GROUP BY split")
+def hash_split(spark, d):
+    s = P.hash_split(table(spark, d, "events"), [0.25, 0.75], 3, "event_id")
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def gather_rows(spark, d):
+    ids = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
+    return P.gather(table(spark, d, "events"), ids, "user_id").select("event_id", "event_type")
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, d):
+    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+
+
+@query("SELECT l_orderkey, l_linenumber, round(0.5 * (t * sqrt(1 + t * t) + ln(t + sqrt(t * t + 1))), 6) AS s, l_extendedprice AS h FROM (SELECT *, sqrt(l_quantity * l_quantity + l_tax * l_tax) AS t FROM lineitem)")
+def unrolled_sheet(spark, d):
+    s, h = unrolled(F.array("l_quantity", "l_extendedprice", "l_tax"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(s, 6).alias("s"), h.alias("h"))
+
+
+@query("""WITH k AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity AS q, round(l_discount * 100) AS di, round(l_tax * 100) AS ta FROM lineitem),
+c AS (SELECT CAST(row_number() OVER (ORDER BY id, q, di, ta) - 1 AS INTEGER) AS cell, q, di, ta FROM k ORDER BY id, q, di, ta LIMIT 20),
+a AS (SELECT (SELECT arg_min(c.cell, ((k.q - c.q) * (k.q - c.q) + (k.di - c.di) * (k.di - c.di) + (k.ta - c.ta) * (k.ta - c.ta)) * 100 + c.cell) FROM c) AS cell FROM k)
+SELECT cell, count(*) AS n FROM a GROUP BY cell""")
+def lineitem_cells(spark, d):
+    """Assignment and counts over a table of many rows, taken as points of three dimensions."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("q"), F.round(F.col("l_discount") * 100).alias("di"), F.round(F.col("l_tax") * 100).alias("ta"))
+    p = P.from_columns(li, F.col("id"), ["q", "di", "ta"])
+    c = C.cells_frame(spark, np.array([r.x for r in p.orderBy("id", "x").limit(20).collect()]))
+    return C.assign(p, c).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+# models: no SQL, see the tests
+
+
+def _small(**over):
+    from .model import Embedder
+
+    return Embedder(None, cells__n_cells=60, cells__iterations=10, landmarks__count="fixed", landmarks__n=8, **over)
+
+
+@query()
+def fit_transform(spark, d):
+    """The whole model: fitted on all vectors, placing all of them."""
+    p = pts(spark, d)
+    z = _small().fit(p).transform(p)
+    return z.select(F.col("id").alias("vec_id"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query()
+def fit_report(spark, d):
+    m = _small().fit(pts(spark, d))
+    r = m.region
+    return spark.createDataFrame([(float(r.dimension), len(r.masses), len(r.landmarks), float(r.rho), json.dumps({k: round(v, 3) for k, v in r.seconds.items()}))], "dimension double, n_cells int, n_landmarks int, rho double, seconds string")
+
+
+@query()
+def regions_fit(spark, d):
+    """Two levels: regions by landmark basin, each fitted by itself."""
+    from .model import fit_regions
+    from .settings import settings
+
+    region = V.basins(maps(spark, d)).withColumnRenamed("landmark", "region")
+    routed = assigned(spark, d).select("id", "x", "cell").join(F.broadcast(region), "cell")
+    z = fit_regions(routed, settings(cells__n_cells=30, dimension__strategy="fixed", dimension__d=4.0))
+    return z.select("region", "id", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query()
+def child_cells(spark, d):
+    return C.split(assigned(spark, d).select("id", "x", F.col("cell").alias("parent")), 60).select("parent", "child", F.col("c")[0].alias("c1"))
+
+
+@query()
+def minibatch_kmeans(spark, d):
+    return C.minibatch(pts(spark, d), cells(spark, d), 1, 250).select("cell", F.col("c")[0].alias("c1"))
+
+
+@query()
+def library_kmeans(spark, d):
+    return C.ml_kmeans(pts(spark, d), CELLS).select("cell", F.col("c")[0].alias("c1"))
+
+
+@query()
+def landmark_isomap(spark, d):
+    out = D.isomap(self_knn(spark, d, 10), list(range(LANDMARKS)), 2)
+    return out.select("id", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query()
+def half_sphere(spark, d):
+    from manifoldry.sources.synthetic import half_sphere
+
+    return half_sphere(spark, 5000).select("id", F.posexplode("x").alias("pos", "v"))
+
+
+@query()
+def swiss_roll(spark, d):
+    from manifoldry.sources.synthetic import swiss_roll_even
+
+    return swiss_roll_even(spark, 5000).select("id", F.col("sheet")[0].alias("s"), F.col("sheet")[1].alias("h"))
+
+
+@query()
+def table_fingerprint(spark, d):
+    return P.fingerprint(table(spark, d, "embeddings"))
