@@ -19,7 +19,7 @@ from .common import FAMILIES, U64, append_columns, bytes_of, slices
 
 SPACE = "▁"
 #: Distinct chunks that a worker remembers, and bytes of text that it takes at a time.
-REMEMBERED, PART = 150_000, 4 << 20
+REMEMBERED, PART = 150_000, 2 << 20
 
 
 class Pieces:
@@ -192,10 +192,17 @@ class Pieces:
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return sa[np.repeat(lo, n) + inside], np.repeat(rank, n)
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk; spaces are written as SPACE already."""
-        if not chunks:
-            return []
+    def encode_chunks(self, chunks: list[str], limit: int = 300_000) -> list[np.ndarray]:
+        """Ids of each chunk; spaces are written as SPACE already. About limit characters are indexed at a time; a longer chunk stands alone."""
+        out, lo = [], 0
+        ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1)
+        while lo < len(chunks):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+            out += self._encode_chunks(chunks[lo:hi])
+            lo = hi
+        return out
+
+    def _encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         text = np.frombuffer("\0".join(chunks).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -263,21 +270,31 @@ class Pieces:
             out[i] = np.concatenate([np.array([self.id[self.rank[x]]], dtype=np.int32) if x in self.rank else self.bytes[np.frombuffer(x.encode(), dtype=np.uint8)] for x in parts])
         return [x if x is not None else np.zeros(0, dtype=np.int32) for x in out]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: spaces back, without the dummy prefix; bytes that are no UTF-8 become U+FFFD; control ids have no text."""
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            kind = self.kind[i]
-            if kind == 6:
-                raw.append(int(self.text[i][1:-1], 16))
+    @staticmethod
+    def tokens(model: bytes) -> tuple[list[bytes], list[int]]:
+        """What each id stands for in a decoded text, and its type."""
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        text = {2: lambda p: " \u2047 ".encode(), 3: lambda p: b"", 6: lambda p: bytes([int(p[1:-1], 16)])}
+        pieces = proto.ModelProto.FromString(model).pieces
+        return [text.get(p.type, lambda x: x.replace(SPACE, " ").encode())(p.piece) for p in pieces], [p.type for p in pieces]
+
+
+def decode_ids(token: list[bytes], kind: list[int], ids: list[int]) -> str:
+    """The text of ids, without the dummy prefix; a run of byte pieces that is no UTF-8 becomes U+FFFD, byte by byte where it is broken."""
+    raw = b"".join(map(token.__getitem__, ids))
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        out, held = [], bytearray()
+        for i in ids:
+            if kind[i] == 6:
+                held += token[i]
             else:
-                if raw:
-                    out.append(raw.decode(errors="replace"))
-                    raw.clear()
-                out.append(" ⁇ " if kind == 2 else "" if kind == 3 else self.text[i])
-        out.append(raw.decode(errors="replace"))
-        text = "".join(out)
-        return (text[1:] if text.startswith(SPACE) else text).replace(SPACE, " ")
+                out += [held.decode(errors="replace"), token[i].decode()]
+                held = bytearray()
+        text = "".join([*out, held.decode(errors="replace")])
+    return text[1:] if ids and kind[ids[0]] == 1 and text.startswith(" ") else text
 
 
 class Encoder:
@@ -321,13 +338,13 @@ class Encoder:
         chunks = [flat[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         new = [c for c in chunks if c not in self.known]
         for c, ids in zip(new, self.pieces.encode_chunks([c.decode(errors="replace").replace(" ", SPACE) for c in new])):
-            self.known[c] = ids
+            self.known[c] = ids.tobytes()
         found = [self.known[c] for c in chunks]
         if len(self.known) > REMEMBERED:
             # the oldest go first: frequent chunks came early and come back with the next part
             self.known = dict(list(self.known.items())[: REMEMBERED // 2])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        pool, place = np.concatenate(found), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        pool, place = np.frombuffer(b"".join(found), dtype=np.int32), np.cumsum(sizes) - sizes
         n = sizes[which]
         total = np.cumsum(n)
         ids = pool[np.repeat(place[which] - (total - n), n) + np.arange(int(total[-1]))]
@@ -368,29 +385,20 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "piece_ids", ou
     from pyspark.sql import functions as F
     from pyspark.sql.types import StringType, StructType
 
-    shared = _shared(encoded.sparkSession, model)
+    with open(model, "rb") as f:
+        pieces = Pieces.tokens(f.read())
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
     kept = [c for c in (encoded.columns if keep is None else keep) if c != out_col]
     schema = StructType([*(encoded.schema[c] for c in kept)]).add(out_col, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        token: dict[int, bytes] = {}
-        for i, (kind, text) in enumerate(zip(pieces.kind, pieces.text)):
-            token[i] = bytes([int(text[1:-1], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else text.replace(SPACE, " ").encode()
-        for batch in batches:
-            out = []
-            for row in batch.column(len(kept)):
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                ids = row.values.to_numpy(zero_copy_only=False).tolist()
-                raw = b"".join(map(token.__getitem__, ids))
-                try:
-                    text = raw.decode()
-                    out.append(text[1:] if ids and pieces.kind[ids[0]] == 1 and text.startswith(" ") else text)
-                except UnicodeDecodeError:
-                    out.append(pieces.decode(np.array(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=schema.names)
+        token, kind = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                ids = batch.column(len(kept))
+                out = [decode_ids(token, kind, x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in ids]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=schema.names)
 
     given = encoded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").alias("__ids"))
     return given.mapInArrow(run, schema)
