@@ -43,11 +43,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null text: stays null, n_lines 0. Empty text: one empty line. Texts under three lines: unchanged. Repeated rows of one id and text count as one text and
     come out alike. Windows may overlap within a text. Other columns are kept; ones named n_lines or n_removed are replaced. Empty table: empty result.
     """
-    gone = later_windows(docs, id_col, text_col).withColumnRenamed("__id", "__gone_id").withColumnRenamed("__k", "__gone_k")
+    gone = later_windows(docs, id_col, text_col).select(F.col("__id").alias("__gone_id"), F.col("__k").alias("__gone_k"), F.col("covered").alias("__covered"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*rest, *_key(id_col, text_col)).join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__k") == F.col("__gone_k")), "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    p = F.col("covered")
+    p = F.col("__covered")
     # a run begins at a start that none of the starts just before reaches, and ends likewise
     begins = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - LINES))
     ends = F.transform(F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + LINES)), lambda x: x + LINES)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from .common import FAMILIES, U64, append_columns, bytes_of, slices
 
 SPACE = "▁"
+#: What stands between chunks in an indexed text: no character.
+BETWEEN = 0x110000
 #: Distinct chunks that a worker remembers, and bytes of text that it takes at a time.
 REMEMBERED, PART = 150_000, 2 << 20
 
@@ -161,10 +163,10 @@ class Pieces:
         return np.argsort(key)
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, rank) of every piece at every place of text, by binary search in its suffix array. text: code points, 0 between chunks."""
+        """(position, rank) of every piece at every place of text, by binary search in its suffix array. text: code points, BETWEEN between chunks."""
         sa = self.suffix_array(text)
         padded = np.concatenate([text, np.zeros(self.width, dtype=text.dtype)])
-        present = np.zeros(0x110000, dtype=bool)
+        present = np.zeros(BETWEEN + 1, dtype=bool)
         present[text] = True
         present[0] = True
         able = present[self.search].all(axis=1)
@@ -204,8 +206,9 @@ class Pieces:
 
     def _encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        text = np.frombuffer("\0".join(chunks).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        text = np.frombuffer("\n".join(chunks).encode("utf-32-le"), dtype=np.uint32).astype(np.int32)
+        text[begin[1:] - 1] = BETWEEN
         position, rank = self.occurrences(text)
         of_chunk = np.repeat(np.arange(len(chunks)), np.append(sizes[:-1] + 1, sizes[-1]))
         odd = np.zeros(len(chunks), dtype=bool)
@@ -213,7 +216,7 @@ class Pieces:
         # a character that is no piece is an edge of its own
         known = np.zeros(len(text), dtype=bool)
         known[position[self.length[rank] == 1]] = True
-        other = np.flatnonzero(~known & (text != 0))
+        other = np.flatnonzero(~known & (text != BETWEEN))
         position, rank = np.concatenate([position, other]), np.concatenate([rank, np.zeros(len(other), dtype=np.int64)])
         length = self.length[rank]
         # edges by the position where they end, longest first: one sort of packed words
