@@ -123,5 +123,24 @@ k AS (SELECT doc_id, i, l FROM (SELECT doc_id, unnest(lines) AS l, unnest(range(
 t AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.kept, '') END AS text, coalesce(len(d.lines), 0) AS n_lines, coalesce(len(g.gone), 0) AS n_removed
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_nearest": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+n AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda e: e[1] * e[2])) / (q.n * c.n) AS score
+FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 34], ' ')) AS h FROM s),
+r AS (SELECT doc_id, p FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, p + unnest(range(0, 35)) AS q FROM r) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
 """,
 }
