@@ -6,8 +6,11 @@ follow each other in ascending order of id; only a file's last row is padded, wi
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,47 +19,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FAMILIES, bytes_of, slices, word_hashes, word_spans
+from .common import FAMILIES, LOWER, SEPARATOR, bytes_of, slices, word_hashes
 
 LENGTH, ROWS = 2048, 128
 #: Distinct words that a worker remembers, and bytes of text that it takes at a time.
 REMEMBERED, PART = 150_000, 4 << 20
 
 
+#: Kinds of bytes: white space, ASCII letters, digits, other ASCII signs; and those that may belong to what stands beside them: an apostrophe, the signs of
+#: special tokens, control characters, and longer characters.
+_KIND = np.full(256, 4, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[39, 60, 62, 124]] = 4
+_KIND[SEPARATOR] = 0
+
+
 class WordEncoder:
-    """Ids of whole texts, by way of their distinct words; for a tokenizer that drops white space and never joins across it."""
+    """Ids of whole texts, by way of their distinct pieces: runs of letters, digits or signs. For a tokenizer that drops white space and case, and never joins these."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids must fit into 16 bits")
-        probe = "It's  a\tTEST,\nof words'll\r\nand 12 étés  x"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        if whole != [i for w in probe.encode().split() for i in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids]:
+        self.known: dict[bytes, bytes] = {}
+        probe = "It's  a\tTEST,\nof words'll\r\n(and) 12345 \u00c9t\u00e9s!? x2y <|endoftext|> $%a,b.c".encode()
+        whole = self.tokenizer.encode(probe.decode(), add_special_tokens=False).ids
+        if whole != self.encode(np.frombuffer(probe, dtype=np.uint8), np.array([0, len(probe)]))[0].tolist():
             raise ValueError("this tokenizer's words aren't independent")
-        self.known: dict[bytes, np.ndarray] = {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (16 bits), and each row's first id (n + 1 values)."""
-        starts, ends, first = word_spans(data, offsets)
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        data, offsets = data[lo:hi], offsets - lo
+        if not len(data):
+            return np.zeros(0, dtype=np.uint16), np.zeros(len(offsets), dtype=np.int64)
+        if b"<|" not in data.tobytes():  # special tokens know case
+            data = LOWER[data]
+        kind = _KIND[data]
+        inside = kind > 0
+        begin = inside.copy()
+        begin[1:] &= (kind[1:] != kind[:-1]) & (((kind[1:] < 4) & (kind[:-1] < 4)) | (kind[:-1] == 0))
+        heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+        begin[heads] = inside[heads]
+        stop = inside.copy()
+        stop[:-1] &= begin[1:] | ~inside[1:]
+        stop[heads[1:] - 1] = inside[heads[1:] - 1]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         if not len(starts):
             return np.zeros(0, dtype=np.uint16), np.zeros(len(offsets), dtype=np.int64)
+        first = np.searchsorted(starts, offsets)
         one, two = (word_hashes(data, starts, ends, f) for f in FAMILIES)
         _, at, which = np.unique(one, return_index=True, return_inverse=True)
         if (two != two[at][which]).any():
             raise RuntimeError("two words share a 64-bit hash")
-        raw = memoryview(data)
-        words = [bytes(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         new = [w for w in words if w not in self.known]
         for w, e in zip(new, self.tokenizer.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype=np.uint16)
+            self.known[w] = array("H", e.ids).tobytes()
         found = [self.known[w] for w in words]
         if len(self.known) > REMEMBERED:
-            self.known = dict(list(self.known.items())[: REMEMBERED // 2])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        pool, place = np.concatenate(found), np.cumsum(sizes) - sizes
+            # the oldest stay: frequent words came early
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        pool, place = np.frombuffer(b"".join(found), dtype=np.uint16), np.cumsum(sizes) - sizes
         n = sizes[which]
         total = np.cumsum(n)
         ids = pool[np.repeat(place[which] - (total - n), n) + np.arange(int(total[-1]))]
