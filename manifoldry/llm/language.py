@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, append_columns, bytes_of, slices, splitmix, word_hashes, word_spans
@@ -241,10 +241,13 @@ class Field:
 
 
 def training_windows(labelled: DataFrame, docs: int = DOCS, windows: int = WINDOWS, words: int = WORDS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts (columns text, lang): of each language the `docs` texts of least hash, of each up to `windows` windows of words."""
+    """A bounded sample of labelled texts (columns text, lang): of each language about `docs` texts, those of least hash; of each up to `windows` windows of words.
+
+    How many rows a language has sets the hash below which about `docs` of them lie, so a frequent language is counted but never gathered.
+    """
     marked = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    ranked = marked.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("most")).limit(LANGUAGES + 1)
+    limits = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1)
+    limits = limits.select("lang", F.when(F.col("n") <= docs, F.lit((1 << 63) - 1)).otherwise((F.lit(float(docs)) / F.col("n") * 2.0**64 - 2.0**63).cast("long")).alias("most"))
     if limits.count() > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
 
@@ -285,7 +288,7 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", keep: list[s
             n = len(column)
             return [pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([0.0] * n), pa.array([0] * n, pa.int64())]
         _, at = bytes_of(column)
-        for lo, hi in slices(at, 1 << 20):
+        for lo, hi in slices(at, 1 << 19):
             got.append(field.label(column.slice(lo, hi - lo)))
         names, *numbers = zip(*got) if got else ((), (), (), ())
         kinds = (pa.float64(), pa.float64(), pa.int64())
