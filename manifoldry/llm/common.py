@@ -164,7 +164,7 @@ def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, at = bytes_of(batch.column(len(kept)))
-            for lo, hi in slices(at, 4 << 20):
+            for lo, hi in slices(at, 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *fn(part.column(len(kept)))], names=schema.names)
 

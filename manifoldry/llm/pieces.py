@@ -141,8 +141,11 @@ class Pieces:
             a, b, limit, at = a[go], b[go], limit[go], at[go]
         return out
 
-    def suffix_array(self, text: np.ndarray) -> np.ndarray:
-        """Order of the suffixes by their first `width` characters: as many characters as fit into a word of 64 bits, then doubling."""
+    def suffix_array(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Order of the suffixes by their first `width` characters: as many characters as fit into a word of 64 bits, then doubling.
+
+        With it these words in order, the characters there are, and how many bits a character and how many characters a word has.
+        """
         letters, code = np.unique(text, return_inverse=True)
         bits = max(1, int(len(letters)).bit_length())
         step = min(64 // bits, self.width)
@@ -150,6 +153,7 @@ class Pieces:
         key = np.zeros(len(text), dtype=U64)
         for i in range(step):
             key = (key << U64(bits)) | padded[i : i + len(text)]
+        head, fits = key, step
         while step < self.width:
             order = np.argsort(key)
             new = np.ones(len(key), dtype=np.int64)
@@ -160,41 +164,52 @@ class Pieces:
             after[:-step] = rank[step:]
             key = (rank.astype(U64) << U64(32)) | after.astype(U64)
             step *= 2
-        return np.argsort(key)
+        order = np.argsort(key)
+        return order, head[order], letters, bits, fits
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, rank) of every piece at every place of text, by binary search in its suffix array. text: code points, BETWEEN between chunks."""
-        sa = self.suffix_array(text)
-        padded = np.concatenate([text, np.zeros(self.width, dtype=text.dtype)])
+        sa, head, letters, bits, fits = self.suffix_array(text)
         present = np.zeros(BETWEEN + 1, dtype=bool)
         present[text] = True
         present[0] = True
         able = present[self.search].all(axis=1)
         search, rank = self.search[able], self.search_rank[able]
-        length = self.length[rank]
-        columns = np.arange(self.width)
-
-        def bound(upper: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(search), dtype=np.int64), np.full(len(search), len(sa), dtype=np.int64)
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) // 2
-                there = padded[sa[np.minimum(mid, len(sa) - 1)][:, None] + columns]
-                there = np.where(columns < length[:, None], there, 0)
-                differ = there != search
-                at = differ.argmax(axis=1)
-                row = np.arange(len(search))
-                less = np.where(differ[row, at], there[row, at] < search[row, at], upper)
-                lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-            return lo
-
         if not len(sa) or not len(search):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        lo, hi = bound(False), bound(True)
+        length = self.length[rank]
+        # the words of 64 bits that begin with a piece, or with as much of it as fits
+        code = np.where(search > 0, np.searchsorted(letters, search) + 1, 0).astype(U64)
+        least = np.zeros(len(search), dtype=U64)
+        for i in range(fits):
+            least = (least << U64(bits)) | code[:, i]
+        most = least | ((U64(1) << (np.maximum(fits - length, 0) * bits).astype(U64)) - U64(1))
+        lo, hi = np.searchsorted(head, least, side="left"), np.searchsorted(head, most, side="right")
+        # longer pieces go on, character by character, inside the range of their beginning
+        long = np.flatnonzero((length > fits) & (lo < hi))
+        if len(long):
+            padded = np.concatenate([text, np.zeros(self.width, dtype=text.dtype)])
+            columns = np.arange(self.width)
+
+            def bound(upper: bool) -> np.ndarray:
+                a, b = lo[long].copy(), hi[long].copy()
+                while (open_ := a < b).any():
+                    mid = (a + b) // 2
+                    there = padded[sa[np.minimum(mid, len(sa) - 1)][:, None] + columns]
+                    there = np.where(columns < length[long, None], there, 0)
+                    differ = there != search[long]
+                    at = differ.argmax(axis=1)
+                    row = np.arange(len(long))
+                    less = np.where(differ[row, at], there[row, at] < search[long][row, at], upper)
+                    a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
+                return a
+
+            lo[long], hi[long] = bound(False), bound(True)
         n = hi - lo
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return sa[np.repeat(lo, n) + inside], np.repeat(rank, n)
 
-    def encode_chunks(self, chunks: list[str], limit: int = 300_000) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str], limit: int = 120_000) -> list[np.ndarray]:
         """Ids of each chunk; spaces are written as SPACE already. About limit characters are indexed at a time; a longer chunk stands alone."""
         out, lo = [], 0
         ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) + 1)
