@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SEPARATOR, U64, append_columns, bytes_of, cut, slices, splitmix, word_hashes, word_spans
 
-#: Hashed weights of each head, bound of the labelled sample, and its documents of at least this many words share a feature that is used.
+#: Hashed weights of each head; bounds of the labelled sample, in rows and in bytes of a row's text; how many of its documents share a feature that is used, and by how many deviations its label's count stands out.
 WEIGHTS = 1 << 18
-SAMPLE = 6000
-SEEN = 4
+SAMPLE, LONGEST = 6000, 100_000
+SEEN, SURPRISE = 4, 4.0
 ROUNDS, RATE, DECAY = 30, 0.5, 1e-4
 #: Prior weights stay within these bounds; the site's log-odds count this much.
 LEAST, MOST = 2.0, 1e6
 SITE = 0.5
+#: A document whose toxic evidence reaches this is not kept; toxic documents are rare, so it lies under a half.
+TOXIC = 0.35
 
 #: Classes of bytes for a word's shape: letters, capitals, digits, bytes of longer characters, or themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -33,6 +35,7 @@ _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, word index, shape index of every word, and each row's number of words. An index is a hashed weight."""
     data, at = bytes_of(column)
+    data, at = data[at[0] : at[-1]], at - at[0]
     starts, ends, first = word_spans(data, at)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
@@ -70,11 +73,13 @@ class Head:
 
     def fit(self, row: np.ndarray, index: np.ndarray, value: np.ndarray, truth: np.ndarray) -> Head:
         n = len(truth)
-        seen = np.bincount(index, minlength=WEIGHTS) >= SEEN
-        use = seen[index]
+        # a lexicon: features whose documents differ from the rest by more than chance among so many
+        seen = np.bincount(index, minlength=WEIGHTS)
+        rate = np.clip(truth.mean(), 1e-3, 1 - 1e-3)
+        chance = np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
+        use = ((seen >= SEEN) & (np.abs(np.bincount(index, truth[row], minlength=WEIGHTS) - seen * rate) >= SURPRISE * chance))[index]
         row, index, value = row[use], index[use], value[use]
         sums = np.full(WEIGHTS, 1e-8)
-        rate = np.clip(truth.mean(), 1e-3, 1 - 1e-3)
         self.bias, b_sum = float(np.log(rate / (1 - rate))), 1e-8
         for _ in range(ROUNDS * 10):
             z = self.bias + np.bincount(row, self.weights[index] * value, minlength=n)
@@ -100,11 +105,16 @@ class Classifier:
     def _rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         return *_features(column), len(column)
 
-    def fit(self, texts: list[str], poor: list[bool], toxic: list[bool]) -> Classifier:
-        column = pa.array(texts, pa.large_string())
-        wr, w, sr, s, n = self._rows(column)
-        self.poor.fit(*self.poor.design(sr, s, n), np.array(poor, dtype=float))
-        self.toxic.fit(*self.toxic.design(wr, w, n), np.array(toxic, dtype=float))
+    def fit(self, texts: pa.Array, poor: np.ndarray, toxic: np.ndarray) -> Classifier:
+        parts: dict[bool, list] = {False: [], True: []}
+        _, at = bytes_of(texts)
+        for lo, hi in slices(at, 1 << 20):
+            wr, w, sr, s, n = self._rows(texts.slice(lo, hi - lo))
+            for head, row, index in ((self.poor, sr, s), (self.toxic, wr, w)):
+                row, index, value = head.design(row, index, n)
+                parts[head.presence].append(((row + lo).astype(np.int32), index.astype(np.int32), value.astype(np.float32)))
+        for head, truth in ((self.poor, poor), (self.toxic, toxic)):
+            head.fit(*(np.concatenate(x) for x in zip(*parts.pop(head.presence))), truth.astype(float))
         return self
 
     def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +124,15 @@ class Classifier:
 
 
 def train_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """labelled: text, quality (0 or 1), toxic (0 or 1). The `sample` rows of least text hash are learned from; None if there are none."""
-    usable = labelled.where("text is not null and quality is not null and toxic is not null").select("text", (F.col("quality") == 0).alias("poor"), (F.col("toxic") == 1).alias("toxic"), F.xxhash64("text").alias("h"))
+    """labelled: text, quality (0 or 1), toxic (0 or 1). Of rows with texts of up to LONGEST bytes, the `sample` of least text hash are learned from; None if there are none."""
+    usable = labelled.where("text is not null and quality is not null and toxic is not null").where(F.octet_length("text") <= LONGEST).select("text", (F.col("quality") == 0).alias("poor"), (F.col("toxic") == 1).alias("toxic"), F.xxhash64("text").alias("h"))
     # the limit comes from the hashes alone, so no text is sorted
     limit = usable.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if limit is None:
         return None
-    rows = usable.where(F.col("h") <= limit).limit(2 * sample).collect()
-    return Classifier().fit([r.text for r in rows], [r.poor for r in rows], [r.toxic for r in rows])
+    rows = usable.where(F.col("h") <= limit).limit(2 * sample).toArrow()
+    flags = [rows.column(c).to_numpy() for c in ("poor", "toxic")]
+    return Classifier().fit(rows.column("text").combine_chunks(), *flags)
 
 
 def _weight(mean: Column, n: Column, total_mean: Column, inside: Column) -> Column:
@@ -161,7 +172,7 @@ def score_quality(docs: DataFrame, classifier: Classifier | None, host: Column,
     """doc_id, p_poor, p_toxic, p (own evidence), host_posterior, path_posterior, quality (combined, 0 to 1) and keep (boolean) of every row.
 
     Null text: no words, judged as an empty text. Null host or path: the group of the empty name. Without a classifier (no labels): p is 0.5 for all and all are kept. keep asks for a combined quality of a
-    half and more, and less than a half for toxic language. Repeated rows come back as often, each with the same evidence. Other columns are not read. Empty table: empty result.
+    half and more, and toxic evidence under TOXIC. Repeated rows come back as often, each with the same evidence. Other columns are not read. Empty table: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
@@ -186,5 +197,5 @@ def score_quality(docs: DataFrame, classifier: Classifier | None, host: Column,
     joined = joined.withColumn("host_posterior", host_mean).withColumn("path_posterior", path_mean)
     z = logit(F.col("p")) + SITE * (logit(F.col("path_posterior")) - logit(F.col("prior")))
     joined = joined.withColumn("quality", 1 / (1 + F.exp(-z)))
-    keep = (F.col("quality") >= 0.5) & (F.col("p_toxic") < 0.5)
+    keep = (F.col("quality") >= 0.5) & (F.col("p_toxic") < TOXIC)
     return joined.select("doc_id", "p_poor", "p_toxic", "p", "host_posterior", "path_posterior", "quality", keep.alias("keep"))
