@@ -392,6 +392,27 @@ def test_pipeline(spark, docs, empty, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = words(rng, rng.randint(40, 300))
+        texts.append(base)
+        for _ in range(rng.choice([0, 1, 2, 9])):
+            copy = base.copy()
+            for p in rng.sample(range(len(copy)), rng.randint(1, max(1, len(copy) // 40))):
+                copy[p] = "changed"
+            texts.append(copy)
+    texts += [["A", "b"], ["a", "B"], ["a", "c"], [], []]
+    sets = [{tuple(w[i : i + 5]) for w in [" ".join(x).lower().split()] for i in range(max(1, len(w) - 4))} for x in texts]
+    tops = least_of_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    given = spark.createDataFrame([(i, " ".join(x), "en", "s", 1) for i, x in enumerate(texts)], SCHEMA).repartition(3)
+    got = dict(P.STAGES)["near_dedup"](spark, given, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted({t: min(i for i, u in enumerate(tops) if u == t) for t in tops}.values())
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline as P
 
