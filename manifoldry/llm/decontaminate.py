@@ -3,8 +3,9 @@
 TF-IDF counts A of all passages of the corpus, over hashed words, go through a randomised SVD: every task adds up its share of S A, where S is a
 sparse random matrix that adds each passage, with a random sign, to one of DRAWN rows. The shares are summed in a tree, and a small SVD on the
 driver gives the leading right singular vectors. The weights of features come in after the sums, so one pass counts and draws. Passages at several
-lengths and the benchmark's items are projected and whitened; pairs of high cosine are candidates. A candidate is a hit if the
-longest common subsequence of words holds enough of the item, and enough of its answer, the item's last words.
+lengths and the benchmark's items are projected and whitened; pairs of high cosine are candidates, and so is every passage, whatever its cosine,
+that has as many of an item's rarest words as a hit can't do without. A candidate is a hit if the longest common subsequence of words holds enough
+of the item, and enough of its answer, the item's last words.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHORT = 8
 ITEMS = 4096
 #: Features in at most this share of passages are rare.
 RARE = 0.02
+#: An item with too few rare words to ask for so many of them in a hit has its next rarest words counted too.
+ASKED = 3
 
 #: Bytes that part words here: ASCII other than letters and digits.
 _PUNCTUATION = np.array([not (chr(i).isalnum()) and i < 128 for i in range(256)])
@@ -72,7 +75,7 @@ def _sum_tree(rows: DataFrame, size: int, width: int) -> DataFrame:
 
 
 def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES x RANK: takes counts of features to whitened latent coordinates; and which features are rare. All passages of texts (one column) take part."""
+    """FEATURES x RANK: takes counts of features to whitened latent coordinates; and the share of passages that have each feature. All passages of texts (one column) take part."""
     pieces = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +104,14 @@ def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarra
     size = FEATURES // pieces
     got = {r.piece: _unpacked(r.part, size) for r in _sum_tree(texts.mapInArrow(run, "piece int, task int, part binary"), size, 256).collect()}
     if not got or not got[0][1][-1]:
-        return np.zeros((FEATURES, RANK), dtype=np.float32), np.ones(FEATURES, dtype=bool)
+        return np.zeros((FEATURES, RANK), dtype=np.float32), np.zeros(FEATURES)
     n = int(got[0][1][-1])
     df = np.concatenate([got[i][1][:-1] for i in range(pieces)])
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0)
     y = np.concatenate([got[i][0].reshape(DRAWN, size) for i in range(pieces)], axis=1) * idf
     _, s, v = np.linalg.svd(y, full_matrices=False)
     scale = np.where(s > 1e-6 * max(s[0], 1e-30), 1 / np.maximum(s, 1e-30), 0)[:RANK]
-    return (idf[:, None] * v[:RANK].T * scale * s[0]).astype(np.float32), df <= RARE * n
+    return (idf[:, None] * v[:RANK].T * scale * s[0]).astype(np.float32), df / n
 
 
 def _packed(x: np.ndarray, size: int) -> bytes:
@@ -136,7 +139,7 @@ def lcs(pattern: list[int], text: list[int]) -> int:
 class Items:
     """Benchmark items: their words, and their latent coordinates by passage length."""
 
-    def __init__(self, ids: list, texts: list[str], basis: np.ndarray, rare: np.ndarray):
+    def __init__(self, ids: list, texts: list[str], basis: np.ndarray, common: np.ndarray):
         words, first = _words(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [words[a:b] for a, b in zip(first[:-1], first[1:])]
@@ -145,15 +148,19 @@ class Items:
         for x in self.words:
             u, n = np.unique(x, return_counts=True)
             self.counts.append((u, n))
-        # a hit has all but a fifth of the item's words, so so many of its rare words at least are in the region
-        of_rare = [rare[_feature(x)] for x in self.words]
+        # a hit has all but a fifth of the item's words, each at its own place, so so many of its rare words at least are in the region
+        miss = [len(x) - int(np.ceil(SHARE * len(x))) if len(x) >= SHORT else 0 for x in self.words]
+        of_rare = []
+        for x, (u, n), lost in zip(self.words, self.counts, miss):
+            share = common[_feature(u)]
+            order = np.argsort(share, kind="stable")
+            take = max(int((share <= RARE).sum()), int(np.searchsorted(np.cumsum(n[order]), ASKED + lost)) + 1)
+            of_rare.append(np.isin(x, u[order[:take]]))
         pair = np.unique(np.array([(w, i) for i, (x, r) in enumerate(zip(self.words, of_rare)) for w in x[r].tolist()], dtype=U64).reshape(-1, 2), axis=0)
         self.rare, self.rare_at = np.unique(pair[:, 0], return_index=True)
         self.rare_at = np.append(self.rare_at, len(pair))
         self.rare_item = pair[:, 1].astype(np.int64)
-        self.need = np.array([int(r.sum()) - (len(x) - int(np.ceil(SHARE * len(x))) if len(x) >= SHORT else 0) for x, r in zip(self.words, of_rare)])
-        #: words that an item has twice count once, so the need falls by as much
-        self.need -= np.array([int(r.sum()) - len(np.unique(x[r])) for x, r in zip(self.words, of_rare)], dtype=np.int64)
+        self.need = np.array([int(r.sum()) - lost for r, lost in zip(of_rare, miss)], dtype=np.int64)
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for i, x in enumerate(self.words):
@@ -176,6 +183,22 @@ class Items:
         item = self.rare_item[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         return np.sort(item * (len(words) + 1) + np.repeat(position, n))
 
+    def dense(self, rare: np.ndarray, n_words: int, members: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (region, item of members) with as many of the item's rare words as it needs. Regions run from a to b, both ascending; rare: from rare_places."""
+        lo, hi = np.searchsorted(rare, members * (n_words + 1)), np.searchsorted(rare, (members + 1) * (n_words + 1))
+        starts = np.maximum(hi - lo - self.need[members] + 1, 0)
+        item = np.repeat(members, starts)
+        x = np.repeat(lo - (np.cumsum(starts) - starts), starts) + np.arange(int(starts.sum()))
+        p, q = rare[x] - item * (n_words + 1), rare[x + self.need[item] - 1] - item * (n_words + 1)
+        near = q - p < int((b - a).max(initial=0))
+        p, q, item = p[near], q[near], item[near]
+        # the regions that hold both ends of a run of words
+        lo, hi = np.searchsorted(b, q, side="right"), np.searchsorted(a, p, side="right")
+        n = np.maximum(hi - lo, 0)
+        region = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found = np.unique(region * len(self.ids) + np.repeat(item, n))
+        return found // len(self.ids), found % len(self.ids)
+
     def matches(self, i: int, region: np.ndarray) -> float:
         """The share of item i's words found in order in the region, or 0 if that isn't a hit."""
         item = self.lists[i]
@@ -226,6 +249,13 @@ def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Item
             for row, i, a, b in zip(row_of[s[able]].tolist(), i[able].tolist(), a[able].tolist(), b[able].tolist()):
                 if i not in hits[row] and (share := items.matches(i, words[a:b])):
                     hits[row][i] = share
+        # what the cosine has left out
+        a = np.maximum(first[row_of[start]], heads[start] - length // 4)
+        b = np.minimum(first[row_of[start] + 1], heads[start] + length + length // 4)
+        region, item = items.dense(rare, len(words), members, a, b)
+        for row, i, a, b in zip(row_of[start[region]].tolist(), item.tolist(), a[region].tolist(), b[region].tolist()):
+            if i not in hits[row] and (share := items.matches(i, words[a:b])):
+                hits[row][i] = share
     return hits
 
 
@@ -251,9 +281,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         made: dict[str, Items] = {}
 
         def run(column: pa.Array, lists=lists, made=made) -> list[pa.Array]:
-            basis, rare = shared.value
+            basis, common = shared.value
             if "it" not in made:
-                made["it"] = Items(*lists.value, basis, rare)
+                made["it"] = Items(*lists.value, basis, common)
             items, found = made["it"], []
             _, at = bytes_of(column)
             for lo, hi in slices(at, 1 << 19):

@@ -343,6 +343,25 @@ def test_decontamination(spark, docs, empty):
     assert benchmark_hits(df, bench.where("item_id < 0")).where(F.size("benchmark_hits") > 0).count() == 0
 
 
+def test_decontamination_in_repetitive_documents(spark):
+    from manifoldry.llm.decontaminate import benchmark_hits
+
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(30)]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(3000)}" for _ in range(n)]
+    items = [prose(rng.randint(16, 60)) for _ in range(40)] + [rng.choices(common, k=20) for _ in range(3)] + [["c0"] * 9 + ["c1"], ["c2", "c3", "c4"]]
+    data = [" ".join(prose(rng.randint(200, 400))) for _ in range(200)]
+    for i, item in enumerate(items):
+        word = rng.choice([f"r{rng.randrange(3000)}", f"odd{i}"])
+        text = prose(200)
+        text[100:100] = [word] * rng.randint(20, 40) + item + [word] * rng.randint(20, 40)
+        data.append(" ".join(text))
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: {h.item_id for h in r.benchmark_hits} for r in benchmark_hits(df, bench, keep=["doc_id"]).collect()}
+    assert [i for i in range(len(items)) if i not in got[200 + i]] == []
+
+
 def test_quality(spark, docs, empty):
     from manifoldry.llm.quality import score_quality, train_classifier
 
