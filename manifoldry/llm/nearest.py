@@ -88,8 +88,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """The k nearest rows of vectors by cosine of each row of queries, all of them if there are fewer: query_id, rank, vec_id, score.
 
     A row is no neighbour of rows of its own id. Ties go to the smaller id. Null, zero or empty vectors, vectors with a null or non-finite component, and rows
-    of null id take no part; vectors of other widths than the query's are no candidates. Repeated rows of one id: each is a candidate, and equal (query, id, score)
-    rows come back once. Other columns are not read. No queries or no vectors: empty result.
+    of null id take no part; vectors of other widths than the query's are no candidates. Repeated rows, equal or not: each is ranked, for each row of a repeated
+    query, as in the registered SQL. Other columns are not read. No queries or no vectors: empty result.
     """
     spark = vectors.sparkSession
 
@@ -115,6 +115,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 found = [tile(qid[lo : lo + 512], q[lo : lo + 512], cid, c, k) for lo in range(0, len(qid), 512)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
 
-    best = packed.join(sent.hint("shuffle_hash"), ["b", "width"]).mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    best = packed.join(sent.hint("shuffle_hash"), ["b", "width"]).mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.select("query_id", F.row_number().over(order).cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -161,6 +161,25 @@ def test_nearest(spark):
     assert len(tile(np.arange(2), x[:2], np.arange(300), x, 7)[0]) == 14
 
 
+def test_nearest_ranks_repeated_rows(spark):
+    from manifoldry.llm.nearest import nearest
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 8))
+    x[7] = x[0] + 0.01
+    data = [(i, r.tolist()) for i, r in enumerate(x)] + [(7, x[7].tolist())] * 2 + [(7, (2 * x[7]).tolist())] + [(50, x[50].tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in data]
+    for k in (3, 6):
+        expected = []
+        for q in (0, 50):
+            s = sorted((-round(float(u @ v), 12), j) for i, u in unit if i == q for j, v in unit if j != q)[:k]
+            expected += [(q, i + 1, j) for i, (_, j) in enumerate(s)]
+        for parts in (1, 5):
+            got = nearest(df.repartition(parts), df.where("vec_id % 50 = 0"), k).collect()
+            assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == expected
+
+
 def test_pieces_equal_the_library(docs, empty):
     import sentencepiece
 
