@@ -1,7 +1,8 @@
 """Language identification with a linear-chain conditional random field over the words of a text.
 
 Each word has scores from affixes, byte n-grams and a lexicon of word identities, all hashed into one table of weights; learned transitions join
-neighbouring words. The field is trained on sequences in which pieces of documents of several languages follow each other, as in code-switched text.
+neighbouring words. The field is trained, by the exact gradient of the likelihood, on sequences in which pieces of documents of several languages follow each
+other, as in code-switched text.
 Forward-backward gives each word's probabilities; a document's language is the one with the largest mean. Blocks of words pass small transfer
 matrices to each other, so a text of any length takes bounded memory and few steps.
 """
@@ -11,19 +12,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, append_columns, bytes_of, slices, splitmix, word_hashes, word_spans
+from .common import U64, append_columns, bytes_of, cut, slices, splitmix, word_hashes, word_spans
 
-#: Hashed weights; n-gram lengths; affix lengths.
-WEIGHTS = 1 << 18
+#: Hashed weights of a language, fewer where those of all languages would be more than so many; n-gram lengths; affix lengths.
+WEIGHTS, ALL_WEIGHTS = 1 << 18, 1 << 24
 GRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
-#: Bounds of the training sample: documents a language, windows a document, words a window; and languages in all.
-DOCS, WINDOWS, WORDS = 400, 8, 48
-LANGUAGES = 500
-#: Rounds over the training sequences, sequences in a step, step size, and words in a block of the decoder.
-ROUNDS, BATCH, RATE, BLOCK = 4, 64, 0.3, 64
+#: Bounds of the training sample, in whole documents: of each language, and of all (one a language at least).
+DOCS, ALL_DOCS = 400, 8000
+#: Rounds of training, pieces of text drawn in a round, sequences in a step, step size, and words in a block of the decoder.
+ROUNDS, DRAWN, BATCH, RATE, BLOCK = 4, 20_000, 64, 0.3, 64
+#: With more languages than this, the transfer matrices of blocks cost more than they save.
+FEW = 32
 UNKNOWN = "und"
 
 #: ASCII bytes that are no letter part words.
@@ -40,7 +42,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 class Features:
     """Indices into the weights for distinct words: a list of (first position of each word, index at each position)."""
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: int):
         size = ends - starts
         n = len(starts)
         # the words one after another, each between a mark at its start and one at its end
@@ -59,7 +61,7 @@ class Features:
             return key
 
         def slot(key: np.ndarray, kind: int, valid: np.ndarray) -> np.ndarray:
-            return np.where(valid, (splitmix(key + U64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(8)).astype(np.int64) % (WEIGHTS - 1) + 1, 0)
+            return np.where(valid, (splitmix(key + U64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(8)).astype(np.int64) % (weights - 1) + 1, 0)
 
         everywhere = np.arange(length)
         for k in GRAMS:
@@ -89,28 +91,31 @@ class Features:
         return np.unique(np.concatenate(touched))
 
 
-def posteriors(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+def posteriors(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Forward-backward over many rows of words at once: the probability of every language for every word.
 
     scores: a row of log scores a word; first: each row's first word (n + 1 values). Exact for any length: blocks of words are joined by
-    their transfer matrices, and nothing grows with the longest row but the number of its blocks.
+    their transfer matrices, and nothing grows with the longest row but the number of its blocks. With many languages a row is one block.
+    pairs: also the expected number of transitions between all neighbouring words, a matrix from language to language.
     """
     total, k = scores.shape
     n = np.diff(first)
-    blocks = -(-n // BLOCK)
+    length = BLOCK if k <= FEW else max(1, int(n.max(initial=0)))
+    blocks = -(-n // length)
     base = np.concatenate([[0], np.cumsum(blocks)])
     nb = int(base[-1])
     if not nb:
-        return np.zeros((0, k))
+        return (np.zeros((0, k)), np.zeros((k, k))) if pairs else np.zeros((0, k))
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
     a = np.exp(transition - transition.max())
     row = np.repeat(np.arange(len(n)), blocks)
     number = np.arange(nb) - base[row]
-    at = first[row] + number * BLOCK
-    size = np.minimum(BLOCK, first[row + 1] - at)
+    at = first[row] + number * length
+    size = np.minimum(length, first[row + 1] - at)
     opening = number == 0
-    m = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
-    for t in range(int(size.max())):
+    several = int(blocks.max()) > 1
+    m = np.broadcast_to(np.eye(k), (nb if several else 0, k, k)).copy()
+    for t in range(int(size.max()) if several else 0):
         on = np.flatnonzero(size > t)
         x = m[on]
         y = (x.reshape(-1, k) @ a).reshape(-1, k, k) if t else np.where(opening[on, None, None], x, (x.reshape(-1, k) @ a).reshape(-1, k, k))
@@ -122,15 +127,17 @@ def posteriors(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, st
         on = np.flatnonzero(blocks > i)
         b = base[on] + i
         enter[b] = now[on]
-        y = np.einsum("ni,nij->nj", now[on], m[b])
-        now[on] = y / y.sum(axis=1, keepdims=True)
+        if several:
+            y = np.einsum("ni,nij->nj", now[on], m[b])
+            now[on] = y / y.sum(axis=1, keepdims=True)
     now = np.ones((len(n), k))
     for i in range(int(blocks.max()) - 1, -1, -1):
         on = np.flatnonzero(blocks > i)
         b = base[on] + i
         leave[b] = now[on]
-        y = np.einsum("nij,nj->ni", m[b], now[on])
-        now[on] = y / y.sum(axis=1, keepdims=True)
+        if several:
+            y = np.einsum("nij,nj->ni", m[b], now[on])
+            now[on] = y / y.sum(axis=1, keepdims=True)
     forward = np.empty((total, k))
     now = enter
     for t in range(int(size.max())):
@@ -140,68 +147,77 @@ def posteriors(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, st
         now[on] = y / y.sum(axis=1, keepdims=True)
         forward[at[on] + t] = now[on]
     now = leave
+    alpha = forward.copy() if pairs else None
+    # of each word: what it says itself times the message from behind it
+    behind = np.empty((total, k)) if pairs else None
     for t in range(int(size.max()) - 1, -1, -1):
         on = np.flatnonzero(size > t)
         w = at[on] + t
         forward[w] *= now[on]
-        y = (now[on] * e[w]) @ a.T
+        said = now[on] * e[w]
+        if pairs:
+            behind[w] = said
+        y = said @ a.T
         now[on] = y / y.sum(axis=1, keepdims=True)
-    return forward / forward.sum(axis=1, keepdims=True)
+    marginal = forward / forward.sum(axis=1, keepdims=True)
+    if not pairs:
+        return marginal
+    inner = np.ones(total, dtype=bool)
+    inner[first[:-1][n > 0]] = False
+    t = np.flatnonzero(inner)
+    # alpha before, the transition, and what comes from the word and from behind it, normalised pair by pair
+    z = np.einsum("ni,ij,nj->n", alpha[t - 1], a, behind[t])
+    return marginal, a * ((alpha[t - 1] / z[:, None]).T @ behind[t])
 
 
 class Field:
-    """A trained field: languages, feature weights, transitions and start scores."""
+    """A trained field: languages (in order of their names), feature weights, transitions and start scores."""
 
     def __init__(self, languages: list[str]):
         self.languages = languages
         k = len(languages)
-        self.weights = np.zeros((WEIGHTS, k), dtype=np.float32)
+        self.weights = np.zeros((min(WEIGHTS, max(1 << 10, ALL_WEIGHTS // max(k, 1))), k), dtype=np.float32)
         self.transition, self.start = np.zeros((k, k)), np.zeros(k)
 
-    def train(self, windows: list[tuple[str, str]], seed: int = 3) -> Field:
-        """windows: (language, text). Maximises the likelihood of mixed sequences by AdaGrad."""
+    def train(self, texts: list[tuple[str, str]], seed: int = 3) -> Field:
+        """texts: (language, whole text). Maximises the likelihood of mixed sequences by AdaGrad; their pieces are drawn anywhere in the texts."""
         index = {x: i for i, x in enumerate(self.languages)}
         rng = np.random.default_rng(seed)
-        data, starts, ends, first = _words(pa.array([t for _, t in windows], pa.string()))
-        label = np.array([index[x] for x, _ in windows], dtype=np.int64)
+        data, starts, ends, first = _words(pa.array([t for _, t in texts], pa.large_string()))
         k = len(self.languages)
-        sums, step_t, step_s = np.full((WEIGHTS, k), 1e-6, dtype=np.float32), np.full((k, k), 1e-6), np.full(k, 1e-6)
-        # pieces of a few to WORDS words, alike many of each language, strung together by two to four
-        pieces = [(i, a, min(a + int(rng.integers(4, 24)), int(first[i + 1]))) for i in range(len(windows)) for a in range(int(first[i]), int(first[i + 1]), 24)]
-        pieces = [p for p in pieces if p[2] > p[1]]
-        if not pieces:
+        # where the words of each language lie, as runs: its texts one after another
+        of = np.array([index[x] for x, _ in texts], dtype=np.int64)
+        runs = [(first[:-1][of == c], np.concatenate([[0], np.cumsum(np.diff(first)[of == c])])) for c in range(k)]
+        known = [c for c in range(k) if runs[c][1][-1]]
+        if not known:
             return self
-        by = [[p for p in pieces if label[p[0]] == c] for c in range(k)]
-        share = max(map(len, by))
+        sums, step_t, step_s = np.full_like(self.weights, 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
+        each = max(50, DRAWN // len(known))
         for _ in range(ROUNDS):
-            drawn = [p for b in by if b for p in (b[i] for i in rng.integers(0, len(b), share))]
-            drawn = [drawn[i] for i in rng.permutation(len(drawn))]
-            runs, i = [], 0
-            while i < len(drawn):
-                j = i + int(rng.integers(1, 5))
-                runs.append(drawn[i:j])
-                i = j
-            for lo in range(0, len(runs), BATCH):
-                batch = runs[lo : lo + BATCH]
-                word = np.concatenate([np.arange(a, b) for r in batch for _, a, b in r])
-                truth = np.concatenate([np.full(b - a, label[d]) for r in batch for d, a, b in r])
-                heads = np.concatenate([[0], np.cumsum([sum(b - a for _, a, b in r) for r in batch])])
-                f = Features(data, starts[word], ends[word])
-                s = f.scores(self.weights).astype(np.float64)
-                p = posteriors(s, heads, self.transition, self.start)
-                gradient = -p
-                gradient[np.arange(len(truth)), truth] += 1
-                inner = np.ones(len(truth), dtype=bool)
-                inner[heads[:-1]] = False
-                now = np.flatnonzero(inner)
-                # pairs of neighbours: their true counts less the expected ones
-                joint = p[now - 1][:, :, None] * np.exp(self.transition)[None] * np.exp(s[now] - s[now].max(axis=1, keepdims=True))[:, None, :]
-                joint /= joint.sum(axis=(1, 2), keepdims=True)
-                g_t = -joint.sum(axis=0)
-                np.add.at(g_t, (truth[now - 1], truth[now]), 1)
-                g_s = gradient[heads[:-1]].sum(axis=0)
-                into = np.zeros((WEIGHTS, k), dtype=np.float32)
-                touched = f.scatter(gradient.astype(np.float32) / len(batch), into)
+            # pieces of a few to 24 words, as many of each language, strung together by one to four
+            pieces = []
+            for c in known:
+                heads, place = runs[c]
+                word = rng.integers(0, place[-1], each)
+                text = np.searchsorted(place, word, side="right") - 1
+                lo = heads[text] + word - place[text]
+                hi = np.minimum(lo + rng.integers(4, 24, each), heads[text] + place[text + 1] - place[text])
+                pieces.append(np.stack([lo, hi, np.full(each, c)], axis=1))
+            drawn = rng.permutation(np.concatenate(pieces))
+            cuts = np.cumsum(rng.integers(1, 5, len(drawn)))
+            strings = np.split(drawn, cuts[cuts < len(drawn)])
+            for i in range(0, len(strings), BATCH):
+                batch = strings[i : i + BATCH]
+                p = np.concatenate(batch)
+                size = p[:, 1] - p[:, 0]
+                word = np.repeat(p[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                truth = np.repeat(p[:, 2], size)
+                ends_of = np.cumsum([len(x) for x in batch])
+                heads = np.concatenate([[0], np.cumsum(size)[ends_of - 1]])
+                f = Features(data, starts[word], ends[word], len(self.weights))
+                g, g_t, g_s = self.gradient(f.scores(self.weights).astype(np.float64), heads, truth)
+                into = np.zeros_like(self.weights)
+                touched = f.scatter(g.astype(np.float32) / len(batch), into)
                 g = into[touched]
                 sums[touched] += g * g
                 self.weights[touched] += RATE * g / np.sqrt(sums[touched] + 1e-4)
@@ -212,6 +228,18 @@ class Field:
                 self.start += RATE * g_s / np.sqrt(step_s + 1e-4)
         return self
 
+    def gradient(self, scores: np.ndarray, heads: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log likelihood of the true languages of rows of words, by scores, transitions and start: true counts less expected ones."""
+        p, expected = posteriors(scores, heads, self.transition, self.start, pairs=True)
+        g = -p
+        g[np.arange(len(truth)), truth] += 1
+        inner = np.ones(len(truth), dtype=bool)
+        inner[heads[:-1]] = False
+        t = np.flatnonzero(inner)
+        g_t = -expected
+        np.add.at(g_t, (truth[t - 1], truth[t]), 1)
+        return g, g_t, g[heads[:-1]].sum(axis=0)
+
     def label(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of every row: the language, its mean probability, that of the next language, and the number of words."""
         data, starts, ends, first = _words(column)
@@ -219,7 +247,7 @@ class Field:
         k = len(self.languages)
         if len(starts):
             _, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            scores = Features(data, starts[at], ends[at]).scores(self.weights)[which]
+            scores = Features(data, starts[at], ends[at], len(self.weights)).scores(self.weights)[which]
             p = posteriors(scores, first, self.transition, self.start)
             sums = np.concatenate([np.zeros((1, k)), np.cumsum(p, axis=0)])
             mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)[:, None]
@@ -240,35 +268,23 @@ class Field:
         return names.tolist(), score, rest.max(axis=1, initial=0), n
 
 
-def training_windows(labelled: DataFrame, docs: int = DOCS, windows: int = WINDOWS, words: int = WORDS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts (columns text, lang): of each language about `docs` texts, those of least hash; of each up to `windows` windows of words.
+def training_texts(labelled: DataFrame, docs: int = DOCS, total: int = ALL_DOCS) -> list[tuple[str, str]]:
+    """A bounded sample of labelled whole texts (columns text, lang): of each language the `docs` distinct texts of least hash, fewer with so many languages that this makes over `total`.
 
-    How many rows a language has sets the hash below which about `docs` of them lie, so a frequent language is counted but never gathered.
+    Texts are told apart before they are counted, so a language of few texts that repeat has all of them in the sample. Each task sends on a language's least hashes only.
     """
     marked = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    limits = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1)
-    limits = limits.select("lang", F.when(F.col("n") <= docs, F.lit((1 << 63) - 1)).otherwise((F.lit(float(docs)) / F.col("n") * 2.0**64 - 2.0**63).cast("long")).alias("most"))
-    if limits.count() > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-
-    def cut(batches):
-        for batch in batches:
-            out = ([], [])
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = text.split()
-                spans = sorted(range(0, len(w), words), key=lambda i: hash((len(w), i * 2654435761 % 4294967296)))[:windows]
-                out[0].extend(lang for _ in spans)
-                out[1].extend(" ".join(w[i : i + words])[:4096] for i in spans)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["lang", "text"])
-
-    # at most LANGUAGES rows: a proven bound
-    picked = marked.join(F.broadcast(limits), "lang").where("h <= most").select("text", "lang").dropDuplicates(["lang", "text"])
-    return sorted({(r.lang, r.text) for r in picked.mapInArrow(cut, "lang string, text string").collect()})
+    each = max(1, min(docs, total // max(1, marked.select("lang").distinct().count())))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # a written table: its size is known, and decides how it is joined
+    least = cut(marked.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= each).select("lang", "h"), "sample")
+    picked = marked.join(least, ["lang", "h"]).dropDuplicates(["lang", "h"])
+    return sorted((r.lang, r.text) for r in picked.select("lang", "text").collect())
 
 
 def train_field(labelled: DataFrame, docs: int = DOCS) -> Field:
-    windows = training_windows(labelled, docs)
-    return Field(sorted({x for x, _ in windows})).train(windows)
+    texts = training_texts(labelled, docs)
+    return Field(sorted({x for x, _ in texts})).train(texts)
 
 
 LABELS = "lang_pred string, score double, second_score double, n_words long"
@@ -277,8 +293,9 @@ LABELS = "lang_pred string, score double, second_score double, n_words long"
 def identify(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with lang_pred, score (its mean word probability, 0 to 1), second_score (of the next language) and n_words, from the whole text alone.
 
-    Null texts and texts without a letter: lang_pred "und", score 0. Repeated rows are labelled alike. Other columns are kept (or those in keep); those with the new
-    names are replaced. A field of no language (nothing to learn from): "und" for all. Empty table: empty result.
+    Null texts and texts without a letter: lang_pred "und", score 0. Of languages of equal mean probability, the first by name. Texts of any length are read whole, in blocks.
+    Repeated rows are labelled alike. Other columns are kept (or those in keep); those with the new names are replaced. A field of no language (nothing to learn from): "und" for all.
+    Empty table: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -288,7 +305,8 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", keep: list[s
             n = len(column)
             return [pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([0.0] * n), pa.array([0] * n, pa.int64())]
         _, at = bytes_of(column)
-        for lo, hi in slices(at, 1 << 19):
+        # a word has a number for each language, and with few of them a block has one for each pair
+        for lo, hi in slices(at, max(1 << 12, (1 << 21) // max(4, len(field.languages)))):
             got.append(field.label(column.slice(lo, hi - lo)))
         names, *numbers = zip(*got) if got else ((), (), (), ())
         kinds = (pa.float64(), pa.float64(), pa.int64())

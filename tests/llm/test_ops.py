@@ -256,6 +256,71 @@ def test_language_field():
         assert np.abs(p - got[lo:hi]).max() < 1e-9
 
 
+def test_language_posteriors_of_many_languages():
+    from manifoldry.llm import language
+
+    rng = np.random.default_rng(2)
+    n, k = [70, 3, 0, 130], 5
+    first = np.concatenate([[0], np.cumsum(n)])
+    given = rng.normal(size=(first[-1], k)), first, rng.normal(size=(k, k)), rng.normal(size=k)
+    blocks, pairs = language.posteriors(*given, pairs=True)
+    few, language.FEW = language.FEW, 2
+    try:
+        whole, pairs_whole = language.posteriors(*given, pairs=True)
+    finally:
+        language.FEW = few
+    assert np.abs(blocks - whole).max() < 1e-12 and np.abs(pairs - pairs_whole).max() < 1e-9
+    assert abs(pairs.sum() - sum(max(x - 1, 0) for x in n)) < 1e-9
+
+
+def test_language_gradient():
+    from manifoldry.llm.language import BLOCK, Field
+
+    rng = np.random.default_rng(4)
+    n, k = [6, 1, BLOCK + 5, 3], 3
+    heads = np.concatenate([[0], np.cumsum(n)])
+    scores, truth = rng.normal(size=(heads[-1], k)), rng.integers(0, k, heads[-1])
+    field = Field(list("abc"))
+    field.transition, field.start = rng.normal(size=(k, k)), rng.normal(size=k)
+
+    def likelihood(s, a, b):
+        out = 0.0
+        for lo, hi in zip(heads[:-1], heads[1:]):
+            z = b + s[lo]
+            out += (b + s[lo])[truth[lo]]
+            for t in range(lo + 1, hi):
+                z = np.logaddexp.reduce(z[:, None] + a, axis=0) + s[t]
+                out += a[truth[t - 1], truth[t]] + s[t, truth[t]]
+            out -= np.logaddexp.reduce(z)
+        return out
+
+    g, g_t, g_s = field.gradient(scores, heads, truth)
+    given, h = [scores, field.transition, field.start], 1e-5
+    for which, mine in enumerate((g, g_t, g_s)):
+        for at in list(np.ndindex(mine.shape))[:40]:
+            up, down = [x.copy() for x in given], [x.copy() for x in given]
+            up[which][at] += h
+            down[which][at] -= h
+            assert abs((likelihood(*up) - likelihood(*down)) / (2 * h) - mine[at]) < 1e-6
+
+
+def test_language_sample_keeps_every_language(spark):
+    from manifoldry.llm.language import identify, train_field, training_texts
+
+    rng = random.Random(9)
+    make = lambda s, n: " ".join("".join(rng.choices(s, k=2)) for _ in range(n))
+    some = [make(["eau", "oi", "que"], 40) for _ in range(20)]
+    data = [(make(["ka", "lo", "mi"], 40), "aa") for _ in range(1500)] + [(t, "cc") for t in some] * 100 + [(make(["sch", "ung", "ein"], 40), "bb")]
+    df = spark.createDataFrame(data, "text string, lang string").repartition(5).cache()
+    found = training_texts(df, docs=50)
+    assert Counter(lang for lang, _ in found) == {"aa": 50, "bb": 1, "cc": 20} and {t for lang, t in found if lang == "cc"} == set(some)
+    assert Counter(lang for lang, _ in training_texts(df, docs=50, total=2)) == {"aa": 1, "bb": 1, "cc": 1}
+    long = make(["ka", "lo", "mi"], 100_000)
+    assert (("aa", long)) in training_texts(spark.createDataFrame([(long, "aa")], "text string, lang string"))
+    got = identify(df, train_field(df, docs=50))
+    assert got.where("lang = lang_pred").count() == len(data)
+
+
 def test_language_id(spark, docs, empty):
     from manifoldry.llm import queries
     from manifoldry.llm.language import Field, identify, train_field
