@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SEPARATOR, U64, append_columns, bytes_of, cut, slices, splitmix, word_hashes, word_spans
 
-#: Hashed weights of each head; bounds of the labelled sample, in rows and in bytes of a row's text; how many of its documents share a feature that is used, and by how many deviations its label's count stands out.
+#: Hashed weights of each head; bound of the labelled sample, in whole documents; how many of its documents share a feature that is used, and by how many deviations its label's count stands out.
 WEIGHTS = 1 << 18
-SAMPLE, LONGEST = 6000, 100_000
+SAMPLE = 6000
 SEEN, SURPRISE = 4, 4.0
 ROUNDS, RATE, DECAY = 30, 0.5, 1e-4
 #: Prior weights stay within these bounds; the site's log-odds count this much.
@@ -123,46 +123,56 @@ class Classifier:
         return sigmoid(self.poor.logits(sr, s, n)), sigmoid(self.toxic.logits(wr, w, n))
 
 
-def train_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """labelled: text, quality (0 or 1), toxic (0 or 1). Of rows with texts of up to LONGEST bytes, the `sample` of least text hash are learned from; None if there are none."""
-    usable = labelled.where("text is not null and quality is not null and toxic is not null").where(F.octet_length("text") <= LONGEST).select("text", (F.col("quality") == 0).alias("poor"), (F.col("toxic") == 1).alias("toxic"), F.xxhash64("text").alias("h"))
-    # the limit comes from the hashes alone, so no text is sorted
-    limit = usable.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if limit is None:
+def train_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier | None:
+    """docs: ids and texts; labels: doc_id, quality (0 or 1), toxic (0 or 1). None if no text has a label.
+
+    Of the distinct labelled texts the `sample` of least hash are learned from, whole, however long; a text with several labels counts once with each. Ids meet labels first,
+    with hashes in place of texts, so a text moves only if it is in the sample; labels without a document, null ids and null texts take no place in it.
+    """
+    i = F.col(f"`{id_col}`").cast("long").alias("doc_id")
+    texts = docs.select(i, F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")).where("doc_id is not null and text is not null")
+    marked = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("poor"), (F.col("toxic") == 1).alias("toxic")).distinct()
+    key = ["h", "poor", "toxic"]
+    # told apart before the limit, and each task keeps its least alone
+    known = cut(texts.select("doc_id", "h").distinct().join(marked, "doc_id").select(*key).distinct().orderBy(*key).limit(sample), "sample")
+    # at most `sample` rows of 10 bytes: a proven bound
+    rows = texts.select("text", "h").join(F.broadcast(known), "h").dropDuplicates(key).toArrow().sort_by([(c, "ascending") for c in key])
+    if not rows.num_rows:
         return None
-    rows = usable.where(F.col("h") <= limit).limit(2 * sample).toArrow()
     flags = [rows.column(c).to_numpy() for c in ("poor", "toxic")]
     return Classifier().fit(rows.column("text").combine_chunks(), *flags)
 
 
-def _weight(mean: Column, n: Column, total_mean: Column, inside: Column) -> Column:
-    """Prior weight by moments: what is left of the spread between groups after their sampling noise, against the spread inside them."""
-    between = F.sum(n * F.pow(mean - total_mean, 2)) / F.sum(n)
-    noise = F.sum(inside) / F.sum(n)
-    groups = F.count(F.lit(1))
-    return F.when(between - noise * groups / F.sum(n) > 0, noise / (between - noise * groups / F.sum(n))).otherwise(MOST)
+def _weight(between: Column, groups: Column, noise: Column, apart: Column) -> Column:
+    """Prior weight by moments, the noise inside groups over the variance of groups' means: between, the groups' sum of squares, is expected to be
+    `groups` (their degrees of freedom) times the noise, and `apart` times that variance. Without any sign of such a variance, MOST."""
+    variance = (between - groups * noise) / apart
+    return F.greatest(F.least(F.when((apart > 0) & (variance > 0), noise / variance).otherwise(MOST), F.lit(MOST)), F.lit(LEAST))
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, n, total, prior, host_mean, host_weight, path_n, path_total): grouped sums with shrunken means. scored: host, path, p."""
+    """One row a site: host, path, path_n and path_total, host_n and host_total (counts and sums of p), and the same in all rows: prior, host_weight, path_weight. scored: host, path, p."""
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("path_n"), F.sum("p").alias("path_total"), F.sum(F.col("p") * F.col("p")).alias("path_squares"))
     hosts = paths.groupBy("host").agg(
-        F.sum("path_n").alias("n"), F.sum("path_total").alias("total"), F.sum("path_squares").alias("squares"),
-        # paths inside the host: their spread and their noise
-        F.sum(F.col("path_total") * F.col("path_total") / F.col("path_n")).alias("explained"), F.count(F.lit(1)).alias("n_paths"),
+        F.sum("path_n").alias("n"), F.sum("path_total").alias("total"), F.sum("path_squares").alias("squares"), F.count(F.lit(1)).cast("double").alias("n_paths"),
+        F.sum(F.col("path_total") * F.col("path_total") / F.col("path_n")).alias("explained"), F.sum(F.col("path_n") * F.col("path_n")).alias("path_n_squares"),
+    )
+    n, of_host = F.col("n"), F.col("total") * F.col("total") / F.col("n")
+    # one row of sums; each sum of squares has the degrees of freedom of its level: hosts less one, paths less hosts, documents less paths
+    world = hosts.agg(
+        F.sum("n").alias("N"), F.sum("total").alias("T"), F.count(F.lit(1)).cast("double").alias("H"), F.sum("n_paths").alias("P"), F.sum("squares").alias("squares"),
+        F.sum("explained").alias("by_path"), F.sum(of_host).alias("by_host"), F.sum(n * n).alias("host_n_squares"), F.sum(n - F.col("path_n_squares") / n).alias("paths_apart"),
     )
-    hosts = hosts.withColumn("mean", F.col("total") / F.col("n"))
-    inside = F.col("squares") - F.col("total") * F.col("mean")
-    world = hosts.agg(F.sum("n").alias("w_n"), F.sum("total").alias("w_total"))
-    prior = F.col("w_total") / F.col("w_n")
-    # one row: the prior and the two weights
-    world = hosts.join(F.broadcast(world)).groupBy("w_n", "w_total").agg(
-        _weight(F.col("mean"), F.col("n"), prior, inside).alias("host_weight"),
-        _weight(F.lit(0.0) + F.sqrt(F.greatest((F.col("explained") - F.col("total") * F.col("mean")) / F.col("n"), F.lit(0.0))), F.col("n"), F.lit(0.0), F.col("squares") - F.col("explained")).alias("path_weight"),
+    N, T, H, P = (F.col(c) for c in "NTHP")
+    in_host = F.when(N > H, (F.col("squares") - F.col("by_host")) / (N - H)).otherwise(0.0)
+    in_path = F.when(N > P, (F.col("squares") - F.col("by_path")) / (N - P)).otherwise(0.0)
+    world = world.select(
+        (T / N).alias("prior"),
+        _weight(F.col("by_host") - T * T / N, H - 1, in_host, N - F.col("host_n_squares") / N).alias("host_weight"),
+        _weight(F.col("by_path") - F.col("by_host"), P - H, in_path, F.col("paths_apart")).alias("path_weight"),
     )
-    world = world.select((F.col("w_total") / F.col("w_n")).alias("prior"), *(F.greatest(F.least(F.col(c), F.lit(MOST)), F.lit(LEAST)).alias(c) for c in ("host_weight", "path_weight")))
-    known = hosts.join(F.broadcast(world)).select("host", "prior", "host_weight", "path_weight", F.col("n").alias("host_n"), F.col("total").alias("host_total"))
-    return paths.join(known, "host")
+    known = hosts.select("host", F.col("n").alias("host_n"), F.col("total").alias("host_total"))
+    return paths.drop("path_squares").join(known, "host").join(F.broadcast(world))
 
 
 QUALITY = "doc_id long, host string, path string, p_poor double, p_toxic double, p double"
@@ -171,8 +181,9 @@ QUALITY = "doc_id long, host string, path string, p_poor double, p_toxic double,
 def score_quality(docs: DataFrame, classifier: Classifier | None, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_poor, p_toxic, p (own evidence), host_posterior, path_posterior, quality (combined, 0 to 1) and keep (boolean) of every row.
 
-    Null text: no words, judged as an empty text. Null host or path: the group of the empty name. Without a classifier (no labels): p is 0.5 for all and all are kept. keep asks for a combined quality of a
-    half and more, and toxic evidence under TOXIC. Repeated rows come back as often, each with the same evidence. Other columns are not read. Empty table: empty result.
+    Null text: no words, judged as an empty text. Texts of any length are judged whole. Null host or path: the group of the empty name. Without a classifier (no labels): p is 0.5 for all
+    and all are kept. keep asks for a combined quality of a half and more (a tie at a half stays), and toxic evidence under TOXIC. Repeated rows come back as often, each with the same evidence.
+    Other columns are not read. Empty table: empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
@@ -188,7 +199,8 @@ def score_quality(docs: DataFrame, classifier: Classifier | None, host: Column,
 
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(f"`{text_col}`").alias("text"))
     scored = cut(append_columns(named, "text", "p_poor double, p_toxic double, p double", run, keep=["doc_id", "host", "path"]), "evidence")
-    sites = site_posteriors(scored)
+    # a written table: its size is known, and a site that holds a third of all rows is split by the adaptive join where it is too large to be sent
+    sites = cut(site_posteriors(scored), "sites")
     joined = scored.join(sites, ["host", "path"])
     clip = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
     logit = lambda x: F.log(clip(x) / (1 - clip(x)))

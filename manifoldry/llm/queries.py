@@ -66,13 +66,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have a source and a language, taken as host and as section of the host. Labels of the fold that is held out are not learned from."""
-    from .quality import SAMPLE, score_quality, train_classifier
+    from .quality import score_quality, train_classifier
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    # the sample is drawn from the labels: at most SAMPLE short rows, which go to the texts
-    known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(SAMPLE)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return score_quality(docs, train_classifier(labelled), F.col("source"), F.col("lang"))
+    return score_quality(docs, train_classifier(docs, labels.where(~held_out())), F.col("source"), F.col("lang"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -456,7 +456,7 @@ def test_quality(spark, docs, empty):
     kinds = [(good, 1, 0), (good, 1, 0), (good, 1, 0), (poor, 0, 0), (toxic, 1, 1)]
     made = [(i, f(), q, t, f"h{i % 7}", f"p{i % 3}") for i in range(1500) for f, q, t in [kinds[i % 5]]]
     df = spark.createDataFrame(made, "doc_id long, text string, quality int, toxic int, host string, path string")
-    c = train_classifier(df.where("doc_id < 1000"))
+    c = train_classifier(df.where("doc_id < 1000"), df)
     got = {r.doc_id: r for r in score_quality(df.where("doc_id >= 1000").withColumn("p", F.lit("clash")), c, F.col("host"), F.col("path")).collect()}
     right = [(got[i].keep, q == 1 and t == 0) for i, _, q, t, _, _ in made if i >= 1000]
     assert sum(a == b for a, b in right) >= 0.97 * len(right)
@@ -466,11 +466,71 @@ def test_quality(spark, docs, empty):
     sites = spark.createDataFrame([(i, good() if i % 10 else poor(), "clean", "x") for i in range(200)] + [(1000 + i, good() if i % 10 == 0 else poor(), "dirty", "x") for i in range(200)] + [(5000, poor(), "new", "x"), (5001, good(), "new", "x")], "doc_id long, text string, host string, path string")
     s = {r.doc_id: r for r in score_quality(sites, c, F.col("host"), F.col("path")).collect()}
     assert s[1].path_posterior > s[5001].path_posterior > s[1000].path_posterior
-    assert train_classifier(df.where("doc_id < 0")) is None
+    assert train_classifier(df.where("doc_id < 0"), df) is None and train_classifier(df, df.where("doc_id < 0")) is None
     assert all(r.keep for r in score_quality(docs, None, F.col("source"), F.col("lang")).collect())
     assert score_quality(empty, c, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_quality_learns_from_long_and_repeated_rows(spark):
+    from manifoldry.llm import quality
+
+    rng = random.Random(8)
+    long = lambda *more: " ".join([*words(rng, 40_000), *more])
+    docs = [(i, long("vile") if i % 2 else long(), "x") for i in range(12)] + [(7, " ".join(words(rng, 9)), "x"), (None, "no id", "x"), (50, None, "x")]
+    docs += [(100, "the same text", "x")] * 300
+    labels = [(i, 1, i % 2) for i in range(12)] + [(i, 1, 1) for i in range(1000, 9000)] + [(100, 1, 0), (None, 0, 0), (50, 0, 0), (3, None, 1)] + [(100, 1, 0)] * 200
+    seen = {}
+
+    class Spy(quality.Classifier):
+        def fit(self, texts, poor, toxic):
+            seen.update({(t, bool(p), bool(x)): None for t, p, x in zip(texts.to_pylist(), poor, toxic)})
+            assert len(seen) == len(texts)
+            return self
+
+    was, quality.Classifier = quality.Classifier, Spy
+    try:
+        df, marks = spark.createDataFrame(docs, "doc_id long, text string, h string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        quality.train_classifier(df, marks, sample=50)
+        assert set(seen) == {(t, False, x == 1) for i, t, _ in docs for j, q, x in labels if i is not None and i == j and t is not None and q is not None}
+        seen.clear()
+        quality.train_classifier(df, marks, sample=5)
+        assert len(seen) == 5
+    finally:
+        quality.Classifier = was
+
+
+def test_site_posteriors_against_plain_moments(spark):
+    from manifoldry.llm.quality import LEAST, MOST, site_posteriors
+
+    rng = np.random.default_rng(10)
+    for spread, inner in ((0.2, 0.1), (0.2, 0.0), (0.0, 0.0)):
+        data = []
+        for h in range(12):
+            base = 0.5 + spread * rng.normal()
+            for q in range(rng.integers(1, 6)):
+                mean = base + inner * rng.normal()
+                data += [(f"h{h}", f"p{q}", float(mean + 0.1 * rng.normal())) for _ in range(rng.integers(1, 30))]
+        p = np.array([r[2] for r in data])
+        host = np.unique([r[0] for r in data], return_inverse=True)[1]
+        path = np.unique([f"{r[0]}/{r[1]}" for r in data], return_inverse=True)[1]
+        of = np.array([host[path == j][0] for j in range(path.max() + 1)])
+        mean_h, n_h = np.bincount(host, p) / np.bincount(host), np.bincount(host)
+        mean_p, n_p = np.bincount(path, p) / np.bincount(path), np.bincount(path)
+        in_host = ((p - mean_h[host]) ** 2).sum() / (len(p) - len(n_h))
+        in_path = ((p - mean_p[path]) ** 2).sum() / (len(p) - len(n_p))
+        v_host = ((n_h * (mean_h - p.mean()) ** 2).sum() - (len(n_h) - 1) * in_host) / (len(p) - (n_h**2).sum() / len(p))
+        v_path = ((n_p * (mean_p - mean_h[of]) ** 2).sum() - (len(n_p) - len(n_h)) * in_path) / (len(p) - (np.bincount(of, n_p**2) / n_h).sum())
+        expected = [np.clip(x / v if v > 0 else MOST, LEAST, MOST) for x, v in ((in_host, v_host), (in_path, v_path))]
+        got = site_posteriors(spark.createDataFrame(data, "host string, path string, p double")).collect()
+        assert len(got) == len(n_p)
+        for r in got:
+            assert np.allclose([r.prior, r.host_weight, r.path_weight], [p.mean(), *expected], rtol=1e-6)
+            mine = [x for h, q, x in data if (h, q) == (r.host, r.path)]
+            assert r.path_n == len(mine) and abs(r.path_total - sum(mine)) < 1e-9 and r.host_n == sum(1 for h, _, _ in data if h == r.host)
+    one = site_posteriors(spark.createDataFrame([("h", "p", 0.5)], "host string, path string, p double")).first()
+    assert one.host_weight == one.path_weight == MOST
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline as P
 
