@@ -139,7 +139,7 @@ def test_simhash_links_and_components(spark):
 
 
 def test_nearest(spark):
-    from manifoldry.llm.nearest import nearest, tile
+    from manifoldry.llm.nearest import Block, Heaps, nearest
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
@@ -158,7 +158,10 @@ def test_nearest(spark):
     few = nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert nearest(df.where("vec_id < 0"), df.where("vec_id < 0"), 5).count() == 0
-    assert len(tile(np.arange(2), x[:2], np.arange(300), x, 7)[0]) == 14
+    heaps = Heaps(Block.of(np.arange(2), x[:2]), 7)
+    for lo in (0, 150):
+        heaps.meet(Block.of(np.arange(lo, lo + 150), x[lo : lo + 150]))
+    assert heaps.rows().num_rows == 14
 
 
 def test_nearest_ranks_repeated_rows(spark):
@@ -180,6 +183,29 @@ def test_nearest_ranks_repeated_rows(spark):
             assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == expected
 
 
+def test_nearest_in_many_blocks_with_a_hot_vector(spark):
+    from manifoldry.llm.nearest import nearest
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[300:600] = x[0]
+    x[600:700] = x[1] + 3e-3 * rng.normal(size=(100, 8))
+    ids = [7 if 400 <= i < 500 else i for i in range(900)]
+    data = [(i, r.tolist()) for i, r in zip(ids, x)] + [(2000 + i, rng.normal(size=4).tolist()) for i in range(9)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    asked = df.where("vec_id % 25 = 0 or vec_id = 7")
+    u = np.array([r / np.linalg.norm(r) for r in x.astype(np.float64)])
+    score = np.round(u @ u.T, 12)
+    expected = []
+    for q in sorted({i for i in ids if i % 25 == 0 or i == 7}):
+        mine = [i for i, v in enumerate(ids) if v == q]
+        expected += [(q, r + 1, v) for r, (_, v) in enumerate(sorted((-score[i, j], ids[j]) for i in mine for j in range(900) if ids[j] != q)[:5])]
+    got = nearest(df, asked, 5, block=64).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got if r.query_id < 2000) == expected
+    wide = [(2000, a[0]) for a in data if 2000 < a[0] < 2009]
+    assert {r.vec_id for r in got if r.query_id == 2000} <= {v for _, v in wide} and sum(r.query_id == 2000 for r in got) == 5
+
+
 def test_pieces_equal_the_library(docs, empty):
     import sentencepiece
 
