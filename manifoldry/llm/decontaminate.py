@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-TF-IDF counts A of all passages of the corpus, over hashed words, go through a randomised SVD: every task adds up its share of S A, where S is a
-sparse random matrix that adds each passage, with a random sign, to one of DRAWN rows. The shares are summed in a tree, and a small SVD on the
-driver gives the leading right singular vectors. The weights of features come in after the sums, so one pass counts and draws. Passages at several
+TF-IDF counts A of all passages of the corpus, over hashed words, go through a randomised SVD. One pass counts in how many passages each feature stands. The
+next is the power pass: every task adds up its share of A' A O, where O has DRAWN random orthonormal columns, some more than are kept. The shares are summed in a
+tree, and the driver solves the small problem that gives the leading right singular vectors from this one product (Nystroem's form for A' A; Tropp and others, 2017).
+A passage's product with O is rounded to whole numbers, so sums are exact and the vectors don't depend on how rows fall into partitions. Passages at several
 lengths and the benchmark's items are projected and whitened; pairs of high cosine are candidates, and so is every passage, whatever its cosine,
 that has as many of an item's rarest words as a hit can't do without. A candidate is a hit if the longest common subsequence of words holds enough
 of the item, and enough of its answer, the item's last words.
@@ -24,6 +25,8 @@ from .common import FAMILIES, U64, append_columns, bytes_of, slices, word_hashes
 #: Hashed words, and singular vectors kept and drawn.
 FEATURES = 1 << 15
 RANK, DRAWN = 48, 64
+#: Steps of a whole number in a passage's coordinate of the power pass.
+STEPS = 1024
 #: Words of a passage in the statistics, and of the blocks that searched passages are made of.
 PASSAGE, BLOCK = 32, 8
 COSINE = 0.4
@@ -54,6 +57,29 @@ def _feature(words: np.ndarray) -> np.ndarray:
     return (words & U64(FEATURES - 1)).astype(np.int64)
 
 
+def _runs(feature: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' words in runs of `size`: a matrix of features with FEATURES where a row's last run is short, and each word's run."""
+    n = np.diff(first)
+    base = np.concatenate([[0], np.cumsum(-(-n // size))])
+    place = np.arange(len(feature)) - np.repeat(first[:-1] - first[0], n)
+    run = np.repeat(base[:-1], n) + place // size
+    out = np.full((int(base[-1]), size), FEATURES)
+    out[run, place % size] = feature
+    return out, run
+
+
+def _sums(runs: np.ndarray, of_feature: np.ndarray) -> np.ndarray:
+    """Each run's sum of rows of of_feature, whose last row, for no word, is 0."""
+    out = of_feature[runs[:, 0]]
+    for j in range(1, runs.shape[1]):
+        out += of_feature[runs[:, j]]
+    return out
+
+
+def _closed(of_feature: np.ndarray) -> np.ndarray:
+    return np.concatenate([of_feature, np.zeros((1, of_feature.shape[1]), dtype=of_feature.dtype)])
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
     for batch in batches:
         _, at = bytes_of(batch.column(0))
@@ -61,66 +87,94 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
             yield batch.column(0).slice(lo, hi - lo)
 
 
-def _sum_tree(rows: DataFrame, size: int, width: int) -> DataFrame:
-    """Sums of the tasks' parts, piece by piece, in two levels: `width` tasks at a time, then their sums."""
+#: Pieces that the tasks' sums are cut into, and tasks whose sums are added at a time.
+PIECES, WIDTH = 32, 256
+SUMS = "piece int, task int, part binary"
 
-    def add(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(x.as_py(), size) for x in table.column("part").combine_chunks()]
-        total = np.concatenate([sum(p[0] for p in parts), sum(p[1] for p in parts)])
-        return pa.table({"piece": table.column("piece")[:1], "task": table.column("task")[:1], "part": pa.array([_packed(total, size)], pa.binary())})
 
-    schema = "piece int, task int, part binary"
-    once = rows.groupBy("piece", F.floor(F.col("task") / width).alias("some")).applyInArrow(lambda table: add(table), schema)
-    return once.groupBy("piece").applyInArrow(lambda table: add(table), schema)
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers, in half the space if they are small, as those of one task mostly are."""
+    small = np.abs(x).max(initial=0) < 1 << 31
+    return bytes([4 if small else 8]) + x.astype(np.int32 if small else np.int64).tobytes()
 
 
-def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES x RANK: takes counts of features to whitened latent coordinates; and the share of passages that have each feature. All passages of texts (one column) take part."""
-    pieces = 32
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.int32 if raw[0] == 4 else np.int64, offset=1).astype(np.int64)
+
+
+def _total(texts: DataFrame, task_sums) -> np.ndarray | None:
+    """The sum over all tasks of task_sums(parts of texts), a matrix of whole numbers with a row a feature; None without a task. Two levels of adding, so no task reads a row of every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        rng = np.random.default_rng((seed, task))
-        drawn = np.zeros(DRAWN * FEATURES, dtype=np.float32)
-        counts, passages = np.zeros(FEATURES, dtype=np.int64), 0
-        for part in _parts(batches):
-            words, first = _words(part)
-            n = np.diff(first)
-            per_row = -(-n // PASSAGE)
-            base = np.concatenate([[0], np.cumsum(per_row)])
-            passage = np.repeat(base[:-1], n) + (np.arange(len(words)) - np.repeat(first[:-1], n)) // PASSAGE
-            feature, total = _feature(words), int(base[-1])
-            row, sign = rng.integers(0, DRAWN, total), rng.integers(0, 2, total) * 2 - 1
-            key, which = np.unique(row[passage] * FEATURES + feature, return_inverse=True)
-            drawn[key] += np.bincount(which, sign[passage], minlength=len(key)).astype(np.float32)
-            key = np.sort(passage * FEATURES + feature)
-            counts += np.bincount(key[np.diff(key, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
-            passages += total
-        size = FEATURES // pieces
-        part = [np.concatenate([drawn.reshape(DRAWN, FEATURES)[:, i * size : (i + 1) * size].ravel(), counts[i * size : (i + 1) * size], [passages]]).astype(np.float64) for i in range(pieces)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([task] * pieces, pa.int32()), pa.array([_packed(x, size) for x in part], pa.binary())], names=["piece", "task", "part"])
+        sums = task_sums(_parts(batches))
+        part = [_packed(x.ravel()) for x in np.split(sums, PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array(part, pa.binary())], names=["piece", "task", "part"])
 
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("part"):
+            x = _unpacked(x.as_py())
+            total = x if total is None else total + x
+        return pa.table({"piece": table.column("piece")[:1], "task": table.column("task")[:1], "part": pa.array([_packed(total)], pa.binary())})
+
+    rows = texts.mapInArrow(run, SUMS)
+    once = rows.groupBy("piece", F.floor(F.col("task") / WIDTH).alias("some")).applyInArrow(lambda table: add(table), SUMS)
     # the driver gets PIECES rows of one size, whatever the corpus
-    size = FEATURES // pieces
-    got = {r.piece: _unpacked(r.part, size) for r in _sum_tree(texts.mapInArrow(run, "piece int, task int, part binary"), size, 256).collect()}
-    if not got or not got[0][1][-1]:
-        return np.zeros((FEATURES, RANK), dtype=np.float32), np.zeros(FEATURES)
-    n = int(got[0][1][-1])
-    df = np.concatenate([got[i][1][:-1] for i in range(pieces)])
-    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0)
-    y = np.concatenate([got[i][0].reshape(DRAWN, size) for i in range(pieces)], axis=1) * idf
-    _, s, v = np.linalg.svd(y, full_matrices=False)
-    scale = np.where(s > 1e-6 * max(s[0], 1e-30), 1 / np.maximum(s, 1e-30), 0)[:RANK]
-    return (idf[:, None] * v[:RANK].T * scale * s[0]).astype(np.float32), df / n
-
+    got = {r.piece: _unpacked(r.part) for r in once.groupBy("piece").applyInArrow(lambda table: add(table), SUMS).collect()}
+    return np.concatenate([got[i] for i in range(PIECES)]).reshape(FEATURES, -1) if got else None
+
+
+def _counting(parts: Iterator[pa.Array]) -> np.ndarray:
+    """How many passages have each feature; a second column with the number of passages in its first row."""
+    out = np.zeros((FEATURES, 2), dtype=np.int64)
+    for part in parts:
+        words, first = _words(part)
+        runs, run = _runs(_feature(words), first, PASSAGE)
+        key = np.sort(run * FEATURES + _feature(words))
+        out[:, 0] += np.bincount(key[np.diff(key, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
+        out[0, 1] += len(runs)
+    return out
 
-def _packed(x: np.ndarray, size: int) -> bytes:
-    """Sums in single precision, counts as whole numbers."""
-    return x[: DRAWN * size].astype(np.float32).tobytes() + x[DRAWN * size :].astype(np.int64).tobytes()
 
+def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES x RANK: takes counts of features to whitened latent coordinates; and the share of passages that have each feature. All passages of texts (one column) take part."""
+    counts = _total(texts, _counting)
+    n = 0 if counts is None else int(counts[0, 1])
+    if not n:
+        return np.zeros((FEATURES, RANK), dtype=np.float32), np.zeros(FEATURES)
+    df = counts[:, 0]
+    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0)
+    drawn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(FEATURES, DRAWN)))
+    # of one size, whatever the corpus
+    shared = texts.sparkSession.sparkContext.broadcast(_closed((idf[:, None] * drawn * STEPS).astype(np.float32)))
 
-def _unpacked(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(raw, dtype=np.float32, count=DRAWN * size).astype(np.float64), np.frombuffer(raw, dtype=np.int64, offset=4 * DRAWN * size)
+    def power(parts: Iterator[pa.Array]) -> np.ndarray:
+        out = np.zeros((FEATURES, DRAWN), dtype=np.int64)
+        for part in parts:
+            words, first = _words(part)
+            feature = _feature(words)
+            runs, run = _runs(feature, first, PASSAGE)
+            if not len(runs):
+                continue
+            projected = np.rint(_sums(runs, shared.value)).astype(np.int32)
+            order = np.argsort(feature.astype(np.uint16), kind="stable")
+            at = feature[order]
+            heads = np.flatnonzero(np.diff(at, prepend=-1))
+            out[at[heads]] += np.add.reduceat(projected[run[order]], heads, axis=0)
+        return out
+
+    y = idf[:, None] * _total(texts, power) / STEPS
+    shift = 1e-9 * np.linalg.norm(y)
+    y += shift * drawn
+    core = drawn.T @ y
+    # eigenvalues of the core, rather than a factor that rounding can spoil
+    w, v = np.linalg.eigh((core + core.T) / 2)
+    u, s, _ = np.linalg.svd(y @ (v / np.sqrt(np.maximum(w, 1e-12 * max(w[-1], 1e-30)))), full_matrices=False)
+    s = np.sqrt(np.maximum(s * s - shift, 0))
+    u = u * np.where(u[np.abs(u).argmax(axis=0), range(u.shape[1])] < 0, -1, 1)
+    scale = np.where(s > 1e-4 * max(s[0], 1e-30), 1 / np.maximum(s, 1e-30), 0)[:RANK]
+    return (idf[:, None] * u[:, :RANK] * scale * s[0]).astype(np.float32), df / n
 
 
 def lcs(pattern: list[int], text: list[int]) -> int:
@@ -220,7 +274,7 @@ class Items:
 
 
 def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Items, cosine: float) -> list[dict[int, float]]:
-    """For each row, the items it holds, with the share of words found."""
+    """For each row, the items it holds, with the share of words found. basis: closed by a row of 0."""
     hits: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
     n = np.diff(first)
     per_row = -(-n // BLOCK)
@@ -230,7 +284,7 @@ def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Item
     row_of = np.repeat(np.arange(len(n)), per_row)
     number = np.arange(base[-1]) - base[row_of]
     heads = first[row_of] + number * BLOCK
-    sums = np.add.reduceat(basis[_feature(words)], heads, axis=0)
+    sums = _sums(_runs(_feature(words), first, BLOCK)[0], basis)
     total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
     rare = items.rare_places(words)
     for length, (members, z) in items.classes.items():
@@ -270,7 +324,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     Other columns are kept (or those in keep); one named benchmark_hits is replaced. An empty table or benchmark: no hits.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(latent_basis(docs.select(F.col(f"`{text_col}`").alias("text"))))
+    basis, common = latent_basis(docs.select(F.col(f"`{text_col}`").alias("text")))
+    shared = spark.sparkContext.broadcast((_closed(basis), common))
     asked = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
     # the benchmark is a stated list; it is taken in turns of at most ITEMS items, in no need of more memory when it is longer
     turns = max(1, -(-asked.count() // ITEMS))

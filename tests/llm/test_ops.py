@@ -472,6 +472,62 @@ def test_decontamination_in_repetitive_documents(spark):
     assert [i for i in range(len(items)) if i not in got[200 + i]] == []
 
 
+def test_decontamination_finds_what_a_search_of_all_pairs_finds(spark):
+    from manifoldry.llm import decontaminate as D
+
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(30)]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(400)}" for _ in range(n)]
+    items = [prose(rng.randint(10, 40)) for _ in range(20)]
+    data = []
+    for i in range(120):
+        text = prose(rng.randint(0, 150))
+        if i % 2:
+            item = [w for w in items[rng.randrange(20)]]
+            for p in rng.sample(range(len(item)), rng.randint(0, len(item) // 4)):
+                item[p] = rng.choice(common)
+            at = rng.randint(0, len(text))
+            text[at:at] = item
+        data.append(text)
+    truth = set()
+    for i, text in enumerate(data):
+        for j, item in enumerate(items):
+            n, size = len(item), int(1.25 * len(item))
+            for a in range(0, max(1, len(text) - size + 4), 4):
+                part = text[a : a + size]
+                if D.lcs(item, part) >= np.ceil(D.SHARE * n) and D.lcs(item[-D.ANSWER :], part) >= D.ANSWER_SHARE * D.ANSWER:
+                    truth.add((i, j))
+                    break
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(data)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, h.item_id) for r in D.benchmark_hits(df, bench).collect() for h in r.benchmark_hits}
+    assert len(truth) > 40 and len(truth & got) >= 0.98 * len(truth)
+    for i, j in got:
+        assert D.lcs(items[j], data[i]) >= D.SHARE * len(items[j])
+
+
+def test_latent_basis(spark):
+    from manifoldry.llm import decontaminate as D
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    one, share = D.latent_basis(texts.coalesce(1))
+    many, other = D.latent_basis(texts.repartition(7))
+    assert np.array_equal(one, many) and np.array_equal(share, other)
+    words, first = D._words(pa.array([r.text for r in texts.collect()]))
+    feature = D._feature(words)
+    runs, run = D._runs(feature, first, D.PASSAGE)
+    a = np.zeros((len(runs), D.FEATURES), dtype=np.float32)
+    np.add.at(a, (run, feature), 1)
+    df = (a > 0).sum(axis=0)
+    assert np.allclose(share, df / len(runs))
+    idf = np.where(df > 0, np.log((1 + len(runs)) / (1 + df)) + 1, 0)
+    a *= idf.astype(np.float32)
+    spectrum = np.linalg.eigvalsh((a @ a.T).astype(np.float64))[::-1]
+    q, _ = np.linalg.qr(one / np.where(idf > 0, idf, 1)[:, None])
+    # of what the exact leading singular vectors hold of the variance
+    assert np.linalg.norm(a @ q) ** 2 >= 0.85 * spectrum[: D.RANK].sum()
+
+
 def test_quality(spark, docs, empty):
     from manifoldry.llm.quality import score_quality, train_classifier
 
