@@ -271,13 +271,18 @@ class Field:
 def training_texts(labelled: DataFrame, docs: int = DOCS, total: int = ALL_DOCS) -> list[tuple[str, str]]:
     """A bounded sample of labelled whole texts (columns text, lang): of each language the `docs` distinct texts of least hash, fewer with so many languages that this makes over `total`.
 
-    Texts are told apart before they are counted, so a language of few texts that repeat has all of them in the sample. Each task sends on a language's least hashes only.
+    Texts are told apart before they are counted, so a language of few texts that repeat has all of them in the sample. How many a language has sets a hash below which half
+    as many again as are wanted lie, far more than chance can take away; those alone are ranked, so a frequent language is counted but never gathered.
     """
     marked = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    each = max(1, min(docs, total // max(1, marked.select("lang").distinct().count())))
+    seen = cut(marked.select("lang", "h").distinct(), "seen")
+    # a row a language, in written tables: their size is known, and decides how they are joined
+    counts = cut(seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(1, min(docs, total // max(1, counts.count())))
+    some = 1.5 * each + 40
+    limits = counts.select("lang", F.when(F.col("n") <= some, F.lit((1 << 63) - 1)).otherwise((F.lit(some) / F.col("n") * 2.0**64 - 2.0**63).cast("long")).alias("most"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    # a written table: its size is known, and decides how it is joined
-    least = cut(marked.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= each).select("lang", "h"), "sample")
+    least = cut(seen.join(limits, "lang").where("h <= most").withColumn("r", rank).where(F.col("r") <= each).select("lang", "h"), "sample")
     picked = marked.join(least, ["lang", "h"]).dropDuplicates(["lang", "h"])
     return sorted((r.lang, r.text) for r in picked.select("lang", "text").collect())
 
