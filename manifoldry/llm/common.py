@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 
@@ -50,6 +52,26 @@ def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with less rows than the first is never hot; more keys than the second can't be, since each has more than its part of all rows; and in how many parts a hot key falls.
+COLD, HOT, SALTS = 10_000, 4096, 64
+
+
+def join_by_counts(left: DataFrame, right: DataFrame, keys: list[str], count: str, by: str, total: int | None = None) -> DataFrame:
+    """The inner join of left with right, which has one row a key and in `count` how many rows of left have that key; total: the sum of all counts, if known.
+
+    A key that holds over a HOTth of all rows is dealt to SALTS tasks, by the hash of left's column `by`. The keys to look out for are HOT rows at most, a proven bound for their broadcast.
+    """
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
+    if total < COLD:
+        return left.join(right, keys)
+    is_hot = F.col(count) >= max(COLD, -(-total // HOT))
+    hot = right.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot").join(salted, [*keys, "__salt"]).drop("__salt")
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 on an array of unsigned 64-bit integers."""
     x = x ^ (x >> U64(30))
@@ -153,9 +175,6 @@ def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str
 
     A column of df with the name of a new one is replaced, as by withColumn. Row order inside a batch stays.
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import StructType
-
     new = StructType.fromDDL(fields)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     schema = StructType([*(df.schema[c] for c in kept), *new])

@@ -402,6 +402,19 @@ def test_line_dedup(docs, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_a_hot_window(spark, monkeypatch):
+    from manifoldry.llm import common, lines
+
+    monkeypatch.setattr(common, "COLD", 20)
+    monkeypatch.setattr(lines, "FILTER", 4)
+    rng = random.Random(14)
+    hot = "\n".join(" ".join(words(rng, 4)) for _ in range(4))
+    data = [(i, f"{' '.join(words(rng, 5))}\n{hot}\nend {i}" if i % 3 == 0 else "\n".join(" ".join(words(rng, 2, 3)) for _ in range(6)), "en", "s", 1) for i in range(300)]
+    expected = plain_line_dedup(data)
+    got = lines.dedup_lines(spark.createDataFrame(data, SCHEMA).withColumn("was", F.col("text")).repartition(5)).collect()
+    assert bag((r.doc_id, r.was, r.text, r.n_lines, r.n_removed) for r in got) == bag((r[0], r[1], *expected[(r[0], r[1])]) for r in data)
+
+
 def test_licenses(docs, empty, spark):
     from manifoldry.llm.licenses import CONTAINED, TEMPLATES, scan_licenses
 
