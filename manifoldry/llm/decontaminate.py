@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-TF-IDF counts A of all passages of the corpus, over hashed words, go through a randomised SVD. One pass counts in how many passages each feature stands. The
-next is the power pass: every task adds up its share of A' A O, where O has DRAWN random orthonormal columns, some more than are kept. The shares are summed in a
-tree, and the driver solves the small problem that gives the leading right singular vectors from this one product (Nystroem's form for A' A; Tropp and others, 2017).
-A passage's product with O is rounded to whole numbers, so sums are exact and the vectors don't depend on how rows fall into partitions. Passages at several
+TF-IDF counts A = C D of all passages of the corpus, over hashed words, go through a randomised SVD. In one pass every task counts in how many passages each
+feature stands and adds up its share of the power product C' C S, where S has DRAWN columns of random signs, some more than are kept. All of this is whole numbers, so the sums are exact
+and don't depend on how rows fall into partitions. With D, the features' weights, known after the pass, D C' C S = A' A O for O = S / D, and from this one product the
+driver solves the small problem that gives the leading right singular vectors (Nystroem's form; Tropp and others, 2017). Passages at several
 lengths and the benchmark's items are projected and whitened; pairs of high cosine are candidates, and so is every passage, whatever its cosine,
 that has as many of an item's rarest words as a hit can't do without. A candidate is a hit if the longest common subsequence of words holds enough
 of the item, and enough of its answer, the item's last words.
@@ -25,8 +25,8 @@ from .common import FAMILIES, U64, append_columns, bytes_of, slices, word_hashes
 #: Hashed words, and singular vectors kept and drawn.
 FEATURES = 1 << 15
 RANK, DRAWN = 48, 64
-#: Steps of a whole number in a passage's coordinate of the power pass.
-STEPS = 1024
+#: A feature with more words than this in a slice of the corpus is frequent there.
+FEW = 64
 #: Words of a passage in the statistics, and of the blocks that searched passages are made of.
 PASSAGE, BLOCK = 32, 8
 COSINE = 0.4
@@ -93,13 +93,15 @@ SUMS = "piece int, task int, part binary"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers, in half the space if they are small, as those of one task mostly are."""
+    """Whole numbers, in half the space if they are small, and compressed: those of one task mostly are small or 0."""
     small = np.abs(x).max(initial=0) < 1 << 31
-    return bytes([4 if small else 8]) + x.astype(np.int32 if small else np.int64).tobytes()
+    raw = x.astype(np.int32 if small else np.int64).tobytes()
+    return len(raw).to_bytes(8, "little") + bytes([4 if small else 8]) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.int32 if raw[0] == 4 else np.int64, offset=1).astype(np.int64)
+    whole = pa.decompress(raw[9:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(whole, dtype=np.int32 if raw[8] == 4 else np.int64).astype(np.int64)
 
 
 def _total(texts: DataFrame, task_sums) -> np.ndarray | None:
@@ -125,46 +127,67 @@ def _total(texts: DataFrame, task_sums) -> np.ndarray | None:
     return np.concatenate([got[i] for i in range(PIECES)]).reshape(FEATURES, -1) if got else None
 
 
-def _counting(parts: Iterator[pa.Array]) -> np.ndarray:
-    """How many passages have each feature; a second column with the number of passages in its first row."""
-    out = np.zeros((FEATURES, 2), dtype=np.int64)
-    for part in parts:
-        words, first = _words(part)
-        runs, run = _runs(_feature(words), first, PASSAGE)
-        key = np.sort(run * FEATURES + _feature(words))
-        out[:, 0] += np.bincount(key[np.diff(key, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
-        out[0, 1] += len(runs)
-    return out
+def _signs(seed: int) -> np.ndarray:
+    """FEATURES rows of DRAWN random signs, and a row of 0 for no word."""
+    return _closed((np.random.default_rng(seed).integers(0, 2, (FEATURES, DRAWN)) * 2 - 1).astype(np.int8))
+
+
+def _scatter(out: np.ndarray, feature: np.ndarray, run: np.ndarray, of_run: np.ndarray) -> None:
+    """out[feature] += of_run[run] for all words. of_run: whole numbers of at most PASSAGE in size."""
+    # rank of each word among those of its feature
+    order = np.argsort(feature.astype(np.uint16), kind="stable")
+    times = np.bincount(feature, minlength=FEATURES)
+    many = times > FEW
+    heads = np.cumsum(times) - times
+    # frequent features, as a matrix of their counts in runs
+    column = np.cumsum(many) - 1
+    of = many[feature]
+    if of.any():
+        width = int(many.sum())
+        counts = np.bincount(run[of] * width + column[feature[of]], minlength=len(of_run) * width).reshape(-1, width)
+        out[many] += (counts.astype(np.float32).T @ of_run.astype(np.float32)).astype(np.int64)
+    # the others: all first words of a feature, all second words, and so on
+    some = np.flatnonzero((times > 0) & ~many)
+    some = some[np.argsort(-times[some], kind="stable")]
+    left, wide = np.searchsorted(-times[some], -np.arange(1, FEW + 1), side="right"), of_run.astype(np.int16)
+    sums = np.zeros((len(some), of_run.shape[1]), dtype=np.int16)
+    for j in range(FEW):
+        if not left[j]:
+            break
+        sums[: left[j]] += wide[run[order[heads[some[: left[j]]] + j]]]
+    out[some] += sums
 
 
 def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """FEATURES x RANK: takes counts of features to whitened latent coordinates; and the share of passages that have each feature. All passages of texts (one column) take part."""
-    counts = _total(texts, _counting)
-    n = 0 if counts is None else int(counts[0, 1])
-    if not n:
-        return np.zeros((FEATURES, RANK), dtype=np.float32), np.zeros(FEATURES)
-    df = counts[:, 0]
-    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0)
-    drawn, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(FEATURES, DRAWN)))
-    # of one size, whatever the corpus
-    shared = texts.sparkSession.sparkContext.broadcast(_closed((idf[:, None] * drawn * STEPS).astype(np.float32)))
 
     def power(parts: Iterator[pa.Array]) -> np.ndarray:
-        out = np.zeros((FEATURES, DRAWN), dtype=np.int64)
+        signs = _signs(seed)
+        # the product, the number of passages that have each feature, and in the first row the number of all
+        out = np.zeros((FEATURES, DRAWN + 2), dtype=np.int64)
         for part in parts:
             words, first = _words(part)
             feature = _feature(words)
             runs, run = _runs(feature, first, PASSAGE)
             if not len(runs):
                 continue
-            projected = np.rint(_sums(runs, shared.value)).astype(np.int32)
-            order = np.argsort(feature.astype(np.uint16), kind="stable")
-            at = feature[order]
-            heads = np.flatnonzero(np.diff(at, prepend=-1))
-            out[at[heads]] += np.add.reduceat(projected[run[order]], heads, axis=0)
+            # a sum of at most PASSAGE signs
+            _scatter(out[:, :DRAWN], feature, run, _sums(runs, signs))
+            key = np.sort(run * FEATURES + feature)
+            out[:, DRAWN] += np.bincount(key[np.diff(key, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
+            out[0, DRAWN + 1] += len(runs)
         return out
 
-    y = idf[:, None] * _total(texts, power) / STEPS
+    sums = _total(texts, power)
+    n = 0 if sums is None else int(sums[0, DRAWN + 1])
+    if not n:
+        return np.zeros((FEATURES, RANK), dtype=np.float32), np.zeros(FEATURES)
+    df = sums[:, DRAWN]
+    idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0)
+    inverse = np.where(df > 0, 1 / np.maximum(idf, 1e-30), 0)
+    # an orthonormal O, and the product with it
+    drawn, r = np.linalg.qr(inverse[:, None] * _signs(seed)[:-1])
+    y = np.linalg.lstsq(r.T, (idf[:, None] * sums[:, :DRAWN]).T, rcond=1e-10)[0].T
     shift = 1e-9 * np.linalg.norm(y)
     y += shift * drawn
     core = drawn.T @ y
