@@ -72,6 +72,19 @@ def join_by_counts(left: DataFrame, right: DataFrame, keys: list[str], count: st
     return left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot").join(salted, [*keys, "__salt"]).drop("__salt")
 
 
+#: Words of 64 bits of a filter: it is of a fixed size, and lets more rows through than it must where very many are known.
+FILTER = 1 << 19
+
+
+def sift(df: DataFrame, known: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """df in two parts by a column of 64-bit hashes: rows whose hash known's column of that name may hold, and rows whose hash it surely doesn't. What is done with the first shuffles no row of the second."""
+    word, bit = F.col(column).bitwiseAND(FILTER - 1), F.shiftrightunsigned(column, 58).cast("int")
+    # FILTER rows at most: a proven bound
+    bits = known.groupBy(word.alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 58) as int))")).alias("__bits"))
+    sifted = df.withColumn("__word", word).join(F.broadcast(bits), "__word", "left").withColumn("__may", F.coalesce(F.getbit("__bits", bit), F.lit(0)) == 1)
+    return tuple(sifted.where(c).select(*df.columns) for c in ("__may", "not __may"))
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 on an array of unsigned 64-bit integers."""
     x = x ^ (x >> U64(30))

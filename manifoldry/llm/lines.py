@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_counts
+from .common import cut, join_by_counts, sift
 
 LINES = 3
-#: Words of 64 bits of the filter: it is of a fixed size, and lets more texts through than it must where very many lose lines.
-FILTER = 1 << 19
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -52,18 +50,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = cut(later_windows(docs, id_col, text_col), "gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names), *_key(id_col, text_col))
-    word, bit = F.col("__k").bitwiseAND(FILTER - 1), F.shiftrightunsigned("__k", 58).cast("int")
-    # FILTER rows at most: a proven bound
-    filter_ = gone.groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(__k, 58) as int))")).alias("__bits"))
-    sifted = keyed.withColumn("__word", word).join(F.broadcast(filter_), "__word", "left").withColumn("__may", F.coalesce(F.getbit("__bits", bit), F.lit(0)) == 1).drop("__word", "__bits")
-    may = sifted.where("__may").join(gone, ["__null", "__id", "__k"], "left")
-    stay = sifted.where("not __may").withColumn("__covered", F.lit(None).cast("array<int>"))
+    may, rest = sift(keyed, gone, "__k")
+    both = may.join(gone, ["__null", "__id", "__k"], "left").unionByName(rest.withColumn("__covered", F.lit(None).cast("array<int>")))
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
     p = F.col("__covered")
     # a run begins at a start that none of the starts just before reaches, and ends likewise
     begins = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - LINES))
     ends = F.transform(F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + LINES)), lambda x: x + LINES)
-    with_runs = may.unionByName(stay).withColumn("__b", begins).withColumn("__e", ends).withColumn("__lines", lines)
+    with_runs = both.withColumn("__b", begins).withColumn("__e", ends).withColumn("__lines", lines)
     b, e, n = F.col("__b"), F.col("__e"), F.size("__lines")
     lo = lambda i: F.when(i == 0, 0).otherwise(F.get(e, i - 1))
     hi = lambda i: F.when(i == F.size(b), n).otherwise(F.get(b, i))

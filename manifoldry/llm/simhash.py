@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint is eight (position, byte) postings. Two fingerprints that differ in at most two bits differ in at most two
 bytes, so they share at least six postings. The index is keyed by every choice of six positions with their bytes: a pair meets in
-it exactly if its count of shared postings reaches that minimum. A posting list then holds distinct fingerprints that differ in
+it exactly if its count of shared postings reaches that minimum, which is the count filter; fewer shared postings never meet. A posting list then holds distinct fingerprints that differ in
 two known bytes only, so it never has more than 65,536 members, however many documents are copies. In a list, members are linked through
 the values one bit away from them: two members share such a value exactly if they differ in at most two bits. Each value links its
 members to the least one, so links grow with members and not with pairs.
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, cut, drop_scratch, slices
+from .common import U64, bytes_of, cut, drop_scratch, join_by_counts
 
 SHINGLE = 3
 SEED = 42
@@ -95,9 +95,7 @@ def _links(choice: np.ndarray, fp: np.ndarray) -> np.ndarray:
     least = who[first][np.cumsum(first) - 1]
     pairs = np.unique(np.stack([who, least], axis=1)[who != least], axis=0)
     x = pairs[:, 0] ^ pairs[:, 1]
-    shared = ((x[:, None] >> (np.arange(8, dtype=U64) * U64(8))) & U64(255) == 0).sum(axis=1)
-    differ = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1)
-    return pairs[(shared >= 8 - BITS) & (differ <= BITS)]
+    return pairs[np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1) <= BITS]
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -142,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
     """The connected components of edges (a, b), as (node, root) with the least node as root; only nodes that have an edge.
 
     Large star and small star in turns (Kiveris and others, 2014): each turn joins neighbours to the least one they know. Every turn's
-    edges are written to the shared folder.
+    edges are written to the shared folder. A node with a large part of all edges is dealt to many tasks.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -151,11 +149,12 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
+        edges_twice = 2 * mark[0]
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_by_counts(both, least, ["a"], "n", "b", edges_twice).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_counts(large, least, ["a"], "n", "b", edges_twice).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         was, now = now, cut(small, "edges")
         drop_scratch(now.sparkSession, was)
 
@@ -167,9 +166,11 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     component without any doc_id has component_id null. Repeated rows come back as often. Other columns are not read. Empty table: empty result.
     """
     marked = cut(fingerprints(docs, id_col, text_col, with_keys), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp")))
     root = F.coalesce("root", "fp").alias("root")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", root)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
-    return marked.join(named, "fp").select("doc_id", *(["a", "b"] if with_keys else []), "fp", "component_id", "root")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", root)
+    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = cut(join_by_counts(rooted, of_root, ["root"], "members", by="fp").select("fp", "n", "component_id", "root"), "components")
+    # copies of one text may be a third of all rows: their fingerprint is dealt to many tasks
+    return join_by_counts(marked, named, ["fp"], "n", by="doc_id").select("doc_id", *(["a", "b"] if with_keys else []), "fp", "component_id", "root")

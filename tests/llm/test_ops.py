@@ -406,7 +406,7 @@ def test_line_dedup_with_a_hot_window(spark, monkeypatch):
     from manifoldry.llm import common, lines
 
     monkeypatch.setattr(common, "COLD", 20)
-    monkeypatch.setattr(lines, "FILTER", 4)
+    monkeypatch.setattr(common, "FILTER", 4)
     rng = random.Random(14)
     hot = "\n".join(" ".join(words(rng, 4)) for _ in range(4))
     data = [(i, f"{' '.join(words(rng, 5))}\n{hot}\nend {i}" if i % 3 == 0 else "\n".join(" ".join(words(rng, 2, 3)) for _ in range(6)), "en", "s", 1) for i in range(300)]
@@ -671,6 +671,65 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == sorted({t: min(i for i, u in enumerate(tops) if u == t) for t in tops}.values())
 
 
+def test_near_copies_in_long_lists(spark):
+    from manifoldry.llm.copies import near_copies
+
+    # many texts that share nearly all, and pairs of them that only a comparison of all with all brings together
+    rng = random.Random(15)
+    base = words(rng, 120)
+    texts = []
+    for i in range(90):
+        copy = base.copy()
+        for p in rng.sample(range(120), 1 if i < 60 else 3):
+            copy[p] = f"x{i}p{p}"
+        texts.append(copy)
+    far = [base[:100] + words(rng, 20) for _ in range(12)]
+    texts += far + [x[:99] + ["other"] + x[100:] for x in far]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    tops = least_of_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)] * 2, "doc_id long, text string").repartition(5)
+    root = {r.doc_id: r.root for r in near_copies(df).collect()}
+    for i, j in combinations(range(len(texts)), 2):
+        assert (tops[i] == tops[j]) == (root[i] == root[j])
+
+
+def test_unjoined_pairs(spark):
+    from manifoldry.llm.copies import WIDTH, unjoined
+
+    many = list(range(10, 10 + WIDTH + 3))
+    listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in many[:WIDTH]] + [(3, x) for x in range(100, 100 + 3 * WIDTH)]
+    roots = [(x, 10) for x in many[1:-2]] + [(x, 100) for x in range(101, 100 + 3 * WIDTH)]
+    df = spark.createDataFrame([(t, 0, x) for t, x in listed], "t long, after long, node long").repartition(3)
+    got = {(r.a, r.b) for r in unjoined(df, spark.createDataFrame(roots, "node long, root long")).collect()}
+    root = dict(roots)
+    assert got == {(a, b) for a in many for b in many if a < b and root.get(a, a) != root.get(b, b)}
+
+
+def test_join_by_counts(spark, monkeypatch):
+    from manifoldry.llm import common
+
+    monkeypatch.setattr(common, "COLD", 50)
+    monkeypatch.setattr(common, "HOT", 8)
+    rng = random.Random(16)
+    left = [(rng.choice([0, 0, 0, *range(1, 400)]) if i % 3 else 0, i) for i in range(2000)]
+    n = Counter(k for k, _ in left)
+    right = spark.createDataFrame([(k, c, f"v{k}") for k, c in n.items() if k != 7], "k int, n int, v string")
+    for total in (None, 2000):
+        got = common.join_by_counts(spark.createDataFrame(left, "k int, i int"), right, ["k"], "n", "i", total)
+        assert got.columns == ["k", "i", "n", "v"] and bag((r.k, r.i, r.v) for r in got.collect()) == bag((k, i, f"v{k}") for k, i in left if k != 7)
+
+
+def test_sift(spark):
+    from manifoldry.llm.common import sift
+
+    df = spark.range(2000).select(F.xxhash64("id").alias("h"), "id")
+    known = df.where("id % 50 = 0").select("h")
+    may, rest = sift(df, known, "h")
+    assert may.columns == rest.columns == ["h", "id"] and may.count() + rest.count() == 2000
+    assert {r.id for r in may.collect()} >= set(range(0, 2000, 50)) and may.count() < 60
+    assert sift(df, known.limit(0), "h")[0].count() == 0
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline as P
 
