@@ -1,21 +1,24 @@
 """License scans by MinHash bands over overlapping text windows, in DataFrame functions only.
 
-Texts are words of ASCII letters and digits, in lower case, and five-word shingles. For templates of every size class, windows twice as long with half a window's
-step hold any template whole in at least one. A window and a template that share a fifth of their shingles (the least for a verified match) collide in one of
-BANDS bands of one row with probability 1 - 0.8 ** 32 > 0.999. A collision needs a shared shingle, so windows without any template shingle are left out
-beforehand and nothing is lost. Matches are then verified by the exact share of the template's shingles that stand in the text around the window.
+Texts are words of ASCII letters and digits, in lower case, and five-word shingles. For templates of each length, windows about twice as long with half a window's
+step hold any such template whole in at least one. A window that holds the share `contained` of a template's shingles has a similarity to it of at least that of `least_similarity`,
+between 0.25 and 0.4 for the share of 0.8, and the number of one-row bands is set so that such a pair meets in none of them with a probability of MISS at most. A collision needs a shared
+shingle, so windows without any template shingle are left out beforehand and nothing is lost. Matches are then verified by the exact share of the template's
+shingles that stand in the text around the window.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BANDS = 32
 CONTAINED = 0.8
+#: Highest probability that a window and a template that it holds meet in no band.
+MISS = 1e-4
 
 # Notices and headers of public licenses.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -46,6 +49,47 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    (
+        "MIT",
+        'The Software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. '
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software "
+        "or the use or other dealings in the Software.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ),
+    (
+        "AGPL-3.0",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    ),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -63,55 +107,77 @@ def _shingles(words: Column) -> Column:
     return F.get(bound, F.lit(0))
 
 
-def _bands(shingles: Column) -> Column:
+def _bands(shingles: Column, bands: int) -> Column:
     """The least of each band's hashes of the shingles."""
     def hashed(b: int):
         return lambda x: F.xxhash64(x, F.lit(b))
 
-    return F.array(*(F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, hashed(b))).alias("least")) for b in range(BANDS)))
+    return F.array(*(F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, hashed(b))).alias("least")) for b in range(bands)))
 
 
 def _span(words: int) -> int:
-    """The window length of a template's class: a power of two, with the template in at most half a window and one word."""
-    return max(8, 1 << (2 * (words - 1) - 1).bit_length())
+    """The window length of templates of so many words: a multiple of 8, with the template in at most half a window and one word."""
+    return max(8, 8 * -(-2 * (words - 1) // 8))
+
+
+def least_similarity(words: int, contained: float) -> float:
+    """The least Jaccard similarity of a template of so many words, all shingles distinct, and a window that holds the share `contained` of its shingles."""
+    n, window = words - SHINGLE + 1, _span(words) - SHINGLE + 1
+    held = math.ceil(contained * n - 1e-9)
+    return held / (n + window - held)
+
+
+def n_bands(lengths: list[int], contained: float) -> int:
+    """Bands enough for templates of these lengths."""
+    worst = min(least_similarity(n, contained) for n in lengths)
+    return 1 if worst >= 1 else math.ceil(math.log(MISS) / math.log(1 - worst))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, license, span, shingles, n): a fixed list, small enough to send to every task."""
+    """(template, license, span, words, shingles): a stated list, small enough to send to every task. templates: pairs of a license and a text, or a table with these columns."""
+    if isinstance(templates, DataFrame):
+        templates = sorted((r.license, r.text) for r in templates.select("license", "text").collect())
     rows = []
     for i, (name, text) in enumerate(templates):
         n = len(re.findall("[a-z0-9]+", text.lower()))
         if n < SHINGLE:
             raise ValueError(f"template {i} has under {SHINGLE} words")
-        rows.append((i, name, text, _span(n)))
-    made = spark.createDataFrame(rows, "template int, license string, text string, span int")
-    return made.select("template", "license", "span", F.array_distinct(_shingles(_words(F.col("text")))).alias("shingles"))
+        rows.append((i, name, text, _span(n), n))
+    made = spark.createDataFrame(rows, "template int, license string, text string, span int, words int")
+    return made.select("template", "license", "span", "words", F.array_distinct(_shingles(_words(F.col("text")))).alias("shingles"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, template, contained, from_word, to_word): every template that a text holds to a share of `contained` of its shingles or more.
 
-    One row a text and template, for the window of largest share (the first of these). Null, empty and short texts hold nothing. Null ids are kept as null.
-    Repeated rows of one id and text give one row. Other columns are not read. Empty table: empty result.
+    One row a text and template, for the window of largest share (the first of these), with the words from the first to the last of its shingles around that window. templates: pairs of a
+    license and a text, or a table of these. Null, empty and short texts hold nothing; long ones are scanned whole. Null ids are kept as null. Repeated rows of one id and text give one row. Other
+    columns are not read. Empty table or no templates: empty result.
     """
     spark = docs.sparkSession
-    # a fixed list of a few templates: its shingles are constants of the plan
-    known = [(r.template, r.license, r.span, list(r.shingles)) for r in template_table(spark, templates).collect()]
+    table = template_table(spark, templates)
+    # a stated list of a few templates: its shingles are constants of the plan
+    known = [(r.template, r.license, r.span, list(r.shingles), r.words) for r in table.collect()]
+    bands = n_bands([x[4] for x in known], contained) if known else 1
     longs = lambda values: F.array(*(F.lit(v).cast("bigint") for v in sorted(values)))
-    every = longs({s for _, _, _, x in known for s in x})
+    every = longs({s for _, _, _, x, _ in known for s in x}) if known else F.array().cast("array<bigint>")
     text = F.col(f"`{text_col}`")
     held = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), _shingles(_words(text)).alias("s")).where(F.arrays_overlap("s", every)).dropDuplicates(["doc_id", "k"])
-    bands = template_table(spark, templates).select("template", "license", "span", "shingles", F.explode(_bands(F.col("shingles"))).alias("b")).select("template", "license", "span", "shingles", "b.band", "b.least")
-    spans = sorted({x[2] for x in known})
+    least = table.select("template", "license", "span", "shingles", F.explode(_bands(F.col("shingles"), bands)).alias("b")).select("template", "license", "span", "shingles", "b.band", "b.least")
+    spans = sorted({x[2] for x in known}) or [8]
     cut = held.select("doc_id", "k", "s", F.explode(F.array(*map(F.lit, spans))).alias("span"))
     cut = cut.select("doc_id", "k", "s", "span", F.explode(F.sequence(F.lit(0), F.size("s") - 1, (F.col("span") / 2).cast("int"))).alias("at"))
     cut = cut.withColumn("window", F.slice("s", F.col("at") + 1, F.col("span") - SHINGLE + 1))
     near = F.lit(False)
     for span in spans:
-        near = near | ((F.col("span") == span) & F.arrays_overlap("window", longs({s for _, _, sp, x in known if sp == span for s in x})))
-    sent = cut.where(near).select("doc_id", "k", "span", "at", F.slice("s", F.greatest(F.col("at") + 1 - F.col("span"), F.lit(1)), F.col("span") * 3).alias("around"), F.explode(_bands(F.col("window"))).alias("b"))
-    met = sent.select("doc_id", "k", "span", "at", "around", "b.band", "b.least").join(F.broadcast(bands), ["span", "band", "least"]).dropDuplicates(["doc_id", "k", "template", "at"])
+        some = {s for _, _, sp, x, _ in known if sp == span for s in x}
+        near = near | ((F.col("span") == span) & F.arrays_overlap("window", longs(some))) if some else near
+    begin = F.greatest(F.col("at") - F.col("span"), F.lit(0))
+    sent = cut.where(near).select("doc_id", "k", "span", "at", begin.alias("begin"), F.slice("s", begin + 1, F.col("span") * 3).alias("around"), F.explode(_bands(F.col("window"), bands)).alias("b"))
+    met = sent.select("doc_id", "k", "span", "at", "begin", "around", "b.band", "b.least").join(F.broadcast(least), ["span", "band", "least"]).dropDuplicates(["doc_id", "k", "template", "at"])
     share = F.size(F.array_intersect("shingles", "around")) / F.size("shingles")
     found = met.withColumn("contained", share).where(F.col("contained") >= contained)
-    best = found.groupBy("doc_id", "k", "template", "license").agg(F.max(F.struct("contained", (-F.col("at")).alias("back"), "span")).alias("m"))
-    return best.select("doc_id", "license", "template", F.col("m.contained").alias("contained"), (-F.col("m.back")).cast("long").alias("from_word"), (F.col("m.span") - F.col("m.back")).cast("long").alias("to_word"))
+    there = F.filter(F.sequence(F.lit(0), F.size("around") - 1), lambda i: F.array_contains(F.col("shingles"), F.get("around", i)))
+    placed = found.withColumn("there", there).select("doc_id", "k", "template", "license", F.struct("contained", (-F.col("at")).alias("back"), (F.col("begin") + F.array_min("there")).alias("lo"), (F.col("begin") + F.array_max("there") + SHINGLE).alias("hi")).alias("m"))
+    best = placed.groupBy("doc_id", "k", "template", "license").agg(F.max("m").alias("m"))
+    return best.select("doc_id", "license", "template", F.col("m.contained").alias("contained"), F.col("m.lo").cast("long").alias("from_word"), F.col("m.hi").cast("long").alias("to_word"))
