@@ -31,8 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Scratch folders made by this process and not deleted yet.
+_MADE: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/manifoldry-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/manifoldry-{uuid.uuid4().hex}"
+    _MADE.add(folder)
+    return f"{folder}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all scratch that this process has written, once no result that reads it is needed any more; how many folders there were."""
+    jvm, n = spark.sparkContext._jvm, len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,9 @@ Two equal windows of `window` words at any two places agree, at some common shif
 positions whose remainders modulo the period lie in a difference cover hold one such pair for every difference. So
 it is enough to hash the short anchors at cover positions only (about a quarter of all), to find the anchor hashes that occur
 twice, and to extend around those to whole windows, which are then compared by 128-bit hashes. Both comparisons are
-exchanges of sorted, already combined hashes of a block of documents; a group of copies gives one entry a block, no pairs.
+exchanges of sorted, already combined hashes of a block of documents; a group of copies gives one entry a block, no pairs. A block sends a
+message to each bucket that it has hashes for: never more messages than hashes, so they grow with the data whatever the numbers of blocks and buckets,
+and what a block gets back is a bit for each of its own hashes at most. A bucket has about BUCKET_KEYS hashes, plus one a block for a window that all blocks hold.
 """
 
 from __future__ import annotations
@@ -178,6 +180,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
     docs.mapInArrow(_pack, "block long, payload binary").write.format("parquet").option("compression", "none").option("path", path).bucketBy(parts, "block").saveAsTable(name)
     blocks = spark.table(name)
+    # the plan knows its files and buckets by now, and the catalog has nothing to keep: dropping an external table leaves its files
+    spark.sql(f"DROP TABLE {name}")
     n_blocks = blocks.count()
     buckets = max(parts, math.ceil(n_blocks * BLOCK_BYTES / 6 * len(cover) / period / BUCKET_KEYS))
 

@@ -79,8 +79,36 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup(empty).count() == 0
     with pytest.raises(ValueError):
         substring_dedup(docs, window=20)
-    small = substring_dedup(docs, window=8, period=7, cover=(0, 1, 3)).collect()
-    assert sum(r.n_removed for r in small) > sum(r.n_removed for r in got)
+    small = substring_dedup(docs, window=8, period=7, cover=(0, 1, 3))
+    assert small.agg(F.sum("n_removed")).first()[0] > sum(r.n_removed for r in got)
+    assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith("blocks")]
+
+
+def test_substring_dedup_in_many_blocks_and_buckets(spark, monkeypatch):
+    from manifoldry.llm import substring
+
+    rng = random.Random(21)
+    shared = [words(rng, 60) for _ in range(5)]
+    data = []
+    for i in range(200):
+        w = words(rng, 30, 100_000) + (rng.choice(shared) if i % 3 == 0 else []) + words(rng, 30, 100_000)
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    usual = bag(map(tuple, substring.substring_dedup(df).select("doc_id", "n_removed", "text").collect()))
+    assert sum(r[1] for r in usual) == 60 * len(range(0, 200, 3))
+    monkeypatch.setattr(substring, "BUCKET_KEYS", 300_000)
+    assert bag(map(tuple, substring.substring_dedup(df).select("doc_id", "n_removed", "text").collect())) == usual
+
+
+def test_scratch_is_cleared(spark):
+    from manifoldry.llm.common import clear_scratch, cut
+
+    df = cut(spark.range(5), "some")
+    folder = df.inputFiles()[0].removeprefix("file://").split("/some/")[0]
+    assert df.count() == 5 and clear_scratch(spark) > 0
+    import os
+
+    assert not os.path.exists(folder) and clear_scratch(spark) == 0
 
 
 def plain_fingerprint(text):
@@ -433,7 +461,33 @@ def test_licenses(docs, empty, spark):
     got = scan_licenses(given).collect()
     assert {(r.doc_id, r.template) for r in got} == expected and len(got) == len(expected)
     assert {1000 + i for i in range(len(TEMPLATES))} <= {r.doc_id for r in got}
+    for r in got:
+        if 1000 <= r.doc_id < 2000 and r.doc_id - 1000 == r.template:
+            n = len(re.findall("[a-z0-9]+", TEMPLATES[r.template][1].lower()))
+            assert (r.from_word, r.to_word) == (70, 70 + n)
     assert scan_licenses(empty).count() == 0
+    mine = spark.createDataFrame([("mine", "my very own kind of license text")], "license string, text string")
+    held = spark.createDataFrame([(1, "so under my very own kind of license text it is"), (2, "my very own")], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.from_word, r.to_word) for r in scan_licenses(held, mine).collect()] == [(1, "mine", 2, 9)]
+    assert scan_licenses(held, mine.limit(0)).count() == 0
+
+
+def test_license_bands(spark):
+    from manifoldry.llm.licenses import CONTAINED, MISS, SHINGLE, TEMPLATES, _span, least_similarity, n_bands
+
+    lengths = [len(re.findall("[a-z0-9]+", t.lower())) for _, t in TEMPLATES]
+    bands = n_bands(lengths, CONTAINED)
+    rng, missed, tried = np.random.default_rng(3), 0, 0
+    for n in (*lengths, 5, 6, 400):
+        # a window with just the share of a template that makes a match, and strangers in all other places
+        t, window = n - SHINGLE + 1, _span(n) - SHINGLE + 1
+        held = int(np.ceil(CONTAINED * t - 1e-9))
+        assert n <= _span(n) // 2 + 1 and abs(held / (t + window - held) - least_similarity(n, CONTAINED)) < 1e-12
+        for _ in range(40):
+            both, a, b = (rng.random((bands, x)).min(axis=1, initial=2) for x in (held, t - held, window - held))
+            missed += not ((both < a) & (both < b)).any()
+            tried += 1
+    assert missed <= max(2, 10 * MISS * tried) and (1 - min(least_similarity(n, CONTAINED) for n in lengths)) ** bands <= MISS
 
 
 def test_decontamination(spark, docs, empty):
