@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from manifoldry.functions.arrays import sq_distance
 
 from .knn import exact_nearest, matrix
+from .points import renumbered
+from .shared import scratch_path
 
 #: Most numbers in a set of centroids that is sent to every task (64 MB).
 MOST = 8_000_000
@@ -133,18 +135,28 @@ def lloyd(pts: DataFrame, start: DataFrame, passes: int, tolerance: float | None
     return cells_frame(spark, c), made
 
 
-def minibatch(pts: DataFrame, start: DataFrame, passes: int = 1, chunk: int = 10_000, order: str = "id", seen: np.ndarray | None = None) -> DataFrame:
-    """Mini-batch k-means: running means over chunks of the order column, each point counted once a pass. seen: counts that the start already stands for."""
+def minibatch(pts: DataFrame, start: DataFrame, passes: int = 1, chunk: int = 10_000, order: str = "id", sample: DataFrame | None = None, skip: int | None = None) -> DataFrame:
+    """Mini-batch k-means: after each chunk of rows in order, every centroid is the running mean of all points assigned to it so far, all passes together.
+
+    sample: points (id, x) that the start was made from; they are assigned to it and counted first. skip: rows of a lower order value are left out of the first pass, as a sample that
+    is the beginning of the points is, so that it counts once. Points are dealt to a folder a chunk once, and a step reads its own chunk alone; sparse order values make no empty steps.
+    """
     spark = pts.sparkSession
     c = centroid_matrix(start)[1].copy()
-    lo, hi = pts.agg(F.min(order), F.max(order)).first()
+    n = np.zeros(len(c)) if sample is None else partial_sums(sample, cells_frame(spark, c))[0]
+    dealt = renumbered(pts.select(order, "x"), F.col(order), name="__number").withColumn("__chunk", F.floor(F.col("__number") / chunk))
+    path = scratch_path(spark, "chunks")
+    dealt.select(F.col(order).alias("o"), "x", "__chunk").repartition("__chunk").write.partitionBy("__chunk").parquet(path)
+    held = spark.read.parquet(path)
+    chunks = sorted(r[0] for r in held.select("__chunk").distinct().collect())  # a number a step of this loop
     for p in range(passes):
-        n = np.zeros(len(c)) if p or seen is None else seen.astype(float)
-        for at in range(lo or 0, (hi if hi is not None else -1) + 1, chunk):
-            more, s, _ = partial_sums(pts.where((F.col(order) >= at) & (F.col(order) < at + chunk)), cells_frame(spark, c))
+        for at in chunks:
+            some = held.where(F.col("__chunk") == at)
+            if p == 0 and skip is not None:
+                some = some.where(F.col("o") >= skip)
+            more, s, _ = partial_sums(some, cells_frame(spark, c))
             n += more
-            on = more > 0
-            c[on] += (s[on] - more[on, None] * c[on]) / n[on, None]
+            c += (s - more[:, None] * c) / np.maximum(n, 1)[:, None]
     return cells_frame(spark, c)
 
 

@@ -3,25 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    if shared_dir(spark) is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='manifoldry-')}")
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+from .shared import cut, drop_scratch
 
 
 def neighbour_graph(neighbours: DataFrame) -> DataFrame:
@@ -30,35 +15,72 @@ def neighbour_graph(neighbours: DataFrame) -> DataFrame:
     return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
-def shortest_from(edges: DataFrame, sources: list[int], most: int = 1000) -> DataFrame:
-    """(source, node, d): shortest distances from a few sources, rounds of relaxing until none gets shorter. Unreached nodes are absent."""
+def shortest_from(edges: DataFrame, sources: list[int]) -> DataFrame:
+    """(source, node, d): shortest distances from a few sources, rounds of relaxing until none gets shorter. Unreached nodes are absent.
+
+    A round reads the edges of the nodes that changed in the one before, and writes only the distances that it shortens.
+    """
     spark = edges.sparkSession
-    d = spark.createDataFrame([(s, s, 0.0) for s in sources], "source long, node long, d double")
-    edges = _checkpointed(edges)
-    changed = d
-    for _ in range(most):
+    edges = cut(edges, "edges")
+    changed = cut(spark.createDataFrame([(s, s, 0.0) for s in sorted(set(sources))], "source long, node long, d double"), "round")
+    rounds = [changed]
+    while True:
+        known = rounds[0] if len(rounds) == 1 else spark.read.schema(changed.schema).parquet(*(_folder(r) for r in rounds))
         tried = changed.withColumnRenamed("node", "src").join(edges, "src").select("source", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"))
-        best = tried.groupBy("source", "node").agg(F.min("d").alias("e"))
-        both = _checkpointed(d.join(best, ["source", "node"], "full"))
-        changed = both.where("d IS NULL OR e < d").select("source", "node", F.col("e").alias("d"))
-        d = both.select("source", "node", F.least("d", "e").alias("d"))
+        best = cut(tried.groupBy("source", "node").agg(F.min("d").alias("e")), "tried")
+        # the old distances of tried nodes alone: best is a written table, so its size decides whether known is shuffled
+        old = known.join(best, ["source", "node"]).groupBy("source", "node").agg(F.min("d").alias("d"))
+        shorter = best.join(old, ["source", "node"], "left").where("d IS NULL OR e < d").select("source", "node", F.col("e").alias("d"))
+        changed = cut(shorter, "round")
+        drop_scratch(spark, best)
         if changed.isEmpty():
-            return d
-    raise RuntimeError("paths still change")
+            return known.groupBy("source", "node").agg(F.min("d").alias("d"))
+        rounds.append(changed)
 
 
-def isomap(neighbours: DataFrame, landmarks: list[int], k: int) -> DataFrame:
-    """(id, z): Landmark Isomap of k axes. A landmark that a point can't reach stands as far as the farthest that was reached."""
-    from manifoldry.plans.layout import Layout
-
-    d = shortest_from(neighbour_graph(neighbours), landmarks)
-    order = {s: i for i, s in enumerate(landmarks)}
-    far = d.agg(F.max("d")).first()[0] or 0.0
-    table = np.full((len(landmarks),) * 2, far)
-    for r in d.where(F.col("node").isin(landmarks)).collect():  # landmarks x landmarks
-        table[order[r.source], order[r.node]] = r.d
-    layout = Layout.fit((table + table.T) / 2, k, 1e-10)
-    per = d.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("source", "d"))).alias("m"))
+def _folder(df: DataFrame) -> str:
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
+def _placed(distances: DataFrame, landmarks: list[int], far: float, layout) -> DataFrame:
+    """(id, z) of (node, source, d) by their distances to the landmarks; a landmark without a distance stands at `far`."""
+    per = distances.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("source", "d"))).alias("m"))
     ordered = F.array(*(F.coalesce(F.col("m")[F.lit(s)], F.lit(float(far))) for s in landmarks))
-    pull = [F.aggregate(F.zip_with(F.array(*map(F.lit, layout.mean_sq.tolist())), F.zip_with("o", F.array(*map(F.lit, layout.projection[i].tolist())), lambda a, p: F.struct(a.alias("a"), p.alias("p"))), lambda m, e: -0.5 * e["p"] * (e["a"] * e["a"] - m)), F.lit(0.0), lambda s, v: s + v) for i in range(k)]
+    pull = [F.aggregate(F.zip_with(F.array(*map(F.lit, layout.mean_sq.tolist())), F.zip_with("o", F.array(*map(F.lit, layout.projection[i].tolist())), lambda a, p: F.struct(a.alias("a"), p.alias("p"))), lambda m, e: -0.5 * e["p"] * (e["a"] * e["a"] - m)), F.lit(0.0), lambda s, v: s + v) for i in range(len(layout.projection))]
     return per.select(F.col("node").alias("id"), ordered.alias("o")).select("id", F.array(*pull).alias("z"))
+
+
+def distances_via(distances: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(node, source, d) of new points: over their nearest fitted points (id, other, sq), the shortest way to each source. distances: (source, node, d) of the fitted ones."""
+    way = nearest.join(distances.withColumnRenamed("node", "other"), "other")
+    return way.groupBy(F.col("id").alias("node"), "source").agg(F.min(F.sqrt("sq") + F.col("d")).alias("d"))
+
+
+class LandmarkIsomap:
+    """Landmark Isomap of k axes: fit to a table of neighbours, place fitted points and new ones."""
+
+    def __init__(self, neighbours: DataFrame, landmarks: list[int], k: int):
+        from manifoldry.plans.layout import Layout
+
+        self.landmarks = landmarks
+        self.distances = cut(shortest_from(neighbour_graph(neighbours), landmarks), "distances")
+        order = {s: i for i, s in enumerate(landmarks)}
+        # a landmark that a point can't reach stands as far as the farthest that was reached
+        self.far = self.distances.agg(F.max("d")).first()[0] or 0.0
+        table = np.full((len(landmarks),) * 2, self.far)
+        for r in self.distances.where(F.col("node").isin(landmarks)).collect():  # landmarks x landmarks
+            table[order[r.source], order[r.node]] = r.d
+        self.layout = Layout.fit((table + table.T) / 2, k, 1e-10)
+
+    def placed(self) -> DataFrame:
+        """(id, z) of the fitted points."""
+        return _placed(self.distances, self.landmarks, self.far, self.layout)
+
+    def transform(self, nearest: DataFrame) -> DataFrame:
+        """(id, z) of new points, from their nearest fitted points (id, rank, other, sq)."""
+        return _placed(distances_via(self.distances, nearest), self.landmarks, self.far, self.layout)
+
+
+def isomap(neighbours: DataFrame, landmarks: list[int], k: int) -> DataFrame:
+    """(id, z): Landmark Isomap of k axes."""
+    return LandmarkIsomap(neighbours, landmarks, k).placed()

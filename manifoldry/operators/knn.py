@@ -1,4 +1,8 @@
-"""Nearest neighbours and intrinsic dimension. Reference points go to the tasks in blocks of bounded size, tasks keep k a query, and blocks are merged."""
+"""Nearest neighbours, ranks of given pairs, and intrinsic dimension.
+
+References of up to BLOCK_VALUES numbers, a size that is checked, are sent to every task. More of them stay in the cluster: queries and references are packed into
+blocks, each block of queries meets each block of references in one of a fixed number of slots, and what the slots found is merged.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in a broadcast block of vectors (64 MB), and products in a tile.
-BLOCK_VALUES, TILE = 8_000_000, 4_000_000
+from manifoldry.functions.arrays import sq_distance
+
+from .shared import cut
+
+#: Numbers in a broadcast set of vectors (64 MB), products in a tile, and rows of a block of queries.
+BLOCK_VALUES, TILE, QUERIES = 8_000_000, 4_000_000, 4096
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -24,7 +33,7 @@ def exact_nearest(x: np.ndarray, ids: np.ndarray | None, c: np.ndarray, cids: np
 
     Products of whole matrices shortlist candidates; their distances are then computed directly, which is exact for coincident points too.
     """
-    k = min(k, len(c) - (ids is not None and bool(np.isin(ids, cids).all())))
+    k = min(k, len(c))
     if k < 1 or not len(x):
         return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
     centre = c.mean(axis=0)
@@ -42,7 +51,7 @@ def exact_nearest(x: np.ndarray, ids: np.ndarray | None, c: np.ndarray, cids: np
         # everything that rounding could bring among the k nearest
         kth = np.partition(near, k - 1, axis=1)[:, k - 1]
         slack = 1e-9 * (qn + norms.max() + 1)
-        i, j = np.nonzero(near <= (kth + slack)[:, None])
+        i, j = np.nonzero((near <= (kth + slack)[:, None]) & (near < np.inf))
         # feature by feature: the same additions in the same order as the SQL expression, so ties and edges agree
         d = np.zeros(len(i))
         for f in range(c.shape[1]):
@@ -56,36 +65,156 @@ def exact_nearest(x: np.ndarray, ids: np.ndarray | None, c: np.ndarray, cids: np
     return np.concatenate(rows), np.concatenate(where), np.concatenate(dist)
 
 
-def knn_join(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(id, rank, other, sq): the k nearest references of each query, rank from 1. Both are (id, x); fewer than k if there are fewer."""
+def _blocks(df: DataFrame, slots: int, rows: int) -> DataFrame:
+    """df as blocks of up to so many rows, each an Arrow stream, written to the shared folder. Rows are dealt evenly first, so blocks are full however many tasks read the input."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, []
+
+        def block() -> pa.RecordBatch:
+            table, sink = pa.Table.from_batches(held).combine_chunks(), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, rows - sum(b.num_rows for b in held))
+                held.append(some)
+                at += some.num_rows
+                if sum(b.num_rows for b in held) >= rows:
+                    yield block()
+                    number, held = number + 1, []
+        if held:
+            yield block()
+
+    return cut(df.repartition(slots).mapInArrow(pack, "block long, payload binary"), "blocks")
+
+
+def _open(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
+
+
+def _meet(queries: DataFrame, references: DataFrame, visit, finish, schema: str, block_values: int) -> tuple[DataFrame, bool]:
+    """Every query against every reference: visit(queries' rows, ids, matrix, state) gives the next state for each block of references, finish(rows, state) the batch to return.
+
+    Also whether a query's rows may come from several slots, and are yet to be merged. references: (id, x).
+    """
     spark = queries.sparkSession
-    n = references.count()
-    if not n:
-        return spark.createDataFrame([], "id long, rank int, other long, sq double")
-    width = references.select(F.max(F.size("x"))).first()[0]
-    blocks = max(1, -(-n * width // BLOCK_VALUES))
-    found = None
-    for block in range(blocks):
-        # one block of bounded size at a time; the rest stays in the cluster
-        rows = references.select("id", "x").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+    n, width = references.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if n * (width or 0) <= block_values:
+        # of checked size
+        rows = references.select("id", "x").toArrow()
         shared = spark.sparkContext.broadcast((rows.column("id").to_numpy(), matrix(rows.column("x").combine_chunks())))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            cids, c = shared.value
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                i, j, d = exact_nearest(matrix(batch.column(1)), ids if exclude_self else None, c, cids, k)
-                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(rank, pa.int32()), pa.array(cids[j]), pa.array(d)], names=["id", "rank", "other", "sq"])
-
-        part = queries.select("id", "x").mapInArrow(run, "id long, rank int, other long, sq double")
-        found = part if found is None else found.union(part)
-    if blocks == 1:
+                yield finish(batch, visit(batch, *shared.value, None))
+
+        return queries.mapInArrow(near, schema), False
+    rows = max(1, block_values // 8 // width)
+    slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)))
+    slot = F.pmod(F.xxhash64("block"), F.lit(slots).cast("long"))
+    held = _blocks(references.select("id", "x"), slots, rows).select(slot.alias("slot"), F.col("payload").alias("reference"))
+    asked = _blocks(queries, slots, QUERIES).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"), F.col("block").alias("of"), "payload")
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, state = None, None, None
+        for batch in batches:
+            for of, payload, reference in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if of != now:
+                    if mine is not None:
+                        yield finish(mine, state)
+                    now, mine, state = of, _open(payload).to_batches()[0], None
+                table = _open(reference)
+                state = visit(mine, table.column("id").to_numpy(), matrix(table.column("x").combine_chunks()), state)
+        if mine is not None:
+            yield finish(mine, state)
+
+    # a sort-merge join keeps a query block's rows together and can spill
+    return asked.hint("merge").join(held, "slot").select("of", "payload", "reference").mapInArrow(far, schema), slots > 1
+
+
+def knn_join(queries: DataFrame, references: DataFrame, k: int, exclude_self: bool = False, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(id, rank, other, sq): the k nearest references of each query, rank from 1; ties to the smaller id. Both are (id, x) with an id of its own for each row; fewer than k if there are fewer."""
+
+    def visit(batch: pa.RecordBatch, cids: np.ndarray, c: np.ndarray, state: tuple | None) -> tuple:
+        i, j, d = exact_nearest(matrix(batch.column(1)), batch.column(0).to_numpy() if exclude_self else None, c, cids, k)
+        if state is None:
+            return i, cids[j], d
+        i, other, d = (np.concatenate(x) for x in zip(state, (i, cids[j], d)))
+        order = np.lexsort((other, d, i))
+        i, other, d = i[order], other[order], d[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[keep], other[keep], d[keep]
+
+    def finish(batch: pa.RecordBatch, state: tuple) -> pa.RecordBatch:
+        i, other, d = state
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        return pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[i], pa.int64()), pa.array(rank, pa.int32()), pa.array(other, pa.int64()), pa.array(d, pa.float64())], names=["id", "rank", "other", "sq"])
+
+    found, several = _meet(queries.select("id", "x"), references, visit, finish, "id long, rank int, other long, sq double", block_values)
+    if not several:
         return found
     rank = F.row_number().over(Window.partitionBy("id").orderBy("sq", "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pair_ranks(pairs: DataFrame, pts: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """pairs (id, other, one row a pair) with r: which of id's neighbours in pts (id, x) the other is, counting from 1; ties to the smaller id.
+
+    Ranks of the given pairs alone are counted, by how many points lie nearer, so nothing of the size of all pairs is written anywhere.
+    """
+    x = pts.select("id", "x")
+    ends = pairs.select("id", "other").join(x, "id").join(x.select(F.col("id").alias("other"), F.col("x").alias("y")), "other")
+    asked = ends.select("id", "x", F.struct(sq_distance(F.col("x"), F.col("y")).alias("sq"), "other").alias("p")).groupBy("id").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("p")).alias("p"))
+    asked = asked.select("id", "x", F.col("p.sq").alias("sq"), F.col("p.other").alias("other"))
+
+    def lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.diff(batch.column(2).offsets.to_numpy())
+        return n, batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+
+    def visit(batch: pa.RecordBatch, cids: np.ndarray, c: np.ndarray, state: np.ndarray | None) -> np.ndarray:
+        ids, q = batch.column(0).to_numpy(), matrix(batch.column(1))
+        n, sq, other = lists(batch)
+        first = np.cumsum(n) - n
+        closer = np.zeros(len(sq), dtype=np.int64) if state is None else state
+        if not len(c) or not len(q):
+            return closer
+        centre = c.mean(axis=0)
+        cc = c - centre
+        norms = (cc * cc).sum(axis=1)
+        step = max(1, TILE // len(c))
+        for lo in range(0, len(q), step):
+            qc = q[lo : lo + step] - centre
+            near = norms[None, :] - 2 * qc @ cc.T + (qc * qc).sum(axis=1)[:, None]
+            near[ids[lo : lo + step, None] == cids[None, :]] = np.inf
+            slack = 1e-9 * ((qc * qc).sum(axis=1) + norms.max() + 1)
+            for p in range(int(n[lo : lo + step].max(initial=0))):
+                has = np.flatnonzero(n[lo : lo + step] > p)
+                at = first[lo + has] + p
+                some = near[has]
+                closer[at] += (some < (sq[at] - slack[has])[:, None]).sum(axis=1)
+                # what rounding leaves open is decided by the distance itself
+                i, j = np.nonzero(np.abs(some - sq[at][:, None]) <= slack[has][:, None])
+                d = np.zeros(len(i))
+                for f in range(c.shape[1]):
+                    d += (q[lo + has[i], f] - c[j, f]) ** 2
+                nearer = (d < sq[at][i]) | ((d == sq[at][i]) & (cids[j] < other[at][i]))
+                closer[at] += np.bincount(i[nearer], minlength=len(has))
+        return closer
+
+    def finish(batch: pa.RecordBatch, closer: np.ndarray) -> pa.RecordBatch:
+        n, _, other = lists(batch)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n), pa.int64()), pa.array(other, pa.int64()), pa.array(closer, pa.int64())], names=["id", "other", "r"])
+
+    found, several = _meet(asked, x, visit, finish, "id long, other long, r long", block_values)
+    if several:
+        found = found.groupBy("id", "other").agg(F.sum("r").alias("r"))
+    return found.select("id", "other", (F.col("r") + 1).alias("r"))
+
+
 def mle_dimension(neighbours: DataFrame, k: int) -> DataFrame:
     """One row with the dimension estimate of Levina and Bickel from each point's k nearest (rank, sq): points whose nearest lies at distance 0 are left out, and the points' estimates are averaged harmonically."""
     last = F.max(F.when(F.col("rank") == k, F.col("sq")))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from manifoldry.functions.arrays import as_vector
 
+from .shared import cut
+
 
 def points(df: DataFrame, id_col: str, x_col: str, *more: str) -> DataFrame:
     """A table of vectors as (id, x, ...). Refuses columns that aren't arrays of numbers."""
@@ -79,7 +81,25 @@ def gather(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def renumbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """df with a column that counts its rows from 0 in the given order. Rows are dealt by range and counted inside each range, then each range is told how many come before: a row a range."""
+    keys = [f"__o{i}" for i in range(len(order))]
+    dealt = df.select("*", *(o.alias(k) for o, k in zip(order, keys))).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    dealt = cut(dealt, "ranges")
+    sums = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    below = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__below"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
+    return dealt.withColumn("__inside", inside).join(F.broadcast(below), "__part").withColumn(name, F.col("__below") + F.col("__inside")).select(*df.columns, name)
+
+
+def shuffled(df: DataFrame, seed: int, key: str = "id", name: str = "number") -> DataFrame:
+    """df in a seeded random order of the whole table, as a column that counts from 0; the same whatever the partitions."""
+    return renumbered(df, hash_order(F.col(key), seed), F.col(key), name=name)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: how many rows, and a digest of their contents that doesn't depend on their order."""
-    row = F.sha2(F.to_json(F.struct(*df.columns)), 256)
-    return df.select(F.conv(F.substring(row, 1, 15), 16, 10).cast("long").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("digest"))
+    """One row: how many rows, and a digest of their contents, nulls and repeats included, that doesn't depend on their order: two sums, which no pair of rows cancels in."""
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    sums = df.select(*(p.alias(f"h{i}") for i, p in enumerate(parts))).agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f"h{i}"), F.lit(0)).cast("string").alias(f"h{i}") for i in range(2)))
+    return sums.select("n", F.concat_ws("-", "h0", "h1").alias("digest"))

@@ -169,7 +169,7 @@ class Embedder:
         lap("dimension")
         cells = self._cells(pts, x)
         lap("cells")
-        cells, passes = self._refine(pts, cells)
+        cells, passes = self._refine(pts, cells, local)
         lap("refine")
         mass = self._masses(P.points(mass_from, id_col, x_col) if mass_from is not None else pts, cells)
         kept = C.without_empty(cells, mass).orderBy("cell").collect()
@@ -208,14 +208,16 @@ class Embedder:
             return C.ml_kmeans(pts, o["n_cells"], seed=self.settings["seed"])
         return C.cells_frame(spark, C.kmeans(x, o["n_cells"], o["iterations"], self.settings["seed"]))
 
-    def _refine(self, pts: DataFrame, cells: DataFrame) -> tuple[DataFrame, int]:
+    def _refine(self, pts: DataFrame, cells: DataFrame, local: DataFrame) -> tuple[DataFrame, int]:
         o = self.settings["refine"]
         if not o["passes"]:
             return cells, 0
         some = pts if o["max_points"] is None else P.prefix(pts, o["max_points"])
         if o["strategy"] == "lloyd":
             return C.lloyd(some, cells, o["passes"], o["tolerance"])
-        return C.minibatch(some, cells, o["passes"], o["chunk_size"]), o["passes"]
+        # the sample's points count as seen; where it is the beginning of the points, the first pass goes on behind it
+        skip = (local.agg(F.max("id")).first()[0] + 1) if self.settings["sample"]["strategy"] == "prefix" else None
+        return C.minibatch(some, cells, o["passes"], o["chunk_size"], sample=local, skip=skip), o["passes"]
 
     def _masses(self, pts: DataFrame, cells: DataFrame) -> DataFrame:
         o = self.settings["masses"]
@@ -279,16 +281,31 @@ class Embedder:
 
         return df.select(*names).mapInArrow(run, schema)
 
+    def landmark_positions(self, spark: SparkSession) -> DataFrame:
+        """(landmark, cell, z): where the landmarks' own cells lie when they are placed like points."""
+        r = self.region
+        rows = [(i, int(c), r.centroids[c].tolist()) for i, c in enumerate(r.landmarks)]
+        return self.transform(spark.createDataFrame(rows, "landmark int, cell int, x array<double>")).drop("x")
+
     # storing
 
+    @staticmethod
+    def stored_bytes(spark: SparkSession, path: str) -> int:
+        """The size of a stored model."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Model tables as Parquet, settings as one JSON row."""
         r = self.region
         table = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-        head = {"format": FORMAT, "settings": self.settings, "dimension": r.dimension, "rho": r.rho, "path": list(r.path), "passes": r.passes, "n_features": int(r.centroids.shape[1])}
+        head = {"format": FORMAT, "settings": self.settings, "dimension": r.dimension, "rho": r.rho, "path": list(r.path), "passes": r.passes, "n_features": int(r.centroids.shape[1]), "chart": r.chart is not None}
         table([(json.dumps(head),)], "head string", "head")
         table([(i, r.centroids[i].tolist(), float(r.masses[i]), float(r.sq_radius[i]), r.maps[:, i].tolist()) for i in range(len(r.masses))], "cell int, c array<double>, mass double, sq_radius double, v array<double>", "cells")
         table([(i, int(r.landmarks[i]), r.layout.distances[i].tolist(), float(r.layout.mean_sq[i]), r.layout.projection[:, i].tolist()) for i in range(len(r.landmarks))], "landmark int, cell int, d array<double>, mean_sq double, p array<double>", "landmarks")
+        # a chart of a model that was stored here before doesn't belong to this one
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/chart")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         if r.chart is not None:
             c = r.chart
             table([(i, c.anchors[i].tolist(), c.bases[i].ravel().tolist(), c.centres[i].tolist(), c.turns[i].ravel().tolist(), float(c.scales[i]), bool(c.valid[i])) for i in range(len(c.scales))], "cell int, anchor array<double>, basis array<double>, centre array<double>, turn array<double>, scale double, valid boolean", "chart")
@@ -304,7 +321,7 @@ class Embedder:
         layout = Layout(np.array([m.d for m in marks]), np.array([m.mean_sq for m in marks]), np.array([m.p for m in marks]).T, head["settings"]["embedding"]["distance_floor"])
         out.region = Region(tuple(head["path"]), head["dimension"], np.array([c.c for c in cells]), np.array([c.mass for c in cells]), np.array([c.sq_radius for c in cells]), head["rho"], np.array([m.cell for m in marks]), np.array([c.v for c in cells]).T, layout, passes=head["passes"])
         out.n_features = head["n_features"]
-        if out.settings["embedding"]["local_chart"] != "none":
+        if head.get("chart", out.settings["embedding"]["local_chart"] != "none"):
             rows = spark.read.parquet(f"{path}/chart").orderBy("cell").collect()
             k, d = len(rows[0].anchor), head["n_features"]
             out.region.chart = Chart(np.array([r.anchor for r in rows]), np.array([r.basis for r in rows]).reshape(-1, d, k), np.array([r.centre for r in rows]), np.array([r.turn for r in rows]).reshape(-1, k, k), np.array([r.scale for r in rows]), np.array([r.valid for r in rows]), out.settings["embedding"]["origin"])

@@ -1,7 +1,7 @@
 """Every registered query by name, and the DuckDB SQL that gives the same rows. Queries run over whole tables.
 
-The point set is `embeddings`. Where a query needs a model, its tables are stated: cells are the vectors of the first CELLS ids, landmarks the first LANDMARKS
-cells, and a potential is exp(-distance) between cells, so that nothing depends on random draws.
+The point set is `embeddings`. Where a query needs a model, its tables are stated: cells are the vectors of the first ids, one for every POINTS_A_CELL points and CELLS at least,
+landmarks the first LANDMARKS cells, and a potential is exp(-distance) between cells, so that nothing depends on random draws.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from manifoldry.operators import metrics as M
 from manifoldry.operators import points as P
 from manifoldry.operators import voltage as V
 
-CELLS, LANDMARKS, NEAR, TAU, RHO = 20, 8, 5, 0.3, 0.05
+CELLS, POINTS_A_CELL, LANDMARKS, NEAR, TAU, RHO = 20, 25, 8, 5, 0.3, 0.05
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -45,9 +45,13 @@ def pts(spark: SparkSession, d: str) -> DataFrame:
     return P.points(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
+def n_cells(spark: SparkSession, d: str) -> int:
+    return max(CELLS, table(spark, d, "embeddings").count() // POINTS_A_CELL)
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """The stated centroids: a model table of CELLS rows."""
-    return P.prefix(pts(spark, d), CELLS).select(F.col("id").cast("int").alias("cell"), F.col("x").alias("c"))
+    """The stated centroids: a model table."""
+    return P.prefix(pts(spark, d), n_cells(spark, d)).select(F.col("id").cast("int").alias("cell"), F.col("x").alias("c"))
 
 
 def maps(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +68,9 @@ def mass(spark: SparkSession, d: str) -> DataFrame:
     return C.masses(assigned(spark, d), cells(spark, d)).select("cell", "mass")
 
 
-def near_cells(spark: SparkSession, d: str, k: int = CELLS) -> DataFrame:
-    return N.knn_join(pts(spark, d), cells(spark, d).select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x")), k)
+def near_cells(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """The k nearest cells of each point, or all of them."""
+    return N.knn_join(pts(spark, d), cells(spark, d).select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x")), k or n_cells(spark, d))
 
 
 def self_knn(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -79,7 +84,7 @@ def r6(*names: str):
 
 # The tables above in SQL; each query names those it uses.
 _P = "p AS (SELECT vec_id AS id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x, label FROM embeddings)"
-_C = f"c AS (SELECT CAST(id AS INTEGER) AS cell, x AS c FROM p ORDER BY id LIMIT {CELLS})"
+_C = f"c AS (SELECT CAST(id AS INTEGER) AS cell, x AS c FROM p ORDER BY id LIMIT (SELECT greatest({CELLS}, count(*) // {POINTS_A_CELL}) FROM p))"
 _D = "dist AS (SELECT p.id, c.cell, p.label, p.x, list_sum(list_transform(list_zip(p.x, c.c), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM p, c)"
 _A = "a AS (SELECT id, cell, sq, label, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, cell) AS r FROM dist) WHERE r = 1)"
 _M = "m AS (SELECT c.cell, count(a.id) AS n, count(a.id) / CAST((SELECT count(*) FROM p) AS DOUBLE) AS mass FROM c LEFT JOIN a ON a.cell = c.cell GROUP BY c.cell)"
@@ -119,12 +124,12 @@ def cell_masses(spark, d):
     return C.masses(assigned(spark, d), cells(spark, d)).select("cell", "n", *r6("mass"))
 
 
-@query(with_(_P, _C, _D, _A, _M) + f"SELECT cell, round((n + 1) / CAST((SELECT count(*) FROM p) + {CELLS} AS DOUBLE), 6) AS mass FROM m")
+@query(with_(_P, _C, _D, _A, _M) + "SELECT cell, round((n + 1) / CAST((SELECT count(*) FROM p) + (SELECT count(*) FROM c) AS DOUBLE), 6) AS mass FROM m")
 def smoothed_masses(spark, d):
     return C.masses(assigned(spark, d), cells(spark, d), "smoothed").select("cell", *r6("mass"))
 
 
-@query(with_(_P, _C) + f"SELECT cell, round(1.0 / {CELLS}, 6) AS mass FROM c")
+@query(with_(_P, _C) + "SELECT cell, round(1.0 / (SELECT count(*) FROM c), 6) AS mass FROM c")
 def uniform_masses(spark, d):
     return C.masses(assigned(spark, d), cells(spark, d), "uniform").select("cell", *r6("mass"))
 
@@ -364,23 +369,25 @@ def _solved(spark, d):
     from manifoldry.plans.potential import Conductor
 
     c = cells(spark, d)
-    radius = G.radii(c, "adaptive_per_cell", NEAR)
-    edge = G.edges(c, radius)
+    edge = G.edges(c, G.radii(c, "adaptive_per_cell", NEAR))
     m = mass(spark, d).orderBy("cell").toPandas()
-    w, _ = G.dense(edge, CELLS)
+    w, _ = G.dense(edge, len(m))
     v = Conductor(w, m["mass"].to_numpy()).maps(RHO, np.arange(LANDMARKS))
-    rows = [(i, j, float(v[i, j])) for i in range(LANDMARKS) for j in range(CELLS)]
+    rows = [(i, j, float(v[i, j])) for i in range(LANDMARKS) for j in range(len(m))]
     return edge, spark.createDataFrame(m), spark.createDataFrame(rows, "landmark int, cell int, v double")
 
 
-@query(f"SELECT CAST(range AS INTEGER) AS landmark, true AS grounded_mean, true AS unit_source, true AS bounded FROM range({LANDMARKS})")
+#: Solved in SQL by repeated grounded means, which shrink what is left by at least 1 / (1 + RHO) a step.
+_MAPS = f"""g AS (SELECT e.src, e.dst, m.mass AS f FROM e JOIN m ON m.cell = e.dst WHERE e.sq <= e.r), o AS (SELECT src, sum(f) AS out FROM g GROUP BY src),
+step AS (SELECT landmark, g.src, g.dst, g.f / (o.out + {RHO}) AS f FROM g JOIN o ON o.src = g.src, range({LANDMARKS}) t(landmark) WHERE g.src <> landmark UNION ALL SELECT landmark, landmark, landmark, 1.0 FROM range({LANDMARKS}) t(landmark)),
+it(n, landmark, cell, v) AS (SELECT 0, landmark, landmark, CAST(1.0 AS DOUBLE) FROM range({LANDMARKS}) t(landmark)
+UNION ALL SELECT it.n + 1, it.landmark, step.src, sum(step.f * it.v) FROM it JOIN step ON step.landmark = it.landmark AND step.dst = it.cell WHERE it.n < 400 GROUP BY it.n, it.landmark, step.src)"""
+
+
+@query("WITH RECURSIVE " + with_(_P, _C, _D, _A, _M, _CC, _K.format(k=NEAR), _E, _MAPS).removeprefix("WITH ") + "SELECT CAST(t.landmark AS INTEGER) AS landmark, c.cell, round(coalesce(it.v, 0), 6) AS v FROM range(%d) t(landmark) CROSS JOIN c LEFT JOIN it ON it.n = 400 AND it.landmark = t.landmark AND it.cell = c.cell" % LANDMARKS)
 def voltage_maps(spark, d):
-    """Potentials solved on the graph, held against what defines them."""
-    edge, m, v = _solved(spark, d)
-    sources = spark.createDataFrame([(i, i) for i in range(LANDMARKS)], "landmark int, source int")
-    r = V.residuals(v, edge, m, RHO, sources)
-    own = v.groupBy("landmark").agg(F.max(F.when(F.col("cell") == F.col("landmark"), F.col("v"))).alias("top"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return r.join(own, "landmark").select("landmark", (F.col("residual") < 1e-9).alias("grounded_mean"), (F.col("top") == 1).alias("unit_source"), ((F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("bounded"))
+    """Potentials solved on the graph of the cells."""
+    return _solved(spark, d)[2].select("landmark", "cell", *r6("v"))
 
 
 @query(with_(_P, _C, _V) + "SELECT cell, arg_max(landmark, v * 1000000 - landmark * 1e-9) AS landmark FROM v GROUP BY cell")
@@ -467,18 +474,16 @@ def mass_shift(spark, d):
 _N = "(SELECT count(*) FROM p)"
 
 
-def _all_ranks(spark, d, which) -> DataFrame:
-    return which(spark, d, pts(spark, d).count() - 1)
-
-
 @query(with_(_P, _L, _S, _LS) + f"SELECT round(1 - coalesce(sum(CASE WHEN s.rank > {NEAR} THEN s.rank - {NEAR} END), 0) * 2.0 / ({_N} * {NEAR} * (2.0 * {_N} - 3 * {NEAR} - 1)), 6) AS trustworthiness FROM ls JOIN s ON s.id = ls.id AND s.other = ls.other WHERE ls.rank <= {NEAR}")
 def trustworthiness(spark, d):
-    return M.rank_penalty(layout_knn(spark, d, NEAR), _all_ranks(spark, d, self_knn), pts(spark, d).count(), NEAR).select(F.round("score", 6).alias("trustworthiness"))
+    p = pts(spark, d)
+    return M.rank_penalty(N.pair_ranks(layout_knn(spark, d, NEAR), p), p.count(), NEAR).select(F.round("score", 6).alias("trustworthiness"))
 
 
 @query(with_(_P, _L, _S, _LS) + f"SELECT round(1 - coalesce(sum(CASE WHEN ls.rank > {NEAR} THEN ls.rank - {NEAR} END), 0) * 2.0 / ({_N} * {NEAR} * (2.0 * {_N} - 3 * {NEAR} - 1)), 6) AS continuity FROM s JOIN ls ON s.id = ls.id AND s.other = ls.other WHERE s.rank <= {NEAR}")
 def continuity(spark, d):
-    return M.rank_penalty(self_knn(spark, d, NEAR), _all_ranks(spark, d, layout_knn), pts(spark, d).count(), NEAR).select(F.round("score", 6).alias("continuity"))
+    p = pts(spark, d)
+    return M.rank_penalty(N.pair_ranks(self_knn(spark, d, NEAR), p.select("id", F.slice("x", 1, 2).alias("x"))), p.count(), NEAR).select(F.round("score", 6).alias("continuity"))
 
 
 _RAD = f"pr AS (SELECT id, avg(sqrt(sq)) AS r FROM s WHERE rank <= {NEAR} GROUP BY id), lr AS (SELECT id, avg(sqrt(sq)) AS r FROM ls WHERE rank <= {NEAR} GROUP BY id)"
@@ -596,9 +601,16 @@ def gather_rows(spark, d):
     return P.gather(table(spark, d, "events"), ids, "user_id").select("event_id", "event_type")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT user_id FROM events EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    rich = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
+    return table(spark, d, "events").select("user_id").distinct().join(rich, "user_id", "left_anti")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('11:' || CAST(event_id AS VARCHAR)), event_id) - 1 AS number FROM events")
+def seeded_shuffle(spark, d):
+    """A place for every row in a seeded order of the whole table."""
+    return P.shuffled(table(spark, d, "events"), 11, "event_id").select("event_id", "number")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(0.5 * (t * sqrt(1 + t * t) + ln(t + sqrt(t * t + 1))), 6) AS s, l_extendedprice AS h FROM (SELECT *, sqrt(l_quantity * l_quantity + l_tax * l_tax) AS t FROM lineitem)")
@@ -660,9 +672,36 @@ def child_cells(spark, d):
     return C.split(assigned(spark, d).select("id", "x", F.col("cell").alias("parent")), 60).select("parent", "child", F.col("c")[0].alias("c1"))
 
 
-@query()
+_SAMPLE = 100
+
+
+def _nearest_sql(rows: str, at: str, name: str) -> str:
+    sq = "list_sum(list_transform(list_zip(q.x, k.c), lambda e: (e[1] - e[2]) * (e[1] - e[2])))"
+    return f"{name} AS (SELECT id, cell, x FROM (SELECT q.id, k.cell, q.x, row_number() OVER (PARTITION BY q.id ORDER BY {sq}, k.cell) AS r FROM {rows} q, {at} k) WHERE r = 1)"
+
+
+def _moved_sql(rows: str, at: str, seen: str, name: str) -> str:
+    """Centroids and counts after the rows, assigned to `at`, join what was seen."""
+    return f"""{name}n AS (SELECT k.cell, coalesce(g.n, 0) AS n, coalesce(z.n, 0) + coalesce(g.n, 0) AS total FROM {at} k LEFT JOIN (SELECT cell, count(*) AS n FROM {rows} GROUP BY cell) g ON g.cell = k.cell LEFT JOIN {seen} z ON z.cell = k.cell),
+{name}s AS (SELECT cell, pos, sum(v) AS s FROM (SELECT cell, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM {rows}) GROUP BY ALL),
+{name}c AS (SELECT cell, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS pos FROM {at}),
+{name} AS (SELECT f.cell, list(f.v + (coalesce(s.s, 0) - n.n * f.v) / greatest(n.total, 1) ORDER BY f.pos) AS c FROM {name}c f JOIN {name}n n ON n.cell = f.cell LEFT JOIN {name}s s ON s.cell = f.cell AND s.pos = f.pos GROUP BY f.cell),
+{name}t AS (SELECT cell, total AS n FROM {name}n)"""
+
+
+@query(
+    with_(
+        _P, _C, f"q0 AS (SELECT * FROM p WHERE id < {_SAMPLE})", _nearest_sql("q0", "c", "a0"), "t0 AS (SELECT cell, count(*) AS n FROM a0 GROUP BY cell)",
+        "o AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // ((SELECT count(*) FROM p) // 2 + 1) AS chunk FROM p)",
+        f"q1 AS (SELECT * FROM o WHERE chunk = 0 AND id >= {_SAMPLE})", _nearest_sql("q1", "c", "a1"), _moved_sql("a1", "c", "t0", "m1"),
+        f"q2 AS (SELECT * FROM o WHERE chunk = 1 AND id >= {_SAMPLE})", _nearest_sql("q2", "m1", "a2"), _moved_sql("a2", "m1", "m1t", "m2"),
+    ) + "SELECT cell, round(c[1], 6) AS c1, round(c[2], 6) AS c2, round(list_sum(c), 6) AS total FROM m2"
+)
 def minibatch_kmeans(spark, d):
-    return C.minibatch(pts(spark, d), cells(spark, d), 1, 250).select("cell", F.col("c")[0].alias("c1"))
+    """One pass in two chunks, from the stated cells and a prefix that they have seen."""
+    p = pts(spark, d)
+    c = C.minibatch(p, cells(spark, d), 1, p.count() // 2 + 1, sample=p.where(F.col("id") < _SAMPLE), skip=_SAMPLE)
+    return c.select("cell", F.round(F.col("c")[0], 6).alias("c1"), F.round(F.col("c")[1], 6).alias("c2"), F.round(F.aggregate("c", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
 @query()
@@ -670,12 +709,127 @@ def library_kmeans(spark, d):
     return C.ml_kmeans(pts(spark, d), CELLS).select("cell", F.col("c")[0].alias("c1"))
 
 
+#: Shortest distances from the first points over the graph of the points in `s`, as rounds of relaxing; a loop at each node keeps what is known.
+_GEO = f"""g AS (SELECT src, dst, min(w) AS w FROM (SELECT id AS src, other AS dst, sqrt(sq) AS w FROM s WHERE rank <= 10 UNION ALL SELECT other, id, sqrt(sq) FROM s WHERE rank <= 10 UNION ALL SELECT id, id, 0.0 FROM s) GROUP BY ALL),
+walk(n, source, node, d) AS (SELECT 0, id, id, CAST(0.0 AS DOUBLE) FROM p WHERE id < {LANDMARKS}
+UNION ALL SELECT walk.n + 1, walk.source, g.dst, min(walk.d + g.w) FROM walk JOIN g ON g.src = walk.node WHERE walk.n < 40 GROUP BY walk.n, walk.source, g.dst)"""
+
+
+@query("WITH RECURSIVE " + with_(_P, _S, _GEO).removeprefix("WITH ") + "SELECT source, node, round(d, 6) AS d FROM walk WHERE n = 40")
+def graph_geodesics(spark, d):
+    return D.shortest_from(D.neighbour_graph(self_knn(spark, d, 10)), list(range(LANDMARKS))).select("source", "node", *r6("d"))
+
+
+_OLD = "p AS (SELECT * FROM w WHERE id % 2 = 0 OR id < 8)"
+
+
+@query("WITH RECURSIVE " + with_(_P.replace("p AS", "w AS", 1), _OLD, _S, _GEO, "x AS (SELECT a.id, b.id AS other, list_sum(list_transform(list_zip(a.x, b.x), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM w a, p b WHERE a.id % 2 = 1 AND a.id >= 8)", "y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, other) AS rank FROM x) WHERE rank <= 10)").removeprefix("WITH ") + "SELECT y.id AS node, walk.source, round(min(sqrt(y.sq) + walk.d), 6) AS d FROM y JOIN walk ON walk.n = 40 AND walk.node = y.other GROUP BY ALL")
+def isomap_new_points(spark, d):
+    """Distances of new points to the landmarks, by way of their nearest fitted points: half the points are fitted, the others are new."""
+    p = pts(spark, d)
+    old, new = p.where("id % 2 = 0 OR id < 8"), p.where("id % 2 = 1 AND id >= 8")
+    fitted = D.shortest_from(D.neighbour_graph(N.knn_join(old, old, 10, exclude_self=True)), list(range(LANDMARKS)))
+    return D.distances_via(fitted, N.knn_join(new, old, 10)).select("node", "source", *r6("d"))
+
+
 @query()
 def landmark_isomap(spark, d):
     out = D.isomap(self_knn(spark, d, 10), list(range(LANDMARKS)), 2)
     return out.select("id", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
 
 
+@query()
+def isomap_transform(spark, d):
+    """Half the points fitted, the others placed."""
+    p = pts(spark, d)
+    old, new = p.where("id % 2 = 0 OR id < 8"), p.where("id % 2 = 1 AND id >= 8")
+    m = D.LandmarkIsomap(N.knn_join(old, old, 10, exclude_self=True), list(range(LANDMARKS)), 2)
+    return m.transform(N.knn_join(new, old, 10)).select("id", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query()
+def landmark_positions(spark, d):
+    return _small().fit(pts(spark, d)).landmark_positions(spark).select("landmark", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+# shapes of layouts: the first two components and the next two are two stated layouts
+
+
+def _plane(spark, d, first: int) -> DataFrame:
+    return pts(spark, d).select("id", F.slice("x", first, 2).alias("z"))
+
+
+_TWO = """t AS (SELECT id, x[1] AS a1, x[2] AS a2, x[3] AS b1, x[4] AS b2 FROM p), mu AS (SELECT avg(a1) AS ma1, avg(a2) AS ma2, avg(b1) AS mb1, avg(b2) AS mb2 FROM t),
+u AS (SELECT id, a1 - ma1 AS a1, a2 - ma2 AS a2, b1 - mb1 AS b1, b2 - mb2 AS b2 FROM t, mu),
+cr AS (SELECT sum(a1 * b1) AS m11, sum(a1 * b2) AS m12, sum(a2 * b1) AS m21, sum(a2 * b2) AS m22, sum(a1 * a1 + a2 * a2) AS aa, sum(b1 * b1 + b2 * b2) AS bb FROM u)"""
+
+
+@query(with_(_P, _TWO) + "SELECT round(1 - (m11 * m11 + m12 * m12 + m21 * m21 + m22 * m22 + 2 * abs(m11 * m22 - m12 * m21)) / (aa * bb), 6) AS disparity FROM cr")
+def procrustes_disparity(spark, d):
+    return M.disparity(_plane(spark, d, 1), _plane(spark, d, 3), 2).select(*r6("disparity"))
+
+
+@query(with_(_P, _TWO, "tu AS (SELECT *, m11 * m22 - m12 * m21 >= 0 AS turn, sqrt((m11 + m22) ** 2 + (m12 - m21) ** 2) AS g1, sqrt((m11 - m22) ** 2 + (m12 + m21) ** 2) AS g2 FROM cr)",
+             "ro AS (SELECT *, CASE WHEN turn THEN (m11 + m22) / aa ELSE (m11 - m22) / aa END AS co, CASE WHEN turn THEN (m12 - m21) / aa ELSE (m12 + m21) / aa END AS si FROM tu)")
+       + "SELECT u.id, round(u.a1 * co + CASE WHEN turn THEN -u.a2 * si ELSE u.a2 * si END + mb1, 6) AS z1, round(u.a1 * si + CASE WHEN turn THEN u.a2 * co ELSE -u.a2 * co END + mb2, 6) AS z2 FROM u, ro, mu")
+def aligned_layout(spark, d):
+    z = M.align(_plane(spark, d, 1), _plane(spark, d, 3), 2)
+    return z.select("id", F.round(F.col("z")[0], 6).alias("z1"), F.round(F.col("z")[1], 6).alias("z2"))
+
+
+def _spearman_sql(a: str, b: str, rows: str) -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f"corr(ra, rb) FROM (SELECT {rank(a)} AS ra, {rank(b)} AS rb FROM {rows})"
+
+
+@query(with_(_P, _TWO, "h AS (SELECT b1 AS height, -sqrt(a1 * a1 + a2 * a2) AS closeness FROM u)") + "SELECT round(r, 6) AS rings FROM (SELECT " + _spearman_sql("height", "closeness", "h").replace("corr(ra, rb)", "corr(ra, rb) AS r", 1) + ")")
+def layout_rings(spark, d):
+    return M.rings(pts(spark, d), _plane(spark, d, 1)).select(*r6("rings"))
+
+
+@query(with_(_P, _TWO, "ax AS (SELECT 0.5 * atan2(2 * sum(a1 * a2), sum(a1 * a1) - sum(a2 * a2)) AS th FROM u)", "h AS (SELECT b1 AS s, a1 * cos(th) + a2 * sin(th) AS t FROM u, ax)") + "SELECT round(abs(r), 6) AS along FROM (SELECT " + _spearman_sql("s", "t", "h").replace("corr(ra, rb)", "corr(ra, rb) AS r", 1) + ")")
+def along_sheet(spark, d):
+    return M.along(pts(spark, d).select("id", F.col("x")[2].alias("s")), _plane(spark, d, 1)).select(*r6("along"))
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_quantity, 0.005) AS x0, quantile_cont(l_quantity, 0.995) AS x1, quantile_cont(l_extendedprice, 0.005) AS y0, quantile_cont(l_extendedprice, 0.995) AS y1 FROM lineitem),
+b AS (SELECT count(*) AS n, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS m FROM lineitem, q WHERE l_quantity BETWEEN x0 AND x1 AND l_extendedprice BETWEEN y0 AND y1
+GROUP BY least(floor((l_quantity - x0) / (x1 - x0) * 60), 59), least(floor((l_extendedprice - y0) / (y1 - y0) * 60), 59)) SELECT round(avg(CASE WHEN m > n / 2 THEN 1.0 ELSE 0.0 END), 6) AS area_share, count(*) AS n_bins FROM b""")
+def area_share(spark, d):
+    """The share of the occupied grid in which one class is the majority."""
+    return M.area_share(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", F.col("l_returnflag") == "N").select(*r6("area_share"), "n_bins")
+
+
+@query(with_(_P, _C, _D, _CC, _K.format(k=NEAR), _E, _V) + """, kd AS (SELECT cell, sq FROM (SELECT cell, sq, row_number() OVER (PARTITION BY cell ORDER BY sq, id) AS r FROM dist) WHERE r = 10),
+ch AS (SELECT e.src AS cell, abs(ln(x.v) - ln(y.v)) / sqrt(e.sq) AS change FROM e JOIN v x ON x.cell = e.src JOIN v y ON y.cell = e.dst AND y.landmark = x.landmark WHERE e.sq <= e.r AND e.sq > 0 AND x.v >= 0.1 AND y.v >= 0.1 AND x.cell <> x.landmark AND y.cell <> y.landmark)
+SELECT ch.cell, round(-4.0 * ln(sqrt(kd.sq)), 6) AS log_density, round(ln(quantile_cont(change, 0.5)), 6) AS log_rate FROM ch JOIN kd ON kd.cell = ch.cell GROUP BY ch.cell, kd.sq""")
+def decay_against_density(spark, d):
+    c = cells(spark, d)
+    tenth = N.knn_join(c.select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x")), pts(spark, d), 10).where("rank = 10").select(F.col("id").cast("int").alias("cell"), F.col("sq").alias("sq_radius"))
+    out = M.decay_by_cell(G.edges(c, G.radii(c, "adaptive_per_cell", NEAR)), maps(spark, d).withColumn("source", F.col("landmark")), 0.1, tenth, 4.0)
+    return out.select("cell", *r6("log_density", "log_rate"))
+
+
+@query(with_(_P, _L, "f AS (SELECT l.*, label, CAST(('0x' || substr(md5('0:' || CAST(l.id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold FROM l JOIN p ON p.id = l.id)",
+             "cv AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sq, other) AS rank FROM (SELECT a.id, a.fold, b.id AS other, b.label AS vote, (a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) AS sq FROM f a, f b WHERE a.fold <> b.fold))",
+             f"vo AS (SELECT id, fold, vote, count(*) AS n FROM cv WHERE rank <= {NEAR} GROUP BY ALL)", "b AS (SELECT id, fold, vote FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, vote) AS r FROM vo) WHERE r = 1)")
+       + "SELECT round(avg(share), 6) AS accuracy FROM (SELECT b.fold, avg(CASE WHEN b.vote = f.label THEN 1.0 ELSE 0.0 END) AS share FROM b JOIN f ON f.id = b.id GROUP BY b.fold)")
+def knn_cross_validated(spark, d):
+    fold = F.pmod(F.conv(F.substring(P.hash_order(F.col("id"), 0), 1, 8), 16, 10).cast("long"), F.lit(5))
+    return M.cross_validated(_plane(spark, d, 1).withColumnRenamed("z", "x"), pts(spark, d).select("id", "label"), fold, 5, NEAR).select(*r6("accuracy"))
+
+
+def _alone(name: str) -> str:
+    return f"(SELECT * FROM ({SQL[name]}))"
+
+
+@query(f"SELECT trustworthiness, continuity, density_preservation, density_slope, accuracy AS knn_accuracy FROM {_alone('trustworthiness')}, {_alone('continuity')}, {_alone('density_preservation')}, {_alone('knn_cross_validated')}")
+def layout_quality(spark, d):
+    """All scores of a layout in one call."""
+    q = M.quality(pts(spark, d), _plane(spark, d, 1).withColumnRenamed("z", "x"), pts(spark, d).select("id", "label"), NEAR, NEAR, sample=None)
+    return q.select(*r6("trustworthiness", "continuity", "density_preservation", "density_slope", "knn_accuracy"))
+
+
 @query()
 def half_sphere(spark, d):
     from manifoldry.sources.synthetic import half_sphere

@@ -16,21 +16,40 @@ def running_counts(stream: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 class RunningCentroids:
-    """Mini-batch k-means over micro-batches: each adds its counts and moves centroids to running means. State is the model alone."""
+    """Mini-batch k-means over micro-batches: each adds its counts and moves centroids to running means.
 
-    def __init__(self, cells: DataFrame, seen: np.ndarray | None = None):
+    With a path, the model after each micro-batch is written there under the batch's number; a stream that is started again goes on from the last batch that its checkpoint knows of,
+    and a batch that is tried again starts from the model before it, so each counts once. Without one, the state is this object's alone.
+    """
+
+    def __init__(self, cells: DataFrame, seen: np.ndarray | None = None, path: str | None = None):
         self.c = C.centroid_matrix(cells)[1].copy()
         self.n = np.zeros(len(self.c)) if seen is None else np.asarray(seen, dtype=float)
-        self._last = -1
+        self.path, self._last = path, -1
+        if path is not None:
+            self._restore(cells.sparkSession, None)
+
+    def _restore(self, spark, before: int | None) -> None:
+        """The latest stored model, or the latest of batches before a number."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [int(x.getPath().getName().removeprefix("batch=")) for x in (fs.listStatus(p) if fs.exists(p) else []) if x.getPath().getName().startswith("batch=")]
+        found = [b for b in found if (before is None or b < before) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}/_SUCCESS"))]
+        if found:
+            rows = spark.read.parquet(f"{self.path}/batch={max(found)}").orderBy("cell").collect()  # the model: a row a cell
+            self.c, self.n, self._last = np.array([r.c for r in rows]), np.array([r.n for r in rows]), max(found)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         if number <= self._last:  # a batch that is tried again counts once
             return
-        more, s, _ = C.partial_sums(batch, C.cells_frame(batch.sparkSession, self.c))
-        self.n += more
-        on = more > 0
-        self.c[on] += (s[on] - more[on, None] * self.c[on]) / self.n[on, None]
+        spark = batch.sparkSession
+        more, s, _ = C.partial_sums(batch, C.cells_frame(spark, self.c))
+        self.n = self.n + more
+        self.c = self.c + (s - more[:, None] * self.c) / np.maximum(self.n, 1)[:, None]
         self._last = number
+        if self.path is not None:
+            rows = [(i, c.tolist(), float(n)) for i, (c, n) in enumerate(zip(self.c, self.n))]
+            spark.createDataFrame(rows, "cell int, c array<double>, n double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
