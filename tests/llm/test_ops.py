@@ -728,7 +728,7 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
 def test_near_copies_in_long_lists(spark):
     from manifoldry.llm.copies import near_copies
 
-    # many texts that share nearly all, and pairs of them that only a comparison of all with all brings together
+    # many texts that share nearly all, and pairs of others that share less with them than with each other
     rng = random.Random(15)
     base = words(rng, 120)
     texts = []
@@ -748,15 +748,21 @@ def test_near_copies_in_long_lists(spark):
 
 
 def test_unjoined_pairs(spark):
-    from manifoldry.llm.copies import WIDTH, unjoined
-
-    many = list(range(10, 10 + WIDTH + 3))
-    listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in many[:WIDTH]] + [(3, x) for x in range(100, 100 + 3 * WIDTH)]
-    roots = [(x, 10) for x in many[1:-2]] + [(x, 100) for x in range(101, 100 + 3 * WIDTH)]
-    df = spark.createDataFrame([(t, 0, x) for t, x in listed], "t long, after long, node long").repartition(3)
-    got = {(r.a, r.b) for r in unjoined(df, spark.createDataFrame(roots, "node long, root long")).collect()}
-    root = dict(roots)
-    assert got == {(a, b) for a in many for b in many if a < b and root.get(a, a) != root.get(b, b)}
+    from manifoldry.llm.copies import hub_pairs, list_heads, unjoined
+
+    many = list(range(10, 20))
+    listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in (10, 11)] + [(3, x) for x in range(100, 112)] + [(4, 500)] * 3
+    roots = {x: 10 for x in many[1:-3]} | {x: 100 for x in range(101, 112)}
+    near = {x: 0.9 for x in many[1:-3]} | {17: 0.75, 18: 0.72, 19: 0.1}
+    df = spark.createDataFrame(listed, "t long, node long").repartition(3)
+    heads = list_heads(df)
+    assert {(r.t, r.hub, r.n) for r in heads.collect()} == {(1, 10, 11), (2, 10, 2), (3, 100, 12)}
+    pairs = {(r.a, r.b) for r in hub_pairs(df, heads).collect()}
+    assert pairs == {(10, x) for x in many[1:]} | {(100, x) for x in range(101, 112)}
+    known = spark.createDataFrame([(a, b, near.get(b, 0.95)) for a, b in pairs], "a long, b long, s double")
+    got = {(r.a, r.b) for r in unjoined(df, heads, known, spark.createDataFrame(list(roots.items()), "node long, root long"), 0.8).collect()}
+    root = lambda x: roots.get(x, x)
+    assert got == {(a, b) for a in many[1:] for b in many[1:] if a < b and root(a) != root(b) and abs(near[a] - near[b]) <= 0.2}
 
 
 def test_join_by_counts(spark, monkeypatch):
