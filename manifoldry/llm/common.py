@@ -1,70 +1,19 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, and byte-level text kernels in numpy."""
+"""Shared helpers: joins that split hot keys, filters of fixed size, and byte-level text kernels in numpy."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster is refused."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="manifoldry-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-#: Scratch folders made by this process and not deleted yet.
-_MADE: set[str] = set()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    folder = f"{shared_dir(spark)}/manifoldry-{uuid.uuid4().hex}"
-    _MADE.add(folder)
-    return f"{folder}/{name}"
+from manifoldry.operators.shared import clear_scratch, cut, drop_scratch, scratch_path, shared_dir  # noqa: F401
 
-
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete all scratch that this process has written, once no result that reads it is needed any more; how many folders there were."""
-    jvm, n = spark.sparkContext._jvm, len(_MADE)
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files behind frames made by cut() that no later frame reads."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/manifoldry-" in f:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+U64 = np.uint64
 
 
 #: A key with less rows than the first is never hot; more keys than the second can't be, since each has more than its part of all rows; and in how many parts a hot key falls.
