@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 Two logistic heads, fitted on a bounded sample of labelled rows, give each document the evidence of its own text: one for low quality, over frequencies of word shapes
-and words, and one for toxic language, over the presence of words. Grouped sums of this evidence by host and by path then give each site a posterior mean:
+and words, and one for toxic language, over the presence of words and of their beginnings, which inflected and compound forms share. Grouped sums of this evidence by host and by path then give each site a posterior mean:
 a path is shrunk towards its host and a host towards the global prior, the more the fewer documents it has, with prior weights found by the method of moments from
 the spread between groups. A document's own evidence is left out of its site's before the two are combined on the log-odds scale.
 """
@@ -21,6 +21,8 @@ WEIGHTS = 1 << 18
 SAMPLE = 6000
 SEEN, SURPRISE = 4, 4.0
 ROUNDS, RATE, DECAY = 30, 0.5, 1e-4
+#: Bytes of a word's beginnings.
+BEGINNINGS = (5, 7)
 #: Prior weights stay within these bounds; the site's log-odds count this much.
 LEAST, MOST = 2.0, 1e6
 SITE = 0.5
@@ -33,7 +35,7 @@ _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word index, shape index of every word, and each row's number of words. An index is a hashed weight."""
+    """Row and index of every word and of its beginnings; then row and index of every word's shape. An index is a hashed weight."""
     data, at = bytes_of(column)
     data, at = data[at[0] : at[-1]], at - at[0]
     starts, ends, first = word_spans(data, at)
@@ -42,7 +44,12 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     # a word's letters alone, so that marks at its ends don't hide it
     letters = np.where(_NO_LETTER[LOWER[data]], np.uint8(32), LOWER[data])
     s2, e2, f2 = word_spans(letters, at)
-    plain = (word_hashes(letters, s2, e2) >> U64(20)).astype(np.int64) % WEIGHTS
+    of = np.repeat(np.arange(len(n)), np.diff(f2))
+    plain, rows = [(word_hashes(letters, s2, e2) >> U64(20)).astype(np.int64) % WEIGHTS], [of]
+    for k in BEGINNINGS:
+        longer = e2 - s2 > k
+        plain.append((splitmix(word_hashes(letters, s2[longer], s2[longer] + k) + U64(k)) >> U64(20)).astype(np.int64) % WEIGHTS)
+        rows.append(of[longer])
     shape = _SHAPE[data]
     # runs of a class count once: a byte that repeats the one before it is taken out, with its place
     same = np.zeros(len(shape), dtype=bool)
@@ -52,7 +59,7 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     place = np.concatenate([[0], np.cumsum(keep)])
     short = shape[keep]
     kinds = (splitmix(word_hashes(short, place[starts], place[ends]) + U64(1)) >> U64(20)).astype(np.int64) % WEIGHTS
-    return np.repeat(np.arange(len(n)), np.diff(f2)), plain, row, kinds
+    return np.concatenate(rows), np.concatenate(plain), row, kinds
 
 
 _NO_LETTER = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
