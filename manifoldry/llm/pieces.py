@@ -351,7 +351,9 @@ class Encoder:
             pair.append(got)
         keys, at, which = np.unique(pair[0], return_index=True, return_inverse=True)
         if (pair[1] != pair[1][at][which]).any():
-            raise RuntimeError("two chunks share a 64-bit hash")
+            # two chunks share a 64-bit hash: tell them apart by 128 bits
+            keys, at, which = np.unique(np.stack(pair, axis=1), axis=0, return_index=True, return_inverse=True)
+            which = which.ravel()
         flat = stream.tobytes()
         chunks = [flat[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         new = [c for c in chunks if c not in self.known]
@@ -378,7 +380,7 @@ def _shared(spark, model: str):
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with a column piece_ids array<int>: the ids that the SentencePiece model file gives to each whole text.
 
-    Null and empty texts have no ids. Repeated rows are encoded alike. Other columns are kept (or those in keep); one named piece_ids is
+    Null and empty texts have no ids. Long texts are encoded whole, in steps that grow with the longest chunk that no piece spans. Repeated rows are encoded alike. Other columns are kept (or those in keep); one named piece_ids is
     replaced. Empty table: empty result. A literal U+2581 counts as a space, as the library has it.
     """
     shared = _shared(docs.sparkSession, model)
