@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,22 +15,23 @@ from pyspark.sql.types import StructType
 from manifoldry.operators.shared import clear_scratch, cut, drop_scratch, scratch_path, shared_dir  # noqa: F401
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 
 
 #: A key with less rows than the first is never hot; more keys than the second can't be, since each has more than its part of all rows; and in how many parts a hot key falls.
 COLD, HOT, SALTS = 10_000, 4096, 64
 
 
-def join_by_counts(left: DataFrame, right: DataFrame, keys: list[str], count: str, by: str, total: int | None = None) -> DataFrame:
-    """The inner join of left with right, which has one row a key and in `count` how many rows of left have that key; total: the sum of all counts, if known.
+def join_by_counts(left: DataFrame, right: DataFrame, keys: list[str], count: str, by: str) -> DataFrame:
+    """The inner join of left with right, a written table with one row a key and in `count` how many rows of left have that key.
 
     A key that holds over a HOTth of all rows is dealt to SALTS tasks, by the hash of left's column `by`. The keys to look out for are HOT rows at most, a proven bound for their broadcast.
     """
-    if total is None:
-        total = right.agg(F.sum(count)).first()[0] or 0
-    if total < COLD:
+    total, most = right.agg(F.sum(count), F.max(count)).first()
+    least = max(COLD, -(-(total or 0) // HOT))
+    if (most or 0) < least:
         return left.join(right, keys)
-    is_hot = F.col(count) >= max(COLD, -(-total // HOT))
+    is_hot = F.col(count) >= least
     hot = right.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
     salted = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
@@ -147,6 +149,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family:
     return out
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: a worker lives on and does other work."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str] | None = None) -> DataFrame:
     """df's columns (or only those in keep) and new ones: fn(column of text) gives the arrays of the DDL in fields, in order.
 
@@ -163,5 +172,6 @@ def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str
             for lo, hi in slices(at, 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *fn(part.column(len(kept)))], names=schema.names)
+        trim()
 
     return given.mapInArrow(run, schema)

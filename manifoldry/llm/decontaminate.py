@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FAMILIES, U64, append_columns, bytes_of, slices, word_hashes, word_spans
+from .common import FAMILIES, U64, append_columns, bytes_of, slices, trim, word_hashes, word_spans
 
 #: Hashed words, and singular vectors kept and drawn.
 FEATURES = 1 << 15
@@ -85,6 +85,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
         _, at = bytes_of(batch.column(0))
         for lo, hi in slices(at, 1 << 19):
             yield batch.column(0).slice(lo, hi - lo)
+    trim()
 
 
 #: Pieces that the tasks' sums are cut into, and tasks whose sums are added at a time.

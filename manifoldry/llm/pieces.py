@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import FAMILIES, U64, append_columns, bytes_of, slices
+from .common import FAMILIES, U64, append_columns, bytes_of, slices, trim
 
 SPACE = "▁"
 #: What stands between chunks in an indexed text: no character.
@@ -419,6 +419,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "piece_ids", ou
                 ids = batch.column(len(kept))
                 out = [decode_ids(token, kind, x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in ids]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string())], names=schema.names)
+        trim()
 
     given = encoded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").alias("__ids"))
     return given.mapInArrow(run, schema)

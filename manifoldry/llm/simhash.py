@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bytes_of, cut, drop_scratch, join_by_counts
+from .common import COLD, U64, bytes_of, cut, drop_scratch, join_by_counts
 
 SHINGLE = 3
 SEED = 42
@@ -149,12 +149,13 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
-        edges_twice = 2 * mark[0]
+        # so few edges that no node can be hot are joined as they are
+        joined = (lambda left, least: left.join(least, "a")) if 2 * mark[0] < COLD else (lambda left, least: join_by_counts(left, cut(least, "least"), ["a"], "n", by="b"))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = join_by_counts(both, least, ["a"], "n", "b", edges_twice).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_by_counts(large, least, ["a"], "n", "b", edges_twice).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = joined(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         was, now = now, cut(small, "edges")
         drop_scratch(now.sparkSession, was)
 
@@ -170,7 +171,7 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(links(distinct.select("fp")))
     root = F.coalesce("root", "fp").alias("root")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", root)
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of_root = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "roots")
     named = cut(join_by_counts(rooted, of_root, ["root"], "members", by="fp").select("fp", "n", "component_id", "root"), "components")
     # copies of one text may be a third of all rows: their fingerprint is dealt to many tasks
     return join_by_counts(marked, named, ["fp"], "n", by="doc_id").select("doc_id", *(["a", "b"] if with_keys else []), "fp", "component_id", "root")

@@ -748,7 +748,7 @@ def test_near_copies_in_long_lists(spark):
 
 
 def test_unjoined_pairs(spark):
-    from manifoldry.llm.copies import hub_pairs, list_heads, unjoined
+    from manifoldry.llm.copies import hub_pairs, list_heads, shared_lists, unjoined
 
     many = list(range(10, 20))
     listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in (10, 11)] + [(3, x) for x in range(100, 112)] + [(4, 500)] * 3
@@ -757,10 +757,12 @@ def test_unjoined_pairs(spark):
     df = spark.createDataFrame(listed, "t long, node long").repartition(3)
     heads = list_heads(df)
     assert {(r.t, r.hub, r.n) for r in heads.collect()} == {(1, 10, 11), (2, 10, 2), (3, 100, 12)}
-    pairs = {(r.a, r.b) for r in hub_pairs(df, heads).collect()}
+    shared = shared_lists(df, heads)
+    assert shared.count() == 25
+    pairs = {(r.a, r.b) for r in hub_pairs(shared).collect()}
     assert pairs == {(10, x) for x in many[1:]} | {(100, x) for x in range(101, 112)}
     known = spark.createDataFrame([(a, b, near.get(b, 0.95)) for a, b in pairs], "a long, b long, s double")
-    got = {(r.a, r.b) for r in unjoined(df, heads, known, spark.createDataFrame(list(roots.items()), "node long, root long"), 0.8).collect()}
+    got = {(r.a, r.b) for r in unjoined(shared, known, spark.createDataFrame(list(roots.items()), "node long, root long"), 0.8).collect()}
     root = lambda x: roots.get(x, x)
     assert got == {(a, b) for a in many[1:] for b in many[1:] if a < b and root(a) != root(b) and abs(near[a] - near[b]) <= 0.2}
 
@@ -774,8 +776,9 @@ def test_join_by_counts(spark, monkeypatch):
     left = [(rng.choice([0, 0, 0, *range(1, 400)]) if i % 3 else 0, i) for i in range(2000)]
     n = Counter(k for k, _ in left)
     right = spark.createDataFrame([(k, c, f"v{k}") for k, c in n.items() if k != 7], "k int, n int, v string")
-    for total in (None, 2000):
-        got = common.join_by_counts(spark.createDataFrame(left, "k int, i int"), right, ["k"], "n", "i", total)
+    for cold in (50, 5000):
+        monkeypatch.setattr(common, "COLD", cold)
+        got = common.join_by_counts(spark.createDataFrame(left, "k int, i int"), right, ["k"], "n", "i")
         assert got.columns == ["k", "i", "n", "v"] and bag((r.k, r.i, r.v) for r in got.collect()) == bag((k, i, f"v{k}") for k, i in left if k != 7)
 
 
