@@ -164,14 +164,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, contained: float = CONTA
     text = F.col(f"`{text_col}`")
     held = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), _shingles(_words(text)).alias("s")).where(F.arrays_overlap("s", every)).dropDuplicates(["doc_id", "k"])
     least = table.select("template", "license", "span", "shingles", F.explode(_bands(F.col("shingles"), bands)).alias("b")).select("template", "license", "span", "shingles", "b.band", "b.least")
-    spans = sorted({x[2] for x in known}) or [8]
-    cut = held.select("doc_id", "k", "s", F.explode(F.array(*map(F.lit, spans))).alias("span"))
+    of_span = {span: longs({s for _, _, sp, x, _ in known if sp == span for s in x}) for span in sorted({x[2] for x in known})}
+    # only window lengths for which the text holds a shingle of some template, and of those only windows that do
+    able = F.filter(F.array(*(F.when(F.arrays_overlap("s", some), F.lit(span)) for span, some in of_span.items())).cast("array<int>"), lambda x: x.isNotNull())
+    cut = held.select("doc_id", "k", "s", F.explode(able).alias("span"))
     cut = cut.select("doc_id", "k", "s", "span", F.explode(F.sequence(F.lit(0), F.size("s") - 1, (F.col("span") / 2).cast("int"))).alias("at"))
     cut = cut.withColumn("window", F.slice("s", F.col("at") + 1, F.col("span") - SHINGLE + 1))
     near = F.lit(False)
-    for span in spans:
-        some = {s for _, _, sp, x, _ in known if sp == span for s in x}
-        near = near | ((F.col("span") == span) & F.arrays_overlap("window", longs(some))) if some else near
+    for span, some in of_span.items():
+        near = near | ((F.col("span") == span) & F.arrays_overlap("window", some))
     begin = F.greatest(F.col("at") - F.col("span"), F.lit(0))
     sent = cut.where(near).select("doc_id", "k", "span", "at", begin.alias("begin"), F.slice("s", begin + 1, F.col("span") * 3).alias("around"), F.explode(_bands(F.col("window"), bands)).alias("b"))
     met = sent.select("doc_id", "k", "span", "at", "begin", "around", "b.band", "b.least").join(F.broadcast(least), ["span", "band", "least"]).dropDuplicates(["doc_id", "k", "template", "at"])
