@@ -830,6 +830,36 @@ def layout_quality(spark, d):
     return q.select(*r6("trustworthiness", "continuity", "density_preservation", "density_slope", "knn_accuracy"))
 
 
+@query()
+def region_tree(spark, d):
+    """Two levels of regions, and all points placed in those they lie in."""
+    from .tree import RegionTree
+
+    p = pts(spark, d)
+    tree = RegionTree.fit(p, 1, cells__n_cells=60, cells__iterations=10, landmarks__count="fixed", landmarks__n=4, dimension__strategy="fixed", dimension__d=4.0)
+    return tree.transform(p, 1).select("id", F.concat_ws("/", F.col("path").cast("array<string>")).alias("region"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query()
+def laplacian_eigenmaps(spark, d):
+    """Of the cells' graph, which stands for points of any number."""
+    from .spectral import laplacian_eigenmaps
+
+    c = cells(spark, d)
+    z = laplacian_eigenmaps(G.edges(c, G.radii(c, "adaptive_per_cell", NEAR)).select("src", "dst", "w"), 2)
+    return z.select(F.col("id").cast("int").alias("cell"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query()
+def coarse_graining(spark, d):
+    """A model of cells against the graph of a stated sample of its points, by placement and masses."""
+    from .spectral import coarse_graining
+
+    p = P.uniform_sample(pts(spark, d), 500)
+    rows = [(a, m, *(float(v) for k, v in coarse_graining(p, 60, 8, a, m).items() if k in ("rank_correlation", "median_relative_error", "reached_share"))) for a in ("kmeans", "farthest") for m in ("uniform", "counted")]
+    return spark.createDataFrame(rows, "placement string, masses string, rank_correlation double, median_relative_error double, reached_share double")
+
+
 @query()
 def half_sphere(spark, d):
     from manifoldry.sources.synthetic import half_sphere

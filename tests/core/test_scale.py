@@ -202,3 +202,55 @@ def test_libsvm_csv_and_regions(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(x.name for x in (tmp_path / "out").iterdir() if x.is_dir()) == [f"region={i}" for i in range(3)]
     assert sorted(map(tuple, back.select("id", "region").collect())) == [(i, i % 3) for i in range(30)]
+
+
+def test_region_tree(spark, tmp_path):
+    from manifoldry.plans.tree import RegionTree
+
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.random((5, 3)) * 30, 200, axis=0) + rng.normal(0, 1, (1000, 3))
+    p = frame(spark, x).repartition(4)
+    tree = RegionTree.fit(p, 2, min_points=60, cells__n_cells=60, landmarks__count="fixed", landmarks__n=4, dimension__strategy="fixed", dimension__d=3.0)
+    assert len(tree.regions(0)) == 1 and 2 <= len(tree.regions(1)) <= 4 and all(r.path[:1] in tree.by_path for r in tree.regions(2))
+    routed = {r.id: tuple(r.path) for r in tree.route(p, 1).collect()}
+    root = tree.by_path[()]
+    near = ((x[:, None] - root.centroids[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert routed == {i: (int(root.maps[:, near[i]].argmax()),) for i in range(1000)}
+    placed = {r.id: (tuple(r.path), tuple(r.z)) for r in tree.transform(p, 2).collect()}
+    assert all(np.isfinite(z).all() for _, z in placed.values()) and {q for q, _ in placed.values()} <= set(tree.by_path)
+    tree.save(spark, str(tmp_path / "tree"))
+    again = RegionTree.load(spark, str(tmp_path / "tree"), tree.settings)
+    assert {r.id: (tuple(r.path), tuple(r.z)) for r in again.transform(p, 2).collect()} == placed
+
+
+def test_laplacian_eigenmaps_of_a_ring(spark):
+    from manifoldry.plans.spectral import laplacian_eigenmaps
+
+    n = 40
+    edges = spark.createDataFrame([(i, (i + 1) % n, 1.0) for i in range(n)], "src int, dst int, w double")
+    z = np.array([r.z for r in laplacian_eigenmaps(edges, 2).orderBy("id").collect()])
+    # a ring is laid out as a circle, in order
+    r = np.linalg.norm(z, axis=1)
+    turn = np.diff(np.unwrap(np.arctan2(z[:, 1], z[:, 0])))
+    assert np.allclose(r, r[0]) and np.allclose(np.abs(turn), 2 * np.pi / n)
+
+
+def test_coarse_graining_keeps_distances(spark):
+    from manifoldry.plans.spectral import coarse_graining
+
+    p = frame(spark, np.random.default_rng(7).random((600, 2)))
+    fine = coarse_graining(p, 150, 6)
+    rough = coarse_graining(p, 20, 6)
+    assert fine["rank_correlation"] > 0.95 and fine["reached_share"] > 0.9 and fine["median_relative_error"] < 0.5
+    assert rough["rank_correlation"] < fine["rank_correlation"]
+
+
+def test_falling_limit_from_any_guess():
+    from manifoldry.plans.potential import falling_limit
+
+    for limit in (1e-9, 3e-4, 0.5, 77.0, 1e6):
+        for guess in (None, 1e-12, 1e-3, 0.4, 80.0, 1e9):
+            calls = []
+            got = falling_limit(lambda r: calls.append(r) or -r, -limit, (1e-8, 1e3), 0.01, guess)
+            assert got == pytest.approx(min(max(limit, 1e-8), 1e3), rel=0.0101) and (got <= limit * (1 + 1e-9) or got == 1e-8)
+            assert len(calls) == len(set(calls)) <= 30
