@@ -9,33 +9,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from manifoldry.operators.points import renumbered
 
-def fixed_width(spark: SparkSession, path: str, n_features: int) -> DataFrame:
-    """(id, x) from files of unsigned bytes, n_features a row, scaled to 0..1. Rows are numbered through the files in order of their names."""
+
+#: A larger file is read record by record in parts, as it would be too much for one row.
+WHOLE = 256 << 20
+
+
+def fixed_width(spark: SparkSession, path: str, n_features: int, whole: int = WHOLE) -> DataFrame:
+    """(id, x) from files of unsigned bytes, n_features a row, scaled to 0..1. Rows are numbered through the files in order of their names. Files of up to `whole` bytes are read at once, larger ones split."""
     files = spark.read.format("binaryFile").load(path)
     sizes = files.select("path", "length").orderBy("path").collect()  # one row a file
     if any(r.length % n_features for r in sizes):
         raise ValueError("a file doesn't hold whole rows")
     first = dict(zip((r.path for r in sizes), np.concatenate([[0], np.cumsum([r.length // n_features for r in sizes])]).tolist()))
 
+    def rows(number: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(x) + 1) * n_features, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(number), pa.ListArray.from_arrays(ends, pa.array((x / 255.0).ravel()))], names=["id", "x"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, n_features)
                 for lo in range(0, len(x), 10_000):
-                    part = x[lo : lo + 10_000] / 255.0
-                    ends = pa.array(np.arange(len(part) + 1) * n_features, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(first[name] + lo + np.arange(len(part))), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], names=["id", "x"])
+                    part = x[lo : lo + 10_000]
+                    yield rows(first[name] + lo + np.arange(len(part)), part)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, n_features)
+            yield rows(batch.column(0).to_numpy(), x)
 
-    return files.select("path", "content").mapInArrow(run, "id long, x array<double>")
+    schema = "id long, x array<double>"
+    out = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(run, schema)
+    for r in sizes:
+        if r.length > whole:
+            at = first[r.path]
+            # the one source of fixed records that splits a file
+            numbered = spark.sparkContext.binaryRecords(r.path, n_features).zipWithIndex().map(lambda x, at=at: (at + x[1], bytearray(x[0])))
+            out = out.union(spark.createDataFrame(numbered, "id long, content binary").mapInArrow(records, schema))
+    return out
 
 
 def libsvm(spark: SparkSession, path: str, n_features: int) -> DataFrame:
-    """(id, x, label) from LIBSVM text; id is the order of reading."""
+    """(id, x, label) from LIBSVM text. Lines are numbered through the files in order of their names, whatever the partitions: by file, then by place in it."""
     from pyspark.ml.functions import vector_to_array
 
     df = spark.read.format("libsvm").option("numFeatures", str(n_features)).load(path)
-    return df.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"))
+    placed = df.select(F.input_file_name().alias("__file"), F.input_file_block_start().alias("__start"), F.monotonically_increasing_id().alias("__row"), vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label"))
+    return renumbered(placed, F.col("__file"), F.col("__start"), F.col("__row"), name="id").select("id", "x", "label")
 
 
 def csv(spark: SparkSession, path: str, id_col: str, columns: list[str]) -> DataFrame:

@@ -92,6 +92,8 @@ def test_sources(spark, tmp_path):
     raw[12:].tofile(tmp_path / "b.bin")
     got = files.fixed_width(spark, str(tmp_path / "*.bin"), 3).orderBy("id").collect()
     assert [r.id for r in got] == list(range(20)) and np.allclose([r.x for r in got], raw / 255)
+    split = files.fixed_width(spark, str(tmp_path / "*.bin"), 3, whole=30).orderBy("id").collect()
+    assert [(r.id, r.x) for r in split] == [(r.id, r.x) for r in got]
     x = np.arange(46.0).reshape(23, 2)
     assert np.allclose([r.x for r in files.from_chunks(spark, [x[:4], (x[4:13], "y"), x[13:]]).orderBy("id").collect()], x)
     with pytest.raises(TypeError):

@@ -194,7 +194,7 @@ def test_stream_goes_on_after_a_restart(spark, cloud, tmp_path):
 def test_libsvm_csv_and_regions(spark, tmp_path):
     (tmp_path / "a.svm").write_text("".join(f"{i % 3} 1:{i} 3:{i / 2}\n" for i in range(20)))
     got = files.libsvm(spark, str(tmp_path / "a.svm"), 3).collect()
-    assert sorted((r.label, tuple(r.x)) for r in got) == sorted((i % 3, (i, 0.0, i / 2)) for i in range(20)) and len({r.id for r in got}) == 20
+    assert sorted((r.id, r.label, tuple(r.x)) for r in got) == [(i, i % 3, (i, 0.0, i / 2)) for i in range(20)]
     (tmp_path / "a.csv").write_text("k,a,b\n" + "".join(f"{i},{i / 4},{-i}\n" for i in range(9)))
     assert sorted((r.id, tuple(r.x)) for r in files.csv(spark, str(tmp_path / "a.csv"), "k", ["a", "b"]).collect()) == [(i, (i / 4, -i)) for i in range(9)]
     df = spark.range(30).withColumn("region", (F.col("id") % 3).cast("int"))
