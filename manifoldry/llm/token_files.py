@@ -1,6 +1,7 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
-A file holds rows of `length` ids and as many mask bits; all rows are equally long, so any sequence is a slice of a memory map without a copy. Documents
+A file holds rows of `length` ids and as many mask bytes; all rows are equally long, so any sequence and its mask are slices of a memory map without a copy. Ids take
+16 bits, or 32 with a vocabulary of over SMALL. Documents
 follow each other in ascending order of id; only a file's last row is padded, with mask false. A second Arrow file beside each lists its documents and their lengths.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import FAMILIES, LOWER, SEPARATOR, bytes_of, slices, word_hashes
 
 LENGTH, ROWS = 2048, 128
+SMALL = 1 << 16
 #: Distinct words that a worker remembers, and bytes of text that it takes at a time.
 REMEMBERED, PART = 150_000, 4 << 20
 
@@ -44,8 +46,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        if self.tokenizer.get_vocab_size() > 65536:
-            raise ValueError("ids must fit into 16 bits")
+        self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= SMALL else np.uint32)
         self.known: dict[bytes, bytes] = {}
         probe = "It's  a\tTEST,\nof words'll\r\n(and) 12345 \u00c9t\u00e9s!? x2y <|endoftext|> $%a,b.c".encode()
         whole = self.tokenizer.encode(probe.decode(), add_special_tokens=False).ids
@@ -53,11 +54,11 @@ class WordEncoder:
             raise ValueError("this tokenizer's words aren't independent")
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (16 bits), and each row's first id (n + 1 values)."""
+        """All ids, and each row's first id (n + 1 values)."""
         lo, hi = int(offsets[0]), int(offsets[-1])
         data, offsets = data[lo:hi], offsets - lo
         if not len(data):
-            return np.zeros(0, dtype=np.uint16), np.zeros(len(offsets), dtype=np.int64)
+            return np.zeros(0, dtype=self.dtype), np.zeros(len(offsets), dtype=np.int64)
         if b"<|" not in data.tobytes():  # special tokens know case
             data = LOWER[data]
         kind = _KIND[data]
@@ -71,23 +72,25 @@ class WordEncoder:
         stop[heads[1:] - 1] = inside[heads[1:] - 1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         if not len(starts):
-            return np.zeros(0, dtype=np.uint16), np.zeros(len(offsets), dtype=np.int64)
+            return np.zeros(0, dtype=self.dtype), np.zeros(len(offsets), dtype=np.int64)
         first = np.searchsorted(starts, offsets)
         one, two = (word_hashes(data, starts, ends, f) for f in FAMILIES)
         _, at, which = np.unique(one, return_index=True, return_inverse=True)
         if (two != two[at][which]).any():
-            raise RuntimeError("two words share a 64-bit hash")
+            # two words share a 64-bit hash: tell them apart by 128 bits
+            _, at, which = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
+            which = which.ravel()
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         new = [w for w in words if w not in self.known]
         for w, e in zip(new, self.tokenizer.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)):
-            self.known[w] = array("H", e.ids).tobytes()
+            self.known[w] = array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes()
         found = [self.known[w] for w in words]
         if len(self.known) > REMEMBERED:
             # the oldest stay: frequent words came early
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
-        pool, place = np.frombuffer(b"".join(found), dtype=np.uint16), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        pool, place = np.frombuffer(b"".join(found), dtype=self.dtype), np.cumsum(sizes) - sizes
         n = sizes[which]
         total = np.cumsum(n)
         ids = pool[np.repeat(place[which] - (total - n), n) + np.arange(int(total[-1]))]
@@ -106,23 +109,23 @@ def _open(uri: str):
 class _Writer:
     """One file of sequences and one of documents, under a name of this attempt until both are whole."""
 
-    def __init__(self, folder: str, part: int, length: int):
+    def __init__(self, folder: str, part: int, length: int, dtype: np.dtype):
         self.fs, root = _open(folder)
         self.fs.create_dir(root, recursive=True)
         self.final = [f"{root}/{kind}-{part:06d}.arrow" for kind in ("sequences", "documents")]
         self.tried = [f"{x}.{TaskContext.get().taskAttemptId()}.tmp" for x in self.final]
         self.length = length
-        self.sequence = pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.sequence = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.document = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         self.streams = [self.fs.open_output_stream(x) for x in self.tried]
         self.out = [pa.ipc.new_file(s, t) for s, t in zip(self.streams, (self.sequence, self.document))]
-        self.rest = np.zeros(0, dtype=np.uint16)
+        self.rest = np.zeros(0, dtype=dtype)
         self.docs = self.tokens = 0
 
     def _rows(self, ids: np.ndarray, mask: np.ndarray) -> None:
         for lo in range(0, len(ids), ROWS * self.length):
             x, m = ids[lo : lo + ROWS * self.length], mask[lo : lo + ROWS * self.length]
-            self.out[0].write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length), pa.FixedSizeListArray.from_arrays(pa.array(m), self.length)], schema=self.sequence))
+            self.out[0].write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length), pa.FixedSizeListArray.from_arrays(pa.array(m.view(np.uint8)), self.length)], schema=self.sequence))
 
     def add(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
         self.out[1].write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64())], schema=self.document))
@@ -137,7 +140,7 @@ class _Writer:
         n = len(self.rest)
         if n:
             full = -(-n // self.length) * self.length
-            self._rows(np.concatenate([self.rest, np.zeros(full - n, dtype=np.uint16)]), np.arange(full) < n)
+            self._rows(np.concatenate([self.rest, np.zeros(full - n, dtype=self.rest.dtype)]), np.arange(full) < n)
         for x in (*self.out, *self.streams):
             x.close()
         for a, b in zip(self.tried, self.final):
@@ -148,7 +151,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int
     """Encode every whole text, append end_id, write the ids to files under folder (a URI that all executors reach) in ascending order of id.
 
     Returns one row a file: part, n_docs, n_tokens, and start, the ids in all files before it. Null and empty texts are one end_id. Null ids come first.
-    Repeated ids stand together, ordered by a hash of their texts. Other columns are not read. Empty table: no file.
+    Repeated ids stand together, ordered by a hash of their texts. Long texts are encoded whole. Other columns are not read. Empty table: no file.
     """
     spark = docs.sparkSession
     tokenizer = spark.sparkContext.broadcast(tokenizer_json)
@@ -163,11 +166,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int
             if not batch.num_rows:
                 continue
             if out is None:
-                out, encoder = _Writer(folder, part, length), _encoder(tokenizer.value)
+                encoder = _encoder(tokenizer.value)
+                out = _Writer(folder, part, length, encoder.dtype)
             data, at = bytes_of(batch.column(1))
             for lo, hi in slices(at, PART):
                 ids, first = encoder.encode(data, at[lo : hi + 1])
-                out.add(batch.column(0).slice(lo, hi - lo), np.diff(first) + 1, np.insert(ids, first[1:], np.uint16(end_id)))
+                out.add(batch.column(0).slice(lo, hi - lo), np.diff(first) + 1, np.insert(ids, first[1:], end_id))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.docs], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "n_docs", "n_tokens"])
@@ -179,14 +183,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int
 
 
 def sequences(folder: str, part: int, first: int, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences first to first + n of a file (within one batch of ROWS), without a copy from a local file: ids, and mask bits."""
+    """Sequences first to first + n of a file (within one batch of ROWS), without a copy from a local file: ids, and masks of ones and zeros as booleans."""
     fs, root = _open(folder)
     path = f"{root}/sequences-{part:06d}.arrow"
     source = pa.memory_map(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(first // ROWS)
     ids, mask = batch.column(0), batch.column(1)
     length, lo = ids.type.list_size, first % ROWS
-    return ids.flatten().to_numpy()[lo * length : (lo + n) * length].reshape(-1, length), mask.flatten().to_numpy(zero_copy_only=False)[lo * length : (lo + n) * length].reshape(-1, length)
+    return ids.flatten().to_numpy()[lo * length : (lo + n) * length].reshape(-1, length), mask.flatten().to_numpy().view(bool)[lo * length : (lo + n) * length].reshape(-1, length)
 
 
 def read_documents(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
@@ -207,8 +211,9 @@ def read_documents(spark: SparkSession, files: DataFrame, folder: str) -> DataFr
                     n = len(rest)
                     while len(sizes) and n < ends[-1]:
                         x = seq.get_batch(at)
-                        ids, mask = x.column(0).flatten().to_numpy(), x.column(1).flatten()
-                        held.append((ids if mask.true_count == len(ids) else ids[: mask.true_count]).astype("<u4"))
+                        # only the end of the last row is padded
+                        ids, kept = x.column(0).flatten().to_numpy(), int(np.count_nonzero(x.column(1).flatten().to_numpy()))
+                        held.append(ids[:kept].astype("<u4"))
                         n += len(held[-1])
                         at += 1
                     ids = np.concatenate(held)

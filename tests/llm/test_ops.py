@@ -284,11 +284,33 @@ def test_token_files(spark, docs, empty, tmp_path):
     part = files.orderBy("part").first()
     x, mask = sequences(folder, part.part, 0)
     first = np.concatenate([np.frombuffer(r.ids, dtype="<u4") for r in got if part.start <= r.start < part.start + part.n_tokens])[:64]
-    assert x.shape == (1, 64) and x[0][mask[0]].tolist() == first.tolist()
+    assert x.shape == (1, 64) and x[0][mask[0]].tolist() == first.tolist() and not (x.flags.owndata or mask.flags.owndata)
     assert not list(tmp_path.glob("out/*.tmp"))
     assert read_documents(spark, write_tokens(empty, f"file://{tmp_path}/none", text), f"file://{tmp_path}/none").count() == 0
 
 
+def test_word_encoder_equals_the_library_on_random_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from manifoldry.llm import token_files
+    from manifoldry.llm.common import bytes_of
+
+    text = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(text)
+    rng = random.Random(22)
+    bits = ["a", "B", "the", "It's", "'ll", "'", "\"", " ", "  ", "\t", "\n", "\r\n", "\x00", "\x1f", "\u00a0", "\u3000", "é", "É", "ß", "İ", "日本", "😀", "\u0301", "\ufffd", "1", "23", ".", ",", "!?", "$%", "<|endoftext|>", "<|", "|>", "_", "-", "x2y"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    monkeypatch.setattr(token_files, "SMALL", 1000)
+    wide = token_files.WordEncoder(text)
+    monkeypatch.undo()
+    narrow = token_files.WordEncoder(text)
+    assert narrow.dtype == np.uint16 and wide.dtype == np.uint32
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (narrow, wide):
+        ids, first = encoder.encode(*bytes_of(pa.array(texts)))
+        assert ids.dtype == encoder.dtype and [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == expected
+
+
 def test_language_field():
     from manifoldry.llm.language import posteriors
 
