@@ -770,25 +770,58 @@ def test_near_copies_in_long_lists(spark):
 
 
 def test_unjoined_pairs(spark):
-    from manifoldry.llm.copies import hub_pairs, list_heads, shared_lists, unjoined
+    from manifoldry.llm.copies import hub_pairs, list_sizes, shared_lists, unjoined, with_hubs
 
     many = list(range(10, 20))
-    listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in (10, 11)] + [(3, x) for x in range(100, 112)] + [(4, 500)] * 3
-    roots = {x: 10 for x in many[1:-3]} | {x: 100 for x in range(101, 112)}
+    listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in (10, 11)] + [(3, x) for x in range(100, 112)] + [(4, 500)] * 3 + [(5, 105), (5, 600)]
+    roots = {x: 10 for x in many[1:-3]} | {x: 105 for x in range(100, 112)}
     near = {x: 0.9 for x in many[1:-3]} | {17: 0.75, 18: 0.72, 19: 0.1}
     df = spark.createDataFrame(listed, "t long, node long").repartition(3)
-    heads = list_heads(df)
-    assert {(r.t, r.hub, r.n) for r in heads.collect()} == {(1, 10, 11), (2, 10, 2), (3, 100, 12)}
-    shared = shared_lists(df, heads)
-    assert shared.count() == 25
+    sizes = list_sizes(df)
+    assert {(r.t, r.n) for r in sizes.collect()} == {(1, 11), (2, 2), (3, 12), (5, 2)}
+    shared = with_hubs(shared_lists(df, sizes))
+    assert shared.count() == 27 and {(r.t, r.hub) for r in shared.select("t", "hub").distinct().collect()} == {(1, 10), (2, 10), (3, 105), (5, 105)}
     pairs = {(r.a, r.b) for r in hub_pairs(shared).collect()}
-    assert pairs == {(10, x) for x in many[1:]} | {(100, x) for x in range(101, 112)}
+    assert pairs == {(10, x) for x in many[1:]} | {(105, x) for x in range(100, 112) if x != 105} | {(105, 600)}
     known = spark.createDataFrame([(a, b, near.get(b, 0.95)) for a, b in pairs], "a long, b long, s double")
     got = {(r.a, r.b) for r in unjoined(shared, known, spark.createDataFrame(list(roots.items()), "node long, root long"), 0.8).collect()}
     root = lambda x: roots.get(x, x)
     assert got == {(a, b) for a in many[1:] for b in many[1:] if a < b and root(a) != root(b) and abs(near[a] - near[b]) <= 0.2}
 
 
+def test_similarities_of_pairs(spark):
+    from manifoldry.llm.copies import shingle_sets, similarities
+
+    rng = random.Random(23)
+    base = words(rng, 60)
+    texts = [" ".join(base[:i] + words(rng, 60 - i)) for i in range(0, 60, 5)] + ["", "one word"]
+    node, sets = shingle_sets(pa.array(texts), 5)
+    df = spark.createDataFrame([(t, i, 10 * i) for i, t in enumerate(texts)] * 3, "text string, p long, q long").repartition(4)
+    firsts = spark.createDataFrame([(int(x), i, 10 * i) for i, x in enumerate(node)], "node long, p long, q long")
+    pairs = [(i, j) for i in range(12) for j in range(12) if i < j and (i + j) % 3] + [(3, 13), (13, 0)]
+    got = similarities(spark.createDataFrame([(int(node[i]), int(node[j])) for i, j in pairs], "a long, b long"), firsts, df, 5).collect()
+    expected = {(int(node[i]), int(node[j])): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in pairs}
+    assert {(r.a, r.b): r.s for r in got} == expected and len(got) == len(pairs)
+
+
+def test_near_copies_around_an_original(spark):
+    from manifoldry.llm.copies import near_copies
+
+    # copies that are near their original alone
+    rng = random.Random(24)
+    base = words(rng, 200)
+    texts = [base]
+    for _ in range(60):
+        copy = base.copy()
+        for p in rng.sample(range(200), 4):
+            copy[p] = f"x{rng.random()}"
+        texts.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    assert sum(len(a & b) >= 0.8 * len(a | b) for a, b in combinations(sets[1:], 2)) < 200 and all(len(a & sets[0]) >= 0.8 * len(a | sets[0]) for a in sets[1:])
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert len({r.root for r in near_copies(df).collect()}) == 1
+
+
 def test_join_by_counts(spark, monkeypatch):
     from manifoldry.llm import common
 
