@@ -34,8 +34,8 @@ COSINE = 0.4
 SHARE, ANSWER_SHARE, ANSWER = 0.8, 0.6, 5
 #: Below this many words, an item must appear whole and in one piece.
 SHORT = 8
-#: Items of a benchmark that are searched for at once; a longer benchmark is searched in turns.
-ITEMS = 4096
+#: Items of a benchmark, and bytes of their texts, that are searched for at once; a longer benchmark is searched in turns.
+ITEMS, ITEM_BYTES = 4096, 16 << 20
 #: Features in at most this share of passages are rare.
 RARE = 0.02
 #: An item with too few rare words to ask for so many of them in a hit has its next rarest words counted too.
@@ -340,19 +340,20 @@ def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Item
 HITS = "benchmark_hits array<struct<item_id: bigint, share: double>>"
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, turn_items: int = ITEMS) -> DataFrame:
     """docs with a column benchmark_hits: the items that each row's text holds, by smallest item_id, with the share of the item's words found in order.
 
     Words are lower-cased runs without ASCII punctuation or white space. Items of under SHORT words must appear whole, in one piece; items without a word
-    match nothing. Null or empty texts have no hits, as have items of null text. Repeated rows are judged alike. Repeated items: each is listed. Items of null id are listed with a null id.
+    match nothing. Null or empty texts have no hits, as have items of null text; long texts are searched whole. Repeated rows are judged alike. Repeated items: each is listed. Items of null id are listed with a null id.
     Other columns are kept (or those in keep); one named benchmark_hits is replaced. An empty table or benchmark: no hits.
     """
     spark = docs.sparkSession
     basis, common = latent_basis(docs.select(F.col(f"`{text_col}`").alias("text")))
     shared = spark.sparkContext.broadcast((_closed(basis), common))
     asked = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
-    # the benchmark is a stated list; it is taken in turns of at most ITEMS items, in no need of more memory when it is longer
-    turns = max(1, -(-asked.count() // ITEMS))
+    # the benchmark is a stated list; it is taken in turns of about turn_items items and ITEM_BYTES, in no need of more memory when it is longer
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    turns = max(1, -(-n // turn_items), -(-(size or 0) // ITEM_BYTES))
     out, names = docs, []
     for turn in range(turns):
         rows = asked.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(turns)) == turn).collect()

@@ -96,7 +96,7 @@ def test_substring_dedup_in_many_blocks_and_buckets(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
     usual = bag(map(tuple, substring.substring_dedup(df).select("doc_id", "n_removed", "text").collect()))
     assert sum(r[1] for r in usual) == 60 * len(range(0, 200, 3))
-    monkeypatch.setattr(substring, "BUCKET_KEYS", 300_000)
+    monkeypatch.setattr(substring, "BUCKET_KEYS", 30_000)
     assert bag(map(tuple, substring.substring_dedup(df).select("doc_id", "n_removed", "text").collect())) == usual
 
 
@@ -537,6 +537,8 @@ def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(50, None), (None, "short item")], "item_id long, text string")
     got = {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in benchmark_hits(df, bench).collect()}
     assert {i: h for i, h in got.items() if h} == {i: [j] for i, j in truth.items()}
+    turns = benchmark_hits(df, bench, keep=["doc_id"], turn_items=12)
+    assert turns.columns == ["doc_id", "benchmark_hits"] and {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in turns.collect()} == got
     assert all(len(r.benchmark_hits) == 0 for r in benchmark_hits(docs, bench).collect())
     assert benchmark_hits(empty, bench).count() == 0
     assert benchmark_hits(df, bench.where("item_id < 0")).where(F.size("benchmark_hits") > 0).count() == 0
