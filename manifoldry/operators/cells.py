@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from manifoldry.functions.arrays import sq_distance
 
 from .knn import exact_nearest, matrix
-from .points import renumbered
+from .points import hash_order, renumbered
 from .shared import scratch_path
 
 #: Most numbers in a set of centroids that is sent to every task (64 MB).
@@ -160,9 +160,9 @@ def minibatch(pts: DataFrame, start: DataFrame, passes: int = 1, chunk: int = 10
     return cells_frame(spark, c)
 
 
-def kmeans(sample: np.ndarray, k: int, iterations: int = 25, seed: int = 0) -> np.ndarray:
-    """Lloyd on a sample in memory, from k distinct random rows."""
-    c = sample[np.random.default_rng(seed).choice(len(sample), k, replace=False)].copy()
+def kmeans(sample: np.ndarray, k: int, iterations: int = 25, seed: int = 0, start: np.ndarray | None = None) -> np.ndarray:
+    """Lloyd on a sample in memory, from k distinct random rows, or from a given start."""
+    c = (sample[np.random.default_rng(seed).choice(len(sample), k, replace=False)] if start is None else start).copy()
     at = np.arange(k)
     for _ in range(iterations):
         _, j, _ = exact_nearest(sample, None, c, at, 1)
@@ -223,18 +223,54 @@ def allocate(counts: list[int], budget: int) -> list[int]:
     return out.tolist()
 
 
-def split(pts: DataFrame, n_cells: int, min_points: int = 10, iterations: int = 25, seed: int = 0) -> DataFrame:
-    """(parent, child, c): child cells of the parents in pts (id, x, parent), k-means inside each. Parents run side by side; each must fit into a task."""
+def split(pts: DataFrame, n_cells: int, min_points: int = 10, iterations: int = 25, seed: int = 0, most: int = MOST) -> DataFrame:
+    """(parent, child, c): child cells of the parents in pts (id, x, parent), k-means inside each from its first rows in seeded hash order.
+
+    Parents of up to `most` numbers run side by side, each in one task. A larger one is spread over all tasks, a pass a step, to the same cells up to rounding.
+    """
+    spark = pts.sparkSession
     counts = {r.parent: r.n for r in pts.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a parent
+    width = pts.select(F.max(F.size("x"))).first()[0] or 1
     parents = sorted(counts)
     total = sum(counts.values())
     shares = dict(zip(parents, allocate([counts[p] for p in parents], min(n_cells, max(3, total // min_points)))))
+    ordered = pts.select("id", "x", F.col("parent").cast("int").alias("parent"), hash_order(F.col("id"), seed).alias("h"))
+    large = [p for p in parents if counts[p] * width > most and shares[p]]
+
+    def rows(parent: int, c: np.ndarray) -> pa.Table:
+        return pa.table({"parent": pa.array([parent] * len(c), pa.int32()), "child": pa.array(range(len(c)), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parent = key[0].as_py()
-        x = matrix(table.sort_by("id").column("x").combine_chunks())
+        x = matrix(table.sort_by([("h", "ascending"), ("id", "ascending")]).column("x").combine_chunks())
         k = shares[parent]
-        c = kmeans(x, min(k, len(x)), iterations, seed) if k else x[:0]
-        return pa.table({"parent": pa.array([parent] * len(c), pa.int32()), "child": pa.array(range(len(c)), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
-
-    return pts.select("id", "x", F.col("parent").cast("int").alias("parent")).groupBy("parent").applyInArrow(run, "parent int, child int, c array<double>")
+        return rows(parent, kmeans(x, k, iterations, start=x[:k]) if k else x[:0])
+
+    schema = "parent int, child int, c array<double>"
+    out = ordered.where(~F.col("parent").isin(large)).groupBy("parent").applyInArrow(run, schema)
+    if not large:
+        return out
+    # the large parents' cells are a model table: at most n_cells rows
+    now = {p: np.array([r.x for r in ordered.where(F.col("parent") == p).orderBy("h", "id").limit(shares[p]).collect()]) for p in large}
+    theirs = ordered.where(F.col("parent").isin(large)).select("x", "parent")
+    for _ in range(iterations):
+        shared = spark.sparkContext.broadcast(now)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            n = {p: np.zeros(len(c)) for p, c in shared.value.items()}
+            s = {p: np.zeros_like(c) for p, c in shared.value.items()}
+            for batch in batches:
+                x, parent = matrix(batch.column(0)), batch.column(1).to_numpy()
+                for p in np.unique(parent).tolist():
+                    c, mine = shared.value[p], x[parent == p]
+                    _, j, _ = exact_nearest(mine, None, c, np.arange(len(c)), 1)
+                    n[p] += np.bincount(j, minlength=len(c))
+                    np.add.at(s[p], j, mine)
+            met = [(p, i, n[p][i], s[p][i].tolist()) for p in n for i in np.flatnonzero(n[p]).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in met], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64())))], names=["parent", "child", "n", "s"])
+
+        part = theirs.mapInArrow(sums, "parent int, child int, n double, s array<double>")
+        for r in part.groupBy("parent", "child").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[i]) for i in range(width))).alias("s")).collect():  # one row a cell
+            now[r.parent][r.child] = np.array(r.s) / r.n
+        shared.destroy()
+    return out.union(spark.createDataFrame(pa.concat_tables([rows(p, c) for p, c in now.items()])))

@@ -119,6 +119,22 @@ def test_minibatch_is_a_running_mean(spark, cloud):
     assert np.allclose([r.c for r in got], c)
 
 
+def test_parents_of_any_size_split_alike(spark, cloud):
+    p = frame(spark, cloud).withColumn("parent", F.when(F.col("id") < 180, 0).when(F.col("id") < 280, 1).otherwise(2))
+    order = [r.id for r in p.orderBy(P.hash_order(F.col("id"), 4), "id").collect()]
+    plain = {}
+    for parent, k in zip((0, 1, 2), C.allocate([180, 100, 20], 24)):
+        x = cloud[[i for i in order if (i >= 180) + (i >= 280) == parent]]
+        c = x[:k].copy()
+        for _ in range(6):
+            j = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[j == i].mean(axis=0) if (j == i).any() else c[i] for i in range(k)])
+        plain |= {(parent, i): v for i, v in enumerate(c)}
+    for most in (10**6, 300, 0):
+        got = {(r.parent, r.child): r.c for r in C.split(p.repartition(3), 24, 10, 6, seed=4, most=most).collect()}
+        assert set(got) == set(plain) and all(np.allclose(got[x], plain[x]) for x in plain)
+
+
 def test_library_kmeans_is_a_fixed_point(spark, cloud):
     c = np.array([r.c for r in C.ml_kmeans(frame(spark, cloud), 5, max_iter=200, tol=0.0).orderBy("cell").collect()])
     j = ((cloud[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
@@ -254,3 +270,33 @@ def test_falling_limit_from_any_guess():
             got = falling_limit(lambda r: calls.append(r) or -r, -limit, (1e-8, 1e3), 0.01, guess)
             assert got == pytest.approx(min(max(limit, 1e-8), 1e3), rel=0.0101) and (got <= limit * (1 + 1e-9) or got == 1e-8)
             assert len(calls) == len(set(calls)) <= 30
+
+
+def test_regions_are_fitted_as_alone(spark, cloud):
+    from manifoldry.plans.model import fit_local, fit_regions
+    from manifoldry.plans.settings import settings
+
+    s = settings(cells__n_cells=15, landmarks__count="fixed", landmarks__n=4, dimension__strategy="fixed", dimension__d=3.0)
+    p = frame(spark, cloud).withColumn("region", F.when(F.col("id") < 180, 0).when(F.col("id") < 298, 1).otherwise(2))
+    got = {r.id: r.z for r in fit_regions(p.repartition(3), s).collect()}
+    assert set(got) == set(range(298))
+    for lo, hi in ((0, 180), (180, 298)):
+        z = fit_local(cloud[lo:hi], s).place(cloud[lo:hi], s, s["embedding"]["local_chart"] != "none")
+        assert np.allclose([got[i] for i in range(lo, hi)], z)
+
+
+def test_placement_by_plain_means(spark, cloud):
+    """Fitted potentials spread to points by weighted means of their nearest cells, then distances by landmark triangulation."""
+    m = Embedder(cells__n_cells=25, landmarks__count="fixed", landmarks__n=5, embedding__local_chart="none").fit(frame(spark, cloud))
+    r, e = m.region, m.settings["extension"]
+    placed = {x.id: x.z for x in m.transform(frame(spark, cloud)).collect()}
+    for i in range(0, 300, 17):
+        d = ((cloud[i] - r.centroids) ** 2).sum(axis=1)
+        near = np.argsort(d, kind="stable")[: e["k"]]
+        excess = d[near] - d[near[0]]
+        w = np.exp(-e["sharpness"] * excess / (2 * (excess.mean() or 1))) * r.masses[near]
+        v = (w[:, None] * r.maps.T[near]).sum(axis=0) / (w.sum() + (r.rho if e["strategy"] == "grounded" else 0))
+        dist = np.where(v >= r.layout.floor, -np.log(np.maximum(v, r.layout.floor)), np.inf)
+        via = np.min(np.where(np.isfinite(dist), dist, np.inf)[:, None] + r.layout.distances, axis=0)
+        dist = np.where(np.isfinite(dist), dist, via)
+        assert np.allclose(placed[i], -0.5 * (dist**2 - r.layout.mean_sq) @ r.layout.projection.T, atol=1e-7)
