@@ -19,8 +19,12 @@ from .shared import scratch_path
 MOST = 8_000_000
 
 
-def centroid_matrix(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(cell ids, centroids), in order of cell. A model table of checked size."""
+def centroid_matrix(cells: DataFrame | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell ids, centroids), in order of cell. A model table of checked size, or the centroids themselves, which are numbered in order."""
+    if isinstance(cells, np.ndarray):
+        if cells.size > MOST:
+            raise ValueError(f"{len(cells)} centroids are too many for one broadcast")
+        return np.arange(len(cells), dtype=np.int32), cells
     rows = cells.select("cell", "c").orderBy("cell").toArrow()
     c = matrix(rows.column("c").combine_chunks()) if rows.num_rows else np.zeros((0, 0))
     if c.size > MOST:
@@ -32,9 +36,10 @@ def cells_frame(spark, centroids: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(centroids)], "cell int, c array<double>")
 
 
-def assign(pts: DataFrame, cells: DataFrame, native: bool = False) -> DataFrame:
+def assign(pts: DataFrame, cells: DataFrame | np.ndarray, native: bool = False) -> DataFrame:
     """pts with cell (the nearest centroid, ties to the lowest) and sq, its squared distance. native: as one expression, else by matrix products in Arrow batches."""
     if native:
+        cells = cells_frame(pts.sparkSession, cells) if isinstance(cells, np.ndarray) else cells
         packed = cells.agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("__cells"))
         best = F.array_min(F.transform("__cells", lambda e: F.struct(sq_distance(F.col("x"), e["c"]).alias("sq"), e["cell"].cast("int").alias("cell"))))
         # one row of checked size
@@ -86,7 +91,7 @@ def sums(assigned: DataFrame) -> DataFrame:
     return packed.select("cell", "n", F.transform("p", lambda e: e["s"]).alias("sum"), "squares")
 
 
-def partial_sums(pts: DataFrame, cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def partial_sums(pts: DataFrame, cells: DataFrame | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(counts, sums, sums of squared lengths) by cell, in order of cell: one pass in which each task sends one row a cell it met."""
     ids, c = centroid_matrix(cells)
     shared = pts.sparkSession.sparkContext.broadcast((ids, c))
@@ -120,7 +125,7 @@ def lloyd(pts: DataFrame, start: DataFrame, passes: int, tolerance: float | None
     ids, c = centroid_matrix(start)
     made = 0
     for _ in range(passes):
-        n, s, q = partial_sums(pts, cells_frame(spark, c))
+        n, s, q = partial_sums(pts, c)
         made += 1
         on = n > 0
         new = c.copy()
@@ -143,7 +148,7 @@ def minibatch(pts: DataFrame, start: DataFrame, passes: int = 1, chunk: int = 10
     """
     spark = pts.sparkSession
     c = centroid_matrix(start)[1].copy()
-    n = np.zeros(len(c)) if sample is None else partial_sums(sample, cells_frame(spark, c))[0]
+    n = np.zeros(len(c)) if sample is None else partial_sums(sample, c)[0]
     dealt = renumbered(pts.select(order, "x"), F.col(order), name="__number").withColumn("__chunk", F.floor(F.col("__number") / chunk))
     path = scratch_path(spark, "chunks")
     dealt.select(F.col(order).alias("o"), "x", "__chunk").repartition("__chunk").write.partitionBy("__chunk").parquet(path)
@@ -154,7 +159,7 @@ def minibatch(pts: DataFrame, start: DataFrame, passes: int = 1, chunk: int = 10
             some = held.where(F.col("__chunk") == at)
             if p == 0 and skip is not None:
                 some = some.where(F.col("o") >= skip)
-            more, s, _ = partial_sums(some, cells_frame(spark, c))
+            more, s, _ = partial_sums(some, c)
             n += more
             c += (s - more[:, None] * c) / np.maximum(n, 1)[:, None]
     return cells_frame(spark, c)

@@ -42,6 +42,21 @@ def radii(cells: DataFrame, strategy: str, k: int = 10, multiplier: float = 3.0,
     return one_radius(cells, median(last, "sq"))
 
 
+def sq_radii(sq: np.ndarray, strategy: str, k: int = 10, multiplier: float = 3.0, last: np.ndarray | None = None) -> np.ndarray:
+    """The squared radius of each cell by the same laws, from all squared distances of cells in memory. last: for point_knn, each sample point's squared distance to its k-th nearest cell."""
+    n = len(sq)
+    kth = lambda j: np.partition(sq + np.diag(np.full(n, np.inf)), j - 1, axis=1)[:, j - 1]
+    if strategy == "adaptive_per_cell":
+        return kth(min(k, n - 1))
+    if strategy == "knn":
+        r = np.median(np.sqrt(kth(min(k, n - 1))))
+    elif strategy == "centroid_spacing":
+        r = np.median(np.sqrt(kth(1))) * multiplier
+    else:
+        r = np.median(np.sqrt(last))
+    return np.full(n, r * r)
+
+
 def edges(cells: DataFrame, radius: DataFrame, kind: str = "radial", sigma: float = 0.3333, cutoff: float = 3.0) -> DataFrame:
     """(src, dst, sq, w): pairs with positive weight within the larger of their two radii."""
     r = lambda side: radius.select(F.col("cell").alias(side), F.col("sq_radius").alias(f"r_{side}"))

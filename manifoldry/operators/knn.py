@@ -215,6 +215,15 @@ def pair_ranks(pairs: DataFrame, pts: DataFrame, block_values: int = BLOCK_VALUE
     return found.select("id", "other", (F.col("r") + 1).alias("r"))
 
 
+def dimension_of(x: np.ndarray, k: int) -> float:
+    """mle_dimension of rows in memory."""
+    ids = np.arange(len(x))
+    _, _, d = exact_nearest(x, ids, x, ids, k)
+    d = d.reshape(-1, k)
+    d = d[d[:, 0] > 0]
+    return float(1 / np.mean(0.5 * (k * np.log(d[:, -1]) - np.log(d).sum(axis=1)) / (k - 1)))
+
+
 def mle_dimension(neighbours: DataFrame, k: int) -> DataFrame:
     """One row with the dimension estimate of Levina and Bickel from each point's k nearest (rank, sq): points whose nearest lies at distance 0 are left out, and the points' estimates are averaged harmonically."""
     last = F.max(F.when(F.col("rank") == k, F.col("sq")))

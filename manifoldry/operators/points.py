@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +55,12 @@ def hash_order(column: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), column.cast("string")))
 
 
+def hash_places(ids: np.ndarray, seed: int) -> np.ndarray:
+    """The places of ids in hash_order, ties by id: the same order for rows in memory."""
+    keys = [(hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for i in ids.tolist()]
+    return np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
+
+
 def uniform_sample(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """A uniform sample of n rows in one pass, the least in seeded hash order; the same rows whatever the partitions."""
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)

@@ -25,6 +25,8 @@ from .potential import Conductor, choose_landmarks
 from .settings import settings
 
 FORMAT = 1
+#: Points up to which all pairs of a sample are compared on the driver.
+ALONE = 4096
 
 
 @dataclass
@@ -165,18 +167,17 @@ class Embedder:
         x = N.matrix(held.column("x").combine_chunks())
         local = spark.createDataFrame(held)
         lap("sample")
-        dimension = self._dimension(local, x)
+        ids = held.column("id").to_numpy()
+        dimension = self._dimension(local, ids, x)
         lap("dimension")
-        cells = self._cells(pts, x)
+        centroids = self._cells(pts, x)
         lap("cells")
-        cells, passes = self._refine(pts, cells, local)
+        centroids, passes = self._refine(pts, centroids, local)
         lap("refine")
-        mass = self._masses(P.points(mass_from, id_col, x_col) if mass_from is not None else pts, cells)
-        kept = C.without_empty(cells, mass).orderBy("cell").collect()
-        centroids, masses = np.array([r.c for r in kept]), np.array([r.mass for r in kept])
-        masses = masses / masses.sum()
+        masses = self._masses(P.points(mass_from, id_col, x_col) if mass_from is not None else pts, centroids)
+        centroids, masses = centroids[masses > 0], masses[masses > 0] / masses.sum()
         lap("masses")
-        kernel, sq_radius = self._graph(C.cells_frame(spark, centroids), local, len(centroids))
+        kernel, sq_radius = self._graph(centroids, ids, x)
         lap("graph")
         self.region = solve_region(centroids, masses, kernel, sq_radius, dimension, s)
         self.region.seconds, self.region.passes = seconds, passes
@@ -186,60 +187,72 @@ class Embedder:
         lap("chart")
         return self
 
-    def _dimension(self, local: DataFrame, x: np.ndarray) -> float:
+    def _dimension(self, local: DataFrame, ids: np.ndarray, x: np.ndarray) -> float:
         o = self.settings["dimension"]
         if o["strategy"] == "fixed":
             return float(o["d"])
-        some = P.uniform_sample(local, o["sample_size"], self.settings["seed"]) if len(x) > o["sample_size"] else local
         k = min(o["k"], min(len(x), o["sample_size"]) - 1)
         if k < 2:
             raise ValueError("too few points for an estimate of the dimension; set dimension.strategy to fixed")
-        found = N.mle_dimension(N.knn_join(some, some, k, exclude_self=True), k).first()[0]
-        return float(found)
+        if min(len(x), o["sample_size"]) <= ALONE:
+            some = x[P.hash_places(ids, self.settings["seed"])[: o["sample_size"]]] if len(x) > o["sample_size"] else x
+            return N.dimension_of(some, k)
+        # all pairs of a large sample are shared by all tasks
+        some = P.uniform_sample(local, o["sample_size"], self.settings["seed"]) if len(x) > o["sample_size"] else local
+        return float(N.mle_dimension(N.knn_join(some, some, k, exclude_self=True), k).first()[0])
 
-    def _cells(self, pts: DataFrame, x: np.ndarray) -> DataFrame:
-        o, spark = self.settings["cells"], pts.sparkSession
+    def _cells(self, pts: DataFrame, x: np.ndarray) -> np.ndarray:
+        o = self.settings["cells"]
         if len(x) <= o["n_cells"]:
-            return C.cells_frame(spark, x)
+            return x
         if o["placement"] == "farthest":
             first = int(np.random.default_rng(self.settings["seed"]).integers(len(x)))
-            return C.cells_frame(spark, x[C.farthest(x, o["n_cells"], first)])
+            return x[C.farthest(x, o["n_cells"], first)]
         if o["engine"] == "spark_ml":
-            return C.ml_kmeans(pts, o["n_cells"], seed=self.settings["seed"])
-        return C.cells_frame(spark, C.kmeans(x, o["n_cells"], o["iterations"], self.settings["seed"]))
+            return C.centroid_matrix(C.ml_kmeans(pts, o["n_cells"], seed=self.settings["seed"]))[1]
+        return C.kmeans(x, o["n_cells"], o["iterations"], self.settings["seed"])
 
-    def _refine(self, pts: DataFrame, cells: DataFrame, local: DataFrame) -> tuple[DataFrame, int]:
+    def _refine(self, pts: DataFrame, centroids: np.ndarray, local: DataFrame) -> tuple[np.ndarray, int]:
         o = self.settings["refine"]
         if not o["passes"]:
-            return cells, 0
+            return centroids, 0
         some = pts if o["max_points"] is None else P.prefix(pts, o["max_points"])
         if o["strategy"] == "lloyd":
-            return C.lloyd(some, cells, o["passes"], o["tolerance"])
+            cells, made = C.lloyd(some, centroids, o["passes"], o["tolerance"])
+            return C.centroid_matrix(cells)[1], made
         # the sample's points count as seen; where it is the beginning of the points, the first pass goes on behind it
         skip = (local.agg(F.max("id")).first()[0] + 1) if self.settings["sample"]["strategy"] == "prefix" else None
-        return C.minibatch(some, cells, o["passes"], o["chunk_size"], sample=local, skip=skip), o["passes"]
+        return C.centroid_matrix(C.minibatch(some, centroids, o["passes"], o["chunk_size"], sample=local, skip=skip))[1], o["passes"]
 
-    def _masses(self, pts: DataFrame, cells: DataFrame) -> DataFrame:
+    def _masses(self, pts: DataFrame, centroids: np.ndarray) -> np.ndarray:
         o = self.settings["masses"]
         some = pts if o["max_points"] is None else P.prefix(pts, o["max_points"])
-        assigned = C.assign(some, cells).select("id", "cell")
+        assigned = C.assign(some, centroids).select("id", "cell")
         if o["rel_error"] is not None:
-            n = C.enough_points(assigned, "id", self.settings["refine"]["chunk_size"], o["rel_error"], cells.count())
+            n = C.enough_points(assigned, "id", self.settings["refine"]["chunk_size"], o["rel_error"], len(centroids))
             assigned = assigned.where(F.col("id") < n)
-        return C.masses(assigned, cells, o["strategy"])
-
-    def _graph(self, cells: DataFrame, local: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-        o = self.settings["graph"]
+        counts = np.zeros(len(centroids))
+        for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a cell
+            counts[r.cell] = r.n
+        return {"counted": counts / max(counts.sum(), 1), "uniform": np.full(len(counts), 1 / len(counts)), "smoothed": (counts + 1) / (counts.sum() + len(counts))}[o["strategy"]]
+
+    def _graph(self, centroids: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kernel between cells, as a matrix, and their squared radii. x: the sample, ordered by ids."""
+        o, n = self.settings["graph"], len(centroids)
         if n < 2:
             return np.zeros((n, n)), np.zeros(n)
-        near = None
+        last = None
         if o["radius"] == "point_knn":
-            some = P.uniform_sample(local, o["sample_size"], self.settings["seed"])
-            near = N.knn_join(some, cells.select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x")), min(o["k"], n))
-        radius = G.radii(cells, o["radius"], o["k"], o["multiplier"], near)
-        w, _ = G.dense(G.edges(cells, radius, o["kernel"], o["sigma"], o["cutoff"]), n)
-        r = {x.cell: x.sq_radius for x in radius.collect()}
-        return w, np.array([r[i] for i in range(n)])
+            k = min(o["k"], n)
+            some = x[P.hash_places(ids, self.settings["seed"])[: o["sample_size"]]]
+            last = N.exact_nearest(some, None, centroids, np.arange(n), k)[2].reshape(-1, k)[:, -1]
+        sq = np.zeros((n, n))
+        for f in range(centroids.shape[1]):
+            sq += (centroids[:, f, None] - centroids[None, :, f]) ** 2
+        sq_radius = G.sq_radii(sq, o["radius"], o["k"], o["multiplier"], last)
+        w = graph_kernel(sq, np.maximum(sq_radius[:, None], sq_radius[None]), self.settings)
+        np.fill_diagonal(w, 0)
+        return w, sq_radius
 
     def _chart(self, x: np.ndarray) -> None:
         r, s = self.region, self.settings
@@ -346,15 +359,10 @@ def fit_regions(pts: DataFrame, s: dict, min_points: int = 3) -> DataFrame:
 
 def fit_local(x: np.ndarray, s: dict, path: tuple[int, ...] = ()) -> Region:
     """The same fit on rows in memory: for regions inside a task."""
-    ids = np.arange(len(x))
     if s["dimension"]["strategy"] == "fixed" or len(x) < 100:
         dimension = float(s["dimension"]["d"])
     else:
-        k = min(s["dimension"]["k"], len(x) - 1)
-        _, _, d = N.exact_nearest(x, ids, x, ids, k)
-        d = d.reshape(-1, k)
-        d = d[d[:, 0] > 0]
-        dimension = float(1 / np.mean(0.5 * (k * np.log(d[:, -1]) - np.log(d).sum(axis=1)) / (k - 1)))
+        dimension = N.dimension_of(x, min(s["dimension"]["k"], len(x) - 1))
     n = min(s["cells"]["n_cells"], max(3, len(x) // s["cells"]["min_points_per_cell"]))
     c = x.copy() if len(x) <= n else C.kmeans(x, n, s["cells"]["iterations"], s["seed"])
     _, cell, _ = N.exact_nearest(x, None, c, np.arange(len(c)), 1)

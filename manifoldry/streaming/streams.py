@@ -43,7 +43,7 @@ class RunningCentroids:
         if number <= self._last:  # a batch that is tried again counts once
             return
         spark = batch.sparkSession
-        more, s, _ = C.partial_sums(batch, C.cells_frame(spark, self.c))
+        more, s, _ = C.partial_sums(batch, self.c)
         self.n = self.n + more
         self.c = self.c + (s - more[:, None] * self.c) / np.maximum(self.n, 1)[:, None]
         self._last = number

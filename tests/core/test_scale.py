@@ -300,3 +300,29 @@ def test_placement_by_plain_means(spark, cloud):
         via = np.min(np.where(np.isfinite(dist), dist, np.inf)[:, None] + r.layout.distances, axis=0)
         dist = np.where(np.isfinite(dist), dist, via)
         assert np.allclose(placed[i], -0.5 * (dist**2 - r.layout.mean_sq) @ r.layout.projection.T, atol=1e-7)
+
+
+@pytest.mark.parametrize("strategy", ["adaptive_per_cell", "knn", "centroid_spacing", "point_knn"])
+def test_graphs_in_memory_equal_tables(spark, cloud, strategy):
+    from manifoldry.operators import graph as G
+    from manifoldry.plans.model import graph_kernel
+    from manifoldry.plans.settings import settings
+
+    c, x = cloud[5:45] + 0.0, cloud[150:200]
+    cells = C.cells_frame(spark, c)
+    near = N.knn_join(frame(spark, x), frame(spark, c), 4)
+    radius = G.radii(cells, strategy, 4, 2.0, near)
+    sq = sum((c[:, f, None] - c[None, :, f]) ** 2 for f in range(4))
+    last = np.sort(((x[:, None] - c[None]) ** 2).sum(axis=2), axis=1)[:, 3]
+    mine = G.sq_radii(sq, strategy, 4, 2.0, last)
+    assert np.allclose([r.sq_radius for r in radius.orderBy("cell").collect()], mine)
+    for kernel in ("radial", "tapered", "gaussian"):
+        s = settings(graph__kernel=kernel)
+        w, _ = G.dense(G.edges(cells, radius, kernel, s["graph"]["sigma"], s["graph"]["cutoff"]), len(c))
+        v = graph_kernel(sq, np.maximum(mine[:, None], mine[None]), s)
+        np.fill_diagonal(v, 0)
+        assert np.allclose(w, v)
+    k = frame(spark, x)
+    assert N.dimension_of(x, 6) == pytest.approx(N.mle_dimension(N.knn_join(k, k, 6, exclude_self=True), 6).first()[0])
+    ids = np.array([3, 10, 2, 77, 41])
+    assert ids[P.hash_places(ids, 9)].tolist() == [r.id for r in spark.createDataFrame([(int(i),) for i in ids], "id long").orderBy(P.hash_order(F.col("id"), 9), "id").collect()]
