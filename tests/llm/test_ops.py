@@ -772,23 +772,43 @@ def test_near_copies_in_long_lists(spark):
 
 
 def test_unjoined_pairs(spark):
-    from manifoldry.llm.copies import hub_pairs, list_sizes, shared_lists, unjoined, with_hubs
+    from manifoldry.llm.copies import hub_pairs, list_sizes, open_nodes, shared_lists, unjoined, with_hubs
 
     many = list(range(10, 20))
     listed = [(1, x) for x in many] + [(1, 10)] + [(2, x) for x in (10, 11)] + [(3, x) for x in range(100, 112)] + [(4, 500)] * 3 + [(5, 105), (5, 600)]
     roots = {x: 10 for x in many[1:-3]} | {x: 105 for x in range(100, 112)}
-    near = {x: 0.9 for x in many[1:-3]} | {17: 0.75, 18: 0.72, 19: 0.1}
     df = spark.createDataFrame(listed, "t long, node long").repartition(3)
     sizes = list_sizes(df)
     assert {(r.t, r.n) for r in sizes.collect()} == {(1, 11), (2, 2), (3, 12), (5, 2)}
     shared = with_hubs(shared_lists(df, sizes))
     assert shared.count() == 27 and {(r.t, r.hub) for r in shared.select("t", "hub").distinct().collect()} == {(1, 10), (2, 10), (3, 105), (5, 105)}
-    pairs = {(r.a, r.b) for r in hub_pairs(shared).collect()}
-    assert pairs == {(10, x) for x in many[1:]} | {(105, x) for x in range(100, 112) if x != 105} | {(105, 600)}
-    known = spark.createDataFrame([(a, b, near.get(b, 0.95)) for a, b in pairs], "a long, b long, s double")
-    got = {(r.a, r.b) for r in unjoined(shared, known, spark.createDataFrame(list(roots.items()), "node long, root long"), 0.8).collect()}
-    root = lambda x: roots.get(x, x)
-    assert got == {(a, b) for a in many[1:] for b in many[1:] if a < b and root(a) != root(b) and abs(near[a] - near[b]) <= 0.2}
+    assert {(r.a, r.b) for r in hub_pairs(shared).collect()} == {(10, x) for x in many[1:]} | {(105, x) for x in range(100, 112) if x != 105} | {(105, 600)}
+    still = open_nodes(shared, spark.createDataFrame(list(roots.items()), "node long, root long"))
+    assert {(r.node, r.root) for r in still.collect()} == {(x, roots.get(x, x)) for x in many}
+    lists = [(1, 11), (1, 12), (1, 17), (2, 17), (2, 18), (2, 11), (3, 12), (3, 13), (4, 19), (9, 999)]
+    assert {(r.a, r.b) for r in unjoined(spark.createDataFrame(lists, "t long, node long"), still).collect()} == {(11, 17), (12, 17), (17, 18), (11, 18)}
+
+
+def test_prefixes_hold_every_similar_pair(spark):
+    from manifoldry.llm.copies import prefixes
+
+    rng = random.Random(25)
+    base = list(range(150))
+    sets = []
+    for i in range(120):
+        x = set(base)
+        for p in rng.sample(base, rng.randint(0, 60)):
+            x.discard(p)
+            if rng.random() < 0.8:
+                x.add(1000 + rng.randrange(400) if i % 2 else 10_000 + 1000 * i + p)
+        sets.append(x)
+    df = spark.createDataFrame([(i, h) for i, x in enumerate(sets) for h in x], "node long, h long").repartition(4)
+    lists = {}
+    for r in prefixes(df, 0.8).collect():
+        lists.setdefault(r.t, set()).add(r.node)
+    met = {(a, b) for x in lists.values() for a, b in combinations(sorted(x), 2)}
+    near = {(i, j) for i, j in combinations(range(120), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near <= met and len(near) > 100 and len(met) < 120 * 119 / 2 * 0.7
 
 
 def test_similarities_of_pairs(spark):
