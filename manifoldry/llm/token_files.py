@@ -1,6 +1,6 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
-A file holds rows of `length` ids and as many mask bytes; all rows are equally long, so any sequence and its mask are slices of a memory map without a copy. Ids take
+A file holds rows of `length` ids and as many mask bits; all rows are equally long, so any sequence and its mask are slices of a memory map without a copy. Ids take
 16 bits, or 32 with a vocabulary of over SMALL. Documents
 follow each other in ascending order of id; only a file's last row is padded, with mask false. A second Arrow file beside each lists its documents and their lengths.
 """
@@ -8,10 +8,9 @@ follow each other in ascending order of id; only a file's last row is padded, wi
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FAMILIES, LOWER, SEPARATOR, bytes_of, slices, word_hashes
+from .common import FAMILIES, LOWER, SEPARATOR, U64, bytes_of, slices, splitmix, trim, word_hashes
 
 LENGTH, ROWS = 2048, 128
 SMALL = 1 << 16
 #: Distinct words that a worker remembers, and bytes of text that it takes at a time.
-REMEMBERED, PART = 150_000, 4 << 20
+REMEMBERED, PART = 400_000, 4 << 20
 
 
 #: Kinds of bytes: white space, ASCII letters, digits, other ASCII signs; and those that may belong to what stands beside them: an apostrophe, the signs of
@@ -47,7 +46,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= SMALL else np.uint32)
-        self.known: dict[bytes, bytes] = {}
+        # words known by 128 bits of hash, in order of the first 64; where their ids are in the pool, the oldest first
+        self.keys, self.others, self.place, self.size = np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype=self.dtype)
         probe = "It's  a\tTEST,\nof words'll\r\n(and) 12345 \u00c9t\u00e9s!? x2y <|endoftext|> $%a,b.c".encode()
         whole = self.tokenizer.encode(probe.decode(), add_special_tokens=False).ids
         if whole != self.encode(np.frombuffer(probe, dtype=np.uint8), np.array([0, len(probe)]))[0].tolist():
@@ -75,27 +76,43 @@ class WordEncoder:
             return np.zeros(0, dtype=self.dtype), np.zeros(len(offsets), dtype=np.int64)
         first = np.searchsorted(starts, offsets)
         one, two = (word_hashes(data, starts, ends, f) for f in FAMILIES)
-        _, at, which = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[at][which]).any():
-            # two words share a 64-bit hash: tell them apart by 128 bits
-            _, at, which = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True, return_inverse=True)
-            which = which.ravel()
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)):
-            self.known[w] = array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes()
-        found = [self.known[w] for w in words]
-        if len(self.known) > REMEMBERED:
-            # the oldest stay: frequent words came early
-            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
-        pool, place = np.frombuffer(b"".join(found), dtype=self.dtype), np.cumsum(sizes) - sizes
-        n = sizes[which]
+        keys, at, which = np.unique(one, return_index=True, return_inverse=True)
+        while (two != two[at][which]).any():
+            # two words share a 64-bit hash: go on with another
+            one = splitmix(one + two)
+            keys, at, which = np.unique(one, return_index=True, return_inverse=True)
+        place, size = self._ids_of(data.tobytes(), keys, two[at], starts[at], ends[at])
+        n = size[which]
         total = np.cumsum(n)
-        ids = pool[np.repeat(place[which] - (total - n), n) + np.arange(int(total[-1]))]
+        ids = self.pool[np.repeat(place[which] - (total - n), n) + np.arange(int(total[-1]))]
+        self._forget()
         return ids, np.concatenate([[0], total])[first]
 
+    def _ids_of(self, raw: bytes, keys: np.ndarray, others: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of each distinct word's ids in the pool; words that aren't known go through the tokenizer and are added to it. keys: ascending."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        hit = (self.keys[at] == keys) & (self.others[at] == others) if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        place, size = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        place[hit], size[hit] = self.place[at[hit]], self.size[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            found = [e.ids for e in self.tokenizer.encode_batch([raw[a:b].decode(errors="replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)]
+            size[new] = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            place[new] = len(self.pool) + np.cumsum(size[new]) - size[new]
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), dtype=self.dtype, count=int(size[new].sum()))])
+            into = np.searchsorted(self.keys, keys[new])
+            self.keys, self.others, self.place, self.size = (np.insert(x, into, y[new]) for x, y in ((self.keys, keys), (self.others, others), (self.place, place), (self.size, size)))
+        return place, size
+
+    def _forget(self) -> None:
+        """Keep the older half of too many words: frequent words came early."""
+        if len(self.keys) <= REMEMBERED:
+            return
+        keep = self.place < np.sort(self.place)[REMEMBERED // 2]
+        self.keys, self.others, self.place, self.size = (x[keep] for x in (self.keys, self.others, self.place, self.size))
+        self.pool = self.pool[: int((self.place + self.size).max(initial=0))].copy()
+
 
 @lru_cache(maxsize=1)
 def _encoder(tokenizer_json: str) -> WordEncoder:
@@ -115,7 +132,7 @@ class _Writer:
         self.final = [f"{root}/{kind}-{part:06d}.arrow" for kind in ("sequences", "documents")]
         self.tried = [f"{x}.{TaskContext.get().taskAttemptId()}.tmp" for x in self.final]
         self.length = length
-        self.sequence = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.sequence = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.document = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
         self.streams = [self.fs.open_output_stream(x) for x in self.tried]
         self.out = [pa.ipc.new_file(s, t) for s, t in zip(self.streams, (self.sequence, self.document))]
@@ -125,7 +142,7 @@ class _Writer:
     def _rows(self, ids: np.ndarray, mask: np.ndarray) -> None:
         for lo in range(0, len(ids), ROWS * self.length):
             x, m = ids[lo : lo + ROWS * self.length], mask[lo : lo + ROWS * self.length]
-            self.out[0].write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length), pa.FixedSizeListArray.from_arrays(pa.array(m.view(np.uint8)), self.length)], schema=self.sequence))
+            self.out[0].write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length), pa.FixedSizeListArray.from_arrays(pa.array(m), self.length)], schema=self.sequence))
 
     def add(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
         self.out[1].write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64())], schema=self.document))
@@ -174,6 +191,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int
                 out.add(batch.column(0).slice(lo, hi - lo), np.diff(first) + 1, np.insert(ids, first[1:], end_id))
         if out is not None:
             out.close()
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.docs], pa.int64()), pa.array([out.tokens], pa.int64())], names=["part", "n_docs", "n_tokens"])
 
     # one small row a file: its number follows the partitions, not the documents
@@ -182,15 +200,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int
     return spark.createDataFrame([(r.part, r.n_docs, r.n_tokens, s) for r, s in zip(rows, starts)], "part int, n_docs long, n_tokens long, start long")
 
 
-def sequences(folder: str, part: int, first: int, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences first to first + n of a file (within one batch of ROWS), without a copy from a local file: ids, and masks of ones and zeros as booleans."""
+def sequences(folder: str, part: int, first: int, n: int = 1) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Sequences first to first + n of a file (within one batch of ROWS), without a copy from a local file: ids, a row a sequence, and all their mask bits, one sequence after another, as an Arrow array."""
     fs, root = _open(folder)
     path = f"{root}/sequences-{part:06d}.arrow"
     source = pa.memory_map(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(first // ROWS)
     ids, mask = batch.column(0), batch.column(1)
     length, lo = ids.type.list_size, first % ROWS
-    return ids.flatten().to_numpy()[lo * length : (lo + n) * length].reshape(-1, length), mask.flatten().to_numpy().view(bool)[lo * length : (lo + n) * length].reshape(-1, length)
+    return ids.flatten().to_numpy()[lo * length : (lo + n) * length].reshape(-1, length), mask.slice(lo, n).flatten()
 
 
 def read_documents(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
@@ -212,7 +230,7 @@ def read_documents(spark: SparkSession, files: DataFrame, folder: str) -> DataFr
                     while len(sizes) and n < ends[-1]:
                         x = seq.get_batch(at)
                         # only the end of the last row is padded
-                        ids, kept = x.column(0).flatten().to_numpy(), int(np.count_nonzero(x.column(1).flatten().to_numpy()))
+                        ids, kept = x.column(0).flatten().to_numpy(), x.column(1).flatten().true_count
                         held.append(ids[:kept].astype("<u4"))
                         n += len(held[-1])
                         at += 1
