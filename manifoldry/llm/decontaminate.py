@@ -198,7 +198,9 @@ def latent_basis(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarra
     s = np.sqrt(np.maximum(s * s - shift, 0))
     u = u * np.where(u[np.abs(u).argmax(axis=0), range(u.shape[1])] < 0, -1, 1)
     scale = np.where(s > 1e-4 * max(s[0], 1e-30), 1 / np.maximum(s, 1e-30), 0)[:RANK]
-    return (idf[:, None] * u[:, :RANK] * scale * s[0]).astype(np.float32), df / n
+    basis = (idf[:, None] * u[:, :RANK] * scale * s[0]).astype(np.float32)
+    trim()
+    return basis, df / n
 
 
 def lcs(pattern: list[int], text: list[int]) -> int:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, append_columns, bytes_of, cut, slices, splitmix, word_hashes, word_spans
+from .common import U64, append_columns, bytes_of, cut, slices, splitmix, trim, word_hashes, word_spans
 
 #: Hashed weights of a language, fewer where those of all languages would be more than so many; n-gram lengths; affix lengths.
 WEIGHTS, ALL_WEIGHTS = 1 << 18, 1 << 24
@@ -289,7 +289,9 @@ def training_texts(labelled: DataFrame, docs: int = DOCS, total: int = ALL_DOCS)
 
 def train_field(labelled: DataFrame, docs: int = DOCS) -> Field:
     texts = training_texts(labelled, docs)
-    return Field(sorted({x for x, _ in texts})).train(texts)
+    field = Field(sorted({x for x, _ in texts})).train(texts)
+    trim()
+    return field
 
 
 LABELS = "lang_pred string, score double, second_score double, n_words long"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SEPARATOR, U64, append_columns, bytes_of, cut, slices, splitmix, word_hashes, word_spans
+from .common import LOWER, SEPARATOR, U64, append_columns, bytes_of, cut, slices, splitmix, trim, word_hashes, word_spans
 
 #: Hashed weights of each head; bound of the labelled sample, in whole documents; how many of its documents share a feature that is used, and by how many deviations its label's count stands out.
 WEIGHTS = 1 << 18
@@ -147,7 +147,9 @@ def train_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, i
     if not rows.num_rows:
         return None
     flags = [rows.column(c).to_numpy() for c in ("poor", "toxic")]
-    return Classifier().fit(rows.column("text").combine_chunks(), *flags)
+    made = Classifier().fit(rows.column("text").combine_chunks(), *flags)
+    trim()
+    return made
 
 
 def _weight(between: Column, groups: Column, noise: Column, apart: Column) -> Column:
