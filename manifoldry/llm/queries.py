@@ -108,6 +108,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every piece of every document, its checksum, and where it stands in which sequence."""
+    import public_tokenizers
+
+    from .packing import best_fit, token_pieces
+
+    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    pieces = token_pieces(table(spark, sf_dir, "documents"), text, end_id=1)
+    # the ids themselves aren't written: only their checksums are asked for
+    placed = best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), ["doc_id", "piece", "ids_crc32"])
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, a stated few of them with one letter left out. Of a null doc_id none is changed."""
     from .spelling import count_words, letter_runs, spelling_groups
@@ -121,7 +135,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(count_words(words, least=6, occurrences=5), times=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op6_quality, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op6_quality, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup, op12_best_fit_packing, op13_spelling_variants)}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": """
