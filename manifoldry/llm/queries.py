@@ -108,6 +108,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by a checksum of doc_id, the words from one on go round with a period. Of a null doc_id nothing changes."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    # a column of its own, so that words are cut once
+    cut_up = docs.select("doc_id", "text", g.alias("g"), words.alias("w")).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    rounds = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    turned = F.concat(F.slice("w", 1, F.col("a")), F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), rounds)))
+    return cut_up.withColumn("p", period).select("doc_id", F.when(F.col("n") > 0, F.array_join(F.slice(turned, 1, F.col("n")), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many runs, the longest, and digests of all runs and of the text without their repetitions."""
+    from .runs import periodic_runs
+
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("early"), (-r["period"]).alias("short"))))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), listed.alias("listed"), "collapsed")
+    start, length, period = -F.col("m.early"), F.col("m.length"), -F.col("m.short")
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return told.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), digest("listed").alias("runs_sha256"), digest("collapsed").alias("collapsed_sha256"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """Every piece of every document, its checksum, and where it stands in which sequence."""
     import public_tokenizers
@@ -135,7 +161,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(count_words(words, least=6, occurrences=5), times=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op6_quality, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup, op12_best_fit_packing, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_line_dedup, op4_license_scan, op5_simhash, op6_quality, op7_token_files, op8_decontaminate, op9_nearest, op10_substring_dedup, op11_periodic_runs, op12_best_fit_packing, op13_spelling_variants)}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": """
