@@ -1,18 +1,20 @@
 """Best-fit packing by bulk-synchronous sweeps.
 
 Pieces of equal length are interchangeable, and so are sequences with equal room, so both are sorted and matched as spans: a length with a run of ranks of its pieces, a room with a run of
-sequence numbers. There are fewer item spans than `limit` and, of each sweep, at most two gap spans more than item spans, whatever the number of documents: that is what one round carries.
+sequence numbers. There are no more item spans than `limit`, and each of them parts no more than two gap spans when it runs out, so what a round carries depends on `limit` alone, whatever the number of documents.
 
-A round sorts the largest open pieces and all gaps by range, from large to small. Each range is swept by itself: a gap is laid on a stack, a piece takes the gap on top, which is its successor, the smallest that
-holds it; pieces of one length that meet in one gap take as much of it as they fill, by rank, and go on with the next. What a range leaves, pieces that found no gap and gaps that no piece took, is
-swept once more across the ranges: like brackets, the pairs are the same for any cut into ranges. Gaps that have taken something come back with less room in the next round. The first gaps are
-those beside the largest pieces, one for each sequence that the pieces need at least; when no open piece fits anywhere, more sequences are opened.
+A round takes the largest open pieces, as many as there are gaps that could hold one, sorts them and all gaps by size and cuts them into ranges, which are swept side by side, from large to small: a gap is laid
+on a stack, a piece takes the gap on top, which is its successor, the smallest that holds it; pieces of one length that meet in one gap take as much of it as they fill, by rank, and go on with the
+next. A gap that has taken something comes back at its new place in the range, if it has one there. What the ranges leave, pieces that found no gap and gaps that no piece took, is swept once more across the ranges. Gaps that
+have fallen below their range come back in the next round. The first gaps are those beside the largest pieces, one for each sequence that the pieces need at least; when no open piece fits anywhere, more
+sequences are opened.
 
 In the end every piece looks up its place by length and rank. Ranks are counted by part of the table, so a length that a third of all pieces have isn't counted or placed in one task.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +28,9 @@ from .token_files import PART, WordEncoder
 
 LIMIT = 4096
 #: The pieces that take part in a round, as a share of the gaps that could hold one: the less, the closer to best fit in order of size, and the more rounds.
-ADMITTED = 0.25
+ADMITTED = 1.0
 #: Spans of a range.
-RANGE = 2048
+RANGE = 512
 
 ITEM, GAP = 1, 0
 
@@ -66,14 +68,29 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, limit: i
     return given.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def sweep(rows: list[tuple[int, int, int, int]], limit: int = LIMIT) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """One sweep over (size, kind, first, n), from large to small, gaps before pieces of equal size: (places, rows left as they were, gaps that have taken something).
+def sweep(rows: list[tuple[int, int, int, int]], floor: int, limit: int = LIMIT) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """One sweep over (size, kind, first, n), from large to small, gaps before pieces of equal size: (places, rows left, gaps that have taken something and have less room than floor).
 
     A place (length, rank, n, sequence, copies, offset): n pieces from that rank go to sequences from that number, so many to each, side by side from that offset.
     """
     stack: list[list[int]] = []
-    places, left, taken = [], [], []
+    again: list[tuple[int, int, int]] = []
+    places, left, below = [], [], []
+
+    def back(size: int) -> None:
+        """Lay gaps that have taken something on the stack once nothing larger is to come."""
+        while again and -again[0][0] >= size:
+            room, sequence, many = heapq.heappop(again)
+            stack.append([-room, sequence, many])
+
+    def used(room: int, sequence: int, many: int) -> None:
+        if room >= floor:
+            heapq.heappush(again, (-room, sequence, many))
+        elif room:
+            below.append((room, GAP, sequence, many))
+
     for size, kind, first, n in rows:
+        back(size)
         if kind == GAP:
             stack.append([size, first, n])
             continue
@@ -83,50 +100,55 @@ def sweep(rows: list[tuple[int, int, int, int]], limit: int = LIMIT) -> tuple[li
             placed = min(n, many * copies)
             full, rest = divmod(placed, copies)
             places.append((size, first, placed, sequence, copies, limit - room))
-            if full:
-                taken.append((room - copies * size, GAP, sequence, full))
-            if rest:
-                taken.append((room - rest * size, GAP, sequence + full, 1))
-            used = full + (rest > 0)
-            if used == many:
+            first, n = first + placed, n - placed
+            if full + (rest > 0) == many:
                 stack.pop()
             else:
-                stack[-1][1:] = [sequence + used, many - used]
-            first, n = first + placed, n - placed
+                stack[-1][1:] = [sequence + full + (rest > 0), many - full - (rest > 0)]
+            if full:
+                used(room - copies * size, sequence, full)
+            if rest:
+                used(room - rest * size, sequence + full, 1)
+            back(size)
         if n:
             left.append((size, ITEM, first, n))
-    return places, left + [(size, GAP, first, n) for size, first, n in stack], taken
-
-
-_ROW = "size int, kind int, first long, n long"
-_SWEPT = f"what int, {_ROW}, sequence long, copies int, at int"
+    return places, left + [(size, GAP, first, n) for size, first, n in stack] + [(-room, GAP, first, n) for room, first, n in again], below
 
 
 def _in_order(rows: list[tuple]) -> list[tuple]:
     return sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
 
 
-def _round(spark, rows: list[tuple], limit: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """sweep() of spans in any order: by ranges in the cluster, then across them."""
-    order = [F.desc("size"), F.asc("kind"), F.asc("first")]
-    spans = spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["size", "kind", "first", "n"]))
-    ranged = spans.repartitionByRange(-(-len(rows) // RANGE), *order).sortWithinPartitions(*order)
+_SPAN = (("range", pa.int32()), ("size", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("n", pa.int64()))
+_SWEPT = (("what", pa.int32()), *_SPAN[1:], ("sequence", pa.int64()), ("copies", pa.int32()), ("at", pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-        places, left, taken = sweep(mine, limit)
-        out = [(0, s, ITEM, f, n, q, c, o) for s, f, n, q, c, o in places] + [(w, *r, 0, 0, 0) for w, part in ((1, left), (2, taken)) for r in part]
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["what", "size", "kind", "first", "n", "sequence", "copies", "at"])
-
-    places, left, taken = [], [], []
-    for r in ranged.mapInArrow(run, _SWEPT).collect():  # spans, whose number doesn't depend on that of the documents
+
+def _table(rows: list[tuple], fields: tuple) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _round(spark, rows: list[tuple], limit: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """sweep() of spans in any order: range by range in the cluster, then of what the ranges leave."""
+    rows = _in_order(rows)
+    number = -(-len(rows) // RANGE)
+    spans = spark.createDataFrame(_table([(i * number // len(rows), *r) for i, r in enumerate(rows)], _SPAN))
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = _in_order([tuple(r.values())[1:] for r in table.to_pylist()])
+        places, left, below = sweep(mine, mine[-1][0], limit)
+        return _table([(0, s, ITEM, f, n, q, c, o) for s, f, n, q, c, o in places] + [(w, *r, 0, 0, 0) for w, part in ((1, left), (2, below)) for r in part], _SWEPT)
+
+    places, left, below = [], [], []
+    # spans again, whose number doesn't depend on that of the documents
+    for r in spans.groupBy("range").applyInArrow(run, ", ".join(f"{name} {'long' if t == pa.int64() else 'int'}" for name, t in _SWEPT)).collect():
         if r.what == 0:
             places.append((r.size, r.first, r.n, r.sequence, r.copies, r.at))
         else:
-            (left if r.what == 1 else taken).append((r.size, r.kind, r.first, r.n))
-    more, left, again = sweep(_in_order(left), limit)
-    return places + more, left, taken + again
+            (left if r.what == 1 else below).append((r.size, r.kind, r.first, r.n))
+    if number > 1:
+        more, left, _ = sweep(_in_order(left), 1, limit)
+        places += more
+    return places, left, below
 
 
 def plan(spark, counts: dict[int, int], limit: int = LIMIT, admitted: float = ADMITTED) -> list[tuple]:
@@ -166,9 +188,9 @@ def plan(spark, counts: dict[int, int], limit: int = LIMIT, admitted: float = AD
             number -= some
             now += [(size, ITEM, first, some)] if some else []
             later += [(size, ITEM, first + some, n - some)] if n > some else []
-        found, left, taken = _round(spark, now + gaps, limit) if gaps else ([], now, [])
+        found, left, below = _round(spark, now + gaps, limit) if gaps else ([], now, [])
         places += found
-        gaps = [r for r in left if r[1] == GAP] + taken
+        gaps = [r for r in left if r[1] == GAP] + below
         items = [r for r in left if r[1] == ITEM]
         if not found:
             items = start(-(-total(items) // limit), items)

@@ -55,10 +55,9 @@ def some_lengths(kind, n=600, limit=97):
 @pytest.mark.parametrize("kind", ["small", "large", "any", "thirds", "skewed"])
 def test_places_of_all_pieces(spark, kind, monkeypatch):
     lengths, limit = some_lengths(kind), 97
-    plain = packing.sweep
 
     def here(_, rows, limit):
-        return plain(packing._in_order(rows), limit)
+        return packing.sweep(packing._in_order(rows), 1, limit)
 
     monkeypatch.setattr(packing, "_round", here)
     places = packing.plan(None, Counter(lengths), limit)
@@ -67,21 +66,28 @@ def test_places_of_all_pieces(spark, kind, monkeypatch):
     assert laid_out(expanded(places), limit) <= decreasing(lengths, limit) * 1.02 + 1
 
 
-def test_ranges_give_the_same_places_as_one_sweep(spark, monkeypatch):
-    rng = random.Random(4)
-    rows = [(s, packing.ITEM, 0, rng.randrange(1, 50)) for s in range(1, 90)] + [(rng.randrange(1, 97), packing.GAP, 1000 * i, rng.randrange(1, 9)) for i in range(90)]
-    whole = packing.sweep(packing._in_order(rows), 97)
-    for size in (1000, 20):
-        monkeypatch.setattr(packing, "RANGE", size)
-        found = packing._round(spark, rows, 97)
-        assert [sorted(x) for x in found] == [sorted(x) for x in whole]
+@pytest.mark.parametrize("span", [30, 8192])
+def test_ranges_place_every_piece_once(spark, monkeypatch, span):
+    """Spans of 40 lengths and their gaps, in ranges of 30 or in one."""
+    monkeypatch.setattr(packing, "RANGE", span)
+    lengths = Counter({s: n * 1000 for s, n in Counter(some_lengths("skewed", 400, 40)).items()})
+    places = packing.plan(spark, lengths, 40)
+    assert sorted((s, first, first + n) for s, first, n, *_ in places)[0][1] == 0
+    for s, n in lengths.items():
+        at = 0
+        for _, first, some, *_ in sorted(p for p in places if p[0] == s):
+            assert first == at
+            at += some
+        assert at == n
+    used = laid_out(expanded(places), 40)
+    assert used <= -(-sum(s * n for s, n in lengths.items()) // 40) * 1.01
 
 
 def test_a_million_equal_pieces_are_one_span():
     places = []
     for s, n in ((1, 10**12), (4096, 10**9)):
         left = [(s, packing.ITEM, 0, n)]
-        found, rest, taken = packing.sweep([(4096, packing.GAP, 0, 10**9), *left])
+        found, rest, taken = packing.sweep([(4096, packing.GAP, 0, 10**9), *left], 1)
         places += found
         assert len(found) == 1 and len(rest) <= 1 and len(taken) <= 2
 
