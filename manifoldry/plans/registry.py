@@ -850,6 +850,64 @@ def laplacian_eigenmaps(spark, d):
     return z.select(F.col("id").cast("int").alias("cell"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
 
 
+#: Each point's K nearest as lists, and a bisection of one number a point in which a falling or rising function of it meets a target.
+_LISTS = "nl AS (SELECT id, list(other ORDER BY rank) AS other, list(sq ORDER BY rank) AS sq FROM s WHERE rank <= {k} GROUP BY id)"
+
+
+@query(
+    "WITH RECURSIVE "
+    + ", ".join((_P, _S, _LISTS.format(k=15)))
+    + """, d0 AS (SELECT id, other, list_transform(sq, lambda v: sqrt(v)) AS d FROM nl),
+d1 AS (SELECT *, list_min(list_filter(d, lambda v: v > 0)) AS rho, list_avg(d) AS mean FROM d0),
+d2 AS (SELECT *, list_transform(d, lambda v: greatest(0.0, v - rho)) AS over FROM d1),
+b AS (SELECT id, CAST(0 AS DOUBLE) AS lo, CAST(1e6 AS DOUBLE) AS hi, 0 AS n FROM d2
+UNION ALL SELECT b.id, CASE WHEN t < log2(15) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN t < log2(15) THEN hi ELSE (lo + hi) / 2 END, n + 1
+FROM (SELECT b.*, list_sum(list_transform(d2.over, lambda v: exp(-v / ((lo + hi) / 2)))) AS t FROM b JOIN d2 USING (id) WHERE n < 70) b),
+w AS (SELECT id, unnest(other) AS other, unnest(list_transform(over, lambda v: exp(-v / greatest((lo + hi) / 2, 1e-3 * mean)))) AS w FROM d2 JOIN b USING (id) WHERE n = 70)
+SELECT src, dst, round(sum(w) - CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END, 6) AS w
+FROM (SELECT id AS src, other AS dst, w FROM w UNION ALL SELECT other, id, w FROM w) GROUP BY src, dst"""
+)
+def umap_graph(spark, d):
+    """The fuzzy graph of the 15 nearest neighbours."""
+    from .umap import fuzzy_graph
+
+    return fuzzy_graph(self_knn(spark, d, 15)).select("src", "dst", *r6("w"))
+
+
+@query()
+def umap_layout(spark, d):
+    from .umap import Umap
+
+    return Umap(pts(spark, d)).placed().select(F.col("id").alias("vec_id"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + ", ".join((_P, _S, _LISTS.format(k=45)))
+    + """, d1 AS (SELECT id, other, list_transform(sq, lambda v: v - list_min(sq)) AS over FROM nl),
+b AS (SELECT id, CAST(0 AS DOUBLE) AS lo, CAST(1e4 AS DOUBLE) AS hi, 0 AS n FROM d1
+UNION ALL SELECT id, CASE WHEN e > ln(15) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN e > ln(15) THEN hi ELSE (lo + hi) / 2 END, n + 1
+FROM (SELECT *, ln(z) + (lo + hi) / 2 * list_sum(list_transform(list_zip(over, p), lambda v: v[1] * v[2])) / z AS e
+FROM (SELECT *, list_sum(p) AS z FROM (SELECT b.*, over, list_transform(over, lambda v: exp(-v * (lo + hi) / 2)) AS p FROM b JOIN d1 USING (id) WHERE n < 60)))),
+w AS (SELECT id, unnest(other) AS other, unnest(list_transform(p, lambda v: v / list_sum(p))) AS w FROM (SELECT id, other, list_transform(over, lambda v: exp(-v * (lo + hi) / 2)) AS p FROM d1 JOIN b USING (id) WHERE n = 60))
+SELECT src, dst, round(sum(w) / 2, 6) AS w FROM (SELECT id AS src, other AS dst, w FROM w UNION ALL SELECT other, id, w FROM w) GROUP BY src, dst"""
+)
+def tsne_affinities(spark, d):
+    """Affinities of perplexity 15 between the 45 nearest neighbours, times the number of points."""
+    from .tsne import affinities
+
+    return affinities(self_knn(spark, d, 45), 15.0, 1).select("src", "dst", *r6("w"))
+
+
+@query()
+def tsne_layout(spark, d):
+    """Fewer steps than the default: enough for a table of some thousand vectors."""
+    from .tsne import Tsne
+
+    t = Tsne(pts(spark, d), steps=((60, 12.0, 0.5), (90, 2.0, 0.8)))
+    return t.placed().select(F.col("id").alias("vec_id"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+
+
 @query()
 def coarse_graining(spark, d):
     """A model of cells against the graph of a stated sample of its points, by placement and masses."""
