@@ -910,14 +910,67 @@ def tsne_layout(spark, d):
 
 @query()
 def coarse_graining(spark, d):
-    """A model of cells against the graph of a stated sample of its points, by placement and masses."""
-    from .spectral import coarse_graining
+    """A model of cells against the graph of all its points, by placement and masses."""
+    from .coarse import CoarseGraining
 
-    p = P.uniform_sample(pts(spark, d), 500)
-    rows = [(a, m, *(float(v) for k, v in coarse_graining(p, 60, 8, a, m).items() if k in ("rank_correlation", "median_relative_error", "reached_share"))) for a in ("kmeans", "farthest") for m in ("uniform", "counted")]
+    whole = CoarseGraining(pts(spark, d), max(60, n_cells(spark, d)), 8, rel_tolerance=0.25)
+    rows = [(a, m, *(float(v) for k, v in whole.score(a, m).items() if k in ("rank_correlation", "median_relative_error", "reached_share"))) for a in ("kmeans", "farthest") for m in ("uniform", "counted")]
     return spark.createDataFrame(rows, "placement string, masses string, rank_correlation double, median_relative_error double, reached_share double")
 
 
+#: The radius that joins points in the queries of products and solves, and the leak.
+JOINED, LEAK = 1.25, 0.05
+
+
+def _point_graph(spark, d):
+    from manifoldry.operators.blocks import BlockGraph
+
+    p = pts(spark, d).select("id", "x")
+    return p, BlockGraph(p, N.range_join(p, p, JOINED).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit(1.0).alias("w")))
+
+
+_J = f"j AS (SELECT a.id AS i, b.id AS j FROM p a, p b WHERE a.id <> b.id AND list_sum(list_transform(list_zip(a.x, b.x), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) <= {JOINED} * {JOINED})"
+
+
+@query(with_(_P, _J) + "SELECT p.id, round(coalesce(y1, 0), 6) AS y1, round(coalesce(y2, 0), 6) AS y2 FROM p LEFT JOIN (SELECT i AS id, sum(q.x[1]) AS y1, sum(q.x[2]) AS y2 FROM j JOIN p q ON q.id = j.j GROUP BY i) USING (id)")
+def graph_product(spark, d):
+    """The matrix of the points' graph times their first two features."""
+    from manifoldry.operators.solve import product
+
+    p, graph = _point_graph(spark, d)
+    y = product(graph, graph.numbers(p.select("id", F.slice("x", 1, 2).alias("v")), "v", 2), 2)
+    return graph.rows(y, 2, "y").select("id", F.round(F.col("y")[0], 6).alias("y1"), F.round(F.col("y")[1], 6).alias("y2"))
+
+
+@query(
+    with_(_P, _J)
+    + f""", c AS (SELECT id, sqrt(m / (coalesce(n, 0) * m + {LEAK})) AS c FROM p LEFT JOIN (SELECT i AS id, count(*) AS n FROM j GROUP BY i) USING (id), (SELECT 1.0 / count(*) AS m FROM p)),
+r0 AS (SELECT id, c, CASE WHEN id = (SELECT min(id) FROM p) THEN 1.0 ELSE 0.0 END AS r FROM c),
+r1 AS (SELECT id, c, r AS x, r - (r - c * coalesce(s, 0)) AS r FROM r0 LEFT JOIN (SELECT i AS id, sum(r0.c * r0.r) AS s FROM j JOIN r0 ON r0.id = j.j GROUP BY i) USING (id)),
+d1 AS (SELECT id, c, x, r, r + x * (SELECT sum(r * r) FROM r1) AS d FROM r1),
+a AS (SELECT sum(r * r) / sum(d * (d - c * coalesce(s, 0))) AS a FROM d1 LEFT JOIN (SELECT i AS id, sum(d1.c * d1.d) AS s FROM j JOIN d1 ON d1.id = j.j GROUP BY i) USING (id))
+SELECT id, round(x + a * d, 6) AS x FROM d1, a"""
+)
+def cg_second_step(spark, d):
+    """The solution for a unit at the first point after two steps of conjugate gradients, in the scaled system."""
+    from manifoldry.operators.solve import PointConductor
+
+    p, graph = _point_graph(spark, d)
+    first = p.agg(F.min("id")).first()[0]
+    state = PointConductor(graph).solve(LEAK, [first], most=2)
+    return graph.rows(state.select("block", F.col("x").alias("y")), 1, "y").select("id", F.round(F.col("y")[0], 6).alias("x"))
+
+
+@query()
+def point_potentials(spark, d):
+    """Potentials of all points on their own graph, from three of them."""
+    from manifoldry.operators.solve import PointConductor
+
+    _, graph = _point_graph(spark, d)
+    sources = [r.id for r in graph.index.orderBy("id").limit(3).collect()]
+    return graph.rows(PointConductor(graph).maps(LEAK, sources), 3, "v").select("id", F.posexplode("v").alias("landmark", "v"))
+
+
 @query()
 def half_sphere(spark, d):
     from manifoldry.sources.synthetic import half_sphere

@@ -1,19 +1,11 @@
-"""Dense algebra on graphs of a few thousand nodes at most: Laplacian eigenmaps, and a cell model held against the graph of all its points."""
+"""Laplacian eigenmaps of graphs of a few thousand nodes at most, by dense algebra."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manifoldry.operators import cells as C
-from manifoldry.operators import graph as G
-from manifoldry.operators import knn as N
-
-from .potential import Conductor, falling_limit
-
 #: Nodes of a graph that is solved as a matrix.
 MOST = 5000
 
@@ -36,47 +28,3 @@ def laplacian_eigenmaps(edges: DataFrame, k: int) -> DataFrame:
     z = v[:, 1 : k + 1] / root[:, None]
     z = z * np.where(z[np.abs(z).argmax(axis=0), np.arange(z.shape[1])] < 0, -1, 1)
     return edges.sparkSession.createDataFrame([(int(a), b.tolist()) for a, b in zip(ids, z)], "id long, z array<double>")
-
-
-def _within(x: np.ndarray, radius: float) -> np.ndarray:
-    near = (((x[:, None] - x[None]) ** 2).sum(axis=2) <= radius * radius).astype(float)
-    np.fill_diagonal(near, 0)
-    return near
-
-
-def coarse_graining(sample: DataFrame, n_cells: int, n_landmarks: int, placement: str = "kmeans", masses: str = "counted", tau: float = 1e-3, floor: float = 1e-10, share: float = 0.5, seed: int = 0) -> dict[str, float]:
-    """How well a model of cells gives the distances -ln v of the graph of all its points (id, x), at most MOST of them.
-
-    Points within a common radius are joined: the median distance to the neighbour of rank 10 times the points a cell. The ground's conductance is the largest at which the median landmark still reaches
-    `share` of the points. rank_correlation and median_relative_error are over points that a landmark reaches, itself left out; reached_share is that of those that the cells reach too.
-    """
-    t = sample.select("id", "x").orderBy("id").limit(MOST + 1).toArrow()
-    if t.num_rows > MOST:
-        raise ValueError(f"over {MOST} points")
-    x = N.matrix(t.column("x").combine_chunks())
-    n, ids = len(x), np.arange(len(x))
-    rank = min(n - 1, 10 * n // n_cells)
-    _, _, d = N.exact_nearest(x, ids, x, ids, rank)
-    radius = float(np.sqrt(np.median(d.reshape(n, -1)[:, -1])))
-    rng = np.random.default_rng(seed)
-    landmarks = rng.choice(n, n_landmarks, replace=False)
-    points = Conductor(_within(x, radius), np.full(n, 1 / n))
-    reached = lambda rho: float(np.median((points.maps(rho, landmarks) >= tau).mean(axis=1)))
-    rho = falling_limit(reached, share, (1e-10, 1e6), 0.01)
-    truth = points.maps(rho, landmarks)
-    c = C.kmeans(x, n_cells, seed=seed) if placement == "kmeans" else x[C.farthest(x, n_cells, int(rng.integers(n)))]
-    _, cell, _ = N.exact_nearest(x, None, c, np.arange(len(c)), 1)
-    count = np.bincount(cell, minlength=len(c))
-    c, count = c[count > 0], count[count > 0]
-    _, cell, _ = N.exact_nearest(x, None, c, np.arange(len(c)), 1)
-    p = count / n if masses == "counted" else np.full(len(c), 1 / len(c))
-    maps = Conductor(G.connected(_within(c, radius), c), p).maps(rho, cell[landmarks])
-    weight = (((x[:, None] - c[None]) ** 2).sum(axis=2) <= radius * radius) * p[None]
-    total = weight.sum(axis=1)
-    v = np.where(total[:, None] > 0, weight @ maps.T / np.where(total > 0, total, 1)[:, None], maps.T[cell]).T
-    inside = truth >= tau
-    inside[np.arange(n_landmarks), landmarks] = False
-    a, b = -np.log(truth[inside]), -np.log(np.maximum(v[inside], floor))
-    ranks = [np.unique(z, return_inverse=True, return_counts=True)[1:] for z in (a, b)]
-    ra, rb = (np.r_[0, np.cumsum(m)][i] + (m[i] + 1) / 2 for i, m in ranks)
-    return {"rank_correlation": float(np.corrcoef(ra, rb)[0, 1]), "median_relative_error": float(np.median(np.abs(b - a) / a)), "reached_share": float(np.mean(b <= -math.log(tau))), "rho": rho, "radius": radius, "largest_cell": int(count.max())}

@@ -252,13 +252,25 @@ def test_laplacian_eigenmaps_of_a_ring(spark):
 
 
 def test_coarse_graining_keeps_distances(spark):
-    from manifoldry.plans.spectral import coarse_graining
-
-    p = frame(spark, np.random.default_rng(7).random((600, 2)))
-    fine = coarse_graining(p, 150, 6)
-    rough = coarse_graining(p, 20, 6)
-    assert fine["rank_correlation"] > 0.95 and fine["reached_share"] > 0.9 and fine["median_relative_error"] < 0.5
-    assert rough["rank_correlation"] < fine["rank_correlation"]
+    from manifoldry.plans.coarse import CoarseGraining
+    from manifoldry.plans.potential import Conductor
+
+    x = np.random.default_rng(7).random((600, 2))
+    fine = CoarseGraining(frame(spark, x), 150, 6, rel_tolerance=0.1, blocks=4)
+    # the points' graph is the dense one, and its leak the largest that reaches half the points
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.isclose(fine.radius, np.median(np.sort(d, axis=1)[:, 40]))
+    near = (d <= fine.radius).astype(float)
+    np.fill_diagonal(near, 0)
+    whole = Conductor(near, np.full(600, 1 / 600))
+    truth = {r.id: r.t for r in fine.truth.collect()}
+    assert np.allclose([truth[i] for i in range(600)], whole.maps(fine.rho, np.array(fine.landmarks)).T, atol=1e-6)
+    share = lambda rho: np.median((whole.maps(rho, np.array(fine.landmarks)) >= 1e-3).mean(axis=1))
+    assert share(fine.rho) >= 0.5 > share(fine.rho * 1.11)
+    good = fine.score()
+    assert good["rank_correlation"] > 0.95 and good["reached_share"] > 0.9 and good["median_relative_error"] < 0.5
+    rough = CoarseGraining(frame(spark, x), 20, 6, rel_tolerance=0.5).score("farthest", "uniform")
+    assert rough["rank_correlation"] < good["rank_correlation"]
 
 
 def test_falling_limit_from_any_guess():
