@@ -211,12 +211,13 @@ def farthest_points(pts: DataFrame, k: int, first: int) -> DataFrame:
 
 
 def allocate(counts: list[int], budget: int) -> list[int]:
-    """A budget dealt in proportion to counts by largest remainders: at least 1 where there are points, never more than the points; ties to the lower index."""
+    """A budget dealt in proportion to counts by largest remainders: never more than the points, and at least 1 where there are points if the budget has that many; ties to the lower index."""
     n = np.asarray(counts, dtype=float)
     out = np.zeros(len(n), dtype=int)
     open_ = n > 0
     left = min(budget, int(n.sum()))
-    out[open_] = 1
+    if left >= open_.sum():
+        out[open_] = 1
     while out.sum() < left:
         share = np.where(open_, n * left / n.sum(), 0)
         lack = np.where(open_ & (out < n), share - out, -np.inf)

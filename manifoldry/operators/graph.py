@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from manifoldry.functions.arrays import kernel, sq_distance
 
+from .knn import exact_nearest
+
 
 def cell_pairs(cells: DataFrame) -> DataFrame:
     """(src, dst, sq) of every two cells. A join of a model table with itself, of checked size where the model is fitted."""
@@ -93,8 +95,9 @@ def connected(w: np.ndarray, c: np.ndarray) -> np.ndarray:
     w, main = w.copy(), label == order[0]
     for name in order[1:]:
         inside, outside = np.flatnonzero(label == name), np.flatnonzero(main)
-        sq = ((c[inside, None, :] - c[None, outside, :]) ** 2).sum(axis=2)
-        i, j = np.unravel_index(int(sq.argmin()), sq.shape)
-        w[inside[i], outside[j]] = w[outside[j], inside[i]] = 1.0
+        # a tile of pairs at a time; ties to the lowest cell inside, then outside
+        _, nearest, sq = exact_nearest(c[inside], None, c[outside], outside, 1)
+        i = int(sq.argmin())
+        w[inside[i], outside[nearest[i]]] = w[outside[nearest[i]], inside[i]] = 1.0
         main[inside] = True
     return w

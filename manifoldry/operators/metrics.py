@@ -237,6 +237,30 @@ def along(place: DataFrame, layout: DataFrame) -> DataFrame:
     return rank_correlation(place.join(layout, "id").select("s", at.alias("t")), "s", "t").select(F.abs("rank_correlation").alias("along"))
 
 
+def unfolded(points: DataFrame) -> DataFrame:
+    """(id, z): points (id, x) of the upper half of the unit sphere laid flat: each keeps its angle around the pole, and lies as far from the middle as from the pole along the sphere."""
+    height = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x")[2]))
+    far, angle = F.acos(height), F.atan2(F.col("x")[1], F.col("x")[0])
+    return points.select("id", F.array(far * F.cos(angle), far * F.sin(angle)).alias("z"))
+
+
+def aspect(layout: DataFrame) -> DataFrame:
+    """One row: the short side over the long side of layout (id, z) of two axes, the ratio of its two principal deviations; null if it has no extent."""
+    a, b = F.col("z")[0], F.col("z")[1]
+    sums = layout.agg(F.var_pop(a).alias("aa"), F.var_pop(b).alias("bb"), F.covar_pop(a, b).alias("ab"))
+    middle, off = (F.col("aa") + F.col("bb")) / 2, F.hypot((F.col("aa") - F.col("bb")) / 2, F.col("ab"))
+    return sums.select(F.when(middle + off > 0, F.sqrt(F.greatest(middle - off, F.lit(0.0)) / (middle + off))).alias("aspect"))
+
+
+def shape(points: DataFrame, layout: DataFrame) -> DataFrame:
+    """One row: what is left of points (id, x) of three axes after layout (id, z) of three is turned, shifted and scaled onto them, and the rank correlation of true and turned height."""
+    true = points.select("id", F.col("x").alias("z"))
+    turned = align(layout, true, 3).select("id", F.col("z")[2].alias("turned"))
+    height = rank_correlation(points.select("id", F.col("x")[2].alias("height")).join(turned, "id"), "height", "turned")
+    # one row each
+    return disparity(true, layout, 3).join(height.select(F.col("rank_correlation").alias("height")))
+
+
 def cross_validated(pts: DataFrame, labels: DataFrame, fold: Column, folds: int, k: int = 5) -> DataFrame:
     """One row: the mean over folds of the accuracy of votes of the k nearest points in the other folds, ties to the lowest label. pts: (id, x); labels: (id, label); fold: 0 to folds - 1."""
     from .knn import knn_join

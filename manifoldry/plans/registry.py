@@ -552,6 +552,24 @@ def region_weighted_mean(spark, d):
     return M.weighted_mean(per, "score", "n", 50).select(*r6("weighted_mean"), "n_regions")
 
 
+@query(with_(_P) + "SELECT id, round(r * cos(t), 6) AS z1, round(r * sin(t), 6) AS z2 FROM (SELECT id, acos(greatest(-1.0, least(1.0, x[3]))) AS r, atan2(x[2], x[1]) AS t FROM p)")
+def sphere_unfolded(spark, d):
+    """The points' first three features as if they lay on a sphere, laid flat."""
+    return M.unfolded(pts(spark, d)).select("id", F.round(F.col("z")[0], 6).alias("z1"), F.round(F.col("z")[1], 6).alias("z2"))
+
+
+@query(with_(_P, "v AS (SELECT var_pop(x[1]) AS aa, var_pop(x[2]) AS bb, covar_pop(x[1], x[2]) AS ab FROM p)") + "SELECT round(sqrt(((aa + bb) / 2 - sqrt((aa - bb) * (aa - bb) / 4 + ab * ab)) / ((aa + bb) / 2 + sqrt((aa - bb) * (aa - bb) / 4 + ab * ab))), 6) AS aspect FROM v")
+def layout_aspect(spark, d):
+    return M.aspect(pts(spark, d).select("id", F.slice("x", 1, 2).alias("z"))).select(*r6("aspect"))
+
+
+@query()
+def layout_shape(spark, d):
+    """A layout of three axes, the points' fourth to sixth features, held against the first three."""
+    p = pts(spark, d)
+    return M.shape(p.select("id", F.slice("x", 1, 3).alias("x")), p.select("id", F.slice("x", 4, 3).alias("z"))).select(*r6("disparity", "height"))
+
+
 @query("""WITH q AS (SELECT quantile_cont(l_quantity, 0.005) AS x0, quantile_cont(l_quantity, 0.995) AS x1, quantile_cont(l_extendedprice, 0.005) AS y0, quantile_cont(l_extendedprice, 0.995) AS y1 FROM lineitem)
 SELECT CAST(least(floor((l_quantity - x0) / (x1 - x0) * 60), 59) AS INTEGER) AS bx, CAST(least(floor((l_extendedprice - y0) / (y1 - y0) * 60), 59) AS INTEGER) AS by, count(*) AS n FROM lineitem, q WHERE l_quantity BETWEEN x0 AND x1 AND l_extendedprice BETWEEN y0 AND y1 GROUP BY ALL""")
 def hist2d(spark, d):
@@ -672,6 +690,20 @@ def child_cells(spark, d):
     return C.split(assigned(spark, d).select("id", "x", F.col("cell").alias("parent")), 60).select("parent", "child", F.col("c")[0].alias("c1"))
 
 
+@query(
+    with_(_P, _C, _D, _A)
+    + """, k AS (SELECT cell AS parent, count(*) AS n FROM a GROUP BY cell), t AS (SELECT count(*) AS parents, sum(n) AS total, least(60, greatest(3, sum(n) // 10)) AS budget FROM k),
+s AS (SELECT parent, n, budget, budget * n / total AS share, CASE WHEN budget >= parents THEN 1 ELSE 0 END AS low FROM k, t),
+f AS (SELECT *, least(n, greatest(low, CAST(floor(share) AS BIGINT))) AS got FROM s), d AS (SELECT max(budget) - sum(got) AS short FROM f),
+r AS (SELECT f.*, short, row_number() OVER (ORDER BY CASE WHEN got < n THEN share - got ELSE -1e9 END DESC, parent) AS up, row_number() OVER (ORDER BY CASE WHEN got > low THEN share - got ELSE 1e9 END, parent) AS down FROM f, d)
+SELECT parent, CAST(got + CASE WHEN short > 0 AND up <= short THEN 1 WHEN short < 0 AND down <= -short THEN -1 ELSE 0 END AS BIGINT) AS n_children FROM r
+WHERE got + CASE WHEN short > 0 AND up <= short THEN 1 WHEN short < 0 AND down <= -short THEN -1 ELSE 0 END > 0"""
+)
+def child_counts(spark, d):
+    """How the budget of child cells is dealt to the parents, counted in the cells themselves."""
+    return child_cells(spark, d).groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"))
+
+
 _SAMPLE = 100
 
 
@@ -842,12 +874,11 @@ def region_tree(spark, d):
 
 @query()
 def laplacian_eigenmaps(spark, d):
-    """Of the cells' graph, which stands for points of any number."""
+    """Of the graph of all points and their ten nearest."""
     from .spectral import laplacian_eigenmaps
 
-    c = cells(spark, d)
-    z = laplacian_eigenmaps(G.edges(c, G.radii(c, "adaptive_per_cell", NEAR)).select("src", "dst", "w"), 2)
-    return z.select(F.col("id").cast("int").alias("cell"), F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
+    z = laplacian_eigenmaps(D.neighbour_graph(self_knn(spark, d, 10)).select("src", "dst", F.lit(1.0).alias("w")), 2, tolerance=1e-4, steps=40)
+    return z.select("id", F.col("z")[0].alias("z1"), F.col("z")[1].alias("z2"))
 
 
 #: Each point's K nearest as lists, and a bisection of one number a point in which a falling or rising function of it meets a target.

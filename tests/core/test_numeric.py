@@ -99,6 +99,9 @@ def test_allocation():
     assert C.allocate([100, 50, 30, 15, 5, 0], 20) == [10, 5, 3, 1, 1, 0]
     assert C.allocate([3, 1], 4) == [3, 1]
     assert sum(C.allocate([7, 9, 1000, 2], 100)) == 100
+    # less than one for each: no floor, and never more than the budget
+    assert C.allocate([5, 5, 5], 2) == [1, 1, 0]
+    assert C.allocate([1, 0, 9, 2], 2) == [0, 0, 2, 0]
 
 
 def test_farthest_covers_sparse_parts():

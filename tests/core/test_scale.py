@@ -338,3 +338,43 @@ def test_graphs_in_memory_equal_tables(spark, cloud, strategy):
     assert N.dimension_of(x, 6) == pytest.approx(N.mle_dimension(N.knn_join(k, k, 6, exclude_self=True), 6).first()[0])
     ids = np.array([3, 10, 2, 77, 41])
     assert ids[P.hash_places(ids, 9)].tolist() == [r.id for r in spark.createDataFrame([(int(i),) for i in ids], "id long").orderBy(P.hash_order(F.col("id"), 9), "id").collect()]
+
+
+def test_pieces_are_joined_by_the_edges_of_all_differences():
+    from manifoldry.operators import graph as G
+
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n, d = int(rng.integers(2, 30)), int(rng.integers(1, 4))
+        c = rng.integers(0, 12, (n, d)).astype(float) if rng.random() < 0.5 else rng.random((n, d))
+        w = np.triu(rng.random((n, n)) < 0.04, 1).astype(float)
+        w = w + w.T
+        label = G.pieces(w)
+        names, sizes = np.unique(label, return_counts=True)
+        order = names[np.argsort(-sizes, kind="stable")]
+        want, main = w.copy(), label == order[0]
+        for name in order[1:]:
+            inside, outside = np.flatnonzero(label == name), np.flatnonzero(main)
+            sq = ((c[inside, None] - c[None, outside]) ** 2).sum(axis=2)
+            i, j = np.unravel_index(int(sq.argmin()), sq.shape)
+            want[inside[i], outside[j]] = want[outside[j], inside[i]] = 1.0
+            main[inside] = True
+        assert (G.connected(w, c) == want).all()
+
+
+def test_shapes_of_layouts(spark):
+    from manifoldry.operators import metrics as M
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    x[:, 2] = np.abs(x[:, 2])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    layout = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x @ turn * 3 + 7)], "id long, z array<double>")
+    r = M.shape(frame(spark, x), layout).first()
+    assert abs(r.disparity) < 1e-9 and r.height == pytest.approx(1)
+    flat = np.array([r.z for r in M.unfolded(frame(spark, x)).orderBy("id").collect()])
+    assert np.allclose(np.linalg.norm(flat, axis=1), np.arccos(x[:, 2])) and np.allclose(np.arctan2(flat[:, 1], flat[:, 0]), np.arctan2(x[:, 1], x[:, 0]))
+    s = np.linalg.svd(flat - flat.mean(axis=0), compute_uv=False)
+    plane = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(flat)], "id long, z array<double>")
+    assert M.aspect(plane).first().aspect == pytest.approx(s[1] / s[0])
