@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 
 from manifoldry.functions.arrays import kernel, sq_distance
 
-from .knn import exact_nearest
+from .knn import exact_nearest, knn_join
+from .pruned import region_pairs
+
+
+#: Cells whose pairs are all looked at, by a join of their table with itself. More of them meet by region.
+FEW = 2000
+
+
+def few(cells: DataFrame) -> bool:
+    return cells.limit(FEW + 1).count() <= FEW
 
 
 def cell_pairs(cells: DataFrame) -> DataFrame:
-    """(src, dst, sq) of every two cells. A join of a model table with itself, of checked size where the model is fitted."""
+    """(src, dst, sq) of every two cells, of which there are FEW at most: a checked size."""
     a = cells.select(F.col("cell").alias("src"), F.col("c").alias("a"))
     b = cells.select(F.col("cell").alias("dst"), F.col("c").alias("b"))
     return a.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", sq_distance(F.col("a"), F.col("b")).alias("sq"))
@@ -25,6 +34,15 @@ def kth_radius(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("r") == F.least(F.lit(k), F.col("n"))).select(F.col("src").alias("cell"), F.col("sq").alias("sq_radius"))
 
 
+def kth_of(cells: DataFrame, k: int) -> DataFrame:
+    """kth_radius of cells of any number."""
+    if few(cells):
+        return kth_radius(cell_pairs(cells), k)
+    pts = cells.select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x"))
+    near = knn_join(pts, pts, k, exclude_self=True).groupBy("id").agg(F.max("sq").alias("sq_radius"))
+    return near.select(F.col("id").cast("int").alias("cell"), "sq_radius")
+
+
 def one_radius(cells: DataFrame, value: DataFrame) -> DataFrame:
     """The same radius for every cell; value: one row with r."""
     return cells.select("cell").join(F.broadcast(value)).select("cell", (F.col("r") * F.col("r")).alias("sq_radius"))
@@ -32,14 +50,13 @@ def one_radius(cells: DataFrame, value: DataFrame) -> DataFrame:
 
 def radii(cells: DataFrame, strategy: str, k: int = 10, multiplier: float = 3.0, point_neighbours: DataFrame | None = None) -> DataFrame:
     """(cell, sq_radius). point_neighbours: (id, rank, other, sq) of sample points among the cells, for point_knn. Medians interpolate."""
-    pairs = cell_pairs(cells)
     median = lambda df, c: df.agg(F.expr(f"percentile(sqrt({c}), 0.5)").alias("r"))
     if strategy == "adaptive_per_cell":
-        return kth_radius(pairs, k)
+        return kth_of(cells, k)
     if strategy == "knn":
-        return one_radius(cells, median(kth_radius(pairs, k), "sq_radius"))
+        return one_radius(cells, median(kth_of(cells, k), "sq_radius"))
     if strategy == "centroid_spacing":
-        return one_radius(cells, median(kth_radius(pairs, 1), "sq_radius").select((F.col("r") * multiplier).alias("r")))
+        return one_radius(cells, median(kth_of(cells, 1), "sq_radius").select((F.col("r") * multiplier).alias("r")))
     last = point_neighbours.where(F.col("rank") <= k).groupBy("id").agg(F.max("sq").alias("sq"))
     return one_radius(cells, median(last, "sq"))
 
@@ -62,7 +79,14 @@ def sq_radii(sq: np.ndarray, strategy: str, k: int = 10, multiplier: float = 3.0
 def edges(cells: DataFrame, radius: DataFrame, kind: str = "radial", sigma: float = 0.3333, cutoff: float = 3.0) -> DataFrame:
     """(src, dst, sq, w): pairs with positive weight within the larger of their two radii."""
     r = lambda side: radius.select(F.col("cell").alias(side), F.col("sq_radius").alias(f"r_{side}"))
-    joined = cell_pairs(cells).join(F.broadcast(r("src")), "src").join(F.broadcast(r("dst")), "dst")
+    if few(cells):
+        # tables of FEW rows at most
+        joined = cell_pairs(cells).join(F.broadcast(r("src")), "src").join(F.broadcast(r("dst")), "dst")
+    else:
+        # a gaussian reaches `cutoff` of its widths; the rest is for rounding
+        reach = (max(1.0, cutoff * sigma) if kind == "gaussian" else 1.0) * (1 + 1e-9)
+        pts = cells.join(radius, "cell").select(F.col("cell").cast("long").alias("id"), F.col("c").alias("x"), (F.sqrt("sq_radius") * reach).alias("r"))
+        joined = region_pairs(pts).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "sq").join(r("src"), "src").join(r("dst"), "dst")
     return joined.select("src", "dst", "sq", kernel(kind, F.col("sq"), F.greatest("r_src", "r_dst"), sigma, cutoff).alias("w")).where("w > 0")
 
 

@@ -195,6 +195,15 @@ def knn_self(spark, d):
     return self_knn(spark, d, NEAR).select("id", "rank", "other", *r6("sq"))
 
 
+@query(SQL["knn_self"])
+def knn_pruned(spark, d):
+    """The same by way of pivots and the triangle inequality."""
+    from manifoldry.operators.pruned import PrunedNeighbours
+
+    p = pts(spark, d)
+    return PrunedNeighbours(p, p, NEAR, exclude_self=True).found.select("id", "rank", "other", *r6("sq"))
+
+
 @query(
     with_(_P, _S)
     + """, q AS (SELECT id, max(CASE WHEN rank = 20 THEN sq END) AS sk, min(sq) AS s1, sum(ln(CASE WHEN sq > 0 THEN sq END)) AS logs FROM s WHERE rank <= 20 GROUP BY id)
