@@ -300,8 +300,17 @@ class Items:
 
 
 def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Items, cosine: float) -> list[dict[int, float]]:
-    """For each row, the items it holds, with the share of words found. basis: closed by a row of 0."""
+    """For each row, the items it holds, with the largest share of words found in any of its regions. basis: closed by a row of 0."""
     hits: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
+    seen: set[tuple[int, int, int]] = set()
+
+    def hold(row: int, i: int, a: int, b: int) -> None:
+        if (i, a, b) in seen or hits[row].get(i, 0.0) >= 1.0:
+            return
+        seen.add((i, a, b))
+        if (share := items.matches(i, words[a:b])) > hits[row].get(i, 0.0):
+            hits[row][i] = share
+
     n = np.diff(first)
     per_row = -(-n // BLOCK)
     base = np.concatenate([[0], np.cumsum(per_row)])
@@ -327,15 +336,13 @@ def _search(words: np.ndarray, first: np.ndarray, basis: np.ndarray, items: Item
             b = np.minimum(first[row_of[s] + 1], heads[s] + length + length // 4)
             able = np.searchsorted(rare, i * (len(words) + 1) + b) - np.searchsorted(rare, i * (len(words) + 1) + a) >= items.need[i]
             for row, i, a, b in zip(row_of[s[able]].tolist(), i[able].tolist(), a[able].tolist(), b[able].tolist()):
-                if i not in hits[row] and (share := items.matches(i, words[a:b])):
-                    hits[row][i] = share
+                hold(row, i, a, b)
         # what the cosine has left out
         a = np.maximum(first[row_of[start]], heads[start] - length // 4)
         b = np.minimum(first[row_of[start] + 1], heads[start] + length + length // 4)
         region, item = items.dense(rare, len(words), members, a, b)
         for row, i, a, b in zip(row_of[start[region]].tolist(), item.tolist(), a[region].tolist(), b[region].tolist()):
-            if i not in hits[row] and (share := items.matches(i, words[a:b])):
-                hits[row][i] = share
+            hold(row, i, a, b)
     return hits
 
 
