@@ -11,44 +11,34 @@ from pyspark.sql import functions as F
 
 from manifoldry.operators.points import renumbered
 
+from .rows import BATCH, PART, SCHEMA, byte_rows, row_batch
 
-#: A larger file is read record by record in parts, as it would be too much for one row.
+#: Larger files are read in parts, as they would be too much for one row.
 WHOLE = 256 << 20
 
 
 def fixed_width(spark: SparkSession, path: str, n_features: int, whole: int = WHOLE) -> DataFrame:
-    """(id, x) from files of unsigned bytes, n_features a row, scaled to 0..1. Rows are numbered through the files in order of their names. Files of up to `whole` bytes are read at once, larger ones split."""
+    """(id, x) from files of unsigned bytes, n_features a row, scaled to 0..1. Rows are numbered through the files in order of their names. Files of up to `whole` bytes are read at once, larger ones by ranges of rows."""
     files = spark.read.format("binaryFile").load(path)
     sizes = files.select("path", "length").orderBy("path").collect()  # one row a file
     if any(r.length % n_features for r in sizes):
         raise ValueError("a file doesn't hold whole rows")
     first = dict(zip((r.path for r in sizes), np.concatenate([[0], np.cumsum([r.length // n_features for r in sizes])]).tolist()))
 
-    def rows(number: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        ends = pa.array(np.arange(len(x) + 1) * n_features, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(number), pa.ListArray.from_arrays(ends, pa.array((x / 255.0).ravel()))], names=["id", "x"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, n_features)
-                for lo in range(0, len(x), 10_000):
-                    part = x[lo : lo + 10_000]
-                    yield rows(first[name] + lo + np.arange(len(part)), part)
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, n_features)
-            yield rows(batch.column(0).to_numpy(), x)
+                for lo in range(0, len(x), BATCH):
+                    part = x[lo : lo + BATCH] / 255.0
+                    yield row_batch(first[name] + lo + np.arange(len(part)), part)
 
-    schema = "id long, x array<double>"
-    out = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(run, schema)
+    out = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(run, SCHEMA)
     for r in sizes:
         if r.length > whole:
-            at = first[r.path]
-            # the one source of fixed records that splits a file
-            numbered = spark.sparkContext.binaryRecords(r.path, n_features).zipWithIndex().map(lambda x, at=at: (at + x[1], bytearray(x[0])))
-            out = out.union(spark.createDataFrame(numbered, "id long, content binary").mapInArrow(records, schema))
+            # Hadoop writes file:/ with one slash
+            uri = r.path.replace("file:/", "file:///", 1) if r.path.startswith("file:/") and not r.path.startswith("file:///") else r.path
+            out = out.union(byte_rows(spark, uri, n_features, min(whole, PART)).select((F.col("id") + first[r.path]).alias("id"), "x"))
     return out
 
 
@@ -79,14 +69,16 @@ def from_chunks(spark: SparkSession, chunks: Iterable) -> DataFrame:
     """(id, x) from pieces, each a matrix or a tuple that starts with one. An iterator, which can be read only once, is refused."""
     if iter(chunks) is chunks:
         raise TypeError("an iterator can be read only once; give a list or another re-iterable")
-    out, at = None, 0
+    pieces, at = [], 0
     for piece in chunks:
         x = piece[0] if isinstance(piece, (tuple, list)) else piece
         if not isinstance(x, np.ndarray) or x.ndim != 2:
             raise TypeError("every piece must be a matrix, or a tuple that starts with one")
-        df = spark.createDataFrame(pa.table({"id": pa.array(at + np.arange(len(x))), "x": pa.array(x.astype(np.float64).tolist(), pa.list_(pa.float64()))}))
-        out, at = df if out is None else out.union(df), at + len(x)
-    return out if out is not None else spark.createDataFrame([], "id long, x array<double>")
+        if len(x):
+            pieces.append(row_batch(at + np.arange(len(x)), x))
+        at += len(x)
+    # one table of the driver's, whatever the number of pieces; from_loaders leaves loading to the tasks
+    return spark.createDataFrame(pa.Table.from_batches(pieces), SCHEMA) if pieces else spark.createDataFrame([], SCHEMA)
 
 
 def write_regions(df: DataFrame, path: str, region: str = "region") -> None:
