@@ -178,13 +178,46 @@ def kmeans(sample: np.ndarray, k: int, iterations: int = 25, seed: int = 0, star
     return c
 
 
-def ml_kmeans(pts: DataFrame, k: int, init: str = "random", max_iter: int = 30, tol: float = 1e-4, seed: int = 0) -> DataFrame:
-    """Spark's own k-means over all points."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    model = KMeans(k=k, initMode=init, maxIter=max_iter, tol=tol, seed=seed).fit(pts.select(array_to_vector("x").alias("features")))
-    return cells_frame(pts.sparkSession, np.array(model.clusterCenters()))
+def _spread_start(pts: DataFrame, k: int, seed: int, rounds: int = 5, per_round: int = 2) -> np.ndarray:
+    """k starting centroids by oversampling (Bahmani and others, 2012): in a few passes each point is drawn by its share of the squared distances to what was drawn before, about per_round * k a pass; the drawn points, weighted by
+    how many points they are nearest to, are thinned to k by the same law in the driver. Draws are hashes of the ids."""
+    spark = pts.sparkSession
+    drawn = matrix(pts.orderBy(hash_order(F.col("id"), seed), "id").limit(1).select("x").toArrow().column("x").combine_chunks())
+    for r in range(rounds):
+        near = assign(pts.select("id", "x"), drawn)
+        total = near.agg(F.sum("sq")).first()[0]
+        if not total:
+            break
+        u = F.conv(F.substring(hash_order(F.col("id"), seed + 7919 * (r + 1)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        more = near.where(u < F.col("sq") * (per_round * k / total)).orderBy("id").select("x").toArrow()  # per_round * k rows are expected, whatever the table
+        if more.num_rows:
+            drawn = np.concatenate([drawn, matrix(more.column("x").combine_chunks())])
+    drawn = np.unique(drawn, axis=0)
+    if len(drawn) < k:
+        first = matrix(pts.orderBy(hash_order(F.col("id"), seed), "id").limit(k).select("x").toArrow().column("x").combine_chunks())
+        return np.concatenate([drawn, first])[: max(k, 1)] if len(first) >= k else first
+    weight = partial_sums(pts.select("x"), cells_frame(spark, drawn))[0]
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(drawn), p=weight / weight.sum()))]
+    least = ((drawn - drawn[chosen[0]]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        p = weight * least
+        # of a few draws the one that leaves least
+        tried = rng.choice(len(drawn), 2 + int(np.log(k)), p=p / p.sum()) if p.sum() > 0 else [int(least.argmax())]
+        left = [np.minimum(least, ((drawn - drawn[t]) ** 2).sum(axis=1)) for t in tried]
+        best = int(np.argmin([(weight * v).sum() for v in left]))
+        chosen.append(int(tried[best]))
+        least = left[best]
+    return drawn[chosen]
+
+
+def table_kmeans(pts: DataFrame, k: int, init: str = "random", max_iter: int = 30, tol: float = 1e-4, seed: int = 0) -> DataFrame:
+    """(cell, c): k-means over all points (id, x), one pass a step, until no centroid moves more than `tol` of its cell's RMS radius. init: "random" rows, or "spread" out by oversampling. Fewer points than k: each is a cell."""
+    if init == "spread":
+        start = _spread_start(pts, k, seed)
+    else:
+        start = matrix(pts.orderBy(hash_order(F.col("id"), seed), "id").limit(k).select("x").toArrow().column("x").combine_chunks())
+    return lloyd(pts, cells_frame(pts.sparkSession, start), max_iter, tol)[0]
 
 
 def farthest(sample: np.ndarray, k: int, first: int = 0) -> np.ndarray:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BlockGraph, floats, number_of_blocks
 from .shared import cut, drop_scratch
 
 
@@ -15,31 +19,76 @@ def neighbour_graph(neighbours: DataFrame) -> DataFrame:
     return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
-def shortest_from(edges: DataFrame, sources: list[int]) -> DataFrame:
+def shortest_from(edges: DataFrame, sources: list[int], blocks: int | None = None) -> DataFrame:
     """(source, node, d): shortest distances from a few sources, rounds of relaxing until none gets shorter. Unreached nodes are absent.
 
-    A round reads the edges of the nodes that changed in the one before, and writes only the distances that it shortens.
+    A round is one job over blocks of nodes: each chunk of edges offers what its changed nodes have become plus the edge, the least for each node and source, and a block takes what is shorter. Edges stay where they were
+    written; distances travel, those of a block to the chunks that start there.
     """
-    spark = edges.sparkSession
-    edges = cut(edges, "edges")
-    changed = cut(spark.createDataFrame([(s, s, 0.0) for s in sorted(set(sources))], "source long, node long, d double"), "round")
-    rounds = [changed]
+    spark, sources = edges.sparkSession, sorted(set(sources))
+    n = len(sources)
+    edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w"))
+    own = spark.createDataFrame([(s,) for s in sources], "id long")
+    nodes = cut(own.union(edges.select("src")).union(edges.select("dst")).distinct(), "nodes")
+    # a node takes over an edge that ends in it
+    graph = BlockGraph(nodes, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), blocks or number_of_blocks(nodes.count() * (1 + n // 8)))
+    at = {s: k for k, s in enumerate(sources)}
+    places: dict[int, list[tuple[int, int]]] = {}
+    for r in graph.index.where(F.col("id").isin(sources)).collect():  # a row a source
+        places.setdefault(r["block"], []).append((r["at"], at[r["id"]]))
+    sizes = graph.sizes
+
+    def state_row(block: int, d: np.ndarray, changed: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([d.tobytes()], pa.binary()), pa.array([changed.tobytes()], pa.binary()), pa.array([int(changed.sum())], pa.int64())], names=["block", "d", "changed", "n"])
+
+    schema = "block int, d binary, changed binary, n long"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                d, changed = np.full((sizes[b], n), np.inf), np.zeros(sizes[b], dtype=bool)
+                for i, s in places.get(b, []):
+                    d[i, s], changed[i] = 0.0, True
+                yield state_row(b, d, changed)
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j = (np.frombuffer(batch.column(c)[r].as_buffer(), dtype=np.int32) for c in (1, 2))
+                on = np.flatnonzero(np.frombuffer(batch.column(5)[r].as_buffer(), dtype=bool)[j])
+                if len(on):
+                    i = i[on]
+                    d = floats(batch.column(4), r, n)[j[on]] + np.frombuffer(batch.column(3)[r].as_buffer())[on, None]
+                    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([i[first].tobytes()], pa.binary()), pa.array([np.minimum.reduceat(d, first, axis=0).tobytes()], pa.binary())], names=["block", "at", "d"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = d = old = None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if not batch.column(1)[r].is_valid:
+                    if now is not None:
+                        yield state_row(now, d, (d < old).any(axis=1))
+                    now, old = batch.column(0)[r].as_py(), floats(batch.column(2), r, n)
+                    d = old.copy()
+                else:
+                    i = np.frombuffer(batch.column(1)[r].as_buffer(), dtype=np.int32)
+                    d[i] = np.minimum(d[i], floats(batch.column(2), r, n))
+        if now is not None:
+            yield state_row(now, d, (d < old).any(axis=1))
+
+    state = cut(graph.index.select("block").distinct().mapInArrow(begin, schema), "round")
     while True:
-        known = rounds[0] if len(rounds) == 1 else spark.read.schema(changed.schema).parquet(*(_folder(r) for r in rounds))
-        tried = changed.withColumnRenamed("node", "src").join(edges, "src").select("source", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"))
-        best = cut(tried.groupBy("source", "node").agg(F.min("d").alias("e")), "tried")
-        # the old distances of tried nodes alone: best is a written table, so its size decides whether known is shuffled
-        old = known.join(best, ["source", "node"]).groupBy("source", "node").agg(F.min("d").alias("d"))
-        shorter = best.join(old, ["source", "node"], "left").where("d IS NULL OR e < d").select("source", "node", F.col("e").alias("d"))
-        changed = cut(shorter, "round")
-        drop_scratch(spark, best)
-        if changed.isEmpty():
-            return known.groupBy("source", "node").agg(F.min("d").alias("d"))
-        rounds.append(changed)
-
-
-def _folder(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+        ends = state.where("n > 0").select(F.col("block").alias("q"), "d", "changed")
+        offered = graph.chunks.join(ends, "q").select("p", "i", "j", "w", "d", "changed").mapInArrow(offer, "block int, at binary, d binary")
+        rows = state.select("block", F.lit(None).cast("binary").alias("at"), "d").union(offered)
+        new = cut(rows.repartition(graph.blocks, "block").sortWithinPartitions("block", F.col("at").isNotNull()).mapInArrow(take, schema), "round")
+        drop_scratch(spark, state)
+        state = new
+        if not state.agg(F.sum("n")).first()[0]:
+            break
+    found = graph.rows(state.select("block", F.col("d").alias("y")), n, "d").select(F.col("id").alias("node"), F.posexplode("d").alias("k", "d")).where(F.col("d") < float("inf"))
+    return found.select(F.array(*map(F.lit, sources))[F.col("k")].cast("long").alias("source"), "node", "d")
 
 
 def _placed(distances: DataFrame, landmarks: list[int], far: float, layout) -> DataFrame:

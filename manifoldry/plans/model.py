@@ -209,7 +209,7 @@ class Embedder:
             first = int(np.random.default_rng(self.settings["seed"]).integers(len(x)))
             return x[C.farthest(x, o["n_cells"], first)]
         if o["engine"] == "spark_ml":
-            return C.centroid_matrix(C.ml_kmeans(pts, o["n_cells"], seed=self.settings["seed"]))[1]
+            return C.centroid_matrix(C.table_kmeans(pts, o["n_cells"], seed=self.settings["seed"]))[1]
         return C.kmeans(x, o["n_cells"], o["iterations"], self.settings["seed"])
 
     def _refine(self, pts: DataFrame, centroids: np.ndarray, local: DataFrame) -> tuple[np.ndarray, int]:

@@ -747,7 +747,7 @@ def minibatch_kmeans(spark, d):
 
 @query()
 def library_kmeans(spark, d):
-    return C.ml_kmeans(pts(spark, d), CELLS).select("cell", F.col("c")[0].alias("c1"))
+    return C.table_kmeans(pts(spark, d), CELLS, "spread").select("cell", F.col("c")[0].alias("c1"))
 
 
 #: Shortest distances from the first points over the graph of the points in `s`, as rounds of relaxing; a loop at each node keeps what is known.
@@ -1011,18 +1011,31 @@ def point_potentials(spark, d):
     return graph.rows(PointConductor(graph).maps(LEAK, sources), 3, "v").select("id", F.posexplode("v").alias("landmark", "v"))
 
 
-@query()
+_HASH = "CAST(concat('0x', substr(md5(concat('0-{part}:', event_id)), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(
+    "WITH e AS (SELECT event_id AS id, " + _HASH.format(part=0) + " AS h, 2 * pi() * " + _HASH.format(part=1) + """ AS a FROM events)
+SELECT id, CAST(pos AS INTEGER) AS pos, round(CASE pos WHEN 0 THEN sqrt(1 - h * h) * cos(a) WHEN 1 THEN sqrt(1 - h * h) * sin(a) ELSE h END, 6) AS v FROM e, range(3) p(pos)"""
+)
 def half_sphere(spark, d):
-    from manifoldry.sources.synthetic import half_sphere
+    """A point on the half sphere for every event."""
+    from manifoldry.sources.synthetic import half_sphere_of
 
-    return half_sphere(spark, 5000).select("id", F.posexplode("x").alias("pos", "v"))
+    points = half_sphere_of(table(spark, d, "events").select(F.col("event_id").alias("id")))
+    return points.select("id", F.posexplode("x").alias("pos", "v")).select("id", "pos", *r6("v"))
 
 
-@query()
+@query(
+    "WITH e AS (SELECT event_id AS id, pi() * (1.5 + 3 * " + _HASH.format(part=0) + ") AS t, 21 * " + _HASH.format(part=1) + """ AS h FROM events)
+SELECT id, round(0.5 * (t * sqrt(1 + t * t) + asinh(t)), 6) AS s, round(h, 6) AS h, round(t * cos(t), 6) AS x1, round(t * sin(t), 6) AS x3 FROM e"""
+)
 def swiss_roll(spark, d):
-    from manifoldry.sources.synthetic import swiss_roll_even
+    """A point on the roll for every event, and its place on the sheet."""
+    from manifoldry.sources.synthetic import swiss_roll_of
 
-    return swiss_roll_even(spark, 5000).select("id", F.col("sheet")[0].alias("s"), F.col("sheet")[1].alias("h"))
+    rows = swiss_roll_of(table(spark, d, "events").select(F.col("event_id").alias("id")))
+    return rows.select("id", F.round(F.col("sheet")[0], 6).alias("s"), F.round(F.col("sheet")[1], 6).alias("h"), F.round(F.col("x")[0], 6).alias("x1"), F.round(F.col("x")[2], 6).alias("x3"))
 
 
 @query()

@@ -1,15 +1,32 @@
-"""Generated surfaces with a known truth, as (id, x, ...). Rows come from spark.range, so any size is made in parallel; a seed fixes the rows for a given number of partitions."""
+"""Generated surfaces with a known truth, as (id, x, ...). Rows are made in parallel, as many as are asked for, or one for each id of a table; a seed fixes the rows for a given number of partitions."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOW, HIGH, HEIGHT = 1.5 * math.pi, 4.5 * math.pi, 21.0
 
 
+def hashed(column: Column, seed: int, part: int) -> Column:
+    """A number in [0, 1) for each value: the first 32 bits of a seeded md5, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-{part}"), column.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def half_sphere_of(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """A unit vector for each id, uniform on the upper half: its height and its angle are hashes of the id, so the rows don't depend on partitions."""
+    height, angle = hashed(F.col("id"), seed, 0), 2 * math.pi * hashed(F.col("id"), seed, 1)
+    flat = F.sqrt(1 - height * height)
+    return ids.select("id", F.array(flat * F.cos(angle), flat * F.sin(angle), height).alias("x"))
+
+
+def swiss_roll_of(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """A roll's point for each id, uniform in its angle, by hashes of the id; sheet: the true coordinates."""
+    return _rolled(ids.select("id", (LOW + (HIGH - LOW) * hashed(F.col("id"), seed, 0)).alias("t"), (HEIGHT * hashed(F.col("id"), seed, 1)).alias("h")))
+
+
 def half_sphere(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """Unit vectors, uniform on the upper half."""
     g = spark.range(n).select("id", *(F.randn(seed + i).alias(f"g{i}") for i in range(3)))

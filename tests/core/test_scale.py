@@ -135,12 +135,26 @@ def test_parents_of_any_size_split_alike(spark, cloud):
         assert set(got) == set(plain) and all(np.allclose(got[x], plain[x]) for x in plain)
 
 
-def test_library_kmeans_is_a_fixed_point(spark, cloud):
-    c = np.array([r.c for r in C.ml_kmeans(frame(spark, cloud), 5, max_iter=200, tol=0.0).orderBy("cell").collect()])
+@pytest.mark.parametrize("init", ["random", "spread"])
+def test_library_kmeans_is_a_fixed_point(spark, cloud, init):
+    c = np.array([r.c for r in C.table_kmeans(frame(spark, cloud), 5, init, max_iter=60, tol=1e-9).orderBy("cell").collect()])
     j = ((cloud[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert np.allclose(c, [cloud[j == i].mean(axis=0) for i in range(5)], atol=1e-6)
 
 
+def test_spread_start_finds_every_blob(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.random((12, 3)) * 100
+    # one blob holds two thirds of all points
+    x = np.concatenate([centres[rng.integers(0, 12, 300)], np.repeat(centres[:1], 600, axis=0)]) + rng.normal(size=(900, 3)) * 0.1
+    c = np.array([r.c for r in C.table_kmeans(frame(spark, x), 12, "spread").collect()])
+    assert np.sqrt(((centres[:, None] - c[None]) ** 2).sum(axis=2)).min(axis=1).max() < 0.2
+    # no more points than cells, and repeated ones
+    assert len(C.table_kmeans(frame(spark, x[:4]), 9, "spread").collect()) <= 9
+    same = C.table_kmeans(frame(spark, np.ones((20, 2))), 3, "spread").collect()
+    assert len(same) == 3 and all(r.c == [1.0, 1.0] for r in same)
+
+
 def test_geodesics_by_plain_relaxing(spark, cloud):
     near = N.knn_join(frame(spark, cloud), frame(spark, cloud), 5, exclude_self=True)
     d = np.full((300, 300), np.inf)
