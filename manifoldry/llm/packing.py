@@ -231,7 +231,8 @@ def best_fit(items: DataFrame, order: list[str], limit: int = LIMIT, length: str
     places = cut(spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=list(names))), "places")
     nth = F.row_number().over(Window.partitionBy("__length", "__part").orderBy(*order)) - 1
     ranked = written.withColumn("__length", size.cast("long")).withColumn("__nth", nth)
-    ranked = ranked.join(bases.withColumn("__length", F.col("__length").cast("long")), ["__length", "__part"]).withColumn("__rank", F.col("__base") + F.col("__nth"))
+    # merged: the table of bases has a row for each part and length, and grows with the parts; ranked rows lie as the window has left them
+    ranked = ranked.join(bases.withColumn("__length", F.col("__length").cast("long")).hint("merge"), ["__length", "__part"]).withColumn("__rank", F.col("__base") + F.col("__nth"))
     found = ranked.join(places, (ranked["__length"] == places["__length"]) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__some")))
     j = F.col("__rank") - F.col("__first")
     return found.select(*(written[c] for c in items.columns), (F.col("__sequence") + F.floor(j / F.col("__copies"))).cast("long").alias("sequence_id"), (F.col("__at") + j % F.col("__copies") * places["__length"]).cast("long").alias("offset"))
