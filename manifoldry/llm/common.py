@@ -164,7 +164,8 @@ def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str
     new = StructType.fromDDL(fields)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     schema = StructType([*(df.schema[c] for c in kept), *new])
-    given = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    # by place, under names that can't clash
+    given = df.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)), F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -49,10 +49,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = cut(later_windows(docs, id_col, text_col), "gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in names), *_key(id_col, text_col))
+    # names of this function's own meanwhile, so that none of docs' can clash with one in use here
+    safe = {c: f"__c{i}" for i, c in enumerate(names)}
+    keyed = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in safe.items()), *_key(id_col, text_col))
     may, rest = sift(keyed, gone, "__k")
     both = may.join(gone, ["__null", "__id", "__k"], "left").unionByName(rest.withColumn("__covered", F.lit(None).cast("array<int>")))
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
+    text = F.col(safe[text_col])
+    lines = F.split(text, "\n", -1)
     p = F.col("__covered")
     # a run begins at a start that none of the starts just before reaches, and ends likewise
     begins = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < x - LINES))
@@ -63,5 +66,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hi = lambda i: F.when(i == F.size(b), n).otherwise(F.get(b, i))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: F.slice("__lines", lo(i) + 1, hi(i) - lo(i))))
     removed = F.aggregate(F.arrays_zip(b.alias("b"), e.alias("e")), F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["b"])
-    out = F.when(p.isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-    return with_runs.select(*((out.alias(c) if c == text_col else F.col(f"`{c}`")) for c in names), F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
+    out = F.when(p.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return with_runs.select(*((out if c == text_col else F.col(s)).alias(c) for c, s in safe.items()), F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"))
