@@ -38,3 +38,14 @@ def test_others(spark):
     assert kept(periodic_runs(df), rows)
     bench = spark.createDataFrame([(1, "nothing like it at all in here today or tomorrow")], "item_id long, text string")
     assert kept(benchmark_hits(df, bench), rows)
+
+
+def test_near_dedup_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows, df = docs(spark)
+    out = corpus_pipeline.near_dedup(spark, df, "", 3, 0.8)
+    plain = corpus_pipeline.near_dedup(spark, df.select("doc_id", "text"), "", 3, 0.8)
+    got = out.collect()
+    assert out.columns == df.columns and Counter((r.doc_id, r.text) for r in got) == Counter(map(tuple, plain.collect())) and 0 < len(got) < len(rows)
+    assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for r in got for c in NAMES)
