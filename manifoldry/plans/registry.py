@@ -1006,7 +1006,7 @@ def cg_second_step(spark, d):
     + ", ".join((_P, _J.replace(f"{JOINED} * {JOINED}", "1.1 * 1.1")))
     + """, r AS (SELECT id AS i, id AS j FROM p UNION SELECT r.i, j.j FROM r JOIN j ON j.i = r.j), l AS (SELECT i AS id, min(j) AS label FROM r GROUP BY i),
 k AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM l GROUP BY label),
-q AS (SELECT p.id, p.x, k.rank FROM p JOIN l USING (id) JOIN k USING (label)),
+q AS (SELECT p.id, p.x, k.rank FROM p JOIN l ON l.id = p.id JOIN k ON k.label = l.label),
 n AS (SELECT a.rank, a.id AS src, b.id AS dst, list_sum(list_transform(list_zip(a.x, b.x), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS sq FROM q a JOIN q b ON b.rank < a.rank),
 f AS (SELECT src, dst, sq FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY sq, src, dst) AS o FROM n) WHERE o = 1)
 SELECT src, dst, round(sq, 6) AS sq FROM f UNION ALL SELECT dst, src, round(sq, 6) FROM f"""
