@@ -13,7 +13,7 @@ from manifoldry.functions.arrays import sq_distance
 
 from .knn import exact_nearest, matrix
 from .points import hash_order, renumbered
-from .shared import scratch_path
+from .shared import cut, scratch_path
 
 #: Most numbers in a set of centroids that is sent to every task (64 MB).
 MOST = 8_000_000
@@ -243,6 +243,34 @@ def farthest_points(pts: DataFrame, k: int, first: int) -> DataFrame:
     return spark.createDataFrame(chosen, "step int, id long")
 
 
+def farthest_cover(pts: DataFrame, k: int, rows: int = 8192) -> tuple[DataFrame, float]:
+    """((step, id, c), radius): k points (id, x) of a table of any size that no point lies farther from than `radius`: at most twice the least possible for k points, for each level of blocks.
+
+    Points fall into blocks of about `rows` by a hash of their ids; each block keeps its k farthest points, one by one, and how far the others are from those. What is kept goes through the same again until it is one block, whose
+    farthest points are the result: two levels up to rows * rows / k points. The radius adds up what each level has left out, so it holds for this table and not only in theory. A block has 4 k points at least.
+    """
+    spark, rows = pts.sparkSession, max(rows, 4 * k)
+    left, out = pts.select("id", F.col("x").cast("array<double>").alias("x")), 0.0
+    schema = "step int, id long, x array<double>, sq double"
+
+    def keep(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, x = table.column("id").to_numpy(), matrix(table.column("x").combine_chunks())
+        at = farthest(x, k)
+        # what the last choice has left farthest away
+        sq = float(exact_nearest(x, None, x[at], np.arange(len(at)), 1)[2].max(initial=0))
+        return pa.table({"step": pa.array(np.arange(len(at)), pa.int32()), "id": pa.array(ids[at], pa.int64()), "x": pa.array(x[at].tolist(), pa.list_(pa.float64())), "sq": pa.array([sq] * len(at), pa.float64())})
+
+    while True:
+        blocks = max(1, -(-left.count() // rows))
+        block = F.pmod(F.xxhash64(F.lit(blocks), "id"), F.lit(blocks))
+        kept = cut(left.select("id", "x", block.alias("__block")).groupBy("__block").applyInArrow(keep, schema), "kept")
+        out += np.sqrt(kept.agg(F.max("sq")).first()[0] or 0.0)
+        if blocks == 1:
+            return kept.select("step", "id", F.col("x").alias("c")), float(out)
+        left = kept.select("id", "x")
+
+
 def allocate(counts: list[int], budget: int) -> list[int]:
     """A budget dealt in proportion to counts by largest remainders: never more than the points, and at least 1 where there are points if the budget has that many; ties to the lower index."""
     n = np.asarray(counts, dtype=float)

@@ -392,3 +392,24 @@ def test_shapes_of_layouts(spark):
     s = np.linalg.svd(flat - flat.mean(axis=0), compute_uv=False)
     plane = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(flat)], "id long, z array<double>")
     assert M.aspect(plane).first().aspect == pytest.approx(s[1] / s[0])
+
+
+def test_cover_of_a_table(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random((1500, 2)), rng.random((300, 2)) * 0.01 + 5, [[50.0, 50.0]]])
+    p = frame(spark, x)
+    for parts in (1, 5):
+        got, bound = C.farthest_cover(p.repartition(parts), 20, rows=150)
+        at = [r.id for r in got.orderBy("step").collect()]
+        assert len(set(at)) == 20 and 1800 in at
+        radius = np.sqrt(((x[:, None] - x[at][None]) ** 2).sum(axis=2)).min(axis=1).max()
+        plain = x[C.farthest(x, 20)]
+        assert radius <= bound
+        # the sequential choice is no better than the least radius, and two levels no worse than four times that
+        assert bound <= 4 * np.sqrt(((x[:, None] - plain[None]) ** 2).sum(axis=2)).min(axis=1).max()
+        if parts > 1:
+            assert at == before
+        before = at
+    # one block: the sequential choice itself
+    assert [r.id for r in C.farthest_cover(p, 20)[0].orderBy("step").collect()] == C.farthest(x, 20).tolist()
+    assert C.farthest_cover(p.limit(0), 3)[0].collect() == [] and len(C.farthest_cover(p.limit(2), 3)[0].collect()) == 2
