@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manifoldry.llm import queries
-from manifoldry.llm.common import cut, join_by_counts, sift
+from manifoldry.llm.common import cut, join_by_counts, sift, small_batches
 from manifoldry.llm.copies import near_copies
 from manifoldry.llm.decontaminate import benchmark_hits
 from manifoldry.llm.language import UNKNOWN, identify
 from manifoldry.llm.lines import dedup_lines
 from manifoldry.llm.pieces import decode_pieces, encode_pieces
-from manifoldry.llm.simhash import simhash_near_dups
+from manifoldry.llm.simhash import components, simhash_near_dups
 
 #: A document stays if the mean probability of its language is at least this.
 SURE = 0.5
@@ -68,9 +68,18 @@ def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark. Null and empty texts hold none and stay, long ones are searched whole; repeated rows go or stay alike."""
-    marked = benchmark_hits(docs, queries.table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("benchmark_hits") == 0).select(*docs.columns)
+    """Drop documents that hold an item of the benchmark. Null and empty texts hold none and stay, long ones are searched whole; repeated rows go or stay alike.
+
+    128 bits of hash stand for the texts that go, so that no other column passes through the workers, and none work while the rest is written.
+    """
+    hashes = [F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(1), "text").alias("__b")]
+    with small_batches(spark):
+        marked = benchmark_hits(docs.select("text", *hashes), queries.table(spark, sf_dir, "benchmark"), keep=["__a", "__b"])
+        found = cut(marked.where(F.size("benchmark_hits") > 0).select("__a", "__b").distinct(), "hits")
+    safe = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    back = [F.col(s).alias(c) for c, s in safe.items()]
+    may, rest = sift(docs.select(*(F.col(f"`{c}`").alias(s) for c, s in safe.items()), *hashes), found, "__a")
+    return may.join(found, ["__a", "__b"], "left_anti").select(*back).union(rest.select(*back))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -156,6 +157,18 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """In here, batches of rows on their way to Python workers hold about `size` instead of up to 64 MB, on both sides: for stages that write all they ask of the workers before they return."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: str, fn, keep: list[str] | None = None) -> DataFrame:
     """df's columns (or only those in keep) and new ones: fn(column of text) gives the arrays of the DDL in fields, in order.
 
