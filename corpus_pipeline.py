@@ -40,16 +40,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
+def joined_groups(given: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, a, b and root of groups that links of either kind join: those of op5's operator, by its index of bytes, and those of near_copies, for similarities that no index of bytes reaches."""
+    alike = cut(simhash_near_dups(given, with_keys=True).select("doc_id", "a", "b", "root"), "alike")
+    close = near_copies(given, size=shingle, similarity=similarity).select("a", "b", F.col("root").alias("close")).distinct()
+    both = cut(alike.select("a", "b", "root").distinct().join(close, ["a", "b"]).select("root", "close").distinct(), "both")
+    # groups that are one and the same by both need no joining
+    several = [both.groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}")) for c in ("root", "close")]
+    edges = both.join(several[0], "root").join(several[1], "close").where("n_root > 1 or n_close > 1")
+    node = lambda c: F.xxhash64(F.lit(c), c)
+    found = components(edges.select(node("root").alias("a"), node("close").alias("b")))
+    # a group of both kinds is named by the component's root, which is of neither
+    named = alike.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("node", node("root")).join(found.withColumnRenamed("root", "of"), "node", "left").select("root", "n", F.coalesce("of", "node").alias("of"))
+    return join_by_counts(alike, cut(named, "named"), ["root"], "n", by="a").select("doc_id", "a", "b", F.col("of").alias("root"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
     """Keep one document of each group of near copies: the one of smallest doc_id, null ids last; of repeated rows of one id and text, one.
 
-    Near copies have at least this Jaccard similarity of shingles of so many words; without both, fingerprints of op5's contract within two bits. Null and empty
+    Near copies have fingerprints of op5's contract within two bits or, if both are given, at least this Jaccard similarity of shingles of so many words. Null and empty
     texts are copies of each other; long texts count whole. Only rows that may be in a group of several are shuffled.
     """
     keys = [F.xxhash64("doc_id", "text").alias("__a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("__b")]
     given = docs.select("doc_id", "text")
-    found = simhash_near_dups(given, with_keys=True) if shingle is None or similarity is None else near_copies(given, size=shingle, similarity=similarity)
-    marked = cut(found.select("doc_id", "a", "b", "root"), "groups")
+    with small_batches(spark):
+        found = simhash_near_dups(given, with_keys=True) if shingle is None or similarity is None else joined_groups(given, shingle, similarity)
+        marked = cut(found.select("doc_id", "a", "b", "root"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "a", "b")
     groups = cut(marked.groupBy("root").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "n", F.col("m.a").alias("first_a"), F.col("m.b").alias("first_b")), "several")
     several = join_by_counts(marked, groups, ["root"], "n", by="a")
@@ -63,7 +79,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int |
 
 
 def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """near_dedup by five-word shingles and a similarity of 0.8."""
+    """near_dedup by op5's fingerprints, and by five-word shingles and a similarity of 0.8."""
     return near_dedup(spark, docs, sf_dir, SHINGLE, SIMILAR)
 
 
