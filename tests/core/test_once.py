@@ -3,7 +3,10 @@
 import os
 import uuid
 
+import pytest
+
 from manifoldry.operators import geodesics as D
+from manifoldry.plans.spectral import laplacian_eigenmaps
 
 
 def ring(spark, n, folder):
@@ -26,3 +29,11 @@ def test_geodesics_search_once(spark, tmp_path):
 def test_isomap_searches_once(spark, tmp_path):
     z = {r.id: r.z for r in D.isomap(ring(spark, 12, str(tmp_path)), [0, 3, 6], 2).collect()}
     assert len(z) == 12 and len(os.listdir(tmp_path)) == 4
+
+
+def test_eigenmaps_search_once(spark, tmp_path):
+    edges = D.neighbour_graph(ring(spark, 12, str(tmp_path)))
+    z = {r.id: r.z for r in laplacian_eigenmaps(edges, 2).collect()}
+    # a ring's first two axes are a circle
+    assert [z[i][0] ** 2 + z[i][1] ** 2 for i in range(12)] == pytest.approx([z[0][0] ** 2 + z[0][1] ** 2] * 12)
+    assert len(os.listdir(tmp_path)) == 4
