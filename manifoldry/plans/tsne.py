@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manifoldry.operators.blocks import BlockGraph, floats
-from manifoldry.operators.knn import knn_join
+from manifoldry.operators.knn import BLOCK_VALUES, knn_join
 from manifoldry.operators.shared import cut, drop_scratch
 
 from .umap import principal_layout
 
-#: Intervals of the grid in each direction, at least and at most; they are WIDTH wide if that many suffice, and wider, with a less exact field, in a layout of over 120. Nodes of an interval.
-INTERVALS, WIDTH, NODES = (30, 240), 0.5, 5
-#: Grids that come to the driver at a time.
-GRIDS = 16
+#: Intervals of the grid in each direction, at least and at most; they are WIDTH wide at most if that many suffice, and wider, with a less exact field, in a layout of over 120. Nodes of an interval, and the width of the
+#: grid at least, so that small layouts have room to move between two exchanges.
+INTERVALS, WIDTH, NODES, ROOM = (45, 240), 0.5, 5, 15.0
+#: Grids that come to the driver at a time, and parts in which more of them are added up before.
+GRIDS, PARTS = 4, 32
 
 
 def precisions(sq: np.ndarray, perplexity: float) -> np.ndarray:
@@ -67,16 +70,39 @@ def affinities(neighbours: DataFrame, perplexity: float, n: int) -> DataFrame:
     return both.groupBy("src", "dst").agg((F.sum("w") / (2.0 * n)).alias("w"))
 
 
+def _smooth(n: int) -> int:
+    """The next number without prime factors over 5, of which Fourier transforms are fast."""
+    while True:
+        rest = n
+        for f in (2, 3, 5):
+            while rest % f == 0:
+                rest //= f
+        if rest == 1:
+            return n
+        n += 1
+
+
+@lru_cache(1)
+def _kernel(side: int, step: float) -> np.ndarray:
+    """The transform of 1 / (1 + d^2)^2 between nodes."""
+    d = np.minimum(np.arange(2 * side), 2 * side - np.arange(2 * side)) * step
+    return np.fft.rfft2(1 / (1 + d[:, None] ** 2 + d[None] ** 2) ** 2)
+
+
 class Grid:
     """A square of intervals around a box; charges are laid on its nodes, and fields read from them, by polynomials through an interval's nodes in each direction."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray):
-        span = float(max((high - low).max(), 1e-6)) * 1.02
-        self.m = int(min(max(INTERVALS[0], math.ceil(span / WIDTH)), INTERVALS[1]))
+        span = max(float((high - low).max()) * 1.02, ROOM)
+        self.m = min(max(INTERVALS[0], _smooth(math.ceil(span / WIDTH))), INTERVALS[1])
         self.h = span / self.m
         self.low = (low + high - span) / 2
         self.side = self.m * NODES
 
+    def wide(self, low: np.ndarray, high: np.ndarray) -> bool:
+        """Whether the box needs much less room."""
+        return self.m > INTERVALS[0] and (high - low).max() < 0.5 * self.m * self.h
+
     def holds(self, low: np.ndarray, high: np.ndarray) -> bool:
         return bool((low >= self.low).all() and (high <= self.low + self.m * self.h).all())
 
@@ -104,18 +130,25 @@ class Grid:
 
     def field(self, charges: np.ndarray) -> tuple[np.ndarray, float]:
         """The fields of the first three charges under 1 / (1 + d^2)^2, and the sum of 1 / (1 + d^2) over all pairs of different points."""
-        s, step = self.side, self.h / NODES
-        d = np.minimum(np.arange(2 * s), 2 * s - np.arange(2 * s)) * step
-        kernel = np.fft.rfft2(1 / (1 + d[:, None] ** 2 + d[None] ** 2) ** 2)
+        s = self.side
+        kernel = _kernel(s, self.h / NODES)
         squares = charges[:-1].reshape(4, s, s)
-        fields = np.stack([np.fft.irfft2(np.fft.rfft2(c, (2 * s, 2 * s)) * kernel, (2 * s, 2 * s))[:s, :s].ravel() for c in squares])
+
+        def one(c: np.ndarray) -> np.ndarray:
+            held = np.fft.rfft2(c, (2 * s, 2 * s))
+            held *= kernel
+            return np.fft.irfft(np.fft.ifft(held, axis=0)[:s], 2 * s, axis=1)[:, :s].ravel()
+
+        with ThreadPoolExecutor(2) as two:  # transforms run beside each other
+            fields = np.stack(list(two.map(one, squares)))
         one, x, y, sq = (c.ravel() for c in squares)
         # 1 / (1 + d^2) is (1 + |a|^2 - 2 a b + |b|^2) times the kernel
         total = ((one + sq) * fields[0]).sum() - 2 * (x * fields[1]).sum() - 2 * (y * fields[2]).sum() + (one * fields[3]).sum()
         return fields[:3], max(float(total - charges[-1]), 1e-300)
 
     def push(self, y: np.ndarray, fields: np.ndarray) -> np.ndarray:
-        """Each point's sum over all points of the difference times the kernel."""
+        """Each point's sum over all points of the difference times the kernel. A point that has left the grid is pushed as at its edge: polynomials hold no further."""
+        y = np.clip(y, self.low, self.low + self.m * self.h)
         nodes, w = self.weights(y)
         one, x1, x2 = ((w * f[nodes]).sum(axis=1) for f in fields)
         return y * one[:, None] - np.stack([x1, x2], axis=1)
@@ -169,7 +202,7 @@ class Tsne:
         low, high = low.min(axis=0), high.max(axis=0)
         old = self.grid
         rows = self.state.select("block", "grid")
-        if old is None or not old.holds(low, high) or (high - low).max() < 0.5 * old.m * old.h:
+        if old is None or not old.holds(low, high) or old.wide(low, high):
             # room to move for a while
             margin = 0.1 * float((high - low).max())
             grid = self.grid = Grid(low - margin, high + margin)
@@ -187,17 +220,26 @@ class Tsne:
                 for r in table.sort_by("block").to_batches():
                     for g in r.column(1):
                         total = np.frombuffer(g.as_buffer()) + (0 if total is None else total)
-                return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "grid": pa.array([total.tobytes()], pa.binary())})
-
-            rows = rows.groupBy(F.pmod("block", F.lit(GRIDS)).alias("part")).applyInArrow(add, "block int, grid binary")
-        total = np.zeros(4 * self.grid.side**2 + 1)
-        for r in sorted(rows.collect()):  # GRIDS rows at most, of a bounded size
-            total += np.frombuffer(r.grid)
+                return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "grid": pa.array([total.tobytes()], pa.binary())})
+
+            # each part of all grids by itself, so that one grid's worth comes to the driver
+            length = 8 * -(-(4 * self.grid.side**2 + 1) // PARTS)
+            some = rows.select("block", "grid", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+            some = some.select("block", F.expr(f"substring(grid, part * {length} + 1, {length})").alias("grid"), "part").where("length(grid) > 0")
+            found = some.groupBy("part").applyInArrow(add, "part int, grid binary").toArrow().sort_by("part")
+            total = np.concatenate([np.frombuffer(g.as_buffer()) for g in found.column("grid")])
+        else:
+            total = np.zeros(4 * self.grid.side**2 + 1)
+            for g in rows.toArrow().sort_by("block").column("grid"):  # of a bounded number and size
+                total += np.frombuffer(g.as_buffer())
         self.fields, self.total = self.grid.field(total)
 
     def _pulls(self) -> DataFrame:
         """What each chunk of edges pulls its first points with: points, and for each the sum of the weights and of the neighbours' places by weight."""
         y = self.state.select("block", "y")
+        if 2 * self.n <= BLOCK_VALUES:
+            # of checked size: chunks stay where they are read
+            y = F.broadcast(y)
         ends = self.blocked.chunks.join(y.select(F.col("block").alias("p"), F.col("y").alias("yp")), "p").join(y.select(F.col("block").alias("q"), F.col("y").alias("yq")), "q")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +258,7 @@ class Tsne:
         none = F.lit(None).cast("binary")
         own = self.state.select(F.col("block").alias("p"), F.lit(-1).alias("q"), F.lit(-1).alias("no"), none.alias("at"), none.alias("pull"), "y", "v", "gain")
         rows = own.union(self._pulls().select("p", "q", "no", "at", "pull", none, none, none))
-        dealt = rows.repartition(self.blocked.blocks, "p").sortWithinPartitions("p", "q", "no")
+        dealt = rows.repartitionById(self.blocked.blocks, "p").sortWithinPartitions("p", "q", "no")
         shared = self.spark.sparkContext.broadcast((self.grid, self.fields, self.total))
         rate = self.rate
 
@@ -226,10 +268,12 @@ class Tsne:
 
             def done() -> pa.RecordBatch:
                 nonlocal y, v, gain
+                # weights stay as they are between two exchanges, so a step beyond where they pull a point to, as of hubs, would be followed by longer ones
+                most = 1 / np.maximum(exaggeration * pull[:, :1], 1e-300)
                 for _ in range(together):
                     g = exaggeration * (pull[:, :1] * y - pull[:, 1:]) - grid.push(y, fields) / total
                     gain = np.maximum(np.where((g > 0) == (v > 0), gain * 0.8, gain + 0.2), 0.01)
-                    v = momentum * v - rate * gain * g
+                    v = momentum * v - np.minimum(rate * gain, most) * g
                     y = y + v
                 return _state_row(now, y, v, gain, grid)
 

@@ -118,3 +118,24 @@ def test_as_trustworthy_as_the_plain_layout(spark):
     y = c @ np.linalg.svd(c, full_matrices=False)[2][:2].T
     plain = plain_layout(y / y[:, 0].std() * 1e-4, plain_affinities(x, PERPLEXITY, 45), steps, 50.0)
     assert trust(x, got) > trust(x, plain) - 0.02
+
+
+def test_points_that_leave_the_grid_are_pushed_as_at_its_edge():
+    y = np.random.default_rng(3).normal(size=(300, 2)) * 1e-4
+    grid = T.Grid(y.min(axis=0), y.max(axis=0))
+    fields, _ = grid.field(grid.deposit(y))
+    edge = grid.low + grid.m * grid.h
+    assert np.allclose(grid.push(edge[None] + 50, fields), grid.push(edge[None], fields))
+    # and a small layout has room to move
+    assert grid.holds(y.min(axis=0) - 5, y.max(axis=0) + 5)
+
+
+def test_hubs_stay_in_the_layout(spark):
+    """Neighbours of noise in many dimensions have hubs; at the rate of a large table one step of theirs used to end far outside, and all others after them."""
+    x = np.random.default_rng(4).normal(size=(500, 40))
+    t = T.Tsne(frame(spark, x), steps=((12, 12.0, 0.5),), rate=500 / 12 * 5, blocks=2)
+    z = array(t.placed(), 500)
+    assert np.abs(z).max() < 5
+    # grids that are added up by parts, of more blocks than come to the driver
+    some = T.Tsne(frame(spark, x), steps=((6, 12.0, 0.5),), blocks=6)
+    assert some.blocked.blocks > T.GRIDS and np.isfinite(array(some.placed(), 500)).all()
