@@ -193,8 +193,8 @@ class Umap:
         met = self.blocked.chunks.where(slots[F.col("p")] == slots[F.col("q")])
         met = met if inside else met.where("p <> q")
         rows = mine.union(met.select(slots[F.col("p")].alias("slot"), "p", "q", "no", "i", "j", "w"))
-        # the pair's points come first, then its chunks, one by one
-        dealt = rows.repartition(2 * len(pairs), "slot").sortWithinPartitions("slot", F.col("no") >= 0, "p", "q", "no")
+        # a task a pair; its points come first, then its chunks, one by one
+        dealt = rows.repartitionById(len(pairs), "slot").sortWithinPartitions("slot", F.col("no") >= 0, "p", "q", "no")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, at, y, held = None, {}, None, []
