@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,8 +180,11 @@ class Tsne:
         self._field()
         for number, exaggeration, momentum in steps:
             for at in range(0, number, together):
-                new = cut(self._moved(min(together, number - at), exaggeration, momentum), "state")
+                moved, sent = self._moved(min(together, number - at), exaggeration, momentum)
+                new = cut(moved, "state")
                 drop_scratch(self.spark, self.state)
+                for b in sent:
+                    b.destroy()
                 self.state = new
                 self._field()
 
@@ -197,10 +201,14 @@ class Tsne:
 
     def _field(self) -> None:
         """The field of the state's points: from the grids that came with it, or from a new grid if a point has left the old one or all of them need much less room."""
-        box = self.state.select("low", "high").where("low IS NOT NULL").collect()  # one row a block
+        few, held = self.blocked.blocks <= GRIDS, 2 * self.n <= BLOCK_VALUES
+        # one job: boxes, one row a block, and what is of checked size of grids and places
+        here = self.state.select("block", "low", "high", *(["grid"] if few else []), *(["y"] if held else [])).toArrow().sort_by("block")
+        box = [(x, y) for x, y in zip(here.column("low").to_pylist(), here.column("high").to_pylist()) if x is not None]
         low, high = (np.array([r[i] for r in box]) for i in (0, 1))
         low, high = low.min(axis=0), high.max(axis=0)
-        old = self.grid
+        self.places = {b: np.frombuffer(y.as_buffer()).reshape(-1, 2) for b, y in zip(here.column("block").to_pylist(), here.column("y"))} if held else None
+        old, laid = self.grid, None
         rows = self.state.select("block", "grid")
         if old is None or not old.holds(low, high) or old.wide(low, high):
             # room to move for a while
@@ -213,7 +221,9 @@ class Tsne:
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([grid.deposit(floats(batch.column(1), r, 2)).tobytes()], pa.binary())], names=["block", "grid"])
 
             rows = self.state.select("block", "y").mapInArrow(lay, "block int, grid binary")
-        if self.blocked.blocks > GRIDS:
+        elif few:
+            laid = here
+        if not few:
 
             def add(key: tuple, table: pa.Table) -> pa.Table:
                 total = None
@@ -230,34 +240,49 @@ class Tsne:
             total = np.concatenate([np.frombuffer(g.as_buffer()) for g in found.column("grid")])
         else:
             total = np.zeros(4 * self.grid.side**2 + 1)
-            for g in rows.toArrow().sort_by("block").column("grid"):  # of a bounded number and size
-                total += np.frombuffer(g.as_buffer())
+            for g in (rows.toArrow().sort_by("block") if laid is None else laid).column("grid"):  # of a bounded number and size
+                if g.is_valid:
+                    total += np.frombuffer(g.as_buffer())
         self.fields, self.total = self.grid.field(total)
 
-    def _pulls(self) -> DataFrame:
-        """What each chunk of edges pulls its first points with: points, and for each the sum of the weights and of the neighbours' places by weight."""
+    def _pulls(self) -> tuple[DataFrame, Broadcast | None]:
+        """What each chunk of edges pulls its first points with: points, and for each the sum of the weights and of the neighbours' places by weight. Places of checked size are sent to where chunks are read."""
+
+        def pull(batch: pa.RecordBatch, r: int, yp: np.ndarray, yq: np.ndarray) -> pa.RecordBatch:
+            i, j = (np.frombuffer(batch.column(c)[r].as_buffer(), dtype=np.int32) for c in (3, 4))
+            w, a, b = np.frombuffer(batch.column(5)[r].as_buffer()), yp[i], yq[j]
+            w = w / (1 + ((a - b) ** 2).sum(axis=1))
+            # edges of a chunk stand in order of i
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            sums = np.add.reduceat(np.column_stack([w, w[:, None] * b]), first, axis=0)
+            return pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in range(3)), pa.array([i[first].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(sums).tobytes()], pa.binary())], names=["p", "q", "no", "at", "pull"])
+
+        if self.places is not None:
+            shared = self.spark.sparkContext.broadcast(self.places)
+
+            def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                y = shared.value
+                for batch in batches:
+                    for r in range(batch.num_rows):
+                        yield pull(batch, r, y[batch.column(0)[r].as_py()], y[batch.column(1)[r].as_py()])
+
+            return self.blocked.chunks.select("p", "q", "no", "i", "j", "w").mapInArrow(held, _PULL), shared
         y = self.state.select("block", "y")
-        if 2 * self.n <= BLOCK_VALUES:
-            # of checked size: chunks stay where they are read
-            y = F.broadcast(y)
         ends = self.blocked.chunks.join(y.select(F.col("block").alias("p"), F.col("y").alias("yp")), "p").join(y.select(F.col("block").alias("q"), F.col("y").alias("yq")), "q")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in range(batch.num_rows):
-                    i, j = (np.frombuffer(batch.column(c)[r].as_buffer(), dtype=np.int32) for c in (3, 4))
-                    w, a, b = np.frombuffer(batch.column(5)[r].as_buffer()), floats(batch.column(6), r, 2)[i], floats(batch.column(7), r, 2)[j]
-                    w = w / (1 + ((a - b) ** 2).sum(axis=1))
-                    at, place = np.unique(i, return_inverse=True)
-                    sums = np.stack([np.bincount(place, x, minlength=len(at)) for x in (w, w * b[:, 0], w * b[:, 1])], axis=1)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in range(3)), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["p", "q", "no", "at", "pull"])
+                    yield pull(batch, r, floats(batch.column(6), r, 2), floats(batch.column(7), r, 2))
 
-        return ends.select("p", "q", "no", "i", "j", "w", "yp", "yq").mapInArrow(run, _PULL)
+        return ends.select("p", "q", "no", "i", "j", "w", "yp", "yq").mapInArrow(run, _PULL), None
 
-    def _moved(self, together: int, exaggeration: float, momentum: float) -> DataFrame:
+    def _moved(self, together: int, exaggeration: float, momentum: float) -> tuple[DataFrame, list[Broadcast]]:
+        """The state after so many steps, and what was sent to all tasks for them."""
         none = F.lit(None).cast("binary")
         own = self.state.select(F.col("block").alias("p"), F.lit(-1).alias("q"), F.lit(-1).alias("no"), none.alias("at"), none.alias("pull"), "y", "v", "gain")
-        rows = own.union(self._pulls().select("p", "q", "no", "at", "pull", none, none, none))
+        pulls, places = self._pulls()
+        rows = own.union(pulls.select("p", "q", "no", "at", "pull", none, none, none))
         dealt = rows.repartitionById(self.blocked.blocks, "p").sortWithinPartitions("p", "q", "no")
         shared = self.spark.sparkContext.broadcast((self.grid, self.fields, self.total))
         rate = self.rate
@@ -290,11 +315,11 @@ class Tsne:
             if now is not None:
                 yield done()
 
-        return dealt.mapInArrow(run, _STATE)
+        return dealt.mapInArrow(run, _STATE), [b for b in (shared, places) if b is not None]
 
     def gradient(self) -> DataFrame:
         """(id, g): the gradient of the divergence at the state's layout, without its factor 4."""
-        pulls = self._pulls().select("p", "q", "no", "at", "pull", F.lit(None).cast("binary").alias("y"))
+        pulls = self._pulls()[0].select("p", "q", "no", "at", "pull", F.lit(None).cast("binary").alias("y"))
         own = self.state.select(F.col("block").alias("p"), F.lit(-1).alias("q"), F.lit(-1).alias("no"), F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("pull"), "y")
         grid, fields, total = self.grid, self.fields, self.total
 

@@ -139,3 +139,23 @@ def test_hubs_stay_in_the_layout(spark):
     # grids that are added up by parts, of more blocks than come to the driver
     some = T.Tsne(frame(spark, x), steps=((6, 12.0, 0.5),), blocks=6)
     assert some.blocked.blocks > T.GRIDS and np.isfinite(array(some.placed(), 500)).all()
+
+
+def test_query_takes_all_steps(spark, monkeypatch):
+    """Before: 150 of the default's 750 steps."""
+    import inspect
+
+    from manifoldry.plans import registry as R
+
+    whole = inspect.signature(T.Tsne.__init__)
+    init, taken = T.Tsne.__init__, []
+
+    def started(self, *args, **kwargs):
+        given = whole.bind(self, *args, **kwargs)
+        given.apply_defaults()
+        taken.append(sum(number for number, *_ in given.arguments["steps"]))
+        given.arguments["steps"] = ((3, 12.0, 0.5),)
+        init(*given.args, **given.kwargs)
+
+    monkeypatch.setattr(T.Tsne, "__init__", started)
+    assert R.QUERIES["tsne_layout"](spark, "/root/testdata/sf0.001").count() == 500 and taken == [750]
