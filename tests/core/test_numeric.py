@@ -144,3 +144,27 @@ def test_settings_are_checked():
         with pytest.raises(ValueError):
             settings(**{name: value})
     assert settings({"cells": {"n_cells": 7}}, cells__n_cells=9)["cells"]["n_cells"] == 9
+
+
+def test_native_assignment_is_exact_and_looks_at_few_differences(spark):
+    """Before: each point met every cell feature by feature, which grows with points times cells."""
+    from manifoldry.operators import cells as C
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 5)) + 1e4
+    c = np.concatenate([x[:40], x[:40], (x[40:80] + x[80:120]) / 2, np.full((1, 5), 1e4)])
+    x[130:150] = c[85] + rng.choice([-0.5, 0.5], (20, 5))
+    x[399, 0] = np.inf
+    pts = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "id long, k string, x array<double>")
+    d = np.zeros((len(x), len(c)))
+    with np.errstate(invalid="ignore"):
+        for f in range(5):
+            d += (x[:, f, None] - c[None, :, f]) ** 2
+    for some in (c, c[:1]):
+        got = C.assign(pts, some, native=True)
+        assert got.columns == ["id", "k", "x", "cell", "sq"]
+        rows = sorted(got.collect())
+        assert [r.cell for r in rows] == d[:, : len(some)].argmin(axis=1).tolist() and [r.sq for r in rows] == d[:, : len(some)].min(axis=1).tolist()
+    plan = C.assign(pts, c, native=True)._jdf.queryExecution().optimizedPlan().toString()
+    # distances are those of a broadcast cell to a point, not of a list of all cells
+    assert "transform(__cells" not in plan and "array_min" not in plan
